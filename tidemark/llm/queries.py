@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, licenses, mixing, sharding
-from tidemark.llm.common import table, text_or_empty, token_count
+from tidemark.llm import decontam, html_extract, jaccard, licenses, line_dedup, mixing, pii, quality, sharding, warc
+from tidemark.llm.common import table, text_or_empty, token_count, work_table
 
 N_SHARDS = 24
 
@@ -19,6 +19,16 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_extract.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return licenses.scan_licenses(docs).drop("text")
@@ -33,6 +43,15 @@ def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = warc.archive_and_read(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "captured", "archive", "offset")
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4, percent=85)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = decontam.with_contamination(docs, table(spark, sf_dir, "benchmark"), n=10)
@@ -46,9 +65,31 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+    def count(kind: str):
+        return F.size(F.filter("pii", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *[count(kind) for kind in pii.BASE_KINDS],
+        F.sha2(pii.joined_spans("pii", pii.BASE_KINDS), 256).alias("base_sha256"),
+        pii.joined_spans("pii", pii.KINDS).alias("spans"),
+    )
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = work_table(quality.with_metrics(table(spark, sf_dir, "documents"), keep=["doc_id", "lang"]), "quality-metrics")
+    rated = quality.with_rates(measured)
+    judged = quality.verdict(rated, quality.fitted_cutoffs(rated, table(spark, sf_dir, "labels")), "lang")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_mix_sources": op1_mix_sources,
-    "op4_license_scan": op4_license_scan,
-    "op5_virtual_slots": op5_virtual_slots,
-    "op8_decontaminate": op8_decontaminate,
-}
+    q.__name__: q
+    for q in (
+        op1_mix_sources, op2_extract_text, op3_line_dedup, op4_license_scan, op5_virtual_slots, op6_warc_index, op7_jaccard_join,
+        op8_decontaminate, op9_pii_anchors, op10_quality_rules,
+    )
+}
