@@ -47,6 +47,15 @@ def work_table(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: What a broadcast may weigh.
+MAX_BROADCAST_BYTES = 32 << 20
+
+
+def bounded(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df`` for a broadcast if its counted rows of ``row_bytes`` allow that, else as it is."""
+    return F.broadcast(df) if df.count() * row_bytes <= MAX_BROADCAST_BYTES else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

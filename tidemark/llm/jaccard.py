@@ -36,14 +36,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import work_table
+from tidemark.llm.common import bounded, work_table
 from tidemark.llm.components import connected
 
 #: A shingle of more nodes than this is frequent.
 FREQUENT = 24
 #: Signatures that a document has before pairs are no longer checked for their first common one.
 CARRIED = 256
-MAX_BROADCAST_BYTES = 32 << 20
 SKETCH = [f"k{i}" for i in range(8)]
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -133,11 +132,6 @@ def whole_sets(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
     return df.select(text).mapInArrow(run, "node long, n long, shingles array<long>")
 
 
-def _bounded(df: DataFrame, row_bytes: int) -> DataFrame:
-    """``df`` for a broadcast if its counted rows allow that, else as it is."""
-    return F.broadcast(df) if df.count() * row_bytes <= MAX_BROADCAST_BYTES else df
-
-
 def band_of(n: int, percent: int) -> int:
     """A band is wider than sizes of linked documents are apart, so their bands are equal or adjacent."""
     return math.floor(math.log(n) / -math.log((percent - 1) / 100))
@@ -221,15 +215,15 @@ def candidate_pairs(df: DataFrame, nodes: DataFrame, rows: DataFrame, key: str,
     a, b = _side(rare, "a"), _side(rare, "b")
     singles = a.join(b, (F.col("atoken") == F.col("btoken")) & (F.col("anode") < F.col("bnode")) & _similar_sizes(percent)).select("anode", "bnode").distinct()
 
-    dense = work_table(held.join(_bounded(frequent, 64), "token", "left_semi").select("node").distinct(), "dense-nodes")
-    dense_ids = work_table(nodes.join(_bounded(dense, 64), "node", "left_semi").select("node", "first_id"), "dense-ids")
-    sets = whole_sets(_rows_of(df, dense_ids, key), key, text, k).join(_bounded(dense, 64), "node", "left_semi").dropDuplicates(["node"])
-    marks = _bounded(frequent.select("token", F.lit(True).alias("frequent")), 64)
+    dense = work_table(held.join(bounded(frequent, 64), "token", "left_semi").select("node").distinct(), "dense-nodes")
+    dense_ids = work_table(nodes.join(bounded(dense, 64), "node", "left_semi").select("node", "first_id"), "dense-ids")
+    sets = whole_sets(_rows_of(df, dense_ids, key), key, text, k).join(bounded(dense, 64), "node", "left_semi").dropDuplicates(["node"])
+    marks = bounded(frequent.select("token", F.lit(True).alias("frequent")), 64)
     split = sets.select("node", "n", F.explode("shingles").alias("token")).join(marks, "token", "left")
     mark = F.struct(F.coalesce("frequent", F.lit(False)).alias("frequent"), F.col("token").alias("shingle"))
     marked = split.groupBy("node", "n").agg(F.collect_list(mark).alias("marked"))
-    sketches = rows.select("node", *SKETCH).join(_bounded(dense, 64), "node", "left_semi").groupBy("node").agg(*[F.first(s).alias(s) for s in SKETCH])
-    index = work_table(extended(marked, percent).join(_bounded(work_table(sketches, "dense-sketches"), 160), "node"), "combination-index")
+    sketches = rows.select("node", *SKETCH).join(bounded(dense, 64), "node", "left_semi").groupBy("node").agg(*[F.first(s).alias(s) for s in SKETCH])
+    index = work_table(extended(marked, percent).join(bounded(work_table(sketches, "dense-sketches"), 160), "node"), "combination-index")
     a, b = _side(index, "a"), _side(index, "b")
     combined = a.join(
         b,
@@ -239,13 +233,13 @@ def candidate_pairs(df: DataFrame, nodes: DataFrame, rows: DataFrame, key: str,
 
     pairs = work_table(singles.unionByName(combined).distinct(), "candidate-pairs")
     ends = pairs.select(F.col("anode").alias("node")).unionByName(pairs.select(F.col("bnode").alias("node"))).distinct()
-    known = work_table(rows.join(_bounded(work_table(ends, "candidate-nodes"), 64), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), *[F.first(s).alias(s) for s in SKETCH]), "candidate-sketches")
+    known = work_table(rows.join(bounded(work_table(ends, "candidate-nodes"), 64), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), *[F.first(s).alias(s) for s in SKETCH]), "candidate-sketches")
     both = pairs.join(_side(known, "a"), "anode").join(_side(known, "b"), "bnode").filter(_near(percent))
     return work_table(both.select(F.col("anode").alias("a"), F.col("bnode").alias("b"), _distance().alias("distance")), "near-pairs")
 
 
 def _rows_of(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    return df.join(_bounded(ids.select(F.col("first_id").alias("_id")).distinct(), 64), F.col(key) == F.col("_id"), "left_semi")
+    return df.join(bounded(ids.select(F.col("first_id").alias("_id")).distinct(), 64), F.col(key) == F.col("_id"), "left_semi")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -264,8 +258,8 @@ def jaccard_components(df: DataFrame, *, key: str = "doc_id", text: str = "text"
     pairs = candidate_pairs(df, nodes, rows, key, text, shingle, percent)
 
     ends = work_table(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "pair-ends")
-    ids = work_table(nodes.join(_bounded(ends, 64), "node", "left_semi"), "pair-ids")
-    sets = work_table(whole_sets(_rows_of(df, ids, key), key, text, shingle).join(_bounded(ends, 64), "node", "left_semi").dropDuplicates(["node"]), "pair-sets")
+    ids = work_table(nodes.join(bounded(ends, 64), "node", "left_semi"), "pair-ids")
+    sets = work_table(whole_sets(_rows_of(df, ids, key), key, text, shingle).join(bounded(ends, 64), "node", "left_semi").dropDuplicates(["node"]), "pair-sets")
 
     one_way = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
     nearest = one_way.groupBy("a").agg(F.min(F.struct("distance", "b")).alias("x")).select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct()

@@ -86,10 +86,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
     for q in (
         op1_mix_sources, op2_extract_text, op3_line_dedup, op4_license_scan, op5_virtual_slots, op6_warc_index, op7_jaccard_join,
-        op8_decontaminate, op9_pii_anchors, op10_quality_rules,
+        op8_decontaminate, op9_pii_anchors, op10_quality_rules, pipeline,
     )
 }
