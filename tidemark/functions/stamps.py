@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import groups, let
+
 STAMP = "struct<ts:timestamp_ntz,offset_s:int>"
 NONE = "cast(null as struct<ts:timestamp_ntz,offset_s:int>)"
 
@@ -19,80 +23,93 @@ def none() -> Column:
 
 
 def stamp(ts: Column, offset: Column) -> Column:
-    return F.when(ts.isNotNull(), F.struct(ts.alias("ts"), offset.cast("int").alias("offset_s")))
+    return let(ts, lambda t: F.when(t.isNotNull(), F.struct(t.alias("ts"), offset.cast("int").alias("offset_s"))))
 
 
 def offset_seconds(text: Column) -> Column:
     """Seconds of ``Z``, ``+05:30`` or ``+0530``; null for ''."""
-    digits = F.regexp_replace(text, ":", "")
-    seconds = F.substr(digits, F.lit(2), F.lit(2)).try_cast("int") * 3600 + F.coalesce(F.substr(digits, F.lit(4), F.lit(2)).try_cast("int"), F.lit(0)) * 60
-    return F.when(text == "Z", F.lit(0)).when(text.startswith("-"), -seconds).when(text.startswith("+"), seconds)
+
+    def seconds(d: Column) -> Column:
+        size = F.substr(d, F.lit(2), F.lit(2)).try_cast("int") * 3600 + F.coalesce(F.substr(d, F.lit(4), F.lit(2)).try_cast("int"), F.lit(0)) * 60
+        return F.when(d == "Z", F.lit(0)).when(F.startswith(d, F.lit("-")), -size).when(F.startswith(d, F.lit("+")), size)
+
+    return let(F.translate(text, ":", ""), seconds)
 
 
 def iso(text: Column) -> Column:
     """ISO 8601 date, or date and time with fraction and offset; fractions are cut to microseconds."""
-    whole = rf"^\s*{ISO[:-1]})?\s*$"
-    part = lambda i: F.regexp_extract(text, whole, i)
-    clock = F.when(part(2) == "", F.lit("00:00:00")).otherwise(part(2))
-    ts = F.concat(part(1), F.lit(" "), clock, F.lit("."), F.rpad(F.left(part(3), F.lit(6)), 6, "0")).try_cast("timestamp_ntz")
-    return F.when(F.rlike(text, F.lit(whole)), stamp(ts, offset_seconds(part(4))))
+
+    def made(g: Column) -> Column:
+        clock = F.coalesce(F.nullif(g[1], F.lit("")), F.lit("00:00:00"))
+        ts = F.concat(g[0], F.lit(" "), clock, F.lit("."), F.rpad(F.left(g[2], F.lit(6)), 6, "0")).try_cast("timestamp_ntz")
+        return stamp(ts, offset_seconds(g[3]))
+
+    return let(groups(text, rf"^\s*{ISO[:-1]})?\s*$", 4), made)
 
 
 def clf(text: Column) -> Column:
     """``02/Mar/2025:09:10:11 +0000``."""
-    part = lambda i: F.regexp_extract(text, r"^\s*(\d{1,2})/([A-Za-z]{3})/(\d{4}):(\d{2}:\d{2}:\d{2})\s*([+-]\d{4})\s*$", i)
-    ts = F.concat_ws("-", part(3), month(part(2)), F.lpad(part(1), 2, "0"))
-    return stamp(F.concat(ts, F.lit(" "), part(4)).try_cast("timestamp_ntz"), offset_seconds(part(5)))
+
+    def made(g: Column) -> Column:
+        day = F.concat_ws("-", g[2], month(g[1]), F.lpad(g[0], 2, "0"))
+        return stamp(F.concat(day, F.lit(" "), g[3]).try_cast("timestamp_ntz"), offset_seconds(g[4]))
+
+    return let(groups(text, r"^\s*(\d{1,2})/([A-Za-z]{3})/(\d{4}):(\d{2}:\d{2}:\d{2})\s*([+-]\d{4})\s*$", 5), made)
 
 
 def month(name: Column) -> Column:
-    at = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(name))
-    return F.when(at > 0, F.lpad(at.cast("string"), 2, "0")).otherwise(F.lit("00"))
+    """Two digits; 00 for what is not a month."""
+    return F.lpad(F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(name)).cast("string"), 2, "0")
 
 
 def syslog(text: Column, year: Column) -> Column:
     """``Mar  2 09:10:11`` in ``year``, without a zone."""
-    part = lambda i: F.regexp_extract(text, r"^([A-Za-z]{3})\s+(\d{1,2}) (\d{2}:\d{2}:\d{2})$", i)
-    day = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), month(part(1)), F.lpad(part(2), 2, "0"))
-    return F.when(year > 0, stamp(F.concat(day, F.lit(" "), part(3)).try_cast("timestamp_ntz"), F.lit(None)))
+
+    def made(g: Column) -> Column:
+        day = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), month(g[0]), F.lpad(g[1], 2, "0"))
+        return F.when(year > 0, stamp(F.concat(day, F.lit(" "), g[2]).try_cast("timestamp_ntz"), F.lit(None)))
+
+    return let(groups(text, r"^([A-Za-z]{3})\s+(\d{1,2}) (\d{2}:\d{2}:\d{2})$", 3), made)
 
 
 def epoch(value: Column) -> Column:
     """Seconds, or milli-, micro- or nanoseconds by magnitude, in UTC."""
-    exact = value.try_cast("decimal(38,9)")
-    size = F.abs(exact)
-    micros = (
-        F.when(size >= F.lit(10**17), exact / 1000)
-        .when(size >= F.lit(10**14), exact)
-        .when(size >= F.lit(10**11), exact * 1000)
-        .otherwise(exact * 1_000_000)
-    )
-    whole = F.floor(micros).try_cast("bigint")
-    safe = F.when(F.abs(whole) < 250_000_000_000_000_000, whole)
-    return stamp(F.timestamp_add("MICROSECOND", safe, F.expr("timestamp_ntz '1970-01-01 00:00:00'")), F.lit(0))
+
+    def micros(x: Column) -> Column:
+        size = F.abs(x)
+        return F.floor(F.when(size >= 10**17, x / 1000).when(size >= 10**14, x).when(size >= 10**11, x * 1000).otherwise(x * 1_000_000)).try_cast("bigint")
+
+    def made(m: Column) -> Column:
+        return F.when(F.abs(m) < 250_000_000_000_000_000, F.timestamp_add("MICROSECOND", m, F.expr("timestamp_ntz '1970-01-01 00:00:00'")))
+
+    return stamp(let(let(value.try_cast("decimal(38,9)"), micros), made), F.lit(0))
 
 
 def of_json(value: Column, plain: Column) -> Column:
     """A JSON value: numbers and digit strings as epochs, other strings as ISO 8601; ``plain`` is its text."""
-    text = F.btrim(plain, F.lit(" \t"))
-    number = F.rlike(value, F.lit(r'^-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?$')) | F.rlike(text, F.lit(r"^\d+$"))
-    return F.when(number, epoch(text)).when(value.startswith('"'), iso(text))
+    quoted = F.startswith(value, F.lit('"'))
+    return let(
+        F.btrim(plain, F.lit(" \t")),
+        lambda t: F.when(F.rlike(t, F.lit(r"^\d+$")) | ~quoted & F.rlike(t, F.lit(r"^-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?$")), epoch(t)).when(quoted, iso(t)),
+    )
 
 
 def leading(text: Column, year: Column) -> Column:
     """(found, rest): the stamp within the first 64 characters that opens ``text``, and the text after it."""
-    head = F.left(text, F.lit(64))
-    iso_at, clf_at, sys_at = rf"^.?{ISO}", rf"^.*?{CLF}", rf"^.?{SYSLOG}"
-    iso_text = F.regexp_replace(F.regexp_extract(head, iso_at, 0), r"^\D", "")
-    found_iso, found_clf = iso(iso_text), clf(F.regexp_extract(head, clf_at, 1))
-    found_sys = syslog(F.regexp_extract(head, sys_at, 1), year)
-
-    def rest(pattern: str) -> Column:
-        return F.ltrim(F.substr(text, F.length(F.regexp_extract(head, pattern, 0)) + 1), F.lit(" \t:|-"))
-
-    return (
-        F.when(found_iso.isNotNull(), F.struct(found_iso.alias("found"), rest(iso_at).alias("rest")))
-        .when(found_clf.isNotNull(), F.struct(found_clf.alias("found"), rest(clf_at).alias("rest")))
-        .when(found_sys.isNotNull(), F.struct(found_sys.alias("found"), rest(sys_at).alias("rest")))
-        .otherwise(F.struct(none().alias("found"), text.alias("rest")))
-    )
+    forms = [(rf"^.?{ISO}", iso, r"^\D"), (rf"^.*?{CLF}", clf, r"^.*?(?=\d{2}/[A-Za-z]{3}/)"), (rf"^.?{SYSLOG}", lambda x: syslog(x, year), r"^[^A-Z]|^[A-Z](?=[A-Z])")]
+
+    def attempt(t: Column, pattern: str, read: Callable, before: str, otherwise: Column) -> Column:
+        def opened(m: Column) -> Column:
+            rest = F.ltrim(F.substr(t, F.length(m) + 1), F.lit(" \t:|-"))
+            stamped = F.when(m != "", read(F.regexp_replace(m, before, "")))
+            return let(stamped, lambda s: F.when(s.isNotNull(), F.struct(s.alias("found"), rest.alias("rest"))).otherwise(otherwise))
+
+        return let(F.regexp_extract(F.left(t, F.lit(64)), pattern, 0), opened)
+
+    def made(t: Column) -> Column:
+        out = F.struct(none().alias("found"), t.alias("rest"))
+        for pattern, read, before in reversed(forms):
+            out = attempt(t, pattern, read, before, out)
+        return out
+
+    return let(text, made)

@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SEPARATOR = "\x01"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` mentions it; keeps plans and code small."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def groups(text: Column, pattern: str, n: int) -> Column:
     """The first ``n`` groups of a pattern that spans all of ``text``, in one pass; null if it does not match."""
     joined = SEPARATOR.join(f"${i}" for i in range(1, n + 1))
-    clean = F.regexp_replace(text, SEPARATOR, " ")
-    return F.when(F.rlike(clean, F.lit(pattern)), F.split(F.regexp_replace(clean, pattern, joined), SEPARATOR, -1))
+    return let(
+        F.translate(text, SEPARATOR, " "),
+        lambda c: F.when(F.rlike(c, F.lit(pattern)), F.split(F.regexp_replace(c, pattern, joined), SEPARATOR, -1)),
+    )
 
 
 def strip(text: Column, chars: str = " \t\n\r\x0b\x0c") -> Column:
@@ -21,34 +30,35 @@ def strip(text: Column, chars: str = " \t\n\r\x0b\x0c") -> Column:
 
 def json_string(text: Column) -> Column:
     """The JSON text of a string."""
-    listed = F.to_json(F.array(text))
-    return F.when(text.isNotNull(), F.substr(listed, F.lit(2), F.length(listed) - 2))
+    return let(F.when(text.isNotNull(), F.to_json(F.array(text))), lambda x: F.substr(x, F.lit(2), F.length(x) - 2))
 
 
 def json_plain(value: Column) -> Column:
     """The text of a JSON scalar: strings without quotes, other values as they are; null for JSON null."""
-    return F.when(value.startswith('"'), F.get_json_object(F.concat(F.lit('{"x":'), value, F.lit("}")), "$.x")).when(value != "null", value)
+    return let(value, lambda v: F.when(F.startswith(v, F.lit('"')), F.get_json_object(F.concat(F.lit('{"x":'), v, F.lit("}")), "$.x")).when(v != "null", v))
 
 
 def file_stem(name: Column) -> Column:
     """The last part of a path less log suffixes, each taken off once, in this order; 'unknown' if nothing is left."""
     stem = F.element_at(F.split(name, "/"), -1)
     for suffix in (".log", ".txt", ".json", ".ndjson", ".jsonl", ".gz"):
-        stem = F.when(F.endswith(stem, F.lit(suffix)), F.left(stem, F.length(stem) - len(suffix))).otherwise(stem)
-    return F.when(stem == "", F.lit("unknown")).otherwise(stem)
+        stem = F.regexp_replace(stem, rf"\{suffix}$", "")
+    return F.coalesce(F.nullif(stem, F.lit("")), F.lit("unknown"))
 
 
 def scalar_json(raw: Column) -> Column:
     """The JSON text of a bare token: booleans, nulls, integers and decimals typed, anything else a string."""
-    low = F.lower(raw)
-    number = F.regexp_replace(raw, r"^\+", "")
-    return (
-        F.when(low.isin("true", "false"), low)
-        .when(low.isin("null", "nil", "none"), F.lit("null"))
-        .when(F.rlike(raw, F.lit(r"^[+-]?\d{1,18}$")), number.try_cast("bigint").cast("string"))
-        .when(F.rlike(raw, F.lit(r"^[+-]?\d[\d]*\.?\d*(?:[eE][+-]?\d+)?$")), number.try_cast("double").cast("string"))
-        .otherwise(json_string(raw))
-    )
+    def typed(r: Column) -> Column:
+        number = F.regexp_replace(r, r"^\+", "")
+        return (
+            F.when(F.rlike(r, F.lit(r"^[+-]?\d{1,18}$")), number.try_cast("bigint").cast("string"))
+            .when(F.rlike(r, F.lit(r"^[+-]?\d+\.?\d*(?:[eE][+-]?\d+)?$")), number.try_cast("double").cast("string"))
+            .when(F.rlike(r, F.lit("(?i)^(?:true|false)$")), F.lower(r))
+            .when(F.rlike(r, F.lit("(?i)^(?:null|nil|none)$")), F.lit("null"))
+            .otherwise(json_string(r))
+        )
+
+    return let(raw, typed)
 
 
 def present(values: Column) -> Column:
@@ -71,4 +81,4 @@ def empty_map() -> Column:
 
 def over(low: Column, high: Column) -> Column:
     """Two maps in one; on equal keys the second wins."""
-    return F.map_concat(F.map_filter(low, lambda k, _: ~F.map_contains_key(high, k)), high)
+    return let(high, lambda h: F.map_concat(F.map_filter(low, lambda k, _: ~F.map_contains_key(h, k)), h))

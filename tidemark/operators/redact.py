@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import let
+
 # Names of secrets and the shape of each rule, in order of precedence.
 SECRET_NAMES = (
     "password passwd pwd secret api[_-]?key apikey access[_-]?token refresh[_-]?token auth[_-]?token id[_-]?token "
@@ -67,11 +69,10 @@ def luhn(digits: Column) -> Column:
 
 def rule_of(match: Column, policy: Policy) -> Column:
     """The rule that made a match; null for a card that fails its check."""
-    digits = F.regexp_replace(match, "[ -]", "")
-    valid_card = F.rlike(digits, F.lit(r"^\d{13,19}$")) & luhn(digits)
+    valid_card = let(F.regexp_replace(match, "[ -]", ""), lambda d: F.rlike(d, F.lit(r"^\d{13,19}$")) & luhn(d))
     out = F.lit(None).cast("string")
     for rule in reversed(policy.active()):
-        name = F.when(valid_card, rule) if rule == "card" else F.lit(rule)
+        name = F.when(valid_card, F.lit(rule)) if rule == "card" else F.lit(rule)
         out = F.when(F.rlike(match, F.lit(rf"(?U)^(?:{policy.pattern(rule)})$")), name).otherwise(out)
     return out
 
@@ -86,21 +87,27 @@ def replacement(match: Column, rule: Column) -> Column:
     )
 
 
-REDACTED = "struct<text:string,rules:array<string>>"
-
-
 def redacted(text: Column, policy: Policy) -> Column:
     """(text, rules): the text after all rules, and the rule of each replacement in order."""
     active = policy.active()
-    untouched = F.struct(text.alias("text"), F.array().cast("array<string>").alias("rules"))
-    if not active:
-        return untouched
     pattern = "(?U)" + "|".join(f"(?:{policy.pattern(r)})" for r in active)
-    matches = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct(m.alias("m"), rule_of(m, policy).alias("rule")))
-    gaps = F.split(text, pattern, -1)
-    joined = F.array_join(F.zip_with(gaps, matches, lambda g, m: F.concat(g, F.coalesce(replacement(m["m"], m["rule"]), F.lit("")))), "")
-    rules = F.filter(F.transform(matches, lambda m: m["rule"]), lambda r: r.isNotNull())
-    return F.when(F.rlike(text, F.lit(PREFILTER)), F.struct(joined.alias("text"), rules.alias("rules"))).otherwise(untouched)
+
+    def judged(m: Column) -> Column:
+        return let(F.struct(m.alias("m"), rule_of(m, policy).alias("rule")), lambda x: F.struct(replacement(x["m"], x["rule"]).alias("put"), x["rule"].alias("rule")))
+
+    def applied(t: Column) -> Column:
+        untouched = F.struct(t.alias("text"), F.array().cast("array<string>").alias("rules"))
+        matches = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), judged)
+
+        def joined(found: Column) -> Column:
+            pieces = F.zip_with(F.split(t, pattern, -1), found, lambda g, m: F.concat(g, F.coalesce(m["put"], F.lit(""))))
+            return F.struct(F.array_join(pieces, "").alias("text"), F.filter(F.transform(found, lambda m: m["rule"]), lambda r: r.isNotNull()).alias("rules"))
+
+        return F.when(F.rlike(t, F.lit(PREFILTER)), let(matches, joined)).otherwise(untouched)
+
+    if not active:
+        return F.struct(text.alias("text"), F.array().cast("array<string>").alias("rules"))
+    return let(text, applied)
 
 
 def secret_name(key: Column) -> Column:
