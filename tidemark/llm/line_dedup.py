@@ -84,7 +84,8 @@ def dedup_lines(df: DataFrame, *, key: str = "doc_id", text: str = "text", min_c
     """``df`` with ``text`` less its repeated lines, n_lines (before) and n_dropped."""
     spark = df.sparkSession
     id_type = df.schema[key].dataType.simpleString()
-    bounds = sorted(set(df.select(key).approxQuantile(key, [i / batches for i in range(1, batches)], 0.01)))
+    parts = [i / batches for i in range(1, batches)]
+    bounds = sorted(set(df.agg(F.percentile_approx(key, parts, 1000)).first()[0] or [])) if parts else []
     batch_no = F.lit(len(bounds))
     for i, b in enumerate(bounds):
         batch_no = batch_no - F.when(F.col(key) > b, 1).otherwise(0)
