@@ -463,7 +463,9 @@ def parse(sources: DataFrame, year: int | None, formats: Iterable[str] = FORMATS
         made = F.when(kind == name, branch).otherwise(made)
     e = e.withColumn("made", made)
     service = F.when(F.col("service_declared"), F.col("service")).otherwise(F.coalesce(filled(F.col("made.service")), F.col("service")))
-    raw = F.when((kind == "envelope") & (F.col("format") == "json"), F.left("doc_text", F.lit(4000))).otherwise(F.col("raw"))
+    raw = F.col("raw")
+    if "json" in formats:
+        raw = F.when((kind == "envelope") & (F.col("format") == "json"), F.left("doc_text", F.lit(4000))).otherwise(raw)
     return e.select(
         "file_id", "file_idx", "line_no", "seq", service.alias("service"), "role", F.col("made.stamp.ts").alias("ts"), F.col("made.stamp.offset_s").alias("offset_s"),
         *[F.col(f"made.{f}").alias(f) for f in ("level", "message", "trace_id", "span_id", "parent_span_id", "attributes", "correlation_keys")], raw.alias("raw"),
