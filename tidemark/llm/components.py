@@ -6,6 +6,8 @@ number of links and a checksum comes to the driver.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,12 +32,21 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).filter("u != v").distinct()
 
 
+#: Links that one task of a step takes.
+LINKS_PER_TASK = 250_000
+
+
+def _dealt(links: DataFrame, n: int) -> DataFrame:
+    """``links`` in as many partitions as ``n`` rows need; a step over few links is then one short task."""
+    return links.coalesce(max(1, math.ceil(n / LINKS_PER_TASK)))
+
+
 def connected(links: DataFrame, label: str = "components") -> DataFrame:
     """(node, root) for every end of ``links`` (u, v); root is the smallest node of the component."""
     links = work_table(links.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), label)
     state = _state(links)
     while state[0]:
-        links = work_table(_small_star(_large_star(links)), label)
+        links = work_table(_small_star(_large_star(_dealt(links, state[0]))), label)
         if (now := _state(links)) == state:
             break
         state = now

@@ -4,17 +4,21 @@ A document is the set of its hashed word shingles; documents of equal sets form
 linked pair of ``s`` shingles lacks at most ``floor((1 - t) s)`` of them on either side, so in any common order of
 shingles the first ``floor((1 - t) s) + 1`` of both have one in common.
 
-1. All documents: the prefix in hash order. Its shingles are counted over the corpus; those of more than
-   ``FREQUENT`` nodes are the frequent class, the others of at least two nodes are rare.
-2. Rare shingles are indexed singly. This finds every pair of which one document has no frequent shingle in its
-   prefix, for then the shingle in common is rare.
-3. Documents with a frequent shingle in their prefix are read again. Their prefixes are extended in another order:
-   rare shingles first, then frequent ones. Rare ones are indexed singly, frequent ones as pairs within subclasses.
-   The prefix goes on until its rare shingles and, for each subclass, its frequent ones but one add up to what a
-   linked pair may lack plus one: then the pair has a rare shingle or a pair of frequent ones in common. The number
-   of subclasses depends on a band of sizes; linked documents are in the same or in adjacent bands, so each document
-   is indexed for its own band and the one below.
-4. Candidate pairs pass if sizes and 512-bit parity sketches allow the similarity. Each document's nearest candidate
+1. Every document lists its first shingles in hash order: as many as a prefix takes and a quarter more. They are
+   counted over the corpus; those of more than ``FREQUENT`` nodes are the frequent class, all others are rare.
+2. In the order of rare before frequent, the prefix of most documents is made of rare shingles of their list; these
+   are indexed singly. Documents whose list has too few rare shingles, members of large groups of near copies mostly,
+   are dense and are read again as a whole.
+3. Of a linked pair with a document that is not dense, the prefix of that one is rare, so the pair shares a rare
+   shingle of both prefixes. The prefix of a dense document may reach beyond its list; those shingles are looked up in
+   the lists of the others.
+4. For pairs of dense documents their shingles are counted again, over dense documents and whole sets, which gives a
+   new frequent class. Rare shingles are indexed singly, frequent ones as pairs within subclasses, and the prefix is
+   extended until its rare shingles and, for each subclass, its frequent ones but one add up to what a linked pair may
+   lack plus one: then the pair has a rare shingle or a pair of frequent ones in common. The number of subclasses
+   depends on a band of sizes; linked documents are in the same or in adjacent bands, so each document is indexed for
+   its own band and the one below.
+5. Candidate pairs pass if sizes and 512-bit parity sketches allow the similarity. Each document's nearest candidate
    is verified first on the whole sets, then every candidate pair that is not yet in one component.
 
 Components come from verified links alone. Only counts reach the driver. Copies never form pairs, and a pair of the
@@ -33,14 +37,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded, work_table
 from tidemark.llm.components import connected
 
 #: A shingle of more nodes than this is frequent.
-FREQUENT = 24
+FREQUENT = 32
 #: Signatures that a document has before pairs are no longer checked for their first common one.
 CARRIED = 256
 SKETCH = [f"k{i}" for i in range(8)]
@@ -52,7 +56,7 @@ class _Words(dict):
     """Hashes of words, forgotten when there are very many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -83,10 +87,16 @@ def _lacking(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100
 
 
+def _listed(n: int, percent: int) -> int:
+    """Shingles that a document of n lists: a prefix and a quarter more."""
+    need = _lacking(n, percent) + 1
+    return min(n, need + need // 4 + 4)
+
+
 def _describe(s: np.ndarray, percent: int) -> tuple:
     node = int(_mix(s + np.uint64(1)).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0
     bits = np.packbits((np.bincount((s & np.uint64(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8)).view(np.int64)
-    prefix = s[: _lacking(len(s), percent) + 1].view(np.int64) if len(s) > 1 else np.empty(0, np.int64)
+    prefix = s[: _listed(len(s), percent)].view(np.int64) if len(s) > 1 else np.empty(0, np.int64)
     return node, len(s), prefix, bits
 
 
@@ -163,13 +173,13 @@ def signatures(rare: np.ndarray, frequent: np.ndarray, n: int, percent: int) ->
 
 
 def extended(sets: DataFrame, percent: int) -> DataFrame:
-    """(node, n, own_band, band, sig, earlier) from (node, n, marked): marked holds (frequent, shingle)."""
+    """(node, n, own_band, band, sig, earlier) from (node, n, rare, frequent): shingles by class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, n, marked in zip(*[batch.column(c).to_pylist() for c in ("node", "n", "marked")]):
-                rare = np.array([m["shingle"] for m in marked if not m["frequent"]], np.int64).view(np.uint64)
-                often = np.array([m["shingle"] for m in marked if m["frequent"]], np.int64).view(np.uint64)
+            for at in range(batch.num_rows):
+                node, n = batch.column("node")[at].as_py(), batch.column("n")[at].as_py()
+                rare, often = (batch.column(c)[at].values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for c in ("rare", "frequent"))
                 with np.errstate(over="ignore"):
                     rows = signatures(rare, often, n, percent)
                 size = len(rows)
@@ -204,36 +214,95 @@ def _side(df: DataFrame, side: str) -> DataFrame:
     return df.select([F.col(c).alias(side + c) for c in df.columns])
 
 
-def candidate_pairs(df: DataFrame, nodes: DataFrame, rows: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
-    """(a, b, an, bn, distance), a < b: all pairs of nodes that can be linked; each once."""
-    tokens = rows.filter("n > 1").select("node", "n", F.explode("prefix").alias("token"))
-    shared = tokens.groupBy("token").count().filter("count > 1").select("token")
-    held = work_table(tokens.join(shared, "token", "left_semi").distinct(), "shared-shingles")
-    times = work_table(held.groupBy("token").count().filter("count > 1"), "shingle-counts")
-    frequent = times.filter(F.col("count") > FREQUENT).select("token")
-    rare = held.join(times.filter(F.col("count") <= FREQUENT).select("token"), "token", "left_semi")
-    a, b = _side(rare, "a"), _side(rare, "b")
-    singles = a.join(b, (F.col("atoken") == F.col("btoken")) & (F.col("anode") < F.col("bnode")) & _similar_sizes(percent)).select("anode", "bnode").distinct()
-
-    dense = work_table(held.join(bounded(frequent, 64), "token", "left_semi").select("node").distinct(), "dense-nodes")
-    dense_ids = work_table(nodes.join(bounded(dense, 64), "node", "left_semi").select("node", "first_id"), "dense-ids")
-    sets = whole_sets(_rows_of(df, dense_ids, key), key, text, k).join(bounded(dense, 64), "node", "left_semi").dropDuplicates(["node"])
-    marks = bounded(frequent.select("token", F.lit(True).alias("frequent")), 64)
-    split = sets.select("node", "n", F.explode("shingles").alias("token")).join(marks, "token", "left")
-    mark = F.struct(F.coalesce("frequent", F.lit(False)).alias("frequent"), F.col("token").alias("shingle"))
-    marked = split.groupBy("node", "n").agg(F.collect_list(mark).alias("marked"))
-    sketches = rows.select("node", *SKETCH).join(bounded(dense, 64), "node", "left_semi").groupBy("node").agg(*[F.first(s).alias(s) for s in SKETCH])
-    index = work_table(extended(marked, percent).join(bounded(work_table(sketches, "dense-sketches"), 160), "node"), "combination-index")
+def _need(percent: int) -> Column:
+    return F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
+
+
+def _in_order(token: Column) -> Column:
+    """Hashes are unsigned; this compares as they do."""
+    return token.bitwiseXOR(F.lit(-(1 << 63)))
+
+
+def rare_pairs(listed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs with a rare shingle in common of which one is not dense; the dense nodes; the frequent shingles.
+
+    ``listed``: (node, n, pos, token).
+    """
+    counts = work_table(listed.groupBy("token").count().filter("count > 1"), "shingle-counts")
+    held = listed.join(counts, "token").select("token", "node", "n", "pos", (F.col("count") > FREQUENT).alias("frequent"))
+    in_node = Window.partitionBy("node")
+    up_to = in_node.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    need = _need(percent)
+    flag = F.col("frequent").cast("int")
+    held = held.withColumn("before", F.sum(flag).over(up_to)).withColumn("dense", F.least("n", need + F.floor(need / 4) + 4) - F.sum(flag).over(in_node) < need)
+    held = work_table(held, "shared-shingles")
+    index = held.filter(~F.col("frequent") & (F.col("pos") + 1 - F.col("before") <= need)).select("token", "node", "n", "dense")
     a, b = _side(index, "a"), _side(index, "b")
-    combined = a.join(
+    pairs = a.join(b, (F.col("atoken") == F.col("btoken")) & (F.col("anode") < F.col("bnode")) & ~(F.col("adense") & F.col("bdense")) & _similar_sizes(percent))
+    dense = work_table(held.filter("dense").select("node").distinct(), "dense-nodes")
+    return pairs.select("anode", "bnode").distinct(), dense, work_table(counts.filter(F.col("count") > FREQUENT).select("token"), "frequent-shingles")
+
+
+def beyond_pairs(tokens: DataFrame, listed: DataFrame, dense: DataFrame, frequent: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a dense node with another by a shingle that is beyond the list of the dense one.
+
+    ``tokens``: (node, n, pos, token) of the whole sets of dense nodes. A shingle can only be in the prefix of a
+    document of similar size if it does not come after the last one that documents of such sizes list.
+    """
+    band = F.floor(F.log("n") / -math.log((percent - 1) / 100)).cast("int")
+    others = listed.join(bounded(dense, 64), "node", "left_anti")
+    ends = others.groupBy(band.alias("_band")).agg(F.max(_in_order(F.col("token"))).alias("_end"))
+    ends = ends.select(F.explode(F.array(*[F.col("_band") + i for i in (-1, 0, 1)])).alias("_band"), "_end").groupBy("_band").agg(F.max("_end").alias("_end"))
+    ends = bounded(work_table(ends, "list-ends"), 64)
+    need = _need(percent)
+    far = tokens.filter(F.col("pos") >= F.least("n", need + F.floor(need / 4) + 4)).withColumn("_b", band).join(ends, F.col("_b") == F.col("_band")).filter(_in_order(F.col("token")) <= F.col("_end"))
+    far = work_table(far.select("token", "node", "n").join(bounded(frequent, 64), "token", "left_anti"), "far-shingles")
+    known = others.select("token", "node", "n").join(bounded(far.select("token").distinct(), 64), "token", "left_semi")
+    a, b = _side(far, "a"), _side(known, "b")
+    pairs = a.join(b, (F.col("atoken") == F.col("btoken")) & (F.col("anode") != F.col("bnode")) & _similar_sizes(percent))
+    return pairs.select(F.least("anode", "bnode").alias("anode"), F.greatest("anode", "bnode").alias("bnode")).distinct()
+
+
+def dense_pairs(tokens: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs of dense nodes by signatures; each once."""
+    often = work_table(tokens.groupBy("token").count().filter(F.col("count") > FREQUENT).select("token", F.lit(True).alias("frequent")), "dense-frequent")
+    marked = tokens.join(bounded(often, 64), "token", "left").withColumn("frequent", F.coalesce("frequent", F.lit(False)))
+    # Frequent shingles matter only while rare ones are fewer than a prefix takes, so those far down cannot be reached.
+    reach = _need(percent) * 3 + 8
+    marked = marked.filter(~F.col("frequent") | (F.col("pos") <= reach))
+    by_class = marked.groupBy("node", "n").agg(
+        F.collect_list(F.when(~F.col("frequent"), F.col("token"))).alias("rare"), F.collect_list(F.when(F.col("frequent"), F.col("token"))).alias("frequent")
+    )
+    index = work_table(extended(by_class, percent).join(bounded(work_table(sketches, "dense-sketches"), 160), "node"), "combination-index")
+    shared = index.groupBy("sig").count().filter("count > 1").select("sig")
+    index = index.join(shared, "sig", "left_semi")
+    a, b = _side(index, "a"), _side(index, "b")
+    return a.join(
         b,
         (F.col("asig") == F.col("bsig")) & (F.col("aband") == F.col("bband")) & (F.col("anode") < F.col("bnode")) & _similar_sizes(percent)
         & ((F.col("aband") == -1) | (F.col("aband") == F.least("aown_band", "bown_band"))) & _near(percent) & ~F.arrays_overlap("aearlier", "bearlier"),
     ).select("anode", "bnode")
 
-    pairs = work_table(singles.unionByName(combined).distinct(), "candidate-pairs")
+
+def candidate_pairs(df: DataFrame, nodes: DataFrame, rows: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
+    """(a, b, distance), a < b: all pairs of nodes that can be linked; each once."""
+    first = nodes.select(F.col("node").alias("_node"), F.col("first_id").alias("_first"))
+    reps = rows.filter("n > 1").join(bounded(first, 64), (F.col("node") == F.col("_node")) & (F.col(key) == F.col("_first")), "left_semi")
+    if rows.groupBy(key, "node").count().filter("count > 1").limit(1).count():
+        reps = reps.dropDuplicates(["node"])  # rows that repeat identifier and text
+    listed = reps.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
+    rare, dense, frequent = rare_pairs(listed, percent)
+
+    ids = work_table(nodes.join(bounded(dense, 64), "node", "left_semi").select("node", "first_id"), "dense-ids")
+    sets = whole_sets(_rows_of(df, ids, key), key, text, k).join(bounded(dense, 64), "node", "left_semi").dropDuplicates(["node"])
+    sets = work_table(sets, "dense-sets")
+    tokens = sets.select("node", "n", F.posexplode("shingles").alias("pos", "token"))
+    sketches = reps.select("node", *SKETCH).join(bounded(dense, 64), "node", "left_semi")
+    found = rare.unionByName(beyond_pairs(tokens, listed, dense, frequent, percent)).unionByName(dense_pairs(tokens, sketches, percent))
+
+    pairs = work_table(found.distinct(), "candidate-pairs")
     ends = pairs.select(F.col("anode").alias("node")).unionByName(pairs.select(F.col("bnode").alias("node"))).distinct()
-    known = work_table(rows.join(bounded(work_table(ends, "candidate-nodes"), 64), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), *[F.first(s).alias(s) for s in SKETCH]), "candidate-sketches")
+    known = work_table(reps.select("node", "n", *SKETCH).join(bounded(work_table(ends, "candidate-nodes"), 64), "node", "left_semi"), "candidate-sketches")
     both = pairs.join(_side(known, "a"), "anode").join(_side(known, "b"), "bnode").filter(_near(percent))
     return work_table(both.select(F.col("anode").alias("a"), F.col("bnode").alias("b"), _distance().alias("distance")), "near-pairs")
 
