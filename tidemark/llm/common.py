@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,14 +38,27 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffle_files_freed(spark: SparkSession) -> Iterator[None]:
+    """Within it, a finished write drops its shuffle files at once instead of whenever the driver collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def work_table(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once to the shared scratch folder and read back.
 
     Cuts the lineage (a lost executor rereads the files instead of recomputing) and gives every later use of the
-    table the same rows.
+    table the same rows. What was shuffled for it is not needed after that.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with shuffle_files_freed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

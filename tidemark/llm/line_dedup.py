@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BLANKS, ascii_lower, scratch_path, work_table
+from tidemark.llm.common import BLANKS, ascii_lower, scratch_path, shuffle_files_freed, work_table
 
 MAX_BROADCAST_BYTES = 32 << 20
 
@@ -40,7 +40,8 @@ class LineRuns:
     def _store(self, run: DataFrame, level: int) -> None:
         path = f"{self.path}/level={level}/run={self._made}"
         self._made += 1
-        run.sortWithinPartitions("h1", "h2").write.parquet(path)
+        with shuffle_files_freed(self.spark):
+            run.sortWithinPartitions("h1", "h2").write.parquet(path)
         self.levels[level].append(path)
 
     def runs(self) -> list[str]:
