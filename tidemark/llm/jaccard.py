@@ -18,8 +18,10 @@ shingles the first ``floor((1 - t) s) + 1`` of both have one in common.
    lack plus one: then the pair has a rare shingle or a pair of frequent ones in common. The number of subclasses
    depends on a band of sizes; linked documents are in the same or in adjacent bands, so each document is indexed for
    its own band and the one below.
-5. Candidate pairs pass if sizes and 512-bit parity sketches allow the similarity. Each document's nearest candidate
-   is verified first on the whole sets, then every candidate pair that is not yet in one component.
+5. Candidate pairs pass if sizes, 512-bit parity sketches and the lists allow the similarity: up to the end of the
+   shorter list both are complete, and differ there in no more shingles than linked sets differ in as a whole. Each
+   document's nearest candidate is verified first on the whole sets, then every candidate pair that is not yet in one
+   component.
 
 Components come from verified links alone. Only counts reach the driver. Copies never form pairs, and a pair of the
 combination index is emitted at its first common signature only.
@@ -210,6 +212,17 @@ def _near(percent: int) -> Column:
     return _distance() * (100 + percent) <= (F.col("an") + F.col("bn")) * (100 - percent)
 
 
+def _lists_allow(percent: int) -> Column:
+    """The lists differ, as far as both reach, in no more shingles than linked sets do."""
+    end = F.least(*[_in_order(F.element_at(f"{side}prefix", -1)) for side in "ab"])
+
+    def reached(side: str) -> Column:
+        return F.size(F.filter(f"{side}prefix", lambda t: _in_order(t) <= end))
+
+    differ = reached("a") + reached("b") - 2 * F.size(F.array_intersect("aprefix", "bprefix"))
+    return differ * (100 + percent) <= (F.col("an") + F.col("bn")) * (100 - percent)
+
+
 def _side(df: DataFrame, side: str) -> DataFrame:
     return df.select([F.col(c).alias(side + c) for c in df.columns])
 
@@ -304,7 +317,12 @@ def candidate_pairs(df: DataFrame, nodes: DataFrame, rows: DataFrame, key: str,
     ends = pairs.select(F.col("anode").alias("node")).unionByName(pairs.select(F.col("bnode").alias("node"))).distinct()
     known = work_table(reps.select("node", "n", *SKETCH).join(bounded(work_table(ends, "candidate-nodes"), 64), "node", "left_semi"), "candidate-sketches")
     both = pairs.join(_side(known, "a"), "anode").join(_side(known, "b"), "bnode").filter(_near(percent))
-    return work_table(both.select(F.col("anode").alias("a"), F.col("bnode").alias("b"), _distance().alias("distance")), "near-pairs")
+    near = work_table(both.select("anode", "bnode", _distance().alias("distance")), "near-pairs")
+
+    ends = near.select(F.col("anode").alias("node")).unionByName(near.select(F.col("bnode").alias("node"))).distinct()
+    lists = reps.select("node", "n", "prefix").join(bounded(work_table(ends, "near-nodes"), 64), "node", "left_semi")
+    close = near.join(_side(lists, "a"), "anode").join(_side(lists, "b"), "bnode").filter(_lists_allow(percent))
+    return work_table(close.select(F.col("anode").alias("a"), F.col("bnode").alias("b"), "distance"), "close-pairs")
 
 
 def _rows_of(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
