@@ -66,7 +66,7 @@ STAGES = [
     ("shard", shard),
 ]
 
-#: Exact binomial bounds and components of links are beyond one SQL statement; tests compare run() with brute force.
+#: Exact binomial bounds and components of links are beyond one SQL statement.
 ORACLE_SQL = None
 
 
