@@ -178,6 +178,43 @@ def test_op4_suppression(spark):
     assert (1, "bsd-3-clause") in found and {x for d, x in found if d == 2 and x.startswith("cc-by-nc-sa")} == {"cc-by-nc-sa"}
 
 
+def alternatives(parsed) -> list[str]:
+    """All strings of a parsed pattern without unbounded repeats; assertions stand for nothing."""
+    out = [""]
+    for op, value in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            found = [chr(value)]
+        elif name == "IN":
+            found = [chr(c) for kind, x in value for c in (range(x[0], x[1] + 1) if str(kind) == "RANGE" else [x])]
+        elif name == "SUBPATTERN":
+            found = alternatives(value[3])
+        elif name == "BRANCH":
+            found = [x for branch in value[1] for x in alternatives(branch)]
+        elif name == "MAX_REPEAT":
+            assert tuple(value[:2]) == (0, 1)
+            found = ["", *alternatives(value[2])]
+        else:
+            assert name == "ASSERT_NOT", name
+            found = [""]
+        out = [a + b for a in out for b in found]
+    return out
+
+
+def test_op4_each_name_passes_its_gate(spark):
+    from re import _parser
+
+    from tidemark.llm.licenses import FAMILIES, TEMPLATES, detect_licenses
+
+    names = sorted({(label, " ".join(x.split())) for label, _, name in FAMILIES for x in alternatives(_parser.parse(name))})
+    texts = [(label, f"It comes licensed under the {x}.") for label, x in names]
+    texts += [(label, " ".join(x.split())) for _, _, form in TEMPLATES for label, name in (("mit", "expat"), ("gpl-3", "gplv3 or later")) for x in alternatives(_parser.parse(form.format(name=name)))]
+    texts += [("gpl-2", "Licensed under the GPLv2"), ("lgpl-2.1", "Licensed under the LGPLv2.1"), ("agpl-3", "the AGPLv3 license"), ("mpl-2", "Licensed under MPLv2.0"), ("epl-1", "Licensed under EPLv1"), ("boost-1", "Licensed under BSL 1.0"), ("cc0", "Released under Creative Commons Zero"), ("odbl-1", "Licensed under ODbL 1.0")]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)] + [(-1, "Licensed under BSL 1.1")], "doc_id int, text string")
+    found = {(r.doc_id, r.label) for r in detect_licenses(df).select("doc_id", "label").distinct().collect()}
+    assert [t for i, t in enumerate(texts) if (i, t[0]) not in found] == [] and not any(d == -1 for d, _ in found)
+
+
 def test_op5_bytes_law(spark, sf):
     found = queries.QUERIES["op5_virtual_slots"](spark, sf).collect()
     expected = [(d, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t, *_ in corpus()]

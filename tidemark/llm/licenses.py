@@ -1,7 +1,7 @@
-"""License scan: ordered signature rules over normalised words, gated by keyword, with suppression of contained hits.
+"""License scan: ordered signature rules over normalised words, gated by keywords, with suppression of contained hits.
 
 Rules come from license families and sentence templates; their order is their priority. A rule runs only on texts
-that hold its keyword. Hits are word intervals: one that lies inside another of the same or a higher priority is
+that hold one of its keywords. Hits are word intervals: one that lies inside another of the same or a higher priority is
 suppressed. The phrases of the base are rules of the highest class, so nothing suppresses them.
 
 Cases: null or empty texts have no words and no hits; rows that repeat an identifier are told apart by a hash of
@@ -20,42 +20,43 @@ from tidemark.llm.common import ascii_lower, work_table
 # The phrases that the contract names.
 BASE_PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-# (label, keyword, names as regular expressions over normalised words)
+# (label, keywords, names as regular expressions over normalised words); every name holds one of its keywords.
 FAMILIES = [
-    ("mit", " mit ", "(?:mit|expat)"),
-    ("apache-2", " apache ", "apache(?: software)?(?: license)?(?: version)? 2(?: 0)?"),
-    ("apache-1.1", " apache ", "apache(?: software)?(?: license)?(?: version)? 1 1"),
-    ("bsd-2-clause", " bsd ", "(?:bsd 2 clause|2 clause bsd|simplified bsd)"),
-    ("bsd-3-clause", " bsd ", "(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd)"),
-    ("bsd-4-clause", " bsd ", "(?:bsd 4 clause|4 clause bsd|original bsd)"),
-    ("gpl-2", " 2 ", "(?:gpl ?v? ?2(?: 0)?|gnu general public license(?: version| v)? ?2(?: 0)?)(?: only| or later)?"),
-    ("gpl-3", " 3 ", "(?:gpl ?v? ?3(?: 0)?|gnu general public license(?: version| v)? ?3(?: 0)?)(?: only| or later)?"),
-    ("lgpl-2.1", " 2 1", "(?:lgpl ?v? ?2 1|gnu lesser general public license(?: version| v)? ?2 1)(?: only| or later)?"),
-    ("lgpl-3", " 3", "(?:lgpl ?v? ?3(?: 0)?|gnu lesser general public license(?: version| v)? ?3(?: 0)?)(?: only| or later)?"),
-    ("agpl-3", " 3", "(?:agpl ?v? ?3(?: 0)?|gnu affero general public license(?: version| v)? ?3(?: 0)?)(?: only| or later)?"),
-    ("mpl-2", " 2 ", "(?:mpl|mozilla public license)(?: version| v)? ?2(?: 0)?"),
-    ("mpl-1.1", " 1 1", "(?:mpl|mozilla public license)(?: version| v)? ?1 1"),
-    ("epl-2", " 2 ", "(?:epl|eclipse public license)(?: version| v)? ?2(?: 0)?"),
-    ("epl-1", " 1 ", "(?:epl|eclipse public license)(?: version| v)? ?1(?: 0)?"),
-    ("cddl-1", " 1 ", "(?:cddl|common development and distribution license)(?: version| v)? ?1(?: 0)?"),
-    ("isc", " isc ", "isc"),
-    ("zlib", " zlib ", "(?:zlib|zlib libpng)"),
-    ("boost-1", " boost ", "(?:bsl|boost software license)(?: version)? 1(?: 0)?"),
-    ("unlicense", " unlicense ", "unlicense"),
-    ("wtfpl", " wtfpl ", "wtfpl"),
-    ("artistic-2", " artistic ", "artistic(?: license)? 2(?: 0)?"),
-    ("cc0", " cc0 ", "(?:cc0|creative commons zero)(?: 1 0)?"),
-    ("cc-by-nc-nd", " nd ", "(?:cc|creative commons) by nc nd(?: [1-4] [05])?"),
-    ("cc-by-nc-sa", " sa ", "(?:cc|creative commons) by nc sa(?: [1-4] [05])?"),
-    ("cc-by-nc", " nc ", "(?:cc|creative commons) by nc(?: [1-4] [05])?"),
-    ("cc-by-nd", " nd ", "(?:cc|creative commons) by nd(?: [1-4] [05])?"),
-    ("cc-by-sa", " sa ", "(?:cc|creative commons) by sa(?: [1-4] [05])?"),
-    ("cc-by", " by ", "(?:cc|creative commons) by(?: [1-4] [05])?"),
-    ("odbl-1", " database ", "(?:odbl|open database license)(?: version)? ?(?:1 0)?"),
-    ("ofl-1.1", " ofl ", "(?:sil )?ofl(?: version)? ?(?:1 1)?"),
-    ("psf-2", " psf ", "psf(?: license)?(?: version)? 2"),
-    ("public-domain", " domain ", "public domain"),
-    ("proprietary", " proprietary ", "(?:a )?(?:proprietary|commercial)"),
+    ("mit", (" mit ", " expat "), "(?:mit|expat)"),
+    ("apache-2", (" apache ",), "apache(?: software)?(?: license)?(?: version)? 2(?: 0)?"),
+    ("apache-1.1", (" apache ",), "apache(?: software)?(?: license)?(?: version)? 1 1"),
+    ("bsd-2-clause", (" bsd ",), "(?:bsd 2 clause|2 clause bsd|simplified bsd)"),
+    ("bsd-3-clause", (" bsd ",), "(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd)"),
+    ("bsd-4-clause", (" bsd ",), "(?:bsd 4 clause|4 clause bsd|original bsd)"),
+    ("gpl-2", (" gpl", " gnu general "), "(?:gpl ?v? ?2(?: 0)?|gnu general public license(?: version| v)? ?2(?: 0)?)(?: only| or later)?"),
+    ("gpl-3", (" gpl", " gnu general "), "(?:gpl ?v? ?3(?: 0)?|gnu general public license(?: version| v)? ?3(?: 0)?)(?: only| or later)?"),
+    ("lgpl-2.1", (" lgpl", " gnu lesser "), "(?:lgpl ?v? ?2 1|gnu lesser general public license(?: version| v)? ?2 1)(?: only| or later)?"),
+    ("lgpl-3", (" lgpl", " gnu lesser "), "(?:lgpl ?v? ?3(?: 0)?|gnu lesser general public license(?: version| v)? ?3(?: 0)?)(?: only| or later)?"),
+    ("agpl-3", (" agpl", " gnu affero "), "(?:agpl ?v? ?3(?: 0)?|gnu affero general public license(?: version| v)? ?3(?: 0)?)(?: only| or later)?"),
+    ("mpl-2", (" mpl", " mozilla public "), "(?:mpl|mozilla public license)(?: version| ?v)? ?2(?: 0)?"),
+    ("mpl-1.1", (" mpl", " mozilla public "), "(?:mpl|mozilla public license)(?: version| ?v)? ?1 1"),
+    ("epl-2", (" epl", " eclipse public "), "(?:epl|eclipse public license)(?: version| ?v)? ?2(?: 0)?"),
+    ("epl-1", (" epl", " eclipse public "), "(?:epl|eclipse public license)(?: version| ?v)? ?1(?: 0)?"),
+    ("cddl-1", (" cddl", " common development "), "(?:cddl|common development and distribution license)(?: version| ?v)? ?1(?: 0)?"),
+    ("isc", (" isc ",), "isc"),
+    ("zlib", (" zlib ",), "(?:zlib|zlib libpng)"),
+    # BSL 1.1 is the Business Source License.
+    ("boost-1", (" bsl ", " boost software "), "(?:bsl(?!(?: version)? 1 1 )|boost software license)(?: version)? 1(?: 0)?"),
+    ("unlicense", (" unlicense ",), "unlicense"),
+    ("wtfpl", (" wtfpl ",), "wtfpl"),
+    ("artistic-2", (" artistic ",), "artistic(?: license)? 2(?: 0)?"),
+    ("cc0", (" cc0 ", " creative commons zero "), "(?:cc0|creative commons zero)(?: 1 0)?"),
+    ("cc-by-nc-nd", (" cc by ", " creative commons by "), "(?:cc|creative commons) by nc nd(?: [1-4] [05])?"),
+    ("cc-by-nc-sa", (" cc by ", " creative commons by "), "(?:cc|creative commons) by nc sa(?: [1-4] [05])?"),
+    ("cc-by-nc", (" cc by ", " creative commons by "), "(?:cc|creative commons) by nc(?: [1-4] [05])?"),
+    ("cc-by-nd", (" cc by ", " creative commons by "), "(?:cc|creative commons) by nd(?: [1-4] [05])?"),
+    ("cc-by-sa", (" cc by ", " creative commons by "), "(?:cc|creative commons) by sa(?: [1-4] [05])?"),
+    ("cc-by", (" cc by ", " creative commons by "), "(?:cc|creative commons) by(?: [1-4] [05])?"),
+    ("odbl-1", (" odbl", " open database license"), "(?:odbl|open database license)(?: version| ?v)? ?(?:1 0)?"),
+    ("ofl-1.1", (" ofl",), "(?:sil )?ofl(?: version| ?v)? ?(?:1 1)?"),
+    ("psf-2", (" psf ",), "psf(?: license)?(?: version)? 2"),
+    ("public-domain", (" public domain ",), "public domain"),
+    ("proprietary", (" proprietary ", " commercial "), "(?:a )?(?:proprietary|commercial)"),
 ]
 
 # (priority, score, template): a lower priority outranks a higher one.
@@ -75,14 +76,14 @@ TEMPLATES = [
 class Rule:
     priority: int
     label: str
-    keyword: str
+    keywords: tuple[str, ...]
     pattern: str
     score: float
 
 
 def rules() -> list[Rule]:
-    base = [Rule(0, label, f" {phrase} ", f" {phrase}(?= )", 1.0) for phrase, label in BASE_PHRASES.items()]
-    made = [Rule(p, label, keyword, f" {form.format(name=name)}(?= )", score) for p, score, form in TEMPLATES for label, keyword, name in FAMILIES]
+    base = [Rule(0, label, (f" {phrase} ",), f" {phrase}(?= )", 1.0) for phrase, label in BASE_PHRASES.items()]
+    made = [Rule(p, label, keywords, f" {form.format(name=name)}(?= )", score) for p, score, form in TEMPLATES for label, keywords, name in FAMILIES]
     return base + made
 
 
@@ -102,7 +103,10 @@ def spaces(col: Column) -> Column:
 def detect_licenses(df: DataFrame, *, key: str = "doc_id", text: str = "text", ruleset: list[Rule] | None = None) -> DataFrame:
     """Kept hits (key, text_hash, rule, label, priority, score, start, end) with words from 0, end exclusive."""
     chosen = rules() if ruleset is None else ruleset
-    table = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.score).alias("score"), F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern")) for i, r in enumerate(chosen)])
+    gated: dict[tuple[str, ...], list[Column]] = {}
+    for i, r in enumerate(chosen):
+        gated.setdefault(r.keywords, []).append(F.struct(F.lit(i).alias("rule"), F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.score).alias("score"), F.lit(r.pattern).alias("pattern")))
+    table = F.array(*[F.struct(F.array(*map(F.lit, keywords)).alias("keywords"), F.array(*made).alias("rules")) for keywords, made in gated.items()])
     doc = [key, "text_hash"]
     texts = df.select(F.col(key), F.xxhash64(text).alias("text_hash"), normalised(F.col(text)).alias("norm"))
     if ruleset is None:
@@ -110,7 +114,7 @@ def detect_licenses(df: DataFrame, *, key: str = "doc_id", text: str = "text", r
         for word in GATES:
             gate = gate | F.contains("norm", F.lit(word))
         texts = texts.filter(gate)
-    ruled = texts.select(*doc, "norm", F.explode(F.filter(table, lambda r: F.contains(F.col("norm"), r.keyword))).alias("r"))
+    ruled = texts.select(*doc, "norm", F.explode(F.filter(table, lambda g: F.exists(g.keywords, lambda word: F.contains(F.col("norm"), word)))).alias("g")).select(*doc, "norm", F.explode("g.rules").alias("r"))
     found = ruled.select(*doc, "r", F.regexp_extract_all("norm", F.col("r.pattern"), F.lit(0)).alias("hit"), F.split("norm", F.col("r.pattern"), -1).alias("gap")).filter(F.size("hit") > 0)
     each = found.select(*doc, "r.rule", "r.label", "r.priority", "r.score", F.posexplode(F.arrays_zip("hit", "gap")).alias("i", "x")).filter(F.col("x.hit").isNotNull())
     each = each.groupBy(*doc, "rule", "label", "priority", "score", "i").agg(F.first(spaces(F.col("x.hit"))).alias("n"), F.first(spaces(F.col("x.gap"))).alias("before"))
