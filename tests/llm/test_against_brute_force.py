@@ -371,6 +371,32 @@ def test_op9_base_and_added(spark, sf):
     assert {"iban", "ssn", "account", "url_login"} <= added
 
 
+@pytest.mark.parametrize(
+    "text, kind, value",
+    [
+        ("IBAN ES91 2100 0418 4502 0005 1332 BIC CAIXESBB", "iban", "ES91 2100 0418 4502 0005 1332"),
+        ("IBAN: BE68 5390 0754 7034 BIC GKCCBEBB", "iban", "BE68 5390 0754 7034"),
+        ("IBAN AT61 1904 3002 3457 3201 2024", "iban", "AT61 1904 3002 3457 3201"),
+        ("iBaN DE89 3704 0044 0532 0130 00 BIC X", "iban", "DE89 3704 0044 0532 0130 00"),
+        ("IBAN NO9386011117947.", "iban", "NO9386011117947"),
+        ("account number 12345678.", "account", "12345678"),
+        ("account: 12345678", "account", "12345678"),
+        ("Is it account 12345678. 9 more", "account", "12345678"),
+        ("ACCT No. 12345678", "account", "12345678"),
+        ("\u0130 aCCount Id 12345678", "account", "12345678"),
+        ("SOCIAL SECURITY NUMBER: 123-45-6789.", "ssn", "123-45-6789"),
+        ("sSn 123-45-6789", "ssn", "123-45-6789"),
+    ],
+)
+def test_op9_forms_of_added_kinds(text, kind, value):
+    assert [(pii.KINDS[k], text[s:e]) for k, s, e in pii.spans_of(text, pii.anchors()) if k > 3] == [(kind, value)]
+
+
+@pytest.mark.parametrize("text", ["account 12345678.5", "account 12345678-9", "account12345678", "IBAN ES91 2100 0418 4502 0005 1333", "IBAN DE89 3704 0044 0532 0130 0"])
+def test_op9_no_added_kind(text):
+    assert [k for k, *_ in pii.spans_of(text, pii.anchors()) if k > 3] == []
+
+
 def test_pii_random_strings_match_scan():
     rng = random.Random(9)
     automaton = pii.anchors()

@@ -5,8 +5,8 @@ From an anchor a small deterministic parser for each kind expands to the boundar
 Parsers go through the anchors in order and never restart inside what they have consumed, so spans of a kind are
 those of a leftmost non-overlapping scan.
 
-Base kinds: email, ip, card (Luhn), phone. Added kinds: iban (mod-97 after a country code), ssn and account (digits
-that directly follow a cue such as "account number"), url_login (a scheme URL that carries user and password).
+Base kinds: email, ip, card (Luhn), phone. Added kinds: iban (mod-97 over the length of its country), ssn and account
+(digits that directly follow a cue such as "account number", in any case), url_login (a scheme URL that carries user and password).
 
 Cases: null and empty texts have no spans. Rows pass through as they come, so ties, repeated rows and other columns
 need nothing special; an empty table stays empty.
@@ -30,18 +30,28 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_IBAN_HEAD = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
+_IBAN_ANY = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"[\x20:#]*(?:number|no\.?)?[\x20:#]*([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])", re.I)
-_ACCOUNT = re.compile(r"[\x20:#]*(?:number|no\.?|id)[\x20:#]*([0-9]{6,17})(?![0-9.-])", re.I)
+_ACCOUNT = re.compile(r"(?:[\x20:#]*(?:number|no\.?|id)[\x20:#]*|[\x20:#]+)([0-9]{6,17})(?![0-9-]|\.[0-9])", re.I)
 _LOGIN = re.compile(r"[A-Za-z0-9._%+-]+:[^\s/@:]+@[A-Za-z0-9.-]+[A-Za-z0-9]")
 
-DIGITS = "0123456789"
-CUES = {
-    "://": "scheme",
-    "iban": "iban", "IBAN": "iban", "Iban": "iban",
-    "ssn": "ssn", "SSN": "ssn", "social security": "ssn", "Social Security": "ssn", "Social security": "ssn",
-    "account": "account", "Account": "account", "ACCOUNT": "account", "acct": "account", "Acct": "account",
+#: Countries by the length of their account numbers; a code that is not here takes what looks like a number.
+IBAN_LENGTHS = {
+    code: length
+    for length, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST",
+        26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for code in codes.split()
 }
+_IBAN = {n: re.compile(rf"[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf"\x20?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + "(?![A-Za-z0-9])") for n in set(IBAN_LENGTHS.values())}
+
+DIGITS = "0123456789"
+#: In lower case; texts are searched without regard to case.
+CUES = {"://": "scheme", "iban": "iban", "ssn": "ssn", "social security": "ssn", "account": "account", "acct": "account"}
 
 
 def anchors() -> ahocorasick.Automaton:
@@ -69,13 +79,19 @@ def mod_97(iban: str) -> bool:
     return 15 <= len(flat) <= 34 and int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
 
 
+def folded(text: str) -> str:
+    """``text`` in lower case, position by position."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if c.isascii() else c for c in text)
+
+
 def spans_of(text: str | None, automaton: ahocorasick.Automaton) -> list[tuple[int, int, int]]:
     """(index of the kind, start, end) in order of kind, then start."""
     if not text:
         return []
     out: list[tuple[int, int, int]] = []
     email_end = ip_end = card_end = phone_end = 0
-    for last, (kind, length) in automaton.iter(text):
+    for last, (kind, length) in automaton.iter(folded(text)):
         if kind == "digit":
             if last >= ip_end:
                 ip_end, valid = _ip(text, last)
@@ -130,8 +146,11 @@ def _card(text: str, start: int) -> tuple[int, bool]:
 
 def _cued(text: str, kind: str, after: int) -> list[tuple[int, int, int]]:
     if kind == "iban":
-        m = _IBAN.search(text, after, after + 60)
-        return [(4, m.start(), m.end())] if m and mod_97(m[0]) else []
+        for head in _IBAN_HEAD.finditer(text, after, after + 60):
+            m = _IBAN.get(IBAN_LENGTHS.get(head[0][:2]), _IBAN_ANY).match(text, head.start())
+            if m and mod_97(m[0]):
+                return [(4, m.start(), m.end())]
+        return []
     if kind == "scheme":
         m = _LOGIN.match(text, after)
         return [(7, m.start(), m.end())] if m else []
