@@ -116,6 +116,23 @@ def test_op2_article_only(spark, sf):
     assert blocks("") == [] and main_text("<script>x") == ""
 
 
+LONG = "This is a paragraph of the article itself, which goes on for a good while, as the paragraphs of articles do, and then it ends."
+
+
+@pytest.mark.parametrize("name", ["site no-sidebar", "has-sidebar", "with-banner", "post-widget", "sidebar", "hasLeftSidebar"])
+def test_op2_wrapper_names_do_not_empty_the_page(name):
+    wrapped = f"<body><div class='{name}'><nav><a href=/>Home</a></nav><article><h1>Head</h1><p>{LONG}</p></article></div></body>"
+    assert main_text(wrapped) == f"Head {LONG}"
+    if name != "sidebar":
+        assert main_text(f"<body><div class='{name}'><p>{LONG}</p></div></body>") == LONG
+
+
+def test_op2_names_still_count():
+    page = f"<body><main><p>{LONG}</p></main><div class=sidebar><p>{LONG}</p></div><div id=comments><article class=comment><p>I agree.</p></article></div><div hidden><article>{LONG}</article></div></body>"
+    assert main_text(page) == LONG
+    assert main_text(f"<form><main><p>{LONG}</p></main></form>") == LONG
+
+
 def test_min_cut_is_least():
     rng = random.Random(3)
     for _ in range(60):

@@ -1,7 +1,7 @@
 """Main text of web pages by minimum-cut labelling.
 
 A page becomes blocks of text in page order. Neighbouring blocks of one container form a node. A fixed linear
-classifier over tag and class hints, link density, length and punctuation gives each node a cost for either label,
+classifier over tags, class names (evidence of limited weight that fades inwards), link density, length and punctuation gives each node a cost for either label,
 which is its capacity to the source (content) or the sink (boilerplate). Smoothness edges join neighbours in page
 order and nodes of one container; they are stronger within a container and within an article. The minimum cut gives
 the labelling of least cost; nodes on the source's side are the text.
@@ -48,7 +48,13 @@ CONTENT_NAMES = frozenset("article post entry story content main body text".spli
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 
 #: Classifier weights, for content above zero. Fixed by hand on what the features mean.
-HINT_BOILER, HINT_ARTICLE, PER_LENGTH, LINKS, SENTENCE, HEADING, BIAS = -40.0, 4.0, 1.5, -6.0, 1.0, 1.0, -1.2
+HINT_BOILER, HINT_NAME, HINT_MIXED, HINT_ARTICLE, PER_LENGTH, LINKS, SENTENCE, HEADING, BIAS = -40.0, -6.0, -2.0, 4.0, 1.5, -6.0, 1.0, 1.0, -1.2
+#: A container passes this part of the weight of names on to those inside it.
+NAME_DECAY = 0.5
+#: Flags of elements: a form or names that an article clears, tags and roles that main clears, not shown.
+SHOWN, FORM, BOILER, UNSEEN = range(4)
+#: The rest of such a name says what the page has or lacks, not what the element is.
+ABOUT_PAGE = frozenset("no not has have with without".split())
 #: Smoothness between neighbours: in one container, in one article, elsewhere.
 SMOOTH_CONTAINER, SMOOTH_ARTICLE, SMOOTH_PAGE = 1.0, 0.7, 0.2
 
@@ -56,10 +62,10 @@ SMOOTH_CONTAINER, SMOOTH_ARTICLE, SMOOTH_PAGE = 1.0, 0.7, 0.2
 class Node:
     """Neighbouring blocks of one container."""
 
-    __slots__ = ("article", "boiler", "chars", "container", "heading", "linked", "sentences", "texts")
+    __slots__ = ("article", "boiler", "chars", "container", "heading", "linked", "names", "sentences", "texts")
 
-    def __init__(self, container: int, boiler: bool, article: bool, heading: bool) -> None:
-        self.container, self.boiler, self.article, self.heading = container, boiler, article, heading
+    def __init__(self, container: int, boiler: bool, article: bool, heading: bool, names: float) -> None:
+        self.container, self.boiler, self.article, self.heading, self.names = container, boiler, article, heading, names
         self.texts: list[str] = []
         self.chars = self.linked = self.sentences = 0
 
@@ -69,36 +75,45 @@ class Node:
         mean = self.chars / len(self.texts)
         return (
             BIAS + HINT_ARTICLE * self.article + PER_LENGTH * min(2.0, mean / 60) + LINKS * self.linked / max(1, self.chars)
-            + SENTENCE * (self.sentences > 0) + HEADING * self.heading
+            + SENTENCE * (self.sentences > 0) + HEADING * self.heading + self.names
         )
 
 
-def hints(tag: str, attributes: str, in_article: bool) -> bool | None:
-    """True for boilerplate, None for an element that is not shown."""
+def name_weight(value: str) -> float:
+    """What the names of a class or id say: below zero for boilerplate."""
+    least = 0.0
+    for word in value.split():
+        parts = [p.lower() for p in _NAME_PARTS.findall(word)]
+        parts = set(parts[: next((i for i, p in enumerate(parts) if p in ABOUT_PAGE), len(parts))])
+        found = parts & BOILER_NAMES
+        if found and not (found <= {"header", "alert", "notice"} and parts & CONTENT_NAMES):
+            least = min(least, HINT_MIXED if parts & CONTENT_NAMES else HINT_NAME)
+    return least
+
+
+def hints(tag: str, attributes: str, in_article: bool) -> tuple[int, float]:
+    """The flag of an element and the weight of its names."""
+    flag, names = SHOWN, 0.0
     if tag in BOILER_TAGS or tag == "header" and not in_article:
-        return True
+        flag = FORM if tag == "form" else BOILER
     if not attributes or attributes.isspace():
-        return False
+        return flag, names
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-            return None
+            return UNSEEN, names
         if name == "role" and value.lower() in BOILER_ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "main", "article"):
-            for word in value.split():
-                parts = {p.lower() for p in _NAME_PARTS.findall(word)}
-                found = parts & BOILER_NAMES
-                if found and not (found <= {"header", "alert", "notice"} and parts & CONTENT_NAMES):
-                    return True
-    return False
+            flag = max(flag, FORM if value.lower() == "form" else BOILER)
+        if name in ("class", "id") and tag not in ("html", "body"):
+            names = min(names, name_weight(value))
+    return flag, names
 
 
 def blocks(page: str) -> list[Node]:
     """The nodes of a page in order."""
     out: list[Node] = []
-    # (tag, boilerplate, article, heading, container)
-    stack: list[tuple[str, bool, bool, bool, int]] = [("", False, False, False, 0)]
+    # (tag, flag, article, heading, container, weight of names)
+    stack: list[tuple[str, int, bool, bool, int, float]] = [("", SHOWN, False, False, 0, 0.0)]
     made, linked, in_link, at = 0, 0, 0, 0
     buffer: list[str] = []
 
@@ -107,9 +122,9 @@ def blocks(page: str) -> list[Node]:
         if buffer:
             text = " ".join(entities.unescape("".join(buffer)).split())
             if text:
-                _, boiler, article, heading, container = stack[-1]
-                if not out or (out[-1].container, out[-1].boiler, out[-1].heading) != (container, boiler, heading):
-                    out.append(Node(container, boiler, article, heading))
+                _, flag, article, heading, container, names = stack[-1]
+                if not out or (out[-1].container, out[-1].boiler, out[-1].heading, out[-1].names) != (container, flag > SHOWN, heading, names):
+                    out.append(Node(container, flag > SHOWN, article, heading, names))
                 node = out[-1]
                 node.texts.append(text)
                 node.chars += len(text)
@@ -161,17 +176,21 @@ def blocks(page: str) -> list[Node]:
                     break
                 if stack[depth][0] in SCOPES:
                     break
-        _, boiler, article, heading, container = stack[-1]
-        hint = hints(tag, attributes, article)
-        if hint is None:
-            boiler = True
-        article = article or tag in ("article", "main")
-        boiler = boiler or bool(hint)
+        _, flag, article, heading, container, names = stack[-1]
+        own, said = hints(tag, attributes, article)
+        if tag in ("article", "main"):
+            if flag <= (FORM if tag == "article" else BOILER):
+                flag = SHOWN
+            comment = said < 0 and names <= HINT_NAME  # names in its own and around it: a comment, not the article
+            names, said = (names, said) if comment else (0.0, 0.0)
+            article = article or not comment
+        flag = max(flag, own)
         heading = heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6")
         if tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "br"):
             made += 1
             container = made
-        stack.append((tag, boiler, article, heading, container))
+            names *= NAME_DECAY
+        stack.append((tag, flag, article, heading, container, max(HINT_NAME, names + said)))
         in_link = 0
     flush()
     return out
