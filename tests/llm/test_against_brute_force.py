@@ -133,6 +133,20 @@ def test_op2_names_still_count():
     assert main_text(f"<form><main><p>{LONG}</p></main></form>") == LONG
 
 
+@pytest.mark.parametrize("tag", ["select", "video", "object", "audio", "canvas", "svg", "template", "noscript"])
+def test_op2_hidden_elements_end_with_their_parent(tag):
+    article = f"<article><p>{LONG}</p></article>"
+    assert main_text(f"<body><{tag}>{article}</body>") == LONG
+    assert main_text(f"<body><div><{tag}><option>x</div>{article}<{tag}>y</{tag}></body>") == LONG
+    assert main_text(f"<body><article><p>{LONG}<{tag}><option>x</p><p>{LONG}</p></article><{tag}>y</{tag}></body>") == f"{LONG} {LONG}"
+    assert [n.texts for n in blocks(f"<p>one <{tag}><b>x</b></{tag}>two</p>")] == [["one two"]]
+
+
+def test_op2_scripts_and_formulas_split_no_paragraph():
+    page = "<article><p>As <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding=tex>x=2</annotation></math> holds<script>var a = '</p>'</script>, done.</p></article>"
+    assert [n.texts for n in blocks(page)] == [["As x=2 holds, done."]]
+
+
 def test_min_cut_is_least():
     rng = random.Random(3)
     for _ in range(60):

@@ -7,7 +7,7 @@ order and nodes of one container; they are stronger within a container and withi
 the labelling of least cost; nodes on the source's side are the text.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined by one
-space. Scripts, styles and other elements that hold no prose never become blocks.
+space. Scripts, styles and other elements that hold no prose never become blocks and split none; formulas are text.
 
 Cases: null or empty html: empty text. Unclosed elements end with their parent, a stray end tag is ignored, an
 unclosed comment or script reaches to the end. Pages of any length take time near their length. Rows pass through as
@@ -32,9 +32,17 @@ _NAME_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    ("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+     "math semantics maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup "
+     "mtable mtd mtext mtr munder munderover").split()
 )
-RAW = frozenset("script style textarea title xmp iframe noembed noframes template svg math object video audio canvas select noscript".split())
+#: Their content is no markup and reaches to their end tag.
+RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+#: Their content is markup that is not shown. It ends with them or their parent; without any end tag they hold nothing.
+HIDDEN = frozenset("template svg object video audio canvas select noscript annotation annotation-xml".split())
+#: What may stand in a select, and what ends a drawing; an article ends any of them but a template or noscript.
+IN_SELECT = frozenset("option optgroup hr button".split())
+ENDS_SVG = frozenset("article aside blockquote body center dd div dl dt footer h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table ul".split())
 BOILER_TAGS = frozenset("nav footer aside form menu dialog button head".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table div article section main body td".split())
@@ -114,6 +122,8 @@ def blocks(page: str) -> list[Node]:
     out: list[Node] = []
     # (tag, flag, article, heading, container, weight of names)
     stack: list[tuple[str, int, bool, bool, int, float]] = [("", SHOWN, False, False, 0, 0.0)]
+    muted = 0  # the depth of the outermost hidden element
+    last_ends: dict[str, int] = {}
     made, linked, in_link, at = 0, 0, 0, 0
     buffer: list[str] = []
 
@@ -133,10 +143,15 @@ def blocks(page: str) -> list[Node]:
             buffer.clear()
         linked = 0
 
+    def ends_after(tag: str, at: int) -> bool:
+        if tag not in last_ends:
+            last_ends[tag] = max((e.start() for e in re.finditer(rf"</{tag}[\s/>]", page, re.I)), default=-1)
+        return last_ends[tag] >= at
+
     while True:
         m = _MARKUP.search(page, at)
         piece = page[at : m.start() if m else len(page)]
-        if piece:
+        if piece and not muted:
             buffer.append(piece)
             if in_link:
                 linked += len(piece.strip())
@@ -147,6 +162,42 @@ def blocks(page: str) -> list[Node]:
         if not tag:
             continue
         closing = m[1] or m[4]
+        attributes = m[3] or m[6] or ""
+        if tag in RAW:
+            if not closing and not attributes.endswith("/"):
+                end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
+                at = end.start() if end else len(page)
+            continue
+        if muted and closing:
+            if tag == "math" and stack[muted][0].startswith("annotation"):
+                del stack[muted:]
+                muted = 0
+            for depth in range(len(stack) - 1, 0, -1):
+                if stack[depth][0] == tag:
+                    if depth < muted:
+                        flush()
+                    del stack[depth:]
+                    muted = muted if depth > muted else 0
+                    break
+            continue
+        if muted:
+            around = stack[muted][0]
+            if tag in ("article", "main") and around not in ("template", "noscript") or around == "svg" and tag in ENDS_SVG and stack[-1][0] != "foreignobject":
+                del stack[muted:]
+                muted = 0
+            elif around == "select" and tag not in IN_SELECT and tag not in INLINE and tag not in VOID and tag not in HIDDEN:
+                del stack[muted:]
+                muted = 0
+            elif tag in INLINE or tag in VOID or attributes.endswith("/"):
+                continue
+            else:
+                stack.append((tag, *stack[-1][1:]))
+                continue
+        if tag in HIDDEN:
+            if not closing and not attributes.endswith("/") and ends_after(tag, at):
+                muted = len(stack)
+                stack.append((tag, *stack[-1][1:]))
+            continue
         if tag == "a":
             in_link = 0 if closing else 1
         if tag in INLINE:
@@ -159,12 +210,6 @@ def blocks(page: str) -> list[Node]:
                     in_link = 0
                     break
             continue
-        attributes = m[3] or m[6] or ""
-        if tag in RAW:
-            if not attributes.endswith("/"):
-                end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
-                at = end.start() if end else len(page)
-            continue
         if tag in VOID:
             continue
         if stack[-1][0] == "p":  # any block ends a paragraph
