@@ -6,6 +6,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from tidemark import queries
 from tidemark.operators import normalize, redact
 from tidemark.plans import analyses, cost, prompts
 from tidemark.plans.ingest import ingest, ingest_text, store, stored
@@ -207,3 +208,27 @@ def test_stages_keep_usage_of_failures():
     with pytest.raises(analyses.StageFailed) as e:
         analyses.run_stages("log", agent, ["a", "b"])
     assert e.value.usage.output_tokens == 4 and e.value.done == {"a": "a said"}
+
+
+@pytest.fixture
+def events(spark, tmp_path):
+    rows = spark.range(200).selectExpr("id event_id", "timestamp_ntz'2024-03-01 00:00:00' + make_dt_interval(0, 0, 0, id) ts", "array('error', 'click', 'view')[id % 3] event_type", "id % 20 user_id")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    return str(tmp_path)
+
+
+def test_events_grow_into_more_files(spark, events, monkeypatch):
+    monkeypatch.setattr(queries, "PER_FILE", 10, raising=False)
+    files = {r.file_idx: r for r in queries.sources(spark, events, "plain").collect()}
+    assert sorted(files) == list(range(24)) and max(r.content.count("\n") + 1 for r in files.values()) == 10 and files[17].name == "app1.log"
+    assert sorted(r.event_id for r in queries.parse_plain(spark, events).collect()) == list(range(200))
+    assert sorted(tuple(r) for r in queries.file_report(spark, events).collect()) == [(i, "logfmt", 25, 25, 0, 0, 25) for i in range(8)]
+    assert sorted(r.event_id for r in queries.parse_otlp_envelope(spark, events).collect()) == list(range(200))
+
+
+def test_queries_cut_no_file(spark, events, monkeypatch):
+    limits, real = [], queries.ingest
+    monkeypatch.setattr(queries, "ingest", lambda *a, **k: limits.append(k.get("max_bytes", 0)) or real(*a, **k))
+    for name in ("parse_json", "parse_otlp_envelope", "fold_stack_traces", "level_counts", "prompt_trim"):
+        queries.QUERIES[name](spark, events)
+    assert min(limits) >= 2**31 - 1

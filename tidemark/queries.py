@@ -54,18 +54,31 @@ LINES = {
 }
 SUFFIX = {"json": "json"}
 FILES = 8
+#: Events of one file; more of them make more batches of ``FILES`` files.
+PER_FILE = 50_000
+#: What a string can hold in Spark, which fails beyond it: no file is cut.
+NO_CUT = 2**31 - 1
 
 
-def sources(spark: SparkSession, sf_dir: str, fmt: str, line: str | None = None, declared: bool = True) -> DataFrame:
-    """Events as ``FILES`` files of one format, in order of their identifiers."""
-    events = table(spark, sf_dir, "events").select((F.col("event_id") % FILES).cast("int").alias("file_idx"), "event_id", F.expr(line or LINES[fmt]).alias("line"))
+def sources(spark: SparkSession, sf_dir: str, fmt: str, line: str | None = None, declared: bool = True, whole: bool = False) -> DataFrame:
+    """Events as files of one format, in order of their identifiers; file i of each batch has the name of file i.
+
+    ``whole``: ``FILES`` files, however long.
+    """
+    batch = F.lit(0) if whole else F.floor(F.col("event_id") / (FILES * PER_FILE))
+    events = table(spark, sf_dir, "events").select((batch * FILES + F.col("event_id") % FILES).cast("int").alias("file_idx"), "event_id", F.expr(line or LINES[fmt]).alias("line"))
     whole = events.groupBy("file_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda x: x.line), "\n").alias("content"))
     fixed = {"service": None, "role": "backend", "format": fmt if declared else None, "timezone": None}
-    return whole.select("file_idx", F.concat(F.lit("app"), F.col("file_idx"), F.lit(".log")).alias("name"), "content", *[F.lit(v).cast("string").alias(c) for c, v in fixed.items()], F.lit(0).alias("offset_seconds"))
+    return whole.select("file_idx", F.concat(F.lit("app"), F.col("file_idx") % FILES, F.lit(".log")).alias("name"), "content", *[F.lit(v).cast("string").alias(c) for c, v in fixed.items()], F.lit(0).alias("offset_seconds"))
+
+
+def ingest_all(batch: DataFrame) -> Ingested:
+    """``batch`` without any budget."""
+    return ingest(batch, max_entries=None, max_bytes=NO_CUT, year=2024)
 
 
-def read(spark: SparkSession, sf_dir: str, fmt: str, **options) -> Ingested:
-    return ingest(sources(spark, sf_dir, fmt), max_entries=None, year=2024, **options)
+def read(spark: SparkSession, sf_dir: str, fmt: str, whole: bool = False) -> Ingested:
+    return ingest_all(sources(spark, sf_dir, fmt, whole=whole))
 
 
 EVENT_ID = r"event (\d+)"
@@ -131,11 +144,13 @@ def cri_partials(spark, sf_dir):
 def parse_otlp_envelope(spark, sf_dir):
     """All events of a user in one envelope on one line."""
     record = """concat('{"timeUnixNano":"', unix_micros(cast(ts as timestamp)), '000","severityText":"INFO","body":{"stringValue":"event ', event_id, '"},"attributes":[{"key":"kind","value":{"stringValue":"', event_type, '"}},{"key":"user","value":{"intValue":"', user_id, '"}}]}')"""
-    grouped = table(spark, sf_dir, "events").groupBy((F.col("user_id") % FILES).cast("int").alias("file_idx"), "user_id").agg(F.array_join(F.collect_list(F.expr(record)), ",").alias("records"))
+    events = table(spark, sf_dir, "events")
+    n_files = max(FILES, -(-events.count() // PER_FILE))
+    grouped = events.groupBy((F.col("user_id") % n_files).cast("int").alias("file_idx"), "user_id").agg(F.array_join(F.collect_list(F.expr(record)), ",").alias("records"))
     line = F.concat(F.lit('{"resourceLogs":[{"resource":{"attributes":[{"key":"service.name","value":{"stringValue":"cart"}}]},"scopeLogs":[{"scope":{"name":"lib"},"logRecords":['), F.col("records"), F.lit("]}]}]}"))
     files = grouped.groupBy("file_idx").agg(F.array_join(F.collect_list(line), "\n").alias("content"))
     batch = files.selectExpr("file_idx", "concat('o', file_idx, '.json') name", "content", "cast(null as string) service", "'backend' role", "cast(null as string) format", "cast(null as string) timezone", "0 offset_seconds")
-    e = ingest(batch, max_entries=None, year=2024).entries
+    e = ingest_all(batch).entries
     return e.select(
         F.regexp_extract("message", EVENT_ID, 1).cast("bigint").alias("event_id"), F.unix_micros(F.col("timestamp").cast("timestamp")).alias("us"), "service",
         F.get_json_object(F.concat(F.lit("["), F.col("attributes")["kind"], F.lit("]")), "$[0]").alias("kind"), F.col("attributes")["user"].alias("user_text"),
@@ -152,7 +167,7 @@ def correlation_keys(spark, sf_dir):
 @query("select event_id, cast(2 + event_id % 3 as integer) as n_lines from events")
 def fold_stack_traces(spark, sf_dir):
     frames = r"concat(date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\"), 'Z ERROR event ', event_id, ' failed', repeat('\n    at com.shop.Cart.add(Cart.java:7)', int(1 + event_id % 3)))".replace('\\"', '"')
-    e = ingest(sources(spark, sf_dir, "plain", frames), max_entries=None, year=2024).entries
+    e = ingest_all(sources(spark, sf_dir, "plain", frames)).entries
     return e.select(F.regexp_extract("message", EVENT_ID, 1).cast("bigint").alias("event_id"), (F.regexp_count("message", F.lit("\n")) + 1).cast("int").alias("n_lines"))
 
 
@@ -294,7 +309,9 @@ def card_luhn(spark, sf_dir):
 
 @query("select cast(event_id % 8 as integer) as file_idx, 'logfmt' as format, count(*) as entry_count, count(*) as with_trace_id, cast(0 as bigint) as unresolved, cast(0 as bigint) as dropped, cast(count(*) as integer) as line_count from events group by 1")
 def file_report(spark, sf_dir):
-    return read(spark, sf_dir, "logfmt").files.select("file_idx", "format", "entry_count", "with_trace_id", "unresolved", "dropped", F.col("line_count").cast("int").alias("line_count"))
+    files = read(spark, sf_dir, "logfmt").files.groupBy((F.col("file_idx") % FILES).cast("int").alias("file_idx"), "format")
+    counts = [F.sum(c).cast("bigint").alias(c) for c in ("entry_count", "with_trace_id", "unresolved", "dropped")]
+    return files.agg(*counts, F.sum("line_count").cast("int").alias("line_count"))
 
 
 @query("select count(*) as entry_count, cast(1.0 as double) as trace_coverage, cast(1.0 as double) as correlation_coverage from events")
@@ -305,7 +322,7 @@ def preview_summary(spark, sf_dir):
 @query(f"select level, count(*) as n from (select {LEVEL} as level from events) group by level")
 def level_counts(spark, sf_dir):
     """Lines to detected format, entries, resolved time and redaction, then counts per level."""
-    result = ingest(sources(spark, sf_dir, "logfmt", declared=False), max_entries=None, year=2024)
+    result = ingest_all(sources(spark, sf_dir, "logfmt", declared=False))
     return result.entries.groupBy("level").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -323,7 +340,7 @@ def prompt_render(spark, sf_dir):
 select 'f' || f as file_id, case when length(body) <= 2000 then body else left(body, 1000) || chr(10) || chr(10) || '… [' || format('{{:,}}', length(body) - 2000) || ' characters of the middle omitted] …' || chr(10) || chr(10) || right(body, 1000) end as prompt from t"""
 )
 def prompt_trim(spark, sf_dir):
-    return prompts.transcript(read(spark, sf_dir, "logfmt").entries, "file_id", max_chars=2000)
+    return prompts.transcript(read(spark, sf_dir, "logfmt", whole=True).entries, "file_id", max_chars=2000)
 
 
 @query("select doc_id, cast(round_even(length(text) / 3.4, 0) as bigint) as log_tokens, cast(round_even(length(text) / 3.9, 0) as bigint) as prose_tokens from documents where text is not null")
