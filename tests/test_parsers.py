@@ -232,3 +232,10 @@ def test_queries_cut_no_file(spark, events, monkeypatch):
     for name in ("parse_json", "parse_otlp_envelope", "fold_stack_traces", "level_counts", "prompt_trim"):
         queries.QUERIES[name](spark, events)
     assert min(limits) >= 2**31 - 1
+
+
+def test_all_files_are_offered_to_detection(spark, events, monkeypatch):
+    offered, real = [], queries.detection.detect
+    monkeypatch.setattr(queries.detection, "detect", lambda batch: offered.append(batch.count()) or real(batch))
+    found = sorted(tuple(r) for r in queries.detect_formats(spark, events).collect())
+    assert offered == [8 * len(queries.LINES)] and found == sorted((f, f, 1.0) for f in queries.LINES)

@@ -176,12 +176,13 @@ FORMAT_ROWS = "('plain', 'plain'), ('logfmt', 'logfmt'), ('json', 'json'), ('clf
 
 @query(f"select a as rendered, b as format, cast(1.0 as double) as confidence from (values {FORMAT_ROWS}) t(a, b)")
 def detect_formats(spark, sf_dir):
+    """What each format is found to be, over all its files: a row more for every file that is read otherwise."""
     batch = None
     for i, fmt in enumerate(LINES):
-        one = sources(spark, sf_dir, fmt, declared=False).filter("file_idx = 3").withColumn("file_idx", F.lit(i)).withColumn("name", F.lit(fmt))
+        one = sources(spark, sf_dir, fmt, declared=False).withColumn("file_idx", F.col("file_idx") * len(LINES) + i).withColumn("name", F.lit(fmt))
         batch = one if batch is None else batch.unionByName(one)
-    found = detection.detect(batch)
-    return found.join(batch.select("file_idx", F.col("name").alias("rendered")), "file_idx").select("rendered", "format", F.round("confidence", 6).alias("confidence"))
+    rendered = F.array(*[F.lit(fmt) for fmt in LINES])[F.col("file_idx") % len(LINES)]
+    return detection.detect(batch).select(rendered.alias("rendered"), "format", F.round("confidence", 6).alias("confidence")).distinct()
 
 
 @query("""select event_id, case event_id % 7 when 0 then 'gcp' when 1 then 'datadog' when 2 then 'ecs' when 3 then 'docker' when 4 then 'bunyan' when 5 then 'pino' else 'generic' end as flavor from events""")
