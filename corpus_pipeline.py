@@ -6,7 +6,7 @@ columns to those of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, jaccard, mixing, quality, sharding
@@ -24,21 +24,29 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return judged.filter("kept").select(*docs.columns)
 
 
+def row_key(docs: DataFrame) -> Column:
+    """What tells rows of another identifier or text apart; in order of identifiers, those without one last."""
+    unnamed = F.lit("0").cast(docs.schema["doc_id"].dataType)
+    return F.struct(
+        F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", unnamed).alias("id"), F.xxhash64("text").alias("h"), F.hash("text").alias("g")
+    )
+
+
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest identifier of each component of near duplicates stays, in one copy.
+    """The row with the smallest identifier of each component of near duplicates stays, in one copy.
 
-    An identifier goes if every row of it is in a component with a smaller one. Rows that repeat an identifier and
+    Rows are judged one by one, whether they have an identifier, share it or not. Rows that repeat an identifier and
     its text are one.
     """
-    found = work_table(jaccard.jaccard_components(docs), "pipeline-components")
-    by_id = found.groupBy("doc_id").agg(F.min(F.col("component_id") < F.col("doc_id")).alias("gone"), F.count(F.lit(1)).alias("rows"))
-    gone = work_table(by_id.filter("gone").select("doc_id"), "pipeline-copies")
-    kept = docs.join(bounded(gone, 64), "doc_id", "left_anti")
-    repeated = work_table(by_id.filter("rows > 1 and not coalesce(gone, false)").select(F.col("doc_id").alias("_id")), "pipeline-repeats")
-    again = bounded(repeated, 64)
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    once = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(again, same, "left_anti").unionByName(once).select(*docs.columns)
+    keyed = docs.withColumn("_row", row_key(docs))
+    found = work_table(jaccard.jaccard_components(keyed.select("_row", "text"), key="_row"), "pipeline-components")
+    by_row = found.groupBy("_row").agg(F.min(F.col("component_id") < F.col("_row")).alias("gone"), F.count(F.lit(1)).alias("rows"))
+    gone = work_table(by_row.filter("gone").select("_row"), "pipeline-copies")
+    kept = keyed.join(bounded(gone, 96), "_row", "left_anti")
+    repeated = work_table(by_row.filter("rows > 1 and not gone").select("_row"), "pipeline-repeats")
+    again = bounded(repeated, 96)
+    once = kept.join(again, "_row", "left_semi").dropDuplicates(["_row"])
+    return kept.join(again, "_row", "left_anti").unionByName(once).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

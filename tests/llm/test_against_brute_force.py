@@ -340,6 +340,19 @@ def test_jaccard_many_near_copies(spark, k, percent, monkeypatch):
     same(found, components(rows, k, percent))
 
 
+def test_pipeline_keeps_one_row_of_each_component(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    a, b, c, d = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(100)) for _ in range(4))
+    rows = [(1, a), (None, a), (None, a + " end"), (None, b), (None, b + " end"), (2, c), (5, c), (5, d), (5, d), (7, "short"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r.doc_id, r.text) for r in corpus_pipeline.jaccard_join(spark, df, "").collect()), key=repr)
+    assert [x for x in kept if x[0] is not None] == [(1, a), (2, c), (5, d), (7, "short")]
+    without = [x for x in kept if x[0] is None]
+    assert len(without) == 2 and (None, None) in without and without[1 - without.index((None, None))][1].startswith(b)
+
+
 def test_op8_hits(spark, sf):
     items = [(r.item_id, WORD.findall((r.text or "").translate(UP))) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     windows = [(str(i), w[s : s + min(10, len(w))]) for i, w in items if w for s in range(len(w) - min(10, len(w)) + 1)]
