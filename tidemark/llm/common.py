@@ -15,8 +15,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = "\t\n\x0b\x0c\r "
 #: A run of anything but ASCII blanks.
 TOKEN = r"[^\x20\x09-\x0D]+"
-#: A run of digits, lower-case ASCII letters and non-ASCII characters.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words of digits, lower-case ASCII letters and non-ASCII characters, A-Z being lower-cased or not.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ANY_CASE_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 _local_scratch: dict[str, str] = {}
 
@@ -62,8 +63,8 @@ def work_table(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: What a broadcast may weigh.
-MAX_BROADCAST_BYTES = 32 << 20
+#: What one of the many broadcasts of a query may weigh; the driver holds several at once.
+MAX_BROADCAST_BYTES = 8 << 20
 
 
 def bounded(df: DataFrame, row_bytes: int) -> DataFrame:
@@ -86,3 +87,13 @@ def ascii_lower(col: Column) -> Column:
 
 def token_count(col: Column) -> Column:
     return F.regexp_count(F.coalesce(col, F.lit("")), F.lit(TOKEN)).cast("long")
+
+
+def words_of(text: Column) -> Column:
+    """Words of digits, ASCII letters and non-ASCII characters, A-Z lower-cased; none for null."""
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), GAP, -1), "")
+
+
+def word_count(text: Column) -> Column:
+    """The number of words_of(text)."""
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), ANY_CASE_GAP, -1), "")).cast("long")

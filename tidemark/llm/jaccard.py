@@ -18,17 +18,25 @@ shingles the first ``floor((1 - t) s) + 1`` of both have one in common.
    lack plus one: then the pair has a rare shingle or a pair of frequent ones in common. The number of subclasses
    depends on a band of sizes; linked documents are in the same or in adjacent bands, so each document is indexed for
    its own band and the one below.
-5. Candidate pairs pass if sizes, 512-bit parity sketches and the lists allow the similarity: up to the end of the
-   shorter list both are complete, and differ there in no more shingles than linked sets differ in as a whole. Each
-   document's nearest candidate is verified first on the whole sets, then every candidate pair that is not yet in one
-   component.
 
-Components come from verified links alone. Only counts reach the driver. Copies never form pairs, and a pair of the
-combination index is emitted at its first common signature only.
+So every linked pair meets in some bucket of the index. No bucket is paired with itself as a whole:
+
+5. A bucket names up to ``PIVOTS`` members its pivots and compares them with all its members, which is linear in the
+   index. Pairs pass if sizes, 512-bit parity sketches and the lists allow the similarity: up to the end of the
+   shorter list both are complete, and differ there in no more shingles than linked sets differ in as a whole. They are
+   verified on the whole sets and linked documents are contracted to components. The pivots, having met all of their
+   bucket, leave it; buckets left with one component are done.
+6. What remains is the bucket's largest component and strays from other ones. Strays meet all members of other
+   components; the sketches are compared within that join, and a pair is emitted at the first of the 64 smallest
+   signatures of both that they share. Of pairs that pass, each document's nearest is verified first, then every one
+   that is not yet in one component.
+
+Components come from verified links alone. Only counts reach the driver. Copies never form pairs.
 
 Cases: null or wordless text: empty set, linked with nothing. Texts shorter than a shingle: the whole sequence is one.
-Rows that repeat an identifier keep a row each, and a component is named by the smallest identifier in it, ignoring
-nulls; rows without one are linked to equal sets only. Empty table: no rows. Only the identifier of the input is returned.
+Very long texts: sets and signatures grow with the text, in one row each. Rows that repeat an identifier keep a row
+each, and a component is named by the smallest identifier in it, ignoring nulls; rows without one are linked to equal
+sets only. Empty table: no rows. Only the identifier of the input is returned, so other columns never clash.
 """
 
 from __future__ import annotations
@@ -47,8 +55,10 @@ from tidemark.llm.components import connected
 
 #: A shingle of more nodes than this is frequent.
 FREQUENT = 32
-#: Signatures that a document has before pairs are no longer checked for their first common one.
-CARRIED = 256
+#: Members of a bucket that meet all others before strays do.
+PIVOTS = 6
+#: Smallest signatures of a document that tell where a pair is emitted.
+LOWEST = 64
 SKETCH = [f"k{i}" for i in range(8)]
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -95,53 +105,70 @@ def _listed(n: int, percent: int) -> int:
     return min(n, need + need // 4 + 4)
 
 
+def _name(s: np.ndarray) -> tuple[int, int]:
+    """Two independent sums that name a set: the name, and the twin by which equal names of different sets show."""
+    if not len(s):
+        return 0, 0
+    return tuple(int(_mix(s + np.uint64(i)).sum(dtype=np.uint64).astype(np.int64)) for i in (1, 2))
+
+
 def _describe(s: np.ndarray, percent: int) -> tuple:
-    node = int(_mix(s + np.uint64(1)).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0
+    node, twin = _name(s)
     bits = np.packbits((np.bincount((s & np.uint64(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8)).view(np.int64)
     prefix = s[: _listed(len(s), percent)].view(np.int64) if len(s) > 1 else np.empty(0, np.int64)
-    return node, len(s), prefix, bits
+    return node, twin, len(s), prefix, bits
 
 
 def describe(df: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
-    """(key, node, n, prefix, sketch) per row."""
+    """(key, node, twin, n, prefix, sketch) per row."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
-            nodes, sizes, prefixes, sketches = [], [], [], []
+            nodes, twins, sizes, prefixes, sketches = [], [], [], [], []
             with np.errstate(over="ignore"):
                 for t in batch.column(1).to_pylist():
-                    node, n, prefix, bits = _describe(shingle_set(t, k, words), percent)
+                    node, twin, n, prefix, bits = _describe(shingle_set(t, k, words), percent)
                     nodes.append(node)
+                    twins.append(twin)
                     sizes.append(n)
                     prefixes.append(prefix)
                     sketches.append(bits)
             grid = np.array(sketches, np.int64).reshape(-1, 8)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefixes)]), pa.int32()), pa.array(np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists, *[pa.array(grid[:, i]) for i in range(8)]],
-                [key, "node", "n", "prefix", *SKETCH],
+                [batch.column(0), *[pa.array(x, pa.int64()) for x in (nodes, twins, sizes)], lists, *[pa.array(grid[:, i]) for i in range(8)]],
+                [key, "node", "twin", "n", "prefix", *SKETCH],
             )
 
-    schema = f"`{key}` {kind}, node long, n long, prefix array<long>, " + ", ".join(f"{s} long" for s in SKETCH)
+    schema = f"`{key}` {kind}, node long, twin long, n long, prefix array<long>, " + ", ".join(f"{s} long" for s in SKETCH)
     return df.select(key, text).mapInArrow(run, schema)
 
 
 def whole_sets(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """(node, n, shingles): the whole set of each row."""
+    """(node, twin, n, shingles): the whole set of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
             with np.errstate(over="ignore"):
                 sets = [shingle_set(t, k, words) for t in batch.column(0).to_pylist()]
-                nodes = [_describe(s, 50)[0] for s in sets]
+                names = [_name(s) for s in sets]
             flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), lists], ["node", "n", "shingles"])
+            columns = [[x for x, _ in names], [x for _, x in names], [len(s) for s in sets]]
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns], lists], ["node", "twin", "n", "shingles"])
+
+    return df.select(text).mapInArrow(run, "node long, twin long, n long, shingles array<long>")
+
 
-    return df.select(text).mapInArrow(run, "node long, n long, shingles array<long>")
+def told_apart(sets: DataFrame, clashes: DataFrame | None) -> DataFrame:
+    """``sets`` with another name for each set among ``clashes`` (_clash): names that different sets have in common."""
+    if clashes is None:
+        return sets
+    named = sets.join(F.broadcast(clashes), F.col("node") == F.col("_clash"), "left")
+    return named.withColumn("node", F.when(F.col("_clash").isNull(), F.col("node")).otherwise(F.xxhash64("node", "twin"))).drop("_clash")
 
 
 def band_of(n: int, percent: int) -> int:
@@ -149,33 +176,32 @@ def band_of(n: int, percent: int) -> int:
     return math.floor(math.log(n) / -math.log((percent - 1) / 100))
 
 
-def signatures(rare: np.ndarray, frequent: np.ndarray, n: int, percent: int) -> list[tuple[int, int, list[int]]]:
-    """(band, signature, earlier signatures) of a document; band -1 holds for all bands."""
+def signatures(rare: np.ndarray, frequent: np.ndarray, n: int, percent: int) -> list[int]:
+    """The rare shingles of a document's prefix and the signatures of its pairs of frequent ones, in two bands."""
     need = _lacking(n, percent) + 1
     singles = np.sort(rare)[:need].view(np.int64).tolist()
-    out = [(-1, s, singles[:i]) for i, s in enumerate(singles)]
-    if len(singles) < need:
-        order = np.sort(frequent)
-        for band in (band_of(n, percent), band_of(n, percent) - 1):
-            classes = max(1, int(_lacking(math.ceil(((percent - 1) / 100) ** -band), percent)) // 3)
-            members: dict[int, list[int]] = {}
-            found, have = set(), len(singles)
-            for t in order.tolist():
-                if have >= need:
-                    break
-                same = members.setdefault((t >> 9) % classes, [])
-                have += bool(same)
-                found.update((x, t) for x in same)
-                same.append(t)
-            if found:
-                pairs = np.array(sorted(found), np.uint64)
-                combined = np.sort(_mix(_mix(pairs[:, 0] * _P + pairs[:, 1]) + np.uint64(band + 2))).view(np.int64).tolist()
-                out += [(band, s, singles + combined[:i]) for i, s in enumerate(combined)]
-    return out if len(out) <= CARRIED else [(b, s, []) for b, s, _ in out]
+    if len(singles) >= need:
+        return singles
+    order = np.sort(frequent).tolist()
+    for band in (band_of(n, percent), band_of(n, percent) - 1):
+        classes = max(1, int(_lacking(math.ceil(((percent - 1) / 100) ** -band), percent)) // 3)
+        members: dict[int, list[int]] = {}
+        found, have = [], len(singles)
+        for t in order:
+            if have >= need:
+                break
+            same = members.setdefault((t >> 9) % classes, [])
+            have += bool(same)
+            found += [(x, t) for x in same]
+            same.append(t)
+        if found:
+            pairs = np.array(found, np.uint64)
+            singles += _mix(_mix(pairs[:, 0] * _P + pairs[:, 1]) + np.uint64(band + 2)).view(np.int64).tolist()
+    return singles
 
 
 def extended(sets: DataFrame, percent: int) -> DataFrame:
-    """(node, n, own_band, band, sig, earlier) from (node, n, rare, frequent): shingles by class."""
+    """(sig, node, n) from (node, n, rare, frequent): shingles by class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,17 +209,11 @@ def extended(sets: DataFrame, percent: int) -> DataFrame:
                 node, n = batch.column("node")[at].as_py(), batch.column("n")[at].as_py()
                 rare, often = (batch.column(c)[at].values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for c in ("rare", "frequent"))
                 with np.errstate(over="ignore"):
-                    rows = signatures(rare, often, n, percent)
-                size = len(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([node] * size, pa.int64()), pa.array([n] * size, pa.int64()), pa.array([band_of(n, percent)] * size, pa.int32()),
-                        pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64())),
-                    ],
-                    ["node", "n", "own_band", "band", "sig", "earlier"],
-                )
+                    found = signatures(rare, often, n, percent)
+                columns = [found, [node] * len(found), [n] * len(found)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["sig", "node", "n"])
 
-    return sets.mapInArrow(run, "node long, n long, own_band int, band int, sig long, earlier array<long>")
+    return sets.mapInArrow(run, "sig long, node long, n long")
 
 
 def _similar_sizes(percent: int) -> Column:
@@ -236,8 +256,8 @@ def _in_order(token: Column) -> Column:
     return token.bitwiseXOR(F.lit(-(1 << 63)))
 
 
-def rare_pairs(listed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pairs with a rare shingle in common of which one is not dense; the dense nodes; the frequent shingles.
+def single_index(listed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sig, node, n) of rare shingles in prefixes; the dense nodes; the frequent shingles.
 
     ``listed``: (node, n, pos, token).
     """
@@ -249,15 +269,13 @@ def rare_pairs(listed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, D
     flag = F.col("frequent").cast("int")
     held = held.withColumn("before", F.sum(flag).over(up_to)).withColumn("dense", F.least("n", need + F.floor(need / 4) + 4) - F.sum(flag).over(in_node) < need)
     held = work_table(held, "shared-shingles")
-    index = held.filter(~F.col("frequent") & (F.col("pos") + 1 - F.col("before") <= need)).select("token", "node", "n", "dense")
-    a, b = _side(index, "a"), _side(index, "b")
-    pairs = a.join(b, (F.col("atoken") == F.col("btoken")) & (F.col("anode") < F.col("bnode")) & ~(F.col("adense") & F.col("bdense")) & _similar_sizes(percent))
+    index = held.filter(~F.col("frequent") & (F.col("pos") + 1 - F.col("before") <= need)).select(F.col("token").alias("sig"), "node", "n")
     dense = work_table(held.filter("dense").select("node").distinct(), "dense-nodes")
-    return pairs.select("anode", "bnode").distinct(), dense, work_table(counts.filter(F.col("count") > FREQUENT).select("token"), "frequent-shingles")
+    return index, dense, work_table(counts.filter(F.col("count") > FREQUENT).select("token"), "frequent-shingles")
 
 
-def beyond_pairs(tokens: DataFrame, listed: DataFrame, dense: DataFrame, frequent: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a dense node with another by a shingle that is beyond the list of the dense one.
+def beyond_index(tokens: DataFrame, listed: DataFrame, dense: DataFrame, frequent: DataFrame, percent: int) -> DataFrame:
+    """(sig, node, n) of shingles beyond the list of a dense node, for that and for the others that list them.
 
     ``tokens``: (node, n, pos, token) of the whole sets of dense nodes. A shingle can only be in the prefix of a
     document of similar size if it does not come after the last one that documents of such sizes list.
@@ -270,14 +288,13 @@ def beyond_pairs(tokens: DataFrame, listed: DataFrame, dense: DataFrame, frequen
     need = _need(percent)
     far = tokens.filter(F.col("pos") >= F.least("n", need + F.floor(need / 4) + 4)).withColumn("_b", band).join(ends, F.col("_b") == F.col("_band")).filter(_in_order(F.col("token")) <= F.col("_end"))
     far = work_table(far.select("token", "node", "n").join(bounded(frequent, 64), "token", "left_anti"), "far-shingles")
-    known = others.select("token", "node", "n").join(bounded(far.select("token").distinct(), 64), "token", "left_semi")
-    a, b = _side(far, "a"), _side(known, "b")
-    pairs = a.join(b, (F.col("atoken") == F.col("btoken")) & (F.col("anode") != F.col("bnode")) & _similar_sizes(percent))
-    return pairs.select(F.least("anode", "bnode").alias("anode"), F.greatest("anode", "bnode").alias("bnode")).distinct()
+    reached = work_table(far.select("token").distinct(), "far-tokens")
+    known = others.select("token", "node", "n").join(bounded(reached, 64), "token", "left_semi")
+    return far.unionByName(known).withColumnRenamed("token", "sig")
 
 
-def dense_pairs(tokens: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs of dense nodes by signatures; each once."""
+def combination_index(tokens: DataFrame, percent: int) -> DataFrame:
+    """(sig, node, n) of rare shingles and pairs of frequent ones among dense nodes."""
     often = work_table(tokens.groupBy("token").count().filter(F.col("count") > FREQUENT).select("token", F.lit(True).alias("frequent")), "dense-frequent")
     marked = tokens.join(bounded(often, 64), "token", "left").withColumn("frequent", F.coalesce("frequent", F.lit(False)))
     # Frequent shingles matter only while rare ones are fewer than a prefix takes, so those far down cannot be reached.
@@ -286,47 +303,63 @@ def dense_pairs(tokens: DataFrame, sketches: DataFrame, percent: int) -> DataFra
     by_class = marked.groupBy("node", "n").agg(
         F.collect_list(F.when(~F.col("frequent"), F.col("token"))).alias("rare"), F.collect_list(F.when(F.col("frequent"), F.col("token"))).alias("frequent")
     )
-    index = work_table(extended(by_class, percent).join(bounded(work_table(sketches, "dense-sketches"), 160), "node"), "combination-index")
-    shared = index.groupBy("sig").count().filter("count > 1").select("sig")
-    index = index.join(shared, "sig", "left_semi")
-    a, b = _side(index, "a"), _side(index, "b")
-    return a.join(
-        b,
-        (F.col("asig") == F.col("bsig")) & (F.col("aband") == F.col("bband")) & (F.col("anode") < F.col("bnode")) & _similar_sizes(percent)
-        & ((F.col("aband") == -1) | (F.col("aband") == F.least("aown_band", "bown_band"))) & _near(percent) & ~F.arrays_overlap("aearlier", "bearlier"),
-    ).select("anode", "bnode")
-
-
-def candidate_pairs(df: DataFrame, nodes: DataFrame, rows: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
-    """(a, b, distance), a < b: all pairs of nodes that can be linked; each once."""
-    first = nodes.select(F.col("node").alias("_node"), F.col("first_id").alias("_first"))
-    reps = rows.filter("n > 1").join(bounded(first, 64), (F.col("node") == F.col("_node")) & (F.col(key) == F.col("_first")), "left_semi")
-    if rows.groupBy(key, "node").count().filter("count > 1").limit(1).count():
-        reps = reps.dropDuplicates(["node"])  # rows that repeat identifier and text
-    listed = reps.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    rare, dense, frequent = rare_pairs(listed, percent)
-
-    ids = work_table(nodes.join(bounded(dense, 64), "node", "left_semi").select("node", "first_id"), "dense-ids")
-    sets = whole_sets(_rows_of(df, ids, key), key, text, k).join(bounded(dense, 64), "node", "left_semi").dropDuplicates(["node"])
-    sets = work_table(sets, "dense-sets")
-    tokens = sets.select("node", "n", F.posexplode("shingles").alias("pos", "token"))
-    sketches = reps.select("node", *SKETCH).join(bounded(dense, 64), "node", "left_semi")
-    found = rare.unionByName(beyond_pairs(tokens, listed, dense, frequent, percent)).unionByName(dense_pairs(tokens, sketches, percent))
-
-    pairs = work_table(found.distinct(), "candidate-pairs")
-    ends = pairs.select(F.col("anode").alias("node")).unionByName(pairs.select(F.col("bnode").alias("node"))).distinct()
-    known = work_table(reps.select("node", "n", *SKETCH).join(bounded(work_table(ends, "candidate-nodes"), 64), "node", "left_semi"), "candidate-sketches")
-    both = pairs.join(_side(known, "a"), "anode").join(_side(known, "b"), "bnode").filter(_near(percent))
-    near = work_table(both.select("anode", "bnode", _distance().alias("distance")), "near-pairs")
-
-    ends = near.select(F.col("anode").alias("node")).unionByName(near.select(F.col("bnode").alias("node"))).distinct()
-    lists = reps.select("node", "n", "prefix").join(bounded(work_table(ends, "near-nodes"), 64), "node", "left_semi")
-    close = near.join(_side(lists, "a"), "anode").join(_side(lists, "b"), "bnode").filter(_lists_allow(percent))
-    return work_table(close.select(F.col("anode").alias("a"), F.col("bnode").alias("b"), "distance"), "close-pairs")
-
-
-def _rows_of(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    return df.join(bounded(ids.select(F.col("first_id").alias("_id")).distinct(), 64), F.col(key) == F.col("_id"), "left_semi")
+    return extended(by_class, percent)
+
+
+class Corpus:
+    """The table that is joined: its rows by name, and whole sets of those that are asked for."""
+
+    def __init__(self, df: DataFrame, key: str, text: str, shingle: int, percent: int) -> None:
+        self.df, self.key, self.text, self.shingle, self.percent = df, key, text, shingle, percent
+        rows = work_table(describe(df, key, text, shingle, percent), "shingle-prefixes")
+        nodes = rows.filter("n > 0").groupBy("node").agg(F.min(key).alias("first_id"), F.min("twin").alias("low"), F.max("twin").alias("high"))
+        nodes = work_table(nodes, "shingle-nodes")
+        clashes = nodes.filter("low != high").select(F.col("node").alias("_clash"))
+        self.clashes = clashes if clashes.limit(1).count() else None
+        self.rows = told_apart(rows, self.clashes)
+        self.nodes = nodes if self.clashes is None else work_table(self.rows.filter("n > 0").groupBy("node").agg(F.min(key).alias("first_id")), "shingle-nodes")
+        first = self.nodes.select(F.col("node").alias("_node"), F.col("first_id").alias("_first"))
+        reps = self.rows.filter("n > 1").join(bounded(first, 64), (F.col("node") == F.col("_node")) & (F.col(key) == F.col("_first")), "left_semi")
+        reps = work_table(reps.select("node", "n", "prefix", *SKETCH), "representatives")
+        if self.rows.filter("n > 1").groupBy(key, "node").count().filter("count > 1").limit(1).count():
+            reps = work_table(reps.dropDuplicates(["node"]), "representatives")  # rows that repeat identifier and text
+        self.reps = reps
+
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """(node, n, shingles) of the nodes of ``wanted`` (node), read again from the texts."""
+        ids = work_table(self.nodes.join(bounded(wanted, 64), "node", "left_semi").select(F.col("first_id").alias("_id")), "wanted-ids")
+        texts = self.df.join(bounded(ids, 64), F.col(self.key) == F.col("_id"), "left_semi")
+        found = told_apart(whole_sets(texts, self.key, self.text, self.shingle), self.clashes).drop("twin")
+        return work_table(found.join(bounded(wanted, 64), "node", "left_semi").dropDuplicates(["node"]), "whole-sets")
+
+    def index(self) -> DataFrame:
+        """(sig, node, n): two linked nodes have a signature in common."""
+        listed = self.reps.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
+        singles, dense, frequent = single_index(listed, self.percent)
+        tokens = self.sets(dense).select("node", "n", F.posexplode("shingles").alias("pos", "token"))
+        beyond = beyond_index(tokens, listed, dense, frequent, self.percent)
+        return work_table(singles.unionByName(beyond).unionByName(combination_index(tokens, self.percent)), "signature-index")
+
+    def with_ends(self, pairs: DataFrame, columns: list[str]) -> DataFrame:
+        """``pairs`` (a, b) with those columns of both ends, named a... and b...; reps are not shuffled for few pairs."""
+        few = bounded(pairs.select("a", "b"), 64)
+        first, second = (_side(self.reps.select("node", *columns), side).join(few, F.col(f"{side}node") == F.col(side)).drop(f"{side}node") for side in "ab")
+        return first.join(second, ["a", "b"])
+
+    def close_pairs(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, distance) of those ``pairs`` (a, b) that sketches and lists do not rule out."""
+        near = self.with_ends(pairs, ["n", *SKETCH]).filter(_near(self.percent)).select("a", "b", _distance().alias("distance"))
+        return self.listed_pairs(work_table(near, "near-pairs"))
+
+    def listed_pairs(self, near: DataFrame) -> DataFrame:
+        close = self.with_ends(near, ["n", "prefix"]).filter(_lists_allow(self.percent)).select("a", "b")
+        return work_table(near.join(close, ["a", "b"]), "close-pairs")
+
+
+def nearest(pairs: DataFrame) -> DataFrame:
+    """The nearest pair of each end of ``pairs`` (a, b, distance)."""
+    one_way = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
+    return one_way.groupBy("a").agg(F.min(F.struct("distance", "b")).alias("x")).select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -336,29 +369,91 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(common * 100 >= (F.col("an") + F.col("bn") - common) * percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+class Links:
+    """Verified links so far, their components, and the whole sets that were read for them."""
+
+    def __init__(self, corpus: Corpus) -> None:
+        self.corpus = corpus
+        spark = corpus.df.sparkSession
+        self.found = spark.createDataFrame([], "u long, v long")
+        self.roots = spark.createDataFrame([], "node long, root long")
+        self.sets = spark.createDataFrame([], "node long, n long, shingles array<long>")
+
+    def read_sets(self, pairs: DataFrame) -> None:
+        """The whole sets of the ends of ``pairs`` (a, b), unless they are there."""
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        self.sets = self.sets.unionByName(self.corpus.sets(work_table(ends.join(self.sets.select("node"), "node", "left_anti"), "set-ends")))
+
+    def verify(self, pairs: DataFrame) -> None:
+        self.found = self.found.unionByName(work_table(verified(pairs, self.sets, self.corpus.percent), "links"))
+        self.roots = work_table(connected(self.found), "roots")
+
+    def with_component(self, df: DataFrame, node: str, name: str) -> DataFrame:
+        roots = self.roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+        return df.join(bounded(roots, 64), F.col(node) == F.col("_node"), "left").withColumn(name, F.coalesce("_root", node)).drop("_node", "_root")
+
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        """The ``pairs`` (a, b, distance) whose ends are in different components."""
+        marked = self.with_component(self.with_component(pairs, "a", "_ra"), "b", "_rb")
+        return work_table(marked.filter("_ra != _rb").drop("_ra", "_rb").distinct(), "pairs-apart")
+
+
+def with_pivots(index: DataFrame) -> DataFrame:
+    """``index`` (sig, node, n) with the pivots of each bucket; buckets of one node are left out."""
+    h = F.xxhash64("node")
+    me = F.struct(h.alias("h"), "node", "n")
+    best = [F.min(F.when(F.pmod(h, F.lit(PIVOTS)) == i, me)).alias(f"p{i}") for i in range(PIVOTS)]
+    chosen = index.groupBy("sig").agg(*best, F.min("node").alias("low"), F.max("node").alias("high")).filter("low != high")
+    return index.join(chosen.select("sig", F.array_compact(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("pivots")), "sig")
+
+
+def pivot_pairs(held: DataFrame, percent: int) -> DataFrame:
+    """(a, b): nodes of similar sizes, one of them a pivot of a bucket of the other."""
+    met = held.select("node", "n", F.explode("pivots").alias("p")).filter("node != p.node")
+    met = met.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"), F.col("n").alias("an"), F.col("p.n").alias("bn"))
+    return met.filter(_similar_sizes(percent)).select("a", "b").distinct()
+
+
+def stray_pairs(here: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """(a, b, distance) of members of one bucket (sig, node, n, comp) in different components, by sketches."""
+    largest = here.groupBy("sig", "comp").count().groupBy("sig").agg(F.max(F.struct("count", "comp")).alias("x"), F.count(F.lit(1)).alias("comps"))
+    rest = work_table(here.join(largest.filter("comps > 1").select("sig", F.col("x.comp").alias("home")), "sig"), "strays")
+    low = rest.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("sig")), 1, LOWEST).alias("low"))
+    low = work_table(reps.select("node", *SKETCH).join(low, "node"), "stray-sketches")
+    full = rest.join(low, "node")
+    a, b = _side(full.filter("comp != home"), "a"), _side(full, "b")
+    shared = F.array_intersect("alow", "blow")
+    here_first = (F.size(shared) == 0) | (F.array_min(shared) == F.col("asig"))
+    met = (F.col("asig") == F.col("bsig")) & (F.col("acomp") != F.col("bcomp")) & ((F.col("bcomp") == F.col("bhome")) | (F.col("anode") < F.col("bnode")))
+    pairs = a.join(b, met & _similar_sizes(percent) & _near(percent) & here_first)
+    return pairs.select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b"), _distance().alias("distance")).distinct()
+
+
+def linked(corpus: Corpus) -> DataFrame:
+    """(node, root) of all nodes that are linked."""
+    percent, links = corpus.percent, Links(corpus)
+    held = work_table(with_pivots(corpus.index()), "pivots")
+    close = corpus.close_pairs(work_table(pivot_pairs(held, percent), "pivot-pairs"))
+    links.read_sets(close)
+    links.verify(close)
+    live = held.filter(~F.exists("pivots", lambda p: p.node == F.col("node"))).select("sig", "node", "n")
+    strays = work_table(stray_pairs(links.with_component(live, "node", "comp"), corpus.reps, percent), "stray-pairs")
+    left = links.apart(corpus.listed_pairs(strays))
+    links.read_sets(left)
+    links.verify(nearest(left))
+    links.verify(links.apart(left))
+    return links.roots
+
+
 def jaccard_components(df: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id) per row: documents whose sets have at least ``percent`` % in common are linked."""
     if not 50 <= percent <= 99:
         raise ValueError("percent is from 50 to 99")
-    rows = work_table(describe(df, key, text, shingle, percent), "shingle-prefixes")
-    nodes = work_table(rows.filter("n > 0").groupBy("node").agg(F.min(key).alias("first_id")), "shingle-nodes")
-    pairs = candidate_pairs(df, nodes, rows, key, text, shingle, percent)
-
-    ends = work_table(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "pair-ends")
-    ids = work_table(nodes.join(bounded(ends, 64), "node", "left_semi"), "pair-ids")
-    sets = work_table(whole_sets(_rows_of(df, ids, key), key, text, shingle).join(bounded(ends, 64), "node", "left_semi").dropDuplicates(["node"]), "pair-sets")
-
-    one_way = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
-    nearest = one_way.groupBy("a").agg(F.min(F.struct("distance", "b")).alias("x")).select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct()
-    first = work_table(verified(nearest, sets, percent), "links")
-    roots = work_table(connected(first), "roots")
-    a, b = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    apart = pairs.join(nearest, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left").filter("ra is null or rb is null or ra != rb")
-    more = work_table(verified(apart, sets, percent), "links")
-    roots = work_table(connected(first.unionByName(more)), "roots")
-
-    named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_node = named.join(least, "root").select("node", "component_id")
-    out = rows.select(key, "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(of_node, "node", "left")
+    corpus = Corpus(df, key, text, shingle, percent)
+    roots = linked(corpus)
+    named = corpus.nodes.join(bounded(roots, 64), "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    joined = named.join(bounded(work_table(roots.select("root").distinct(), "root-names"), 64), "root", "left_semi")
+    least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    of_node = named.join(least, "root", "left").select("node", F.coalesce("component_id", "first_id").alias("component_id"))
+    out = corpus.rows.select(key, "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(of_node, "node", "left")
     return out.select(key, F.col("n").alias("n_shingles"), F.coalesce("component_id", key).alias("component_id"))
