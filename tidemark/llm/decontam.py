@@ -1,13 +1,16 @@
 """Benchmark decontamination: test n-grams as a broadcast hash set, probed by every window of every text.
 
 Texts and items are cut into words after A-Z are lower-cased. The windows of an item are its runs of ``n`` words, or
-all its words if it has fewer. The distinct windows form the build side of a hash join, broadcast while their
-measured size stays below ``MAX_BROADCAST_BYTES`` and shuffled beyond it; each window of a text probes it. The join
-compares the whole word sequence, so a match is verified by equality.
+all its words if it has fewer. The distinct windows, under the hash of their first ``PREFIX`` words, are the build side
+of a hash join, broadcast while their measured size stays below ``MAX_BROADCAST_BYTES`` and shuffled beyond it. Every
+position of a text probes it with the hash of the words that start there; where that is found, the whole windows are
+compared word by word, so a hit is verified by equality. Only hits leave the scan, and texts are not shuffled for them.
 
 Cases: null or empty texts have no words and no hits; null or wordless items have no windows; items that repeat count
 as the identifiers they carry (null identifiers are left out of the list of items); rows that repeat an identifier
-are told apart by a hash of their text; empty tables give no hits; other columns pass through.
+are told apart by a hash of their text; hits that overlap count their words once; very long texts are scanned whole,
+in one row each; empty tables give no hits; other columns pass through, except those named like the ones added
+(n_words, n_hit, hit_spans, hit_items). Working columns carry the prefix ``_dc``.
 """
 
 from __future__ import annotations
@@ -15,46 +18,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, ascii_lower, work_table
+from tidemark.llm.common import word_count, words_of, work_table
 
 MAX_BROADCAST_BYTES = 64 << 20
-#: WORD before A-Z are lower-cased.
-ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-
-
-def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+#: First words of a window that are hashed to find it.
+PREFIX = 3
 
 
 def item_windows(items: DataFrame, n: int, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """Distinct (gram, length, item)."""
+    """(gram, length, items): distinct windows, and the identifiers of the items that hold them."""
     words = items.select(F.col(item_id).cast("string").alias("item"), words_of(F.col(text)).alias("w")).filter(F.size("w") > 0)
     length = F.least(F.size("w"), F.lit(n))
-    return (
-        words.withColumn("length", length)
-        .select("item", "length", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("length") + 1), lambda i: F.array_join(F.slice("w", i, F.col("length")), " "))).alias("gram"))
-        .distinct()
-    )
+    starts = F.sequence(F.lit(1), F.size("w") - F.col("length") + 1)
+    each = words.withColumn("length", length).select("item", "length", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.col("length")), " "))).alias("gram"))
+    return each.groupBy("gram", "length").agg(F.array_sort(F.collect_set("item")).alias("items"))
+
+
+def _prefix_hash(size: int, words: list[Column]) -> Column:
+    return F.xxhash64(F.lit(size), *words)
 
 
 def find_hits(docs: DataFrame, windows: DataFrame, key: list[str]) -> DataFrame:
     """(key, start, length, gram) for every window of ``docs`` (key, w) that an item holds; start counts words from 0."""
-    grams = windows.select("gram", "length").distinct()
-    lengths = sorted(r.length for r in grams.select("length").distinct().collect())  # at most n values
-    if not lengths:
+    size = F.least("length", F.lit(PREFIX))
+    sizes = sorted(r.size for r in windows.select(size.alias("size")).distinct().collect())  # at most PREFIX values
+    if not sizes:
         return docs.select(*key, F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit("").alias("gram")).limit(0)
-
-    def cut(n: int) -> Column:
-        return F.when(
-            F.size("w") >= n,
-            F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.struct(i.alias("start"), F.lit(n).alias("length"), F.array_join(F.slice("w", i + 1, n), " ").alias("gram"))),
-        )
-
-    none = F.array().cast("array<struct<start:int,length:int,gram:string>>")
-    size = grams.agg(F.sum(F.octet_length("gram") + 64)).first()[0]
-    build = grams.select(F.col("gram").alias("_gram"))
-    probe = docs.select(*key, F.explode(F.concat(*[F.coalesce(cut(n), none) for n in lengths])).alias("x")).select(*key, "x.*")
-    return probe.join(F.broadcast(build) if size <= MAX_BROADCAST_BYTES else build, F.col("gram") == F.col("_gram"), "left_semi")
+    parts = F.split("gram", " ")
+    hashed = F.lit(None).cast("long")
+    for p in sizes:
+        hashed = F.when(size == p, _prefix_hash(p, [F.get(parts, F.lit(j)) for j in range(p)])).otherwise(hashed)
+    build = windows.select(hashed.alias("_dc_hash"), "length", "gram")
+    weight = windows.agg(F.sum(F.octet_length("gram") + 64)).first()[0]
+
+    # One hash a position for each prefix size; near the end of a text it covers fewer words and the comparison fails.
+    def probes(p: int) -> Column:
+        return F.transform("w", lambda word, i: _prefix_hash(p, [word] + [F.get("w", i + j) for j in range(1, p)]))
+
+    at = docs.select(*key, "w", F.posexplode(F.concat(*[probes(p) for p in sizes])).alias("_dc_pos", "_dc_probe"))
+    found = at.join(F.broadcast(build) if weight <= MAX_BROADCAST_BYTES else build, F.col("_dc_probe") == F.col("_dc_hash"))
+    start = F.pmod("_dc_pos", F.size("w"))
+    here = (start + F.col("length") <= F.size("w")) & (F.array_join(F.slice("w", start + 1, F.col("length")), " ") == F.col("gram"))
+    # A window is found by the probe of its own prefix size only.
+    own = F.floor(F.col("_dc_pos") / F.size("w")) == F.array_position(F.array(*map(F.lit, sizes)), size) - 1
+    return found.filter(own & here).select(*key, start.alias("start"), "length", "gram")
 
 
 def covered(spans: Column) -> Column:
@@ -69,29 +76,37 @@ def covered(spans: Column) -> Column:
 
 
 def contamination(df: DataFrame, items: DataFrame, *, n: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, _text_hash, hits, items) per distinct text with a hit: hits are (start, end) words, items sorted ids."""
+    """(_dc_key, _dc_hash, _dc_hits, _dc_items) per distinct text with a hit: hits are (start, end) words, items sorted ids."""
     windows = work_table(item_windows(items, n), "bench-windows")
-    docs = df.select(F.col(key), F.xxhash64(text).alias("_text_hash"), words_of(F.col(text)).alias("w"))
-    hits = work_table(find_hits(docs, windows, [key, "_text_hash"]), "bench-hits")
-    spans = hits.groupBy(key, "_text_hash").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end"))).alias("hits"))
-    held = (
-        hits.select(key, "_text_hash", "gram").distinct().join(windows.select("gram", "item"), "gram")
-        .groupBy(F.col(key).alias("_k"), F.col("_text_hash").alias("_h")).agg(F.array_sort(F.collect_set("item")).alias("items"))
-    )
-    same = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_text_hash") == F.col("_h"))
-    return spans.join(held, same, "left").select(key, "_text_hash", "hits", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    docs = df.select(F.col(key).alias("_dc_key"), F.xxhash64(text).alias("_dc_hash"), words_of(F.col(text)).alias("w"))
+    doc = ["_dc_key", "_dc_hash"]
+    hits = work_table(find_hits(docs.withColumnRenamed("_dc_hash", "_dc_text"), windows, ["_dc_key", "_dc_text"]).withColumnRenamed("_dc_text", "_dc_hash"), "bench-hits")
+    spans = hits.groupBy(*doc).agg(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end"))).alias("_dc_hits"))
+    weight = windows.agg(F.sum(F.octet_length("gram") + 64 + F.size("items") * 40)).first()[0] or 0
+    named = windows.select(F.col("gram").alias("_dc_gram"), "items")
+    held = hits.select(*doc, "gram").distinct().join(F.broadcast(named) if weight <= MAX_BROADCAST_BYTES else named, F.col("gram") == F.col("_dc_gram"))
+    held = held.groupBy(*[F.col(c).alias(c + "2") for c in doc]).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("_dc_items"))
+    same = F.col("_dc_key").eqNullSafe(F.col("_dc_key2")) & (F.col("_dc_hash") == F.col("_dc_hash2"))
+    return spans.join(held, same, "left").select(*doc, "_dc_hits", F.coalesce("_dc_items", F.array().cast("array<string>")).alias("_dc_items"))
+
+
+def _marked(df: DataFrame, found: DataFrame, key: str, text: str, how: str) -> DataFrame:
+    """``df`` joined with rows of ``found`` (_dc_key, _dc_hash, ...) by identifier and text."""
+    same = F.col(key).eqNullSafe(F.col("_dc_key")) & (F.col("_dc_text") == F.col("_dc_hash"))
+    weight = found.agg(F.sum(F.size("_dc_hits") * 8 + F.size("_dc_items") * 40 + 64)).first()[0] or 0
+    return df.withColumn("_dc_text", F.xxhash64(text)).join(F.broadcast(found) if weight <= MAX_BROADCAST_BYTES else found, same, how)
 
 
 def with_contamination(df: DataFrame, items: DataFrame, *, n: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` with n_hit, hit_spans and hit_items; texts without a hit get 0 and empty lists."""
-    found = contamination(df, items, n=n, key=key, text=text).select(F.col(key).alias("_k"), F.col("_text_hash").alias("_h"), "hits", "items")
-    base = df.withColumn("_text_hash", F.xxhash64(text))
-    joined = base.join(found, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_text_hash") == F.col("_h")), "left")
+    """``df`` with n_words, n_hit, hit_spans and hit_items; texts without a hit get 0 and empty lists."""
+    found = work_table(contamination(df, items, n=n, key=key, text=text), "bench-found")
+    base = df.drop("n_words", "n_hit", "hit_spans", "hit_items").withColumn("n_words", word_count(F.col(text)))
     return (
-        joined.withColumn("n_hit", F.coalesce(covered(F.col("hits")), F.lit(0)).cast("long"))
-        .withColumn("hit_spans", F.coalesce(F.array_sort("hits"), F.array().cast("array<struct<start:int,end:int>>")))
-        .withColumn("hit_items", F.coalesce("items", F.array().cast("array<string>")))
-        .drop("_k", "_h", "_text_hash", "hits", "items")
+        _marked(base, found, key, text, "left")
+        .withColumn("n_hit", F.coalesce(covered(F.col("_dc_hits")), F.lit(0)).cast("long"))
+        .withColumn("hit_spans", F.coalesce(F.array_sort("_dc_hits"), F.array().cast("array<struct<start:int,end:int>>")))
+        .withColumn("hit_items", F.coalesce("_dc_items", F.array().cast("array<string>")))
+        .drop("_dc_key", "_dc_hash", "_dc_text", "_dc_hits", "_dc_items")
     )
 
 
@@ -99,11 +114,12 @@ def decontaminate(df: DataFrame, items: DataFrame, *, n: int = 10, action: str =
     """``df`` without contaminated documents, or with the hit words and what precedes each cut out of them."""
     if action not in ("documents", "spans"):
         raise ValueError("action is 'documents' or 'spans'")
-    marked = with_contamination(df.withColumn("_text", F.col(text)), items, n=n, key=key, text="_text")
+    found = work_table(contamination(df, items, n=n, key=key, text=text), "bench-found")
     if action == "documents":
-        return marked.filter("n_hit = 0").select(*df.columns)
+        return _marked(df, found, key, text, "left_anti").select(*df.columns)
+    marked = _marked(df.withColumn("_dc_old", F.col(text)), found, key, "_dc_old", "left")
     piece = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    pieces = F.regexp_extract_all(F.col("_text"), F.lit(piece), F.lit(0))
-    kept = F.filter(pieces, lambda _, i: ~F.exists("hit_spans", lambda s: (s.start <= i) & (i < s.end)))
-    rest = F.regexp_extract(F.col("_text"), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\z", 0)
-    return marked.withColumn(text, F.when(F.col("n_hit") > 0, F.concat(F.array_join(kept, ""), rest)).otherwise(F.col(text))).select(*df.columns)
+    pieces = F.regexp_extract_all(F.col("_dc_old"), F.lit(piece), F.lit(0))
+    kept = F.filter(pieces, lambda _, i: ~F.exists("_dc_hits", lambda s: (s.start <= i) & (i < s.end)))
+    rest = F.regexp_extract(F.col("_dc_old"), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\z", 0)
+    return marked.withColumn(text, F.when(F.col("_dc_hits").isNotNull(), F.concat(F.array_join(kept, ""), rest)).otherwise(F.col("_dc_old"))).select(*df.columns)
