@@ -1,75 +1,29 @@
 """License scan: ordered signature rules over normalised words, gated by keywords, with suppression of contained hits.
 
-Rules come from license families and sentence templates; their order is their priority. A rule runs only on texts
-that hold one of its keywords. Hits are word intervals: one that lies inside another of the same or a higher priority is
-suppressed. The phrases of the base are rules of the highest class, so nothing suppresses them.
-
-Cases: null or empty texts have no words and no hits; rows that repeat an identifier are told apart by a hash of
-their text and equal rows share their hits; an empty table gives no rows; other columns pass through.
+The rules of ``license_rules`` are tried in their order, which is their priority. A rule owns keywords, one of which is
+in whatever it matches; all words of all texts are looked up in the table of keywords, and where one is found, the
+rules that own it run on the words around it, as many on either side as a match can have. Hits are word intervals: one
+that lies inside another of the same or a higher priority is suppressed. The phrases of the base are rules of the
+highest class, so nothing suppresses them.
+
+Cases: null or empty texts have no words and no hits; very long texts cost in proportion to their words, as rules see
+only the surroundings of keywords; of equal intervals of equal priority the first rule's stays; rows that repeat an
+identifier are told apart by a hash of their text and equal rows share their hits; an empty table gives no rows; other
+columns pass through, except those named like the ones added. Working columns carry the prefix ``_ls``.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, work_table
-
-# The phrases that the contract names.
-BASE_PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-
-# (label, keywords, names as regular expressions over normalised words); every name holds one of its keywords.
-FAMILIES = [
-    ("mit", (" mit ", " expat "), "(?:mit|expat)"),
-    ("apache-2", (" apache ",), "apache(?: software)?(?: license)?(?: version)? 2(?: 0)?"),
-    ("apache-1.1", (" apache ",), "apache(?: software)?(?: license)?(?: version)? 1 1"),
-    ("bsd-2-clause", (" bsd ",), "(?:bsd 2 clause|2 clause bsd|simplified bsd)"),
-    ("bsd-3-clause", (" bsd ",), "(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd)"),
-    ("bsd-4-clause", (" bsd ",), "(?:bsd 4 clause|4 clause bsd|original bsd)"),
-    ("gpl-2", (" gpl", " gnu general "), "(?:gpl ?v? ?2(?: 0)?|gnu general public license(?: version| v)? ?2(?: 0)?)(?: only| or later)?"),
-    ("gpl-3", (" gpl", " gnu general "), "(?:gpl ?v? ?3(?: 0)?|gnu general public license(?: version| v)? ?3(?: 0)?)(?: only| or later)?"),
-    ("lgpl-2.1", (" lgpl", " gnu lesser "), "(?:lgpl ?v? ?2 1|gnu lesser general public license(?: version| v)? ?2 1)(?: only| or later)?"),
-    ("lgpl-3", (" lgpl", " gnu lesser "), "(?:lgpl ?v? ?3(?: 0)?|gnu lesser general public license(?: version| v)? ?3(?: 0)?)(?: only| or later)?"),
-    ("agpl-3", (" agpl", " gnu affero "), "(?:agpl ?v? ?3(?: 0)?|gnu affero general public license(?: version| v)? ?3(?: 0)?)(?: only| or later)?"),
-    ("mpl-2", (" mpl", " mozilla public "), "(?:mpl|mozilla public license)(?: version| ?v)? ?2(?: 0)?"),
-    ("mpl-1.1", (" mpl", " mozilla public "), "(?:mpl|mozilla public license)(?: version| ?v)? ?1 1"),
-    ("epl-2", (" epl", " eclipse public "), "(?:epl|eclipse public license)(?: version| ?v)? ?2(?: 0)?"),
-    ("epl-1", (" epl", " eclipse public "), "(?:epl|eclipse public license)(?: version| ?v)? ?1(?: 0)?"),
-    ("cddl-1", (" cddl", " common development "), "(?:cddl|common development and distribution license)(?: version| ?v)? ?1(?: 0)?"),
-    ("isc", (" isc ",), "isc"),
-    ("zlib", (" zlib ",), "(?:zlib|zlib libpng)"),
-    # BSL 1.1 is the Business Source License.
-    ("boost-1", (" bsl ", " boost software "), "(?:bsl(?!(?: version)? 1 1 )|boost software license)(?: version)? 1(?: 0)?"),
-    ("unlicense", (" unlicense ",), "unlicense"),
-    ("wtfpl", (" wtfpl ",), "wtfpl"),
-    ("artistic-2", (" artistic ",), "artistic(?: license)? 2(?: 0)?"),
-    ("cc0", (" cc0 ", " creative commons zero "), "(?:cc0|creative commons zero)(?: 1 0)?"),
-    ("cc-by-nc-nd", (" cc by ", " creative commons by "), "(?:cc|creative commons) by nc nd(?: [1-4] [05])?"),
-    ("cc-by-nc-sa", (" cc by ", " creative commons by "), "(?:cc|creative commons) by nc sa(?: [1-4] [05])?"),
-    ("cc-by-nc", (" cc by ", " creative commons by "), "(?:cc|creative commons) by nc(?: [1-4] [05])?"),
-    ("cc-by-nd", (" cc by ", " creative commons by "), "(?:cc|creative commons) by nd(?: [1-4] [05])?"),
-    ("cc-by-sa", (" cc by ", " creative commons by "), "(?:cc|creative commons) by sa(?: [1-4] [05])?"),
-    ("cc-by", (" cc by ", " creative commons by "), "(?:cc|creative commons) by(?: [1-4] [05])?"),
-    ("odbl-1", (" odbl", " open database license"), "(?:odbl|open database license)(?: version| ?v)? ?(?:1 0)?"),
-    ("ofl-1.1", (" ofl",), "(?:sil )?ofl(?: version| ?v)? ?(?:1 1)?"),
-    ("psf-2", (" psf ",), "psf(?: license)?(?: version)? 2"),
-    ("public-domain", (" public domain ",), "public domain"),
-    ("proprietary", (" proprietary ", " commercial "), "(?:a )?(?:proprietary|commercial)"),
-]
-
-# (priority, score, template): a lower priority outranks a higher one.
-TEMPLATES = [
-    (1, 1.0, "spdx license identifier {name}"),
-    (1, 0.95, "(?:is|are) licensed under (?:the )?(?:terms of (?:the )?)?{name}(?: license)?"),
-    (2, 0.9, "licen[sc]ed under (?:the )?(?:terms of (?:the )?)?{name}(?: license)?"),
-    (2, 0.9, "(?:released|distributed|published) under (?:the )?(?:terms of (?:the )?)?{name}(?: license)?"),
-    (2, 0.85, "(?:available|provided|shared) under (?:the )?(?:terms of (?:the )?)?{name}(?: license)?"),
-    (3, 0.8, "subject to the (?:terms of the )?{name} license"),
-    (3, 0.7, "under (?:the )?{name} license"),
-    (4, 0.5, "(?:the )?{name} license"),
-]
+from tidemark.llm.common import word_count, words_of, work_table
+from tidemark.llm.license_rules import BASE, MAX_WORDS, RULES
+
+MAX_BROADCAST_BYTES = 32 << 20
+ADDED = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
 
 
 @dataclass(frozen=True)
@@ -82,75 +36,83 @@ class Rule:
 
 
 def rules() -> list[Rule]:
-    base = [Rule(0, label, (f" {phrase} ",), f" {phrase}(?= )", 1.0) for phrase, label in BASE_PHRASES.items()]
-    made = [Rule(p, label, keywords, f" {form.format(name=name)}(?= )", score) for p, score, form in TEMPLATES for label, keywords, name in FAMILIES]
-    return base + made
-
+    return [Rule(*r) for r in BASE + RULES]
 
-#: No rule matches a text without one of these.
-GATES = [" spdx ", " licens", " licenc", " license ", "under ", " cc by nc "]
 
-
-def normalised(text: Column) -> Column:
-    """The words between single spaces, with a space at both ends; two spaces if there are none."""
-    return F.concat(F.lit(" "), F.btrim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), F.lit(" "))
+def rule_table(spark: SparkSession, chosen: list[Rule]) -> DataFrame:
+    """(_ls_word, _ls_rules): the rules that own a keyword."""
+    rows = [
+        F.struct(
+            F.array(*map(F.lit, r.keywords)).alias("keywords"),
+            F.struct(F.lit(i).alias("rule"), F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.score).alias("score"), F.lit(f" (?:{r.pattern})(?= )").alias("pattern")).alias("rule"),
+        )
+        for i, r in enumerate(chosen)
+    ]
+    each = spark.range(1).select(F.explode(F.array(*rows)).alias("r")).select(F.explode("r.keywords").alias("_ls_word"), "r.rule")
+    return each.groupBy("_ls_word").agg(F.collect_list("rule").alias("_ls_rules"))
 
 
 def spaces(col: Column) -> Column:
     return F.length(col) - F.length(F.replace(col, F.lit(" "), F.lit("")))
 
 
-def detect_licenses(df: DataFrame, *, key: str = "doc_id", text: str = "text", ruleset: list[Rule] | None = None) -> DataFrame:
-    """Kept hits (key, text_hash, rule, label, priority, score, start, end) with words from 0, end exclusive."""
+def detect_licenses(df: DataFrame, *, key: str = "doc_id", text: str = "text", ruleset: list[Rule] | None = None, gated: bool = True) -> DataFrame:
+    """Kept hits (key, text_hash, rule, label, priority, score, start, end) with words from 0, end exclusive.
+
+    Without ``gated`` every rule runs on every whole text, which gives the same hits.
+    """
     chosen = rules() if ruleset is None else ruleset
-    gated: dict[tuple[str, ...], list[Column]] = {}
-    for i, r in enumerate(chosen):
-        gated.setdefault(r.keywords, []).append(F.struct(F.lit(i).alias("rule"), F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.score).alias("score"), F.lit(r.pattern).alias("pattern")))
-    table = F.array(*[F.struct(F.array(*map(F.lit, keywords)).alias("keywords"), F.array(*made).alias("rules")) for keywords, made in gated.items()])
-    doc = [key, "text_hash"]
-    texts = df.select(F.col(key), F.xxhash64(text).alias("text_hash"), normalised(F.col(text)).alias("norm"))
-    if ruleset is None:
-        gate = F.lit(False)
-        for word in GATES:
-            gate = gate | F.contains("norm", F.lit(word))
-        texts = texts.filter(gate)
-    ruled = texts.select(*doc, "norm", F.explode(F.filter(table, lambda g: F.exists(g.keywords, lambda word: F.contains(F.col("norm"), word)))).alias("g")).select(*doc, "norm", F.explode("g.rules").alias("r"))
-    found = ruled.select(*doc, "r", F.regexp_extract_all("norm", F.col("r.pattern"), F.lit(0)).alias("hit"), F.split("norm", F.col("r.pattern"), -1).alias("gap")).filter(F.size("hit") > 0)
-    each = found.select(*doc, "r.rule", "r.label", "r.priority", "r.score", F.posexplode(F.arrays_zip("hit", "gap")).alias("i", "x")).filter(F.col("x.hit").isNotNull())
-    each = each.groupBy(*doc, "rule", "label", "priority", "score", "i").agg(F.first(spaces(F.col("x.hit"))).alias("n"), F.first(spaces(F.col("x.gap"))).alias("before"))
-    up_to = Window.partitionBy(*doc, "rule").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    placed = each.withColumn("end", F.sum(F.col("before") + F.col("n")).over(up_to)).withColumn("start", F.col("end") - F.col("n"))
+    table = rule_table(df.sparkSession, chosen)
+    doc = ["_ls_key", "_ls_hash"]
+    texts = df.select(F.col(key).alias("_ls_key"), F.xxhash64(text).alias("_ls_hash"), words_of(F.col(text)).alias("_ls_w"))
+    if gated:
+        found = texts.select(*doc, "_ls_w", F.posexplode("_ls_w").alias("_ls_pos", "_ls_here")).join(F.broadcast(table), F.col("_ls_here") == F.col("_ls_word"))
+        first = F.greatest(F.col("_ls_pos") - MAX_WORDS, F.lit(0))
+        around = found.select(*doc, first.alias("from"), F.slice("_ls_w", first + 1, 2 * MAX_WORDS + 1).alias("w"), "_ls_rules")
+    else:
+        every = table.select(F.explode("_ls_rules").alias("r")).distinct().agg(F.collect_list("r").alias("_ls_rules"))
+        around = texts.select(*doc, F.lit(0).alias("from"), F.col("_ls_w").alias("w")).join(F.broadcast(every))
+    ruled = around.select(*doc, "from", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("part"), F.explode("_ls_rules").alias("r"))
+    pattern = F.col("r.pattern")
+    matched = ruled.select(*doc, "from", "r", F.regexp_extract_all("part", pattern, F.lit(0)).alias("hit"), F.split("part", pattern, -1).alias("gap")).filter(F.size("hit") > 0)
+
+    def place(hit: Column, i: Column) -> Column:
+        before = F.concat(F.array_join(F.slice("gap", F.lit(1), i + 1), ""), F.array_join(F.slice("hit", F.lit(1), i), ""))
+        return F.struct((F.col("from") + spaces(before)).alias("start"), (F.col("from") + spaces(before) + spaces(hit)).alias("end"))
+
+    placed = matched.select(*doc, "r.rule", "r.label", "r.priority", "r.score", F.explode(F.transform("hit", place)).alias("x")).select(*doc, "rule", "label", "priority", "score", "x.*").distinct()
     earlier = Window.partitionBy(*doc).orderBy("start", F.desc("end"), "priority", "rule").rowsBetween(Window.unboundedPreceding, -1)
     inside = F.lit(False)
     for p in range(1, 1 + max(r.priority for r in chosen)):
         inside = inside | ((F.col("priority") == p) & F.coalesce(F.max(F.when(F.col("priority") <= p, F.col("end"))).over(earlier) >= F.col("end"), F.lit(False)))
-    return placed.withColumn("inside", inside).filter(~F.col("inside")).select(*doc, "rule", "label", "priority", "score", "start", "end")
+    kept = placed.withColumn("inside", inside).filter(~F.col("inside"))
+    return kept.select(F.col("_ls_key").alias(key), F.col("_ls_hash").alias("text_hash"), "rule", "label", "priority", "score", "start", "end")
 
 
 def scan_licenses(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with n_words, n_base, first_word, last_word, base_labels, labels and score (that of the surest hit)."""
-    hits = detect_licenses(df, key=key, text=text)
     base = F.col("priority") == 0
     per_text = work_table(
-        hits.groupBy(F.col(key).alias("_k"), F.col("text_hash").alias("_h")).agg(
-            F.sum(F.when(base, 1).otherwise(0)).alias("n_base"),
-            F.min(F.when(base, F.col("start"))).alias("first_word"),
-            F.max(F.when(base, F.col("start"))).alias("last_word"),
-            F.array_join(F.array_sort(F.collect_set(F.when(base, F.col("label")))), ",").alias("base_labels"),
-            F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
-            F.max("score").alias("score"),
+        detect_licenses(df, key=key, text=text).groupBy(F.col(key).alias("_ls_key"), F.col("text_hash").alias("_ls_hash")).agg(
+            F.sum(F.when(base, 1).otherwise(0)).alias("_ls_base"),
+            F.min(F.when(base, F.col("start"))).cast("long").alias("_ls_first"),
+            F.max(F.when(base, F.col("start"))).cast("long").alias("_ls_last"),
+            F.array_join(F.array_sort(F.collect_set(F.when(base, F.col("label")))), ",").alias("_ls_base_labels"),
+            F.array_join(F.array_sort(F.collect_set("label")), ",").alias("_ls_labels"),
+            F.max("score").alias("_ls_score"),
         ),
         "license-hits",
     )
-    rows = df.withColumn("_h0", F.xxhash64(text)).withColumn("n_words", F.greatest(spaces(normalised(F.col(text))) - 1, F.lit(0)).cast("long"))
-    rows = rows.withColumn("n_words", F.when(F.length(normalised(F.col(text))) > 2, F.col("n_words")).otherwise(F.lit(0)).cast("long"))
-    joined = rows.join(per_text, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_h0") == F.col("_h")), "left")
-    return (
-        joined.withColumn("n_base", F.coalesce("n_base", F.lit(0)).cast("long"))
-        .withColumn("first_word", F.col("first_word").cast("long"))
-        .withColumn("last_word", F.col("last_word").cast("long"))
-        .withColumn("base_labels", F.coalesce("base_labels", F.lit("")))
-        .withColumn("labels", F.coalesce("labels", F.lit("")))
-        .withColumn("score", F.coalesce("score", F.lit(0.0)))
-        .drop("_k", "_h", "_h0")
-    )
+    weight = per_text.agg(F.sum(F.octet_length("_ls_labels") * 2 + 96)).first()[0] or 0
+    rows = df.drop(*ADDED).withColumn("_ls_text", F.xxhash64(text)).withColumn("n_words", word_count(F.col(text)))
+    same = F.col(key).eqNullSafe(F.col("_ls_key")) & (F.col("_ls_text") == F.col("_ls_hash"))
+    joined = rows.join(F.broadcast(per_text) if weight <= MAX_BROADCAST_BYTES else per_text, same, "left")
+    added = {
+        "n_base": F.coalesce("_ls_base", F.lit(0)).cast("long"),
+        "first_word": F.col("_ls_first"),
+        "last_word": F.col("_ls_last"),
+        "base_labels": F.coalesce("_ls_base_labels", F.lit("")),
+        "labels": F.coalesce("_ls_labels", F.lit("")),
+        "score": F.coalesce("_ls_score", F.lit(0.0)),
+    }
+    return joined.withColumns(added).drop(*[c for c in joined.columns if c.startswith("_ls")])
