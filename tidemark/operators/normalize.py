@@ -63,8 +63,8 @@ def detect_skew(clocks: DataFrame, threshold: int = SKEW_SECONDS) -> DataFrame:
     gap = F.when(F.col("others") > 0, F.least(F.coalesce(seconds(F.col("before"), F.col("first")), F.lit(1e18)), F.coalesce(seconds(F.col("last"), F.col("after")), F.lit(1e18))))
     warned = gaps.select("file_idx", gap.alias("gap_seconds"))
     text = F.concat(
-        F.lit("no overlap with the other files — nearest is "), F.format_string("%.1f", F.col("gap_seconds") / 60), F.lit(" min away. "),
-        F.lit("Either this covers a different window, or its host's clock is off; set an offset on the file if it is the clock."),
+        F.lit("this file and the closest other one are "), F.format_string("%.1f", F.col("gap_seconds") / 60),
+        F.lit(" minutes apart: its clock may be off (then set an offset), or it is about another time"),
     )
     return clocks.join(warned, "file_idx", "left").withColumn("skew_warning", F.when(F.col("gap_seconds") > threshold, text))
 

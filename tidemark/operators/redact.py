@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import let
 
 # Names of secrets and the shape of each rule, in order of precedence.
-SECRET_NAMES = (
-    "password passwd pwd secret api[_-]?key apikey access[_-]?token refresh[_-]?token auth[_-]?token id[_-]?token "
-    "session[_-]?secret client[_-]?secret private[_-]?key authorization token"
-).split()
+SECRET_NAMES = [
+    "password", "passwd", "pwd", "secret", "api[_-]?key", "apikey", "access[_-]?token", "refresh[_-]?token", "auth[_-]?token", "id[_-]?token",
+    "session[_-]?secret", "client[_-]?secret", "private[_-]?key", "authorization", "token",
+]
 RULES = {
     "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----",
     "jwt": r"\beyJ[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{4,}\b",
@@ -35,8 +35,21 @@ RULES = {
 }
 #: In strict mode a quote may stand between a key and its separator, as in JSON.
 STRICT_KV = RULES["secret_kv"].replace(r")\s*[=:]\s*(?:Bearer", r""")["']?\s*[=:]\s*(?:Bearer""")
-#: No rule matches a text in which this finds nothing.
-PREFILTER = r"[=:@]|-----BEGIN|eyJ|A[KSGIRN][A-Z]{2}|gh[pousr]_|xox|k_(?:live|test)_|[Bb](?:earer|asic)|\d(?:[ .-]?\d){3}"
+#: What every match of a rule holds; cheap to look for.
+ANCHORS = {
+    "private_key": "-----BEGIN",
+    "jwt": "eyJ[A-Za-z0-9_-]{6}",
+    "aws_key": "A(?:KIA|SIA|GPA|IDA|ROA|NPA)[0-9A-Z]",
+    "github_token": "gh[pousr]_",
+    "slack_token": "xox[abprs]-",
+    "stripe_key": "[sr]k_(?:live|test)_",
+    "url_credentials": r"://[^\s/:@]+:",
+    "secret_kv": r"""[DTYNdtyn]["']?\s*[=:]""",  # the last letters of SECRET_NAMES
+    "bearer": r"[Bb](?:earer|asic)\s",
+    "email": r"@[A-Za-z0-9.-]",
+    "card": r"\d(?:[ -]?\d){12}",
+    "ip": r"\d\.\d{1,3}\.",
+}
 SECRET_KEY = rf'(?i)^(?:.*[._-])?(?:{"|".join(SECRET_NAMES)})$'
 
 
@@ -50,11 +63,12 @@ class Policy:
 
     def active(self) -> list[str]:
         """Rule names in order; a disabled rule stays off whatever else asks for it."""
-        if not self.enabled:
-            return []
-        on = {r for r in RULES if r != "ip"} | ({"ip"} if self.redact_ips else set())
-        on -= set() if self.redact_cards else {"card"}
-        return [r for r in RULES if r in on and r not in self.disabled]
+        switches = {"ip": self.redact_ips, "card": self.redact_cards}
+        return [rule for rule in RULES if self.enabled and switches.get(rule, True) and rule not in self.disabled]
+
+    def prefilter(self) -> str:
+        """No active rule matches a text in which this finds nothing."""
+        return "(?U)" + "|".join(ANCHORS[rule] for rule in self.active())
 
     def pattern(self, rule: str) -> str:
         return STRICT_KV if rule == "secret_kv" and self.strict else RULES[rule]
@@ -88,73 +102,85 @@ def replacement(match: Column, rule: Column) -> Column:
 
 
 def redacted(text: Column, policy: Policy) -> Column:
-    """(text, rules): the text after all rules, and the rule of each replacement in order."""
+    """(text, rules): the text after all rules, and the rule of each replacement in order.
+
+    ``text`` is mentioned several times; texts without an anchor of an active rule are looked at once.
+    """
+    none = F.array().cast("array<string>")
     active = policy.active()
+    if not active:
+        return F.struct(text.alias("text"), none.alias("rules"))
     pattern = "(?U)" + "|".join(f"(?:{policy.pattern(r)})" for r in active)
 
     def judged(m: Column) -> Column:
         return let(F.struct(m.alias("m"), rule_of(m, policy).alias("rule")), lambda x: F.struct(replacement(x["m"], x["rule"]).alias("put"), x["rule"].alias("rule")))
 
-    def applied(t: Column) -> Column:
-        untouched = F.struct(t.alias("text"), F.array().cast("array<string>").alias("rules"))
-        matches = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), judged)
-
-        def joined(found: Column) -> Column:
-            pieces = F.zip_with(F.split(t, pattern, -1), found, lambda g, m: F.concat(g, F.coalesce(m["put"], F.lit(""))))
-            return F.struct(F.array_join(pieces, "").alias("text"), F.filter(F.transform(found, lambda m: m["rule"]), lambda r: r.isNotNull()).alias("rules"))
+    def joined(found: Column) -> Column:
+        pieces = F.zip_with(F.split(text, pattern, -1), found, lambda g, m: F.concat(g, F.coalesce(m["put"], F.lit(""))))
+        return F.struct(F.array_join(pieces, "").alias("text"), F.filter(F.transform(found, lambda m: m["rule"]), lambda r: r.isNotNull()).alias("rules"))
 
-        return F.when(F.rlike(t, F.lit(PREFILTER)), let(matches, joined)).otherwise(untouched)
-
-    if not active:
-        return F.struct(text.alias("text"), F.array().cast("array<string>").alias("rules"))
-    return let(text, applied)
+    matches = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), judged)
+    return F.when(F.rlike(text, F.lit(policy.prefilter())), let(matches, joined)).otherwise(F.struct(text.alias("text"), none.alias("rules")))
 
 
 def secret_name(key: Column) -> Column:
     return F.rlike(key, F.lit(SECRET_KEY))
 
 
-def _nested(value: Column) -> Column:
-    """JSON text with the values of secret names replaced, however deep; scalars and lists under other names stay."""
-    name = rf'(?i)("(?:[^"\\]|\\.)*(?<=["._-])(?:{"|".join(SECRET_NAMES)})"):(?!""|null|\[\]|\{{\}})(?:"(?:[^"\\]|\\.)*"|\{{[^{{}}]*\}}|\[[^\[\]]*\]|[^,}}\]]+)'
-    return F.regexp_replace(value, name, '$1:"[REDACTED]"')
+def _inside(opening: str, closing: str, depth: int = 3) -> str:
+    """A bracket with what is in it, brackets of its kind down to ``depth``."""
+    other = rf"[^\{opening}\{closing}]"
+    return rf"\{opening}(?:{other}|{_inside(opening, closing, depth - 1)})*\{closing}" if depth else rf"\{opening}{other}*\{closing}"
+
+
+#: A secret name, as a whole or after a separator, and its value in JSON text.
+NESTED = (
+    rf'(?i)("(?:[^"\\]|\\.)*(?<=["._-])(?:{"|".join(SECRET_NAMES)})"):(?!""|null|\[\]|\{{\}})'
+    rf'(?:"(?:[^"\\]|\\.)*"|{_inside("{", "}")}|{_inside("[", "]")}|[^,}}\]]+)'
+)
 
 
 def redact_entries(entries: DataFrame, policy: Policy | None = None) -> DataFrame:
     """``entries`` redacted, with redactions: the rules applied to message and attributes, and touched.
 
-    Identifiers and correlation keys stay. What is found in ``raw`` is replaced but not counted, for it restates the
-    other fields.
+    Identifiers and correlation keys stay. Values of secret names are replaced at any depth of an attribute, objects
+    and lists among them down to three brackets of a kind. What is found in ``raw`` is replaced but not counted, for it
+    restates the other fields.
     """
     policy = policy or Policy()
     if not policy.active():
-        return entries.withColumn("redactions", F.array().cast("array<string>")).withColumn("touched", F.lit(False))
+        return entries.withColumns({"redactions": F.array().cast("array<string>"), "touched": F.lit(False)})
     by_name = "secret_kv" in policy.active()
-    e = entries.withColumn("r_raw", redacted(F.col("raw"), policy)).withColumn("r_message", redacted(F.col("message"), policy))
+    none = F.array().cast("array<string>")
 
     def value(k: Column, v: Column) -> Column:
-        kept = F.struct(v.alias("text"), F.array().cast("array<string>").alias("rules"))
-        scanned = F.when(v.startswith('"') | v.startswith("{") | v.startswith("["), redacted(_nested(v) if by_name else v, policy)).otherwise(kept)
+        kept = F.struct(v.alias("text"), none.alias("rules"))
+        scanned = F.when(v.startswith('"') | v.startswith("{") | v.startswith("["), redacted(v, policy)).otherwise(kept)
         if not by_name:
             return scanned
+        below = F.struct(F.regexp_replace(v, NESTED, '$1:"[REDACTED]"').alias("text"), F.regexp_count(v, F.lit(NESTED)).alias("n"))
+        both = let(below, lambda b: let(redacted(b["text"], policy), lambda r: F.struct(r["text"].alias("text"), F.concat(F.array_repeat(F.lit("secret_kv"), b["n"]), r["rules"]).alias("rules"))))
+        nested = v.startswith("{") | v.startswith("[")
         secret = F.struct(F.lit('"[REDACTED]"').alias("text"), F.array(F.lit("secret_kv")).alias("rules"))
-        return F.when(secret_name(k), F.when(v.isin("null", '""', "[]", "{}"), kept).otherwise(secret)).otherwise(scanned)
+        return F.when(secret_name(k), F.when(v.isin("null", '""', "[]", "{}"), kept).otherwise(secret)).when(nested, both).otherwise(scanned)
 
-    e = e.withColumn("r_attributes", F.transform_values("attributes", value))
+    e = entries.withColumns({"r_raw": redacted(F.col("raw"), policy), "r_message": redacted(F.col("message"), policy), "r_attributes": F.transform_values("attributes", value)})
     found = F.concat(F.col("r_message.rules"), F.flatten(F.transform(F.map_values("r_attributes"), lambda x: x.rules)))
-    return (
-        e.withColumn("redactions", found)
-        .withColumn("touched", (F.size(found) > 0) | (F.size("r_raw.rules") > 0))
-        .withColumn("raw", F.col("r_raw.text"))
-        .withColumn("message", F.col("r_message.text"))
-        .withColumn("attributes", F.transform_values("r_attributes", lambda _, x: x.text))
-        .drop("r_raw", "r_message", "r_attributes")
-    )
+    e = e.withColumn("redactions", found)
+    return e.withColumns(
+        {
+            "touched": (F.size("redactions") > 0) | (F.size("r_raw.rules") > 0),
+            "raw": F.col("r_raw.text"),
+            "message": F.col("r_message.text"),
+            "attributes": F.transform_values("r_attributes", lambda _, x: x.text),
+        }
+    ).drop("r_raw", "r_message", "r_attributes")
 
 
 def redaction_counts(redacted_entries: DataFrame) -> DataFrame:
     """(rule, n) over all entries."""
-    return redacted_entries.select(F.explode("redactions").alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    each = redacted_entries.select(F.explode_outer("redactions").alias("rule"))  # a plain explode would scan the texts for a filter first
+    return each.filter("rule is not null").groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
 def redaction_totals(redacted_entries: DataFrame) -> DataFrame:

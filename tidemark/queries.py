@@ -41,6 +41,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 STAMP = "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\")"
 LEVEL = "case event_type when 'error' then 'error' when 'click' then 'debug' when 'purchase' then 'warn' else 'info' end"
 PRIORITY = "case event_type when 'error' then 131 when 'click' then 135 when 'purchase' then 132 else 134 end"
+NUMBER = "case event_type when 'error' then 50 when 'click' then 20 when 'purchase' then 40 else 30 end"
 STATUS = "case event_type when 'error' then 500 when 'purchase' then 404 else 200 end"
 LINES = {
     "plain": f"concat({STAMP}, 'Z ', upper({LEVEL}), ' [svc.', event_type, '] event ', event_id, ' done')",
@@ -193,6 +194,91 @@ def json_flavor(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", detection.json_flavor(doc).alias("flavor"))
 
 
+# --- producers of JSON -----------------------------------------------------------------------------------------------
+
+MILLIS = "unix_millis(cast(ts as timestamp))"
+HEX = "lpad(lower(hex(event_id + 1)), 32, '0')"
+PRODUCERS = {
+    "gcp": f"""concat('{{"insertId":"i', event_id, '","timestamp":"', {STAMP}, 'Z","severity":"', upper({LEVEL}), '","textPayload":"event ', event_id, '","logging.googleapis.com/trace":"projects/p/traces/', {HEX},
+      '","logging.googleapis.com/spanId":"s', event_id, '","resource":{{"labels":{{"service_name":"svc.', event_type, '"}}}},"kind":"', event_type, '"}}')""",
+    "datadog": f"""concat('{{"timestamp":', {MILLIS}, ',"status":"', {LEVEL}, '","message":"event ', event_id, '","service":"svc.', event_type, '","dd.trace_id":"', event_id + 7, '","dd.span_id":"', event_id + 9, '","kind":"', event_type, '","user_id":"', user_id, '"}}')""",
+    "ecs": f"""concat('{{"@timestamp":"', {STAMP}, 'Z","log.level":"', {LEVEL}, '","message":"event ', event_id, '","service":{{"name":"svc.', event_type, '"}},"trace":{{"id":"', {HEX}, '"}},"span":{{"id":"s', event_id, '"}},"kind":"', event_type, '"}}')""",
+    "otlp": f"""concat('{{"Timestamp":"', {MILLIS}, '000000","SeverityText":"', upper({LEVEL}), '","SeverityNumber":9,"Body":"event ', event_id, '","TraceId":"', {HEX}, '","SpanId":"s', event_id, '","Resource":{{"service":{{"name":"svc.', event_type, '"}}}},"Attributes":{{"kind":"', event_type, '"}}}}')""",
+    "bunyan": f"""concat('{{"v":0,"name":"svc.', event_type, '","pid":', user_id, ',"level":', {NUMBER}, ',"time":"', {STAMP}, 'Z","msg":"event ', event_id, '","trace_id":"', {HEX}, '","span_id":"s', event_id, '","kind":"', event_type, '"}}')""",
+    "pino": f"""concat('{{"level":', {NUMBER}, ',"time":', {MILLIS}, ',"pid":', user_id, ',"name":"svc.', event_type, '","msg":"event ', event_id, '","trace_id":"', {HEX}, '","span_id":"s', event_id, '","kind":"', event_type, '"}}')""",
+    "docker": f"""concat('{{"log":"', upper({LEVEL}), ' [svc.', event_type, '] event ', event_id, '\\\\n","stream":"stdout","time":"', {STAMP}, 'Z"}}')""",
+}
+
+
+def produced(spark: SparkSession, sf_dir: str, producer: str, correlation: str | None = None) -> DataFrame:
+    """Lines of one JSON producer, whose dialect is found by the keys."""
+    e = ingest_all(sources(spark, sf_dir, "json", PRODUCERS[producer], declared=False)).entries
+    text = lambda k: F.get_json_object(F.concat(F.lit('{"x":'), F.col("attributes")[k], F.lit("}")), "$.x")
+    kind = F.coalesce(text("kind"), text("stream"))
+    return e.select(
+        F.regexp_extract("message", EVENT_ID, 1).cast("bigint").alias("event_id"), F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("stamp"), "level", "service", "message",
+        "trace_id", "span_id", kind.alias("kind"), (F.col("correlation_keys")[correlation] if correlation else F.lit(None).cast("string")).alias("key"),
+    )
+
+
+_MICROS, _MILLIS_TEXT = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%f')", "strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || '000'"
+_HEX_SQL = "lpad(to_hex(event_id + 1), 32, '0')"
+
+
+#: Numbers are read on the scale of tens from 25 on, in bands of four below.
+NUMBERED = "case event_type when 'error' then 'critical' when 'click' then 'error' when 'purchase' then 'error' else 'warn' end"
+
+
+def produced_sql(stamp: str = _MICROS, trace: str = f"lower({_HEX_SQL})", span: str = "'s' || event_id", kind: str = "event_type", key: str = "cast(null as varchar)", level: str = LEVEL) -> str:
+    return f"select event_id, {stamp} as stamp, {level} as level, 'svc.' || event_type as service, 'event ' || event_id as message, {trace} as trace_id, {span} as span_id, {kind} as kind, {key} as key from events"
+
+
+@query(produced_sql(key="'i' || event_id"))
+def parse_gcp(spark, sf_dir):
+    return produced(spark, sf_dir, "gcp", "insertId")
+
+
+@query(produced_sql(_MILLIS_TEXT, "cast(event_id + 7 as varchar)", "cast(event_id + 9 as varchar)", key="cast(user_id as varchar)"))
+def parse_datadog(spark, sf_dir):
+    return produced(spark, sf_dir, "datadog", "user_id")
+
+
+@query(produced_sql())
+def parse_ecs(spark, sf_dir):
+    return produced(spark, sf_dir, "ecs")
+
+
+@query(produced_sql(_MILLIS_TEXT))
+def parse_otlp_flat(spark, sf_dir):
+    return produced(spark, sf_dir, "otlp")
+
+
+@query(produced_sql(key="cast(user_id as varchar)", level=NUMBERED))
+def parse_bunyan(spark, sf_dir):
+    return produced(spark, sf_dir, "bunyan", "pid")
+
+
+@query(produced_sql(_MILLIS_TEXT, key="cast(user_id as varchar)", level=NUMBERED))
+def parse_pino(spark, sf_dir):
+    return produced(spark, sf_dir, "pino", "pid")
+
+
+@query(produced_sql(trace="cast(null as varchar)", span="cast(null as varchar)", kind="'stdout'"))
+def parse_docker(spark, sf_dir):
+    return produced(spark, sf_dir, "docker")
+
+
+@query(
+    """select event_id, '{"outer":{"db_password":"[REDACTED]","list":[1,{"token":"[REDACTED]"}]},"user":' || user_id || '}' as nested, cast(2 as bigint) as n from events"""
+)
+def redact_nested(spark, sf_dir):
+    """Values of secret names below the top of an attribute, objects among them, and their count."""
+    value = """concat('{"outer":{"db_password":"p', event_id, '","list":[1,{"token":{"a":{"b":', user_id, '}}}]},"user":', user_id, '}')"""
+    e = table(spark, sf_dir, "events").selectExpr("event_id", "'m' message", "'r' raw", f"map('detail', {value}) attributes")
+    r = redact.redact_entries(e)
+    return r.select("event_id", F.col("attributes")["detail"].alias("nested"), F.size("redactions").cast("bigint").alias("n"))
+
+
 WORDS = "array('Warning', 'ERR', 'notice', 'panic', 'crit', 'emerg', 'nothing', 'verbose')"
 
 
@@ -291,10 +377,10 @@ def redact_counts(spark, sf_dir):
     return r.select("doc_id", count("secret_kv").alias("n_secret"), count("ip").alias("n_ip")).filter("n_secret + n_ip > 0")
 
 
-@query(r"select doc_id, sha256(regexp_replace(text, '\b[\w.%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b', '[REDACTED:email]', 'g')) as clean from documents where text is not null")
+@query(r"select doc_id, sha256(regexp_replace(text, '\b[\w.%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b', '[REDACTED:email]', 'g')) as clean from documents")
 def redact_emails(spark, sf_dir):
     policy = redact.Policy(disabled=frozenset(set(redact.RULES) - {"email"}))
-    return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.sha2(redact.redacted(F.col("text"), policy)["text"], 256).alias("clean"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(redact.redacted(F.col("text"), policy)["text"], 256).alias("clean"))
 
 
 LUHN = """with d as (select event_id, lpad(cast(event_id * 7919 % 1000000007 * 1000003 + 4 as varchar), 16, '4') as digits from events),
@@ -308,23 +394,51 @@ def card_luhn(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", redact.luhn(digits).alias("valid"))
 
 
-@query("select cast(event_id % 8 as integer) as file_idx, 'logfmt' as format, count(*) as entry_count, count(*) as with_trace_id, cast(0 as bigint) as unresolved, cast(0 as bigint) as dropped, cast(count(*) as integer) as line_count from events group by 1")
+#: Every fifth line has no stamp, every third no trace, every seventh no user, and errors carry a password.
+UNEVEN = f"""concat(case when event_id % 5 = 0 then '' else concat('ts=', {STAMP}, 'Z ') end, 'level=', {LEVEL}, ' msg="event ', event_id, ' by u', user_id, '@shop.example" svc=svc.', event_type,
+  case when event_id % 7 = 0 then '' else concat(' user_id=', user_id) end, case when event_id % 3 = 0 then '' else concat(' trace_id=t', event_id) end, case when event_type = 'error' then concat(' password=p', event_id) else '' end)"""
+
+
+def uneven(spark: SparkSession, sf_dir: str, declared: bool = True) -> Ingested:
+    return ingest_all(sources(spark, sf_dir, "logfmt", UNEVEN, declared))
+
+
+@query(
+    """select cast(event_id % 8 as integer) as file_idx, 'logfmt' as format, count(*) as entry_count, count(*) filter (event_id % 3 <> 0) as with_trace_id, count(*) filter (event_id % 5 = 0) as unresolved,
+  cast(0 as bigint) as dropped, cast(count(*) as integer) as line_count from events group by 1"""
+)
 def file_report(spark, sf_dir):
-    files = read(spark, sf_dir, "logfmt").files.groupBy((F.col("file_idx") % FILES).cast("int").alias("file_idx"), "format")
+    files = uneven(spark, sf_dir).files.groupBy((F.col("file_idx") % FILES).cast("int").alias("file_idx"), "format")
     counts = [F.sum(c).cast("bigint").alias(c) for c in ("entry_count", "with_trace_id", "unresolved", "dropped")]
     return files.agg(*counts, F.sum("line_count").cast("int").alias("line_count"))
 
 
-@query("select count(*) as entry_count, cast(1.0 as double) as trace_coverage, cast(1.0 as double) as correlation_coverage from events")
+@query("select count(*) as entry_count, count(*) filter (event_id % 3 <> 0) / count(*) as trace_coverage, count(*) filter (event_id % 7 <> 0) / count(*) as correlation_coverage from events")
 def preview_summary(spark, sf_dir):
-    return read(spark, sf_dir, "logfmt").coverage.select("entry_count", "trace_coverage", "correlation_coverage")
+    return uneven(spark, sf_dir).coverage.select("entry_count", "trace_coverage", "correlation_coverage")
 
 
-@query(f"select level, count(*) as n from (select {LEVEL} as level from events) group by level")
+@query("select 'email' as rule, count(*) as n from events union all select 'secret_kv', count(*) from events where event_type = 'error'")
+def redaction_report(spark, sf_dir):
+    """What redaction replaced in messages and attributes, by rule."""
+    return uneven(spark, sf_dir).redactions
+
+
+LEVEL_COUNTS = f"""with t as (select event_id, event_id % 8 as f, {LEVEL} as level, event_type, user_id, case when event_id % 5 <> 0 then ts end as own from events),
+r as (select *, epoch_us(coalesce(last_value(own ignore nulls) over (partition by f order by event_id rows unbounded preceding), min(own) over (partition by f))) as us from t)
+select level, count(*) as n, count(*) as touched, cast(sum(us // 1000000) as bigint) as seconds, cast(sum(length('event ' || event_id || ' by [REDACTED:email]')) as bigint) as message_chars,
+  cast(sum(case when event_id % 7 = 0 then 0 else length(user_id::varchar) end + case when event_type = 'error' then 12 else 0 end) as bigint) as attribute_chars from r group by level"""
+
+
+@query(LEVEL_COUNTS)
 def level_counts(spark, sf_dir):
-    """Lines to detected format, entries, resolved time and redaction, then counts per level."""
-    result = ingest_all(sources(spark, sf_dir, "logfmt", declared=False))
-    return result.entries.groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+    """Lines to detected format, entries, resolved time and redaction; counts per level of all that these make."""
+    e = uneven(spark, sf_dir, declared=False).entries
+    values = F.aggregate(F.map_values("attributes"), F.lit(0), lambda n, v: n + F.length(v))
+    return e.groupBy("level").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("touched").alias("touched"), F.sum(F.floor(F.unix_micros(F.col("timestamp").cast("timestamp")) / 1_000_000)).cast("bigint").alias("seconds"),
+        F.sum(F.length("message")).alias("message_chars"), F.sum(values).cast("bigint").alias("attribute_chars"),
+    )
 
 
 RENDERED = f"""strftime(ts, '%Y-%m-%dT%H:%M:%S') || case when strftime(ts, '%f') <> '000000' then '.' || strftime(ts, '%f') else '' end || '+00:00 ' || rpad(upper({LEVEL}), 8, ' ') || ' svc.' || event_type || ': event ' || event_id || ' done'"""
@@ -344,9 +458,9 @@ def prompt_trim(spark, sf_dir):
     return prompts.transcript(read(spark, sf_dir, "logfmt", whole=True).entries, "file_id", max_chars=2000)
 
 
-@query("select doc_id, cast(round_even(length(text) / 3.4, 0) as bigint) as log_tokens, cast(round_even(length(text) / 3.9, 0) as bigint) as prose_tokens from documents where text is not null")
+@query("select doc_id, cast(round_even(length(text) / 3.4, 0) as bigint) as log_tokens, cast(round_even(length(text) / 3.9, 0) as bigint) as prose_tokens from documents")
 def token_estimates(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("text is not null")
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", prompts.log_tokens(F.length("text")).alias("log_tokens"), prompts.prose_tokens(F.length("text")).alias("prose_tokens"))
 
 
@@ -374,12 +488,11 @@ MODELS = ", ".join(f"('{m}', {i}::double, {o}::double, {c}, {r}::double)" for m,
 @query(
     f"""with st as ({STAGE_SQL}), t as (select event_id, sum(input_tokens) as i, sum(output_tokens) as o, max(input_tokens + output_tokens) as big from st group by event_id),
 m(model, ir, orr, ctx, ratio) as (values {MODELS}), x as (select event_id, model, cast(round_even(i * ratio, 0) as bigint) as ti, cast(round_even(o * ratio, 0) as bigint) as o2, ir, orr, round_even(big * ratio, 0) <= ctx as fits from t, m)
-select event_id, model, ti as input_tokens, o2 as output_tokens, ti * ir / 1e6 + o2 * orr / 1e6 as total_usd, fits as fits_context from x where event_id % 100 = 0"""
+select event_id, model, ti as input_tokens, o2 as output_tokens, ti * ir / 1e6 + o2 * orr / 1e6 as total_usd, fits as fits_context from x"""
 )
 def cost_catalog(spark, sf_dir):
-    """Prices of a forecast by model, for one event in a hundred: a report of samples."""
-    totals = cost.totals(forecasts(spark, sf_dir), "event_id").filter("event_id % 100 = 0")
-    return cost.priced(totals, "event_id").select("event_id", "model", "input_tokens", "output_tokens", "total_usd", "fits_context")
+    """Prices of each forecast by model."""
+    return cost.priced(cost.totals(forecasts(spark, sf_dir), "event_id"), "event_id").select("event_id", "model", "input_tokens", "output_tokens", "total_usd", "fits_context")
 
 
 @query(
