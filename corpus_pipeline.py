@@ -10,18 +10,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, jaccard, mixing, quality, sharding
-from tidemark.llm.common import bounded, table, token_count, work_table
+from tidemark.llm.common import bounded, table, work_table
 
 N_SHARDS = 24
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or a risk-controlled cutoff of their language reject go."""
+    """Documents that the base rules or a risk-controlled level of their language reject go.
+
+    Null and empty texts fail the base. Rows are judged one by one, repeated ones alike. Empty table: no rows.
+    """
     labels = table(spark, sf_dir, "labels")
     labelled = docs.join(bounded(work_table(quality.good_ids(labels), "good-ids"), 64), "doc_id", "left_semi")
     cutoffs = quality.fitted_cutoffs(quality.with_rates(quality.with_metrics(labelled, keep=["doc_id", "lang"])), labels)
-    judged = quality.verdict(quality.with_rates(quality.with_metrics(docs)), cutoffs, "lang")
-    return judged.filter("kept").select(*docs.columns)
+    whole = docs.withColumn("_doc", F.struct(*docs.columns))
+    judged = quality.verdict(quality.with_rates(quality.with_metrics(whole, keep=["lang", "_doc"])), cutoffs, "lang")
+    return judged.filter("kept").select("_doc.*")
 
 
 def row_key(docs: DataFrame) -> Column:
@@ -36,7 +40,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """The row with the smallest identifier of each component of near duplicates stays, in one copy.
 
     Rows are judged one by one, whether they have an identifier, share it or not. Rows that repeat an identifier and
-    its text are one.
+    its text are one. Null and empty texts are like nothing else. Empty table: no rows.
     """
     keyed = docs.withColumn("_row", row_key(docs))
     found = work_table(jaccard.jaccard_components(keyed.select("_row", "text"), key="_row"), "pipeline-components")
@@ -50,20 +54,35 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of ten words of a benchmark item go."""
+    """Documents that hold a window of ten words of a benchmark item go.
+
+    Null and empty texts hold none. Rows are judged one by one, repeated ones alike. Empty tables: no rows, or all stay.
+    """
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), n=10, action="documents")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    mixed = mixing.mix_sources(docs, size=token_count(F.col("text")), weight=mixing.quality_weight(F.col("text")))
-    return mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    """Documents as often as the mix takes them.
+
+    Null and empty texts have no words and are never taken. Rows that repeat an identifier are drawn together. Sources
+    by code point, null last. Empty table: no rows.
+    """
+    whole = docs.withColumn("_doc", F.struct(*docs.columns))
+    measured = quality.with_rates(quality.with_metrics(whole, keep=["doc_id", "source", "_doc"]))
+    mixed = mixing.mix_sources(measured, size=F.col("n_words"), weight=quality.quality_weight())
+    taken = mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies")))
+    return taken.select("_doc.*")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with virtual_slot and shard, by a slot map balanced for their bytes."""
+    """Documents with virtual_slot and shard, by a slot map balanced for their bytes.
+
+    Null texts count no bytes; rows of one identifier share a slot; columns of these names are replaced. Empty table:
+    no rows.
+    """
     slot_map = sharding.balanced_map(docs, "doc_id", sharding.record_size(F.col("text")), N_SHARDS)
-    return sharding.place(docs, "doc_id", slot_map).select(*docs.columns, "virtual_slot", "shard")
+    added = ("virtual_slot", "shard")
+    return sharding.place(docs, "doc_id", slot_map).select(*[c for c in docs.columns if c not in added], *added)
 
 
 STAGES = [
