@@ -4,14 +4,18 @@ A run is a Parquet table of (h1, h2, n, keeper) sorted by hash: ``n`` documents
 largest of them. Each new batch of documents is summed to one row per line and merge-anti-joined with the runs: a line
 that a run already counts in ``min_docs`` documents, with a keeper that the batch does not exceed, needs nothing more,
 and all other lines of the batch form a run of their own at level 0. Where a level has ``fanout`` runs they are merged
-into one of the next level. Sums and maxima make the outcome independent of batches and their order; within one table
-batches go from the largest identifiers down, so that most repeats meet a settled line.
+into one of the next level. Sums and maxima make the outcome independent of batches and their order; one table is cut
+into batches by a hash of the identifier, of whatever type it is, so that each document is in one batch.
+
+Lines found in more than ``HOT_DOCS`` documents are kept apart from the shuffle by which the others meet their count.
 
 The key of a line is the line without ASCII blanks at both ends, A-Z lower-cased; 128 bits of hash stand for it.
 
 Cases: null or empty text: one empty line. Lines shorter than ``min_chars`` always stay. Null identifiers count as one
 document below all others. Rows that repeat an identifier count as one document and are told apart by a hash of their
-text, so equal rows lose the same lines. Empty table: no rows. Other columns pass through.
+text, so equal rows lose the same lines. Very long texts are cut into lines whole, in one row each. Empty table: no
+rows. Other columns pass through, except those named like the ones added (n_lines, n_dropped); working columns carry
+the prefix ``_ld``.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import BLANKS, ascii_lower, scratch_path, shuffle_files_freed, work_table
 
 MAX_BROADCAST_BYTES = 32 << 20
+#: A line of more documents than this is not shuffled to its count.
+HOT_DOCS = 1_000
 
 
 class LineRuns:
@@ -70,54 +76,56 @@ class LineRuns:
             level += 1
 
     def repeated(self, id_type: str) -> DataFrame:
-        """(h1, h2, keeper) of lines in at least ``min_docs`` documents."""
-        return self.merged(self.rows(self.runs(), id_type)).filter(F.col("n") >= self.min_docs).drop("n")
+        """(h1, h2, n, keeper) of lines in at least ``min_docs`` documents; n is at most how many those are."""
+        return self.merged(self.rows(self.runs(), id_type)).filter(F.col("n") >= self.min_docs)
 
 
 def line_hashes(df: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
-    """(key, _text_hash, pos, h1, h2) of the lines whose key has at least ``min_chars`` code points."""
-    lines = df.select(F.col(key), F.xxhash64(text).alias("_text_hash"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("pos", "line"))
+    """(_ld_key, _ld_hash, pos, h1, h2) of the lines whose key has at least ``min_chars`` code points."""
+    lines = df.select(F.col(key).alias("_ld_key"), F.xxhash64(text).alias("_ld_hash"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("pos", "line"))
     keyed = lines.withColumn("line", ascii_lower(F.btrim("line", F.lit(BLANKS)))).filter(F.length("line") >= min_chars)
-    return keyed.select(key, "_text_hash", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2"))
+    return keyed.select("_ld_key", "_ld_hash", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2"))
+
+
+def _at_repeats(lines: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``lines`` that are among ``repeated``, with the keeper; hot lines meet it in a broadcast, if that is small."""
+    found = work_table(repeated.withColumnsRenamed({"h1": "_h1", "h2": "_h2"}), "repeated-lines")
+    same = (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))
+    hot = found.filter(F.col("n") > HOT_DOCS)
+    if not 0 < hot.count() * 64 <= MAX_BROADCAST_BYTES:
+        return lines.join(found, same)
+    others = lines.join(F.broadcast(hot), same, "left_anti").join(found.filter(F.col("n") <= HOT_DOCS), same)
+    return lines.join(F.broadcast(hot), same).unionByName(others)
 
 
 def dedup_lines(df: DataFrame, *, key: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 3) -> DataFrame:
     """``df`` with ``text`` less its repeated lines, n_lines (before) and n_dropped."""
     spark = df.sparkSession
-    id_type = df.schema[key].dataType.simpleString()
-    parts = [i / batches for i in range(1, batches)]
-    bounds = sorted(set(df.agg(F.percentile_approx(key, parts, 1000)).first()[0] or [])) if parts else []
-    batch_no = F.lit(len(bounds))
-    for i, b in enumerate(bounds):
-        batch_no = batch_no - F.when(F.col(key) > b, 1).otherwise(0)
     path = scratch_path(spark, "line-hashes")
-    line_hashes(df, key, text, min_chars).withColumn("batch", batch_no).write.partitionBy("batch").parquet(path)
-    schema = f"{key} {id_type}, _text_hash long, pos int, h1 long, h2 long, batch int"
-    lines = spark.read.schema(schema).parquet(path)
+    hashed = line_hashes(df, key, text, min_chars)
+    hashed.withColumn("batch", F.pmod(F.xxhash64("_ld_key"), F.lit(batches)).cast("int")).write.partitionBy("batch").parquet(path)
+    lines = spark.read.schema(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hashed.schema) + ", batch int").parquet(path)
 
     runs = LineRuns(spark, min_docs=min_docs, fanout=fanout)
-    for i in range(len(bounds) + 1):
-        runs.add(lines.filter(F.col("batch") == i), key)
-
-    repeated = runs.repeated(id_type).withColumnsRenamed({"h1": "_h1", "h2": "_h2"})
-    gone = lines.join(repeated, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))).filter(~F.col(key).eqNullSafe(F.col("keeper")))
-    dropped = work_table(
-        gone.groupBy(F.col(key).alias("_k"), F.col("_text_hash").alias("_h")).agg(F.collect_set("pos").alias("_dropped")), "dropped-lines"
-    )
-    size = dropped.agg(F.sum(F.size("_dropped") * 4 + 64)).first()[0] or 0
-    same = F.col(key).eqNullSafe(F.col("_k")) & (F.xxhash64(text) == F.col("_h"))
-    marked = df.drop("n_lines", "n_dropped").join(F.broadcast(dropped) if size <= MAX_BROADCAST_BYTES else dropped, same, "left").drop("_k", "_h")
+    for i in range(batches):
+        runs.add(lines.filter(F.col("batch") == i), "_ld_key")
+
+    gone = _at_repeats(lines, runs.repeated(hashed.schema["_ld_key"].dataType.simpleString())).filter(~F.col("_ld_key").eqNullSafe(F.col("keeper")))
+    dropped = work_table(gone.groupBy("_ld_key", "_ld_hash").agg(F.collect_set("pos").alias("_ld_dropped")), "dropped-lines")
+    size = dropped.agg(F.sum(F.size("_ld_dropped") * 4 + 64)).first()[0] or 0
+    same = F.col(key).eqNullSafe(F.col("_ld_key")) & (F.xxhash64(text) == F.col("_ld_hash"))
+    marked = df.drop("n_lines", "n_dropped").join(F.broadcast(dropped) if size <= MAX_BROADCAST_BYTES else dropped, same, "left").drop("_ld_key", "_ld_hash")
     return _without_lines(marked, text)
 
 
 def _without_lines(marked: DataFrame, text: str) -> DataFrame:
-    columns = [c for c in marked.columns if c != "_dropped"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema if f.name != "_dropped"] + ["n_lines long", "n_dropped long"])
+    columns = [c for c in marked.columns if c != "_ld_dropped"]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema if f.name != "_ld_dropped"] + ["n_lines long", "n_dropped long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, total, lost = [], [], []
-            for t, dropped in zip(batch.column(text).to_pylist(), batch.column("_dropped").to_pylist()):
+            for t, dropped in zip(batch.column(text).to_pylist(), batch.column("_ld_dropped").to_pylist()):
                 lines = (t or "").split("\n")
                 total.append(len(lines))
                 lost.append(len(dropped or ()))

@@ -8,10 +8,14 @@ crosses the budget, which is cut there.
 The running sum never gathers a source in one task: keys fall into ``buckets`` fixed ranges, the sums of the ranges
 give the range in which the budget ends, and only the rows of that range are sorted.
 
+Sources are groups of a corpus, not keys of rows: their targets are computed over one row for each source, in one task
+(10,000 sources are 1 MB). Rows may be as many as there are.
+
 Cases: null text or zero words: size 0, never selected for words. Null source: a source of its own, last in order.
-Null identifier: keyed as the empty string. Null or non-positive row weight: ``1e-9``. Rows that repeat an identifier
-and size share a key; if the cut falls on them they share the rest evenly. Empty table: no rows. Other columns pass
-through; working columns carry the prefix ``_mix``.
+Null identifier: keyed as the empty string. Null or non-positive row weight: ``1e-9``. Rows of equal key, as those that
+repeat an identifier, are in order of identifier and size; if the cut falls on equal ones they share the rest evenly.
+Very long texts count whole and may be cut by the budget. Empty table: no rows. Other columns pass through, except
+those named like the ones added (size, source_size, target, taken, copies); working columns carry the prefix ``_mix``.
 """
 
 from __future__ import annotations
@@ -21,17 +25,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import TOKEN, work_table
-
-#: A table of sources above this many rows is joined by shuffle instead of broadcast.
-MAX_BROADCAST_SOURCES = 100_000
-
+from tidemark.llm.common import work_table
 
-def quality_weight(text: Column) -> Column:
-    """A weight in (0, 1] that is largest where the words have about five characters on average."""
-    solid = F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", ""))
-    words = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(TOKEN))
-    return F.when(words > 0, 1 / (1 + F.abs(solid / words - 5))).otherwise(F.lit(1.0))
+MAX_BROADCAST_BYTES = 8 << 20
 
 
 def source_targets(sizes: DataFrame, source: str, weights: Sequence[float], share: float, max_epochs: int) -> DataFrame:
@@ -78,10 +74,10 @@ def mix_sources(
     draw = (F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), ident)), 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
     positive = F.when(weight > 0, weight).otherwise(F.lit(1e-9))
     rows = (
-        df.withColumn("size", size.cast("long"))
-        .withColumn("_mix_key", -F.log(draw) / positive)
-        .withColumn("_mix_id", ident)
+        df.withColumns({"_mix_size": size.cast("long"), "_mix_key": -F.log(draw) / positive, "_mix_id": ident})
         .withColumn("_mix_bucket", F.floor(F.col("_mix_key") / (1 + F.col("_mix_key")) * buckets).cast("int"))
+        .drop("size", "source_size", "target", "taken", "copies")
+        .withColumnRenamed("_mix_size", "size")
     )
     narrow = work_table(rows.select(F.col(source).alias("_mix_source"), "size", "_mix_key", "_mix_id", "_mix_bucket"), "mix-keys")
 
@@ -93,7 +89,8 @@ def mix_sources(
         .withColumn("_mix_budget", F.floor(F.col("target") - F.col("_mix_epochs") * F.col("source_size")).cast("long"))
     )
     targets = work_table(targets, "mix-targets")
-    small = targets.count() <= MAX_BROADCAST_SOURCES
+    weighed = targets.agg(F.sum(F.coalesce(F.octet_length(F.col("_mix_source").cast("string")), F.lit(0)) + 256)).first()[0] or 0
+    small = weighed <= MAX_BROADCAST_BYTES
 
     def of_source(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
         return left.join(F.broadcast(right) if small else right, on, "left")

@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, html_extract, jaccard, licenses, line_dedup, mixing, pii, quality, sharding, warc
-from tidemark.llm.common import table, text_or_empty, token_count, work_table
+from tidemark.llm.common import table, text_or_empty, work_table
+from tidemark.llm.oracles import ORACLES
 
 N_SHARDS = 24
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    mixed = mixing.mix_sources(docs, size=token_count(F.col("text")), weight=mixing.quality_weight(F.col("text")))
+    measured = quality.with_rates(quality.with_metrics(table(spark, sf_dir, "documents"), keep=["doc_id", "source"]))
+    rows = work_table(measured.select("doc_id", "source", "n_words", quality.quality_weight().alias("weight")), "mix-rows")
+    mixed = mixing.mix_sources(rows, size=F.col("n_words"), weight=F.col("weight"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -45,7 +47,7 @@ def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = warc.archive_and_read(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "captured", "archive", "offset")
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +59,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = decontam.with_contamination(docs, table(spark, sf_dir, "benchmark"), n=10)
     return marked.select(
         "doc_id",
-        F.regexp_count(text_or_empty("text"), F.lit(decontam.ANY_CASE_WORD)).cast("long").alias("n_words"),
+        "n_words",
         "n_hit",
         F.size("hit_items").cast("long").alias("n_items"),
         F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"),
@@ -100,4 +102,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
