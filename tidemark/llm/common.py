@@ -64,7 +64,7 @@ def work_table(df: DataFrame, label: str) -> DataFrame:
 
 
 #: What one of the many broadcasts of a query may weigh; the driver holds several at once.
-MAX_BROADCAST_BYTES = 8 << 20
+MAX_BROADCAST_BYTES = 16 << 20
 
 
 def bounded(df: DataFrame, row_bytes: int) -> DataFrame:

@@ -56,7 +56,7 @@ from tidemark.llm.components import connected
 #: A shingle of more nodes than this is frequent.
 FREQUENT = 32
 #: Members of a bucket that meet all others before strays do.
-PIVOTS = 6
+PIVOTS = 4
 #: Smallest signatures of a document that tell where a pair is emitted.
 LOWEST = 64
 SKETCH = [f"k{i}" for i in range(8)]
@@ -281,15 +281,15 @@ def beyond_index(tokens: DataFrame, listed: DataFrame, dense: DataFrame, frequen
     document of similar size if it does not come after the last one that documents of such sizes list.
     """
     band = F.floor(F.log("n") / -math.log((percent - 1) / 100)).cast("int")
-    others = listed.join(bounded(dense, 64), "node", "left_anti")
+    others = listed.join(bounded(dense, 32), "node", "left_anti")
     ends = others.groupBy(band.alias("_band")).agg(F.max(_in_order(F.col("token"))).alias("_end"))
     ends = ends.select(F.explode(F.array(*[F.col("_band") + i for i in (-1, 0, 1)])).alias("_band"), "_end").groupBy("_band").agg(F.max("_end").alias("_end"))
     ends = bounded(work_table(ends, "list-ends"), 64)
     need = _need(percent)
     far = tokens.filter(F.col("pos") >= F.least("n", need + F.floor(need / 4) + 4)).withColumn("_b", band).join(ends, F.col("_b") == F.col("_band")).filter(_in_order(F.col("token")) <= F.col("_end"))
-    far = work_table(far.select("token", "node", "n").join(bounded(frequent, 64), "token", "left_anti"), "far-shingles")
+    far = work_table(far.select("token", "node", "n").join(bounded(frequent, 32), "token", "left_anti"), "far-shingles")
     reached = work_table(far.select("token").distinct(), "far-tokens")
-    known = others.select("token", "node", "n").join(bounded(reached, 64), "token", "left_semi")
+    known = others.select("token", "node", "n").join(bounded(reached, 32), "token", "left_semi")
     return far.unionByName(known).withColumnRenamed("token", "sig")
 
 
@@ -327,10 +327,10 @@ class Corpus:
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """(node, n, shingles) of the nodes of ``wanted`` (node), read again from the texts."""
-        ids = work_table(self.nodes.join(bounded(wanted, 64), "node", "left_semi").select(F.col("first_id").alias("_id")), "wanted-ids")
+        ids = work_table(self.nodes.join(bounded(wanted, 32), "node", "left_semi").select(F.col("first_id").alias("_id")), "wanted-ids")
         texts = self.df.join(bounded(ids, 64), F.col(self.key) == F.col("_id"), "left_semi")
         found = told_apart(whole_sets(texts, self.key, self.text, self.shingle), self.clashes).drop("twin")
-        return work_table(found.join(bounded(wanted, 64), "node", "left_semi").dropDuplicates(["node"]), "whole-sets")
+        return work_table(found.join(bounded(wanted, 32), "node", "left_semi").dropDuplicates(["node"]), "whole-sets")
 
     def index(self) -> DataFrame:
         """(sig, node, n): two linked nodes have a signature in common."""
@@ -342,7 +342,7 @@ class Corpus:
 
     def with_ends(self, pairs: DataFrame, columns: list[str]) -> DataFrame:
         """``pairs`` (a, b) with those columns of both ends, named a... and b...; reps are not shuffled for few pairs."""
-        few = bounded(pairs.select("a", "b"), 64)
+        few = bounded(pairs.select("a", "b"), 48)
         first, second = (_side(self.reps.select("node", *columns), side).join(few, F.col(f"{side}node") == F.col(side)).drop(f"{side}node") for side in "ab")
         return first.join(second, ["a", "b"])
 
@@ -390,7 +390,7 @@ class Links:
 
     def with_component(self, df: DataFrame, node: str, name: str) -> DataFrame:
         roots = self.roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
-        return df.join(bounded(roots, 64), F.col(node) == F.col("_node"), "left").withColumn(name, F.coalesce("_root", node)).drop("_node", "_root")
+        return df.join(bounded(roots, 48), F.col(node) == F.col("_node"), "left").withColumn(name, F.coalesce("_root", node)).drop("_node", "_root")
 
     def apart(self, pairs: DataFrame) -> DataFrame:
         """The ``pairs`` (a, b, distance) whose ends are in different components."""
@@ -400,9 +400,8 @@ class Links:
 
 def with_pivots(index: DataFrame) -> DataFrame:
     """``index`` (sig, node, n) with the pivots of each bucket; buckets of one node are left out."""
-    h = F.xxhash64("node")
-    me = F.struct(h.alias("h"), "node", "n")
-    best = [F.min(F.when(F.pmod(h, F.lit(PIVOTS)) == i, me)).alias(f"p{i}") for i in range(PIVOTS)]
+    me = F.struct("node", "n")  # names of nodes are hashes, so their order is as good as any
+    best = [F.min(F.when(F.pmod("node", F.lit(PIVOTS)) == i, me)).alias(f"p{i}") for i in range(PIVOTS)]
     chosen = index.groupBy("sig").agg(*best, F.min("node").alias("low"), F.max("node").alias("high")).filter("low != high")
     return index.join(chosen.select("sig", F.array_compact(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("pivots")), "sig")
 
@@ -451,7 +450,7 @@ def jaccard_components(df: DataFrame, *, key: str = "doc_id", text: str = "text"
         raise ValueError("percent is from 50 to 99")
     corpus = Corpus(df, key, text, shingle, percent)
     roots = linked(corpus)
-    named = corpus.nodes.join(bounded(roots, 64), "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    named = corpus.nodes.join(bounded(roots, 48), "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     joined = named.join(bounded(work_table(roots.select("root").distinct(), "root-names"), 64), "root", "left_semi")
     least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_node = named.join(least, "root", "left").select("node", F.coalesce("component_id", "first_id").alias("component_id"))
