@@ -29,13 +29,20 @@ def strip(text: Column, chars: str = " \t\n\r\x0b\x0c") -> Column:
 
 
 def json_string(text: Column) -> Column:
-    """The JSON text of a string."""
-    return let(F.when(text.isNotNull(), F.to_json(F.array(text))), lambda x: F.substr(x, F.lit(2), F.length(x) - 2))
+    """The JSON text of a string; most need no escapes."""
+    escaped = let(F.to_json(F.array(text)), lambda x: F.substr(x, F.lit(2), F.length(x) - 2))
+    return F.when(F.rlike(text, F.lit(r'["\\\x00-\x1f\x7f\u2028\u2029]')), escaped).when(text.isNotNull(), F.concat(F.lit('"'), text, F.lit('"')))
 
 
 def json_plain(value: Column) -> Column:
     """The text of a JSON scalar: strings without quotes, other values as they are; null for JSON null."""
-    return let(value, lambda v: F.when(F.startswith(v, F.lit('"')), F.get_json_object(F.concat(F.lit('{"x":'), v, F.lit("}")), "$.x")).when(v != "null", v))
+
+    def plain(v: Column) -> Column:
+        quoted = F.startswith(v, F.lit('"'))
+        bare = F.substr(v, F.lit(2), F.length(v) - 2)
+        return F.when(quoted & ~F.contains(v, F.lit("\\")), bare).when(quoted, F.get_json_object(F.concat(F.lit('{"x":'), v, F.lit("}")), "$.x")).when(v != "null", v)
+
+    return let(value, plain)
 
 
 def file_stem(name: Column) -> Column:
@@ -50,11 +57,16 @@ def scalar_json(raw: Column) -> Column:
     """The JSON text of a bare token: booleans, nulls, integers and decimals typed, anything else a string."""
     def typed(r: Column) -> Column:
         number = F.regexp_replace(r, r"^\+", "")
+        word = F.lower(r)
         return (
-            F.when(F.rlike(r, F.lit(r"^[+-]?\d{1,18}$")), number.try_cast("bigint").cast("string"))
-            .when(F.rlike(r, F.lit(r"^[+-]?\d+\.?\d*(?:[eE][+-]?\d+)?$")), number.try_cast("double").cast("string"))
-            .when(F.rlike(r, F.lit("(?i)^(?:true|false)$")), F.lower(r))
-            .when(F.rlike(r, F.lit("(?i)^(?:null|nil|none)$")), F.lit("null"))
+            F.when(
+                F.rlike(r, F.lit(r"^[+-]?\d")),
+                F.when(F.rlike(r, F.lit(r"^[+-]?\d{1,18}$")), number.try_cast("bigint").cast("string"))
+                .when(F.rlike(r, F.lit(r"^[+-]?\d+\.?\d*(?:[eE][+-]?\d+)?$")), number.try_cast("double").cast("string"))
+                .otherwise(json_string(r)),
+            )
+            .when(word.isin("true", "false"), word)
+            .when(word.isin("null", "nil", "none"), F.lit("null"))
             .otherwise(json_string(r))
         )
 

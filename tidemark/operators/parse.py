@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import levels, stamps
-from tidemark.functions.text import empty_map, groups, json_plain, json_string, map_of, over, scalar_json, strip
+from tidemark.functions.text import empty_map, groups, json_plain, json_string, let, map_of, over, scalar_json, strip
 from tidemark.operators import fold
 from tidemark.operators.detect import as_object, texts_of
 from tidemark.schema import FORMATS
@@ -81,8 +81,14 @@ def filled(text: Column) -> Column:
 
 def last_wins(entries: Column) -> Column:
     """A map of (key, value) structs; of equal keys the last holds."""
-    keys = F.transform(entries, lambda x: x.key)
-    return F.map_from_entries(F.filter(entries, lambda x, i: x.key.isNotNull() & ~F.array_contains(F.slice(keys, i + 2, F.size(entries)), x.key)))
+
+    def chosen(pairs: Column) -> Column:
+        keys = F.transform(pairs, lambda x: x.key)
+        last = F.filter(pairs, lambda x, i: x.key.isNotNull() & ~F.array_contains(F.slice(keys, i + 2, F.size(pairs)), x.key))
+        simple = (F.size(F.array_distinct(keys)) == F.size(pairs)) & ~F.exists(keys, lambda k: k.isNull())
+        return F.map_from_entries(F.when(simple, pairs).otherwise(last))
+
+    return let(entries, chosen)
 
 
 def with_extra(message: Column) -> Column:
@@ -102,7 +108,7 @@ def unwrap(v: str, depth: int = 2) -> str:
         key = f"substr(to_json(array({x}.key)), 2, length(to_json(array({x}.key))) - 2)"
         cases += f"""WHEN startswith({v}, '{{"arrayValue":') THEN concat('[', array_join(transform({values}, {x} -> {unwrap(x, depth - 1)}), ','), ']') """
         cases += f"""WHEN startswith({v}, '{{"kvlistValue":') THEN concat('{{', array_join(transform({pairs}, {x} -> concat({key}, ':', {unwrap(f"{x}.value", depth - 1)})), ','), '}}') """
-    return f"CASE {cases} ELSE {v} END"
+    return f"""CASE WHEN NOT startswith({v}, '{{"') THEN {v} {cases} ELSE {v} END"""
 
 
 def unwrapped(values: str) -> str:
@@ -377,7 +383,8 @@ def _first(keys: Column) -> Column:
 
 def plain_of(value: str) -> str:
     """SQL for the text of a JSON value: strings without quotes; null for JSON null."""
-    return f"""CASE WHEN startswith({value}, '"') THEN get_json_object(concat('{{"x":', {value}, '}}'), '$.x') WHEN {value} != 'null' THEN {value} END"""
+    bare = f"substr({value}, 2, length({value}) - 2)"
+    return f"""CASE WHEN startswith({value}, '"') AND NOT contains({value}, r'\\') THEN {bare} WHEN startswith({value}, '"') THEN get_json_object(concat('{{"x":', {value}, '}}'), '$.x') WHEN {value} != 'null' THEN {value} END"""
 
 
 def identity(value: str) -> Column:
