@@ -12,6 +12,7 @@ from tidemark.functions.text import groups, let
 STAMP = "struct<ts:timestamp_ntz,offset_s:int>"
 NONE = "cast(null as struct<ts:timestamp_ntz,offset_s:int>)"
 
+# The shapes of a stamp at the head of a line.
 ISO = r"(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2}:\d{2})(?:[.,](\d{1,9}))?(Z|[+-]\d{2}:?\d{2})?)"
 CLF = r"(\d{2}/[A-Za-z]{3}/\d{4}:\d{2}:\d{2}:\d{2}\s*[+-]\d{4})"
 SYSLOG = r"([A-Z][a-z]{2}\s+\d{1,2} \d{2}:\d{2}:\d{2})"

@@ -27,6 +27,10 @@ SYSLOG_LINE = r"(?s)^(?:<(\d{1,3})>)?([A-Z][a-z]{2}\s+\d{1,2} \d{2}:\d{2}:\d{2})
 CRI_LINE = r"(?s)^(\d{4}-\d{2}-\d{2}T[\d:.]+(?:Z|[+-]\d{2}:\d{2}))\s+(stdout|stderr)\s+([FP])\s(.*)$"
 LOGFMT_PAIR = r"""([A-Za-z_][\w.\-]*)=("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|[^\s]*)"""
 
+# Marks of what is left out of a line and of an event.
+LINE_MARK = " …[line truncated]"
+CAP_MARK = f"…[{MAX_CONTINUATIONS}-line continuation cap reached]"
+
 CONTEXT = ["file_id", "file_idx", "service", "service_declared", "role", "format", "flavor"]
 
 
@@ -59,7 +63,7 @@ def fold(sources: DataFrame, formats: Iterable[str] = FORMATS) -> DataFrame:
     """(CONTEXT, line_no, line, extra, raw) per event of described sources with format and flavor."""
     lines = lines_of(sources, *CONTEXT)
     whole = F.col("format").isin("json", "cri") | (F.length("line") <= MAX_LINE_CHARS)
-    lines = lines.withColumn("line", F.when(whole, F.col("line")).otherwise(F.concat(F.left("line", F.lit(MAX_LINE_CHARS)), F.lit(" …[line truncated]"))))
+    lines = lines.withColumn("line", F.when(whole, F.col("line")).otherwise(F.concat(F.left("line", F.lit(MAX_LINE_CHARS)), F.lit(LINE_MARK))))
     in_file = Window.partitionBy("file_idx").orderBy("line_no")
     before = F.lag("line").over(in_file)
     lines = lines.withColumn("previous", before)
@@ -67,6 +71,6 @@ def fold(sources: DataFrame, formats: Iterable[str] = FORMATS) -> DataFrame:
     lines = lines.withColumn("event", F.sum(F.col("start").cast("int")).over(in_file))
     events = lines.groupBy(*CONTEXT, "event").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("all"))
     rest = F.transform(F.slice("all", 2, MAX_CONTINUATIONS), lambda x: x.line)
-    marked = F.when(F.size("all") > MAX_CONTINUATIONS + 1, F.concat(rest, F.array(F.lit(f"…[{MAX_CONTINUATIONS}-line continuation cap reached]")))).otherwise(rest)
+    marked = F.when(F.size("all") > MAX_CONTINUATIONS + 1, F.concat(rest, F.array(F.lit(CAP_MARK)))).otherwise(rest)
     folded = events.select(*CONTEXT, F.col("all")[0]["line_no"].alias("line_no"), F.col("all")[0]["line"].alias("line"), F.when(F.col("format") == "cri", F.transform(F.slice("all", 2, 1 << 30), lambda x: x.line)).otherwise(marked).alias("extra"))
     return folded.withColumn("raw", F.when(F.size("extra") > 0, F.concat("line", F.lit("\n"), F.array_join("extra", "\n"))).otherwise(F.col("line")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LOG_CHARS_PER_TOKEN, PROSE_CHARS_PER_TOKEN = 3.4, 3.9
@@ -21,29 +21,32 @@ def rendered(entries: DataFrame) -> DataFrame:
     return entries.withColumn("rendered", line)
 
 
-def trimmed(body: Column, max_chars: int = 60_000) -> Column:
-    """``body``, or its first and last half with a note on how much of the middle is left out."""
-    half = max_chars // 2
-    note = F.concat(F.lit("\n\n… ["), F.format_number(F.length(body) - max_chars, 0), F.lit(" characters of the middle omitted] …\n\n"))
-    return F.when(F.length(body) <= max_chars, body).otherwise(F.concat(F.left(body, F.lit(half)), note, F.right(body, F.lit(half))))
+def left_out(chars: Column) -> Column:
+    # Fixed value: the note that stands for the middle of a long transcript.
+    return F.concat(F.lit("\n\n… ["), F.format_number(chars, 0), F.lit(" characters of the middle omitted] …\n\n"))
 
 
 def transcript(entries: DataFrame, *by: str, max_chars: int = 60_000) -> DataFrame:
-    """(by, prompt): the entries of a group in the order of the timeline, trimmed. A group is one batch or file."""
-    keyed = F.struct("timestamp", "file_id", "line_no", "seq", "rendered")
-    gathered = rendered(entries).groupBy(*by).agg(F.array_sort(F.collect_list(keyed), _in_time).alias("all"))
-    body = F.array_join(F.transform("all", lambda x: x.rendered), "\n")
-    return gathered.select(*by, trimmed(body, max_chars).alias("prompt"))
+    """(by, prompt): the entries of a group in the order of the timeline, or its first and last half of ``max_chars``.
 
+    Offsets of lines tell which of them reach into a half; no others are gathered.
+    """
+    half = max_chars // 2
+    in_order = Window.partitionBy(*by).orderBy(F.col("timestamp").asc_nulls_first(), "file_id", "line_no", "seq")
+    size = F.length("rendered") + 1
+    placed = rendered(entries).withColumns(
+        {"until": F.sum(size).over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - 1, "total": F.sum(size).over(Window.partitionBy(*by)) - 1, "place": F.row_number().over(in_order)}
+    )
+    head, tail = F.col("until") - F.length("rendered") < half, F.col("until") > F.col("total") - half
+    near = placed.filter(head | tail | (F.col("total") <= max_chars)).withColumns({"head": head, "tail": tail})
+    all_of = near.groupBy(*by, "total").agg(F.array_sort(F.collect_list(F.struct("place", "rendered", "head", "tail"))).alias("all"))
 
-def _in_time(a: Column, b: Column) -> Column:
-    def step(x: Column, y: Column, then: Column) -> Column:
-        return F.when(x < y, -1).when(x > y, 1).otherwise(then)
+    def joined(keep: str | None = None) -> Column:
+        rows = F.filter("all", lambda x: x[keep]) if keep else F.col("all")
+        return F.array_join(F.transform(rows, lambda x: x.rendered), "\n")
 
-    ties = step(a.file_id, b.file_id, step(a.line_no, b.line_no, step(a.seq, b.seq, F.lit(0))))
-    return F.when(a.timestamp.isNull() & b.timestamp.isNotNull(), -1).when(a.timestamp.isNotNull() & b.timestamp.isNull(), 1).otherwise(
-        F.coalesce(F.when(a.timestamp < b.timestamp, -1).when(a.timestamp > b.timestamp, 1), ties)
-    )
+    cut = F.concat(F.left(joined("head"), F.lit(half)), left_out(F.col("total") - max_chars), F.right(joined("tail"), F.lit(half)))
+    return all_of.select(*by, F.when(F.col("total") <= max_chars, joined()).otherwise(cut).alias("prompt"))
 
 
 def log_tokens(chars: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions import levels, stamps
-from tidemark.operators.fold import CONTINUATION
+from tidemark.operators.fold import CAP_MARK, CONTINUATION
 from tidemark.schema import MAX_CONTINUATIONS
 
 EVENT = "name string, line_no long, line string, extra array<string>"
@@ -20,8 +20,8 @@ STATE = "next_no long, line_no long, line string, extra array<string>"
 def fold_stream(lines: DataFrame, timeout: str = "30 seconds") -> DataFrame:
     """EVENT rows from a stream of (name, line): continuation lines join the event before them.
 
-    The open event of a file is its state; it is emitted by the line that follows it, or after ``timeout`` without
-    new lines.
+    The open event of a file and the number of its last line are its state; the event is emitted by the line that
+    follows it, or after ``timeout`` without new lines. Lines beyond the cap of an event leave one mark.
     """
     import re
 
@@ -31,7 +31,7 @@ def fold_stream(lines: DataFrame, timeout: str = "30 seconds") -> DataFrame:
         number, at, open_line, extra = state.get if state.exists else (0, 0, None, [])
         extra, out = list(extra), []
         if state.hasTimedOut:
-            state.remove()
+            state.update((number, 0, None, []))  # lines to come count on
             yield pd.DataFrame({"name": [key[0]], "line_no": [at], "line": [open_line], "extra": [extra]})
             return
         for batch in batches:
@@ -40,8 +40,8 @@ def fold_stream(lines: DataFrame, timeout: str = "30 seconds") -> DataFrame:
                 if not line or not line.strip():
                     continue
                 if open_line is not None and continues.match(line):
-                    if len(extra) < MAX_CONTINUATIONS:
-                        extra.append(line)
+                    if len(extra) <= MAX_CONTINUATIONS:
+                        extra.append(line if len(extra) < MAX_CONTINUATIONS else CAP_MARK)
                     continue
                 if open_line is not None:
                     out.append((key[0], at, open_line, extra))
