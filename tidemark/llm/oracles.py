@@ -32,7 +32,7 @@ lines as (select rid, unnest(string_split(t, chr(10))) line from docs),
 line_counts as (select rid, count(*) n_lines, count(*) filter (trim(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') <> '')
     - count(distinct line) filter (trim(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') <> '') n_dup_lines from lines group by rid),
 metrics as (
-    select d.rid, doc_id, lang, source, len(w)::bigint n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint word_chars,
+    select d.rid, doc_id, lang, source, hash(t) text_hash, len(w)::bigint n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint word_chars,
         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint n_symbols, n_dup_lines::bigint n_dup_lines, coalesce(i.n, 0)::bigint n_repeat_words, n_lines
     from docs d join line_counts using (rid) left join inside i using (rid)),
 rated as (
@@ -47,10 +47,9 @@ _OVER = " or ".join(f"{r} > cut_{r}" for r in RATES)
 _OP10 = f"""
 with {_METRICS},
 good as (select doc_id from labels group by doc_id having min(quality) = 1),
-worst as (
-    select distinct * exclude (doc_id) from (
-        select doc_id, lang, {', '.join(f'max({c}) {c}' for c in ('n_words', 'word_chars', 'n_symbols', 'n_dup_lines', 'n_repeat_words', 'n_lines', *RATES))}
-        from rated semi join good using (doc_id) where not base_failed group by doc_id, lang)),
+texts as (
+    select lang, text_hash, min(doc_id) doc_id, {', '.join(f'max({c}) {c}' for c in RATES)} from rated semi join good using (doc_id) where not base_failed group by lang, text_hash),
+worst as (select doc_id, lang, {', '.join(f'max({c}) {c}' for c in RATES)} from texts group by doc_id, lang),
 levels(level, {', '.join(f'cut_{r}' for r in RATES)}) as (values {_LEVEL_ROWS}),
 counts as (select lang, level, count(*) n, count(*) filter ({_OVER}) k from worst, levels group by lang, level),
 strata as (select count(*) s from (select distinct lang from worst)),

@@ -1,8 +1,8 @@
 """Quality rules with risk-controlled thresholds.
 
 Per text: words, symbols, repeated lines and repeated word triples, from which come rates. Labelled documents of
-quality 1 are the holdout, one draw for each distinct text of an identifier's worst row; equal texts under several
-identifiers are one draw too. ``LEVELS`` are sets of cutoffs for all rates, each stricter than the one before. Per
+quality 1 are the holdout: an identifier is one draw, with the highest rates of its rows, and equal texts under several
+identifiers are one draw. ``LEVELS`` are sets of cutoffs for all rates, each stricter than the one before. Per
 stratum they are tried in this order, and a level is accepted while the exact binomial test shows that at most
 ``alpha`` of the good documents of the stratum exceed any of its cutoffs. The last accepted level rules; a stratum
 without enough labels gets none and rejects nothing beyond the base. Testing stops at the first failure
@@ -83,10 +83,11 @@ def repeated_words(words: list[bytes]) -> int:
 
 
 def with_metrics(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``df`` (or its columns ``keep``) with METRICS as longs."""
-    kept = [c for c in (df.columns if keep is None else keep) if c not in METRICS]
-    needed = df.select(*kept, *([F.col(text).alias("_metrics_text")]))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema] + [f"{m} long" for m in METRICS])
+    """``df`` (or its columns ``keep``) with METRICS and text_hash as longs."""
+    names = [c for c in (df.columns if keep is None else keep) if c not in [*METRICS, "text_hash"]]
+    kept = [*names, "text_hash"]
+    needed = df.select(*names, F.xxhash64(text).alias("text_hash"), F.col(text).alias("_metrics_text"))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in needed.select(*kept).schema] + [f"{m} long" for m in METRICS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,9 +184,9 @@ def verdict(rated: DataFrame, cutoffs: DataFrame, stratum: str) -> DataFrame:
 
 
 def independent(good: DataFrame, key: str, stratum: str) -> DataFrame:
-    """One row for each document of a stratum: the highest rates of its rows; documents of equal metrics are one."""
-    worst = good.groupBy(key, stratum).agg(*[F.max(c).alias(c) for c in [*METRICS, *RATES]])
-    return worst.dropDuplicates([stratum, *METRICS])
+    """One row for each document of a stratum, with the highest rates of its rows; documents of equal texts are one."""
+    highest = [F.max(c).alias(c) for c in RATES]
+    return good.groupBy(stratum, "text_hash").agg(F.min(key).alias(key), *highest).groupBy(key, stratum).agg(*highest)
 
 
 def fitted_cutoffs(rated: DataFrame, labels: DataFrame, *, key: str = "doc_id", stratum: str = "lang", alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
