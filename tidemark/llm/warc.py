@@ -1,22 +1,27 @@
 """WARC archives and a globally ordered capture index.
 
 Writing: payloads that repeat (equal digest, at least ``min_bytes``) are written once, as a response of the smallest
-page; the others become revisit records that refer to it. Records are built with column functions and written by
-Spark's text writer, one gzip archive per task, in the shared folder.
+page; the others become revisit records that refer to it. Each record is a gzip member of its own. Spark's text writer
+puts them into archives of about ``archive_bytes`` in the shared folder; what it writes between them is an empty gzip
+member, so an archive is one gzip file, and a record can be read alone from its ``offset`` and ``length``.
 
-Reading: each archive is cut into records by Content-Length, payload digests are verified, and the captures of an
-archive are sorted by (URL key, timestamp, page): a run. ``merge_runs`` deals all runs to key ranges and merges the
-runs within each range by a tree of losers, so that the ranges in their order are the whole capture history.
+Reading: each archive is walked member by member, payload digests are verified, and the captures of an archive are
+sorted by (URL key, timestamp, page): a run. ``merge_runs`` deals all runs to key ranges of about ``RANGE_ROWS``
+captures, puts the rows of a run back into the order they have in it, and merges the runs of each range by a tree of
+losers, so that the ranges in their order are the whole capture history. The ranges are cut by the whole order, so one
+very common URL is spread over many.
 
 Cases: null html: empty payload; null URL: empty; line breaks in a URL are dropped. Null page: always a response, last
-among equals. Rows that repeat page and payload are all responses or all revisits. Empty table: no archive, no
-captures. Input columns other than page, URL and html are not archived.
+among equals. Rows that repeat page and payload are all responses or all revisits. Very long pages: an archive is as
+long as its longest record at least; records are compressed and read one at a time. Empty table: no archive, no
+captures. Input columns other than page, URL and html are not archived, so none can clash.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,7 +33,11 @@ from tidemark.llm.common import scratch_path, work_table
 #: Capture times count from here, one second a page, where the input has none.
 FIRST_CAPTURE = 1_704_067_200
 MAX_BROADCAST_BYTES = 32 << 20
-CAPTURE = "archive string, offset long, length long, record_id string, refers_id string, record_type string, page_id long, url string, urlkey string, captured string, payload_bytes long, payload_digest string, refers_to long"
+#: Captures that one task merges.
+RANGE_ROWS = 100_000
+#: An empty gzip member: what stands between records.
+BETWEEN = gzip.compress(b"", mtime=0)
+CAPTURE = "archive string, offset long, length long, place long, record_id string, refers_id string, record_type string, page_id long, url string, urlkey string, captured string, payload_bytes long, payload_digest string, refers_to long"
 FIELDS = [f.split()[0] for f in CAPTURE.split(", ")]
 
 
@@ -56,7 +65,7 @@ def with_first(pages: DataFrame, min_bytes: int) -> DataFrame:
 
 
 def record(captured: Column) -> Column:
-    """The text of a WARC record, without the two line ends that follow it."""
+    """The text of a WARC record."""
     end = "\r\n"
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{end}Content-Type: text/html; charset=UTF-8{end}Content-Length: "), F.octet_length("payload"), F.lit(end + end))
     revisit = F.col("first").isNotNull()
@@ -74,15 +83,26 @@ def record(captured: Column) -> Column:
         F.when(revisit, refers).otherwise(""),
         F.concat(F.lit(f"{end}Content-Type: application/http; msgtype=response{end}Content-Length: "), F.octet_length(block), F.lit(end + end)),
         block,
+        F.lit(end + end),
     ]
     return F.concat(*lines)
 
 
-def write_archives(pages: DataFrame, path: str, *, min_bytes: int = 100, captured: Column | None = None, records_per_archive: int = 20_000) -> None:
+def write_archives(pages: DataFrame, path: str, *, min_bytes: int = 100, captured: Column | None = None, archive_bytes: int = 32 << 20) -> None:
     if captured is None:
         captured = F.date_format(F.timestamp_seconds(F.coalesce("page_id", F.lit(0)) + FIRST_CAPTURE), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    rows = with_first(pages, min_bytes).select(record(captured).alias("value"))
-    rows.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_archive).text(path)
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        written = 0
+        for batch in batches:
+            for text in batch.column(0):
+                member = gzip.compress(text.as_py().encode(), mtime=0)
+                yield pa.RecordBatch.from_arrays([pa.array([member], pa.binary()), pa.array([written // archive_bytes], pa.int64())], ["value", "volume"])
+                written += len(member) + len(BETWEEN)
+
+    made = with_first(pages, min_bytes).select(record(captured).alias("value")).mapInArrow(members, "value binary, volume long")
+    between = {"encoding": "ISO-8859-1", "lineSep": BETWEEN.decode("latin-1")}
+    made.select(F.col("value").cast("string"), "volume").write.partitionBy("volume").options(**between).text(path)
 
 
 def url_key(url: str) -> str:
@@ -94,29 +114,43 @@ def url_key(url: str) -> str:
     return ",".join(reversed(labels)) + (f":{port}" if port not in ("", "80", "443") else "") + ")" + slash + path
 
 
+def members_of(content: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, data) of the gzip members that hold anything."""
+    view, at = memoryview(content), 0
+    while at < len(view):
+        reader, data, end = zlib.decompressobj(31), [], at
+        while not reader.eof and end < len(view):
+            data.append(reader.decompress(view[end : end + 65536]))
+            end = min(end + 65536, len(view))
+        if not reader.eof:
+            raise ValueError(f"the member at {at} is cut off")
+        end -= len(reader.unused_data)
+        if whole := b"".join(data):
+            yield at, end - at, whole
+        at = end
+
+
 def captures_of(archive: str, content: bytes) -> list[tuple]:
     """The captures of one archive as CAPTURE rows, sorted: a run."""
-    data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-    rows, at = [], 0
-    while at < len(data):
-        split = data.index(b"\r\n\r\n", at)
-        fields = dict(line.split(": ", 1) for line in data[at:split].decode().split("\r\n")[1:])
+    rows = []
+    for at, length, data in members_of(content):
+        split = data.index(b"\r\n\r\n")
+        fields = dict(line.split(": ", 1) for line in data[:split].decode().split("\r\n")[1:])
         end = split + 4 + int(fields["Content-Length"])
         body = data.index(b"\r\n\r\n", split + 4, end) + 4
         digest, size = fields["WARC-Payload-Digest"].removeprefix("sha256:"), None
         if fields["WARC-Type"] == "response":
             size = end - body
-            if hashlib.sha256(data[body:end]).hexdigest() != digest:
+            if hashlib.sha256(memoryview(data)[body:end]).hexdigest() != digest:
                 raise ValueError(f"{archive}: the record at {at} has another payload than its digest says")
         page = fields.get("X-Page-ID")
         url = fields["WARC-Target-URI"]
-        rows.append((archive, at, end - at, fields["WARC-Record-ID"], fields.get("WARC-Refers-To"), fields["WARC-Type"], int(page) if page else None, url, url_key(url), fields["WARC-Date"], size, digest, None))
-        at = end + 4
-    return sorted(rows, key=capture_key)
+        rows.append((archive, at, length, 0, fields["WARC-Record-ID"], fields.get("WARC-Refers-To"), fields["WARC-Type"], int(page) if page else None, url, url_key(url), fields["WARC-Date"], size, digest, None))
+    return [(*row[:3], place, *row[4:]) for place, row in enumerate(sorted(rows, key=capture_key))]
 
 
 def capture_key(row: tuple) -> tuple:
-    return row[8], row[9], row[6] is None, row[6] or 0, row[0], row[1]
+    return row[9], row[10], row[7] is None, row[7] or 0, row[0], row[1]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -131,9 +165,9 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for archive, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-                yield _batch(captures_of(archive.rsplit("/", 1)[-1], content.as_py()))
+                yield _batch(captures_of("/".join(archive.rsplit("/", 2)[-2:]), content.as_py()))
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(path)
     return files.select("path", "content").mapInArrow(run, CAPTURE)
 
 
@@ -162,11 +196,13 @@ def losers_merge(runs: list[list], key) -> Iterator:
             node //= 2
 
 
-def merge_runs(runs: DataFrame, partitions: int | None = None) -> DataFrame:
+def merge_runs(runs: DataFrame) -> DataFrame:
     """CAPTURE rows in the order of (URL key, timestamp, page) over partitions and within them."""
     names = FIELDS
     order = ["urlkey", "captured", F.col("page_id").asc_nulls_last(), "archive", "offset"]
-    dealt = runs.repartitionByRange(*([partitions] if partitions else []), *order).sortWithinPartitions("archive", *order[:3], "offset")
+    ranges = max(1, -(-runs.count() // RANGE_ROWS))
+    # Rows of a run arrive in any order; its places put them back into its own.
+    dealt = runs.repartitionByRange(ranges, *order).sortWithinPartitions("archive", "place")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, list[tuple]] = {}
