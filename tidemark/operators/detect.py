@@ -57,14 +57,14 @@ def texts_of(doc: Column) -> Column:
     return F.transform_values(doc, lambda _, v: F.coalesce(F.to_json(v), F.lit("null")))
 
 
-def sample(sources: DataFrame, limit: int = DETECT_LINES) -> DataFrame:
+def sample(lines: DataFrame, limit: int = DETECT_LINES) -> DataFrame:
     in_file = Window.partitionBy("file_idx").orderBy("line_no")
-    return lines_of(sources, "file_idx").withColumn("rank", F.row_number().over(in_file)).filter(F.col("rank") <= limit)
+    return lines.select("file_idx", "line_no", "line").withColumn("rank", F.row_number().over(in_file)).filter(F.col("rank") <= limit)
 
 
-def detect(sources: DataFrame) -> DataFrame:
-    """(file_idx, format, confidence, flavor, evidence, overridden) per source."""
-    lines = sample(sources)
+def detect(sources: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """(file_idx, format, confidence, flavor, evidence, overridden) per source; ``lines`` where sources hold no content."""
+    lines = sample(lines_of(sources, "file_idx") if lines is None else lines)
     marked = lines.withColumn("doc", texts_of(as_object(F.col("line")))).withColumns(
         {
             "is_json": F.col("doc").isNotNull(),

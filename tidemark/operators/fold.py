@@ -61,7 +61,11 @@ def starts_event(formats: set[str]) -> Column:
 
 def fold(sources: DataFrame, formats: Iterable[str] = FORMATS) -> DataFrame:
     """(CONTEXT, line_no, line, extra, raw) per event of described sources with format and flavor."""
-    lines = lines_of(sources, *CONTEXT)
+    return fold_lines(lines_of(sources, *CONTEXT), formats)
+
+
+def fold_lines(lines: DataFrame, formats: Iterable[str] = FORMATS) -> DataFrame:
+    """Events of ``lines`` (CONTEXT, line_no, line)."""
     whole = F.col("format").isin("json", "cri") | (F.length("line") <= MAX_LINE_CHARS)
     lines = lines.withColumn("line", F.when(whole, F.col("line")).otherwise(F.concat(F.left("line", F.lit(MAX_LINE_CHARS)), F.lit(LINE_MARK))))
     in_file = Window.partitionBy("file_idx").orderBy("line_no")

@@ -448,13 +448,18 @@ def _prefixed(prefix: str, values: Column) -> Column:
 
 
 def parse(sources: DataFrame, year: int | None, formats: Iterable[str] = FORMATS) -> DataFrame:
-    """Entries before time resolution: (file columns, line_no, seq, stamp, level, message, ids, maps, raw).
+    """Entries of described sources before time resolution; see parse_events."""
+    return parse_events(fold.fold(sources, set(formats)), year, formats)
+
+
+def parse_events(events: DataFrame, year: int | None, formats: Iterable[str] = FORMATS) -> DataFrame:
+    """(file columns, line_no, seq, stamp, level, message, ids, maps, raw) of folded events.
 
     ``formats`` names those that occur in ``sources``; the plan holds no branch for others.
     """
     y, formats = F.lit(year or 0), set(formats)
     kind = F.col("kind")
-    e = read_plain(classified(fold.fold(sources, formats), formats), y)
+    e = read_plain(classified(events, formats), y)
     branches: dict[str, Column] = {}
     if formats & {"json", "cri"}:
         e = json_pieces(read_json(e))

@@ -7,6 +7,7 @@ and the pieces are joined, all with column functions.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -66,6 +67,19 @@ class Policy:
         switches = {"ip": self.redact_ips, "card": self.redact_cards}
         return [rule for rule in RULES if self.enabled and switches.get(rule, True) and rule not in self.disabled]
 
+    @classmethod
+    def of_json(cls, text: str | None) -> Policy:
+        """The policy that a sidecar states; the default one where it is absent or wrong."""
+        try:
+            stated = json.loads(text or "{}")
+            flags = {f: stated[f] for f in ("enabled", "redact_ips", "redact_cards") if f in stated}
+            off = stated.get("disabled", [])
+            if not all(isinstance(v, bool) for v in flags.values()) or not all(isinstance(r, str) for r in off):
+                return cls()
+            return cls(**flags, disabled=frozenset(off))
+        except (ValueError, TypeError, AttributeError):
+            return cls()
+
     def prefilter(self) -> str:
         """No active rule matches a text in which this finds nothing."""
         return "(?U)" + "|".join(ANCHORS[rule] for rule in self.active())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Limits of stored predictions.
@@ -53,6 +53,25 @@ def get_or_create(sources: DataFrame, user: str, provider: str = "manual") -> Da
     return sources.unionByName(missing, allowMissingColumns=True)
 
 
+STATUS = "analysis_id long, at timestamp, status string, agent string, note string"
+
+
+def append_status(spark: SparkSession, path: str, rows: list[tuple]) -> None:
+    """STATUS rows to the log of an analysis: running, an agent that is done, done or failed, with a note."""
+    spark.createDataFrame(rows, STATUS).coalesce(1).write.mode("append").parquet(path)
+
+
+def status_of(log: DataFrame) -> DataFrame:
+    """(analysis_id, status, agents, note) from STATUS rows: the last status and note, and the agents that are done, in order.
+
+    A final status holds whatever is written at the same time; rows of one agent that repeat count once.
+    """
+    rank = F.when(F.col("status").isin("done", "failed"), 1).otherwise(0)
+    done = F.array_sort(F.collect_set(F.when(F.col("agent").isNotNull(), F.struct("at", "agent"))))
+    last = log.groupBy("analysis_id").agg(F.max_by("status", F.struct("at", rank)).alias("status"), done.alias("agents"), F.max_by("note", F.when(F.col("note").isNotNull(), F.struct("at", rank))).alias("note"))
+    return last.withColumn("agents", F.array_distinct(F.transform("agents", lambda x: x.agent)))
+
+
 @dataclass
 class Usage:
     input_tokens: int = 0

@@ -84,6 +84,14 @@ def listed(prices: DataFrame, *by: str) -> DataFrame:
     return prices.orderBy(*by, F.desc("is_current"), "total_usd", "model")
 
 
+def cheapest(prices: DataFrame, *by: str) -> DataFrame:
+    """(by, model, total_usd, relative): the least price that fits the context, set against that of the current model."""
+    fits = F.struct("total_usd", "model")
+    best = prices.groupBy(*by).agg(F.min(F.when(F.col("fits_context"), fits)).alias("best"), F.max(F.when(F.col("is_current"), F.col("total_usd"))).alias("current"))
+    relative = relative_text(F.col("best.total_usd"), F.col("current"), F.col("best.model") == CURRENT)
+    return best.filter("best is not null").select(*by, F.col("best.model").alias("model"), F.col("best.total_usd").alias("total_usd"), relative.alias("relative"))
+
+
 def actual_cost(usage: DataFrame) -> DataFrame:
     """``usage`` (model, input_tokens, output_tokens, cache_read_tokens, cache_write_tokens) with cost_usd; null if unpriced."""
     rates = catalog(usage.sparkSession).select("model", "input_rate", "output_rate", "token_ratio")

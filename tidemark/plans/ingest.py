@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import detect as detection
-from tidemark.operators import normalize, parse, redact, report
-from tidemark.schema import ENTRY_COLUMNS, MAX_ENTRIES, MAX_FILE_BYTES, PASTE_BYTES, PASTE_ENTRIES
+from tidemark.operators import fold, normalize, parse, redact, report
+from tidemark.schema import DETECT_LINES, ENTRY_COLUMNS, MAX_ENTRIES, MAX_FILE_BYTES, PASTE_BYTES, PASTE_ENTRIES
+from tidemark.sources.bulk import described_lines, lines_below
 from tidemark.sources.files import described, pasted
 
 
@@ -61,6 +62,27 @@ def ingest(
     return Ingested(clean.select(*ENTRY_COLUMNS, "redactions", "touched"), report.file_report(files, detected, made, kept, clocks), redact.redaction_counts(clean))
 
 
+def ingest_folder(spark: SparkSession, path: str, *, policy: redact.Policy | None = None, year: int | None = None, **declared: str | int | None) -> DataFrame:
+    """Redacted entries of all files below ``path``, however many and large; formats and clocks are found file by file.
+
+    Formats are kept in a table and joined, not listed on the driver, which hears only which formats and what year occur.
+    """
+    lines = described_lines(lines_below(spark, path), **declared)
+    files = lines.select("file_idx", "format").distinct()
+    detected = detection.detect(files, lines).select(F.col("file_idx").alias("_file"), F.col("format").alias("found"), "flavor")
+    formats = {r.found for r in detected.select("found").distinct().collect()}
+    if year is None:
+        stamped = F.regexp_extract("line", r"(?U)^\s*([0-9]{4})", 1).try_cast("int").alias("year")
+        seen = lines.filter(F.col("line_no") <= DETECT_LINES).select("file_id", "line_no", stamped).filter("year between 2000 and 2100")
+        year = seen.agg(F.min_by("year", F.struct("file_id", "line_no"))).first()[0] or spark.range(1).select(F.year(F.current_timestamp())).first()[0]
+    known = lines.join(detected, F.col("file_idx") == F.col("_file")).withColumn("format", F.col("found")).drop("_file", "found")
+    made = parse.parse_events(fold.fold_lines(known.select(*fold.CONTEXT, "line_no", "line"), formats), year, formats)
+    zones = {c: F.lit(declared.get(c)).cast(t) for c, t in (("timezone", "string"), ("offset_seconds", "int"))}
+    resolved = normalize.resolve(made.withColumns(zones))
+    nothing = F.lit(None).cast("string")
+    return redact.redact_entries(resolved.withColumns({"template_id": nothing, "flow_id": nothing}), policy).select(*ENTRY_COLUMNS, "redactions", "touched")
+
+
 def ingest_text(spark: SparkSession, text: str, **options) -> Ingested:
     return ingest(pasted(spark, text), max_entries=PASTE_ENTRIES, max_bytes=PASTE_BYTES, **options)
 

@@ -495,6 +495,17 @@ def cost_catalog(spark, sf_dir):
     return cost.priced(cost.totals(forecasts(spark, sf_dir), "event_id"), "event_id").select("event_id", "model", "input_tokens", "output_tokens", "total_usd", "fits_context")
 
 
+@query(
+    f"""with st as ({STAGE_SQL}), t as (select event_id, sum(input_tokens) as i, sum(output_tokens) as o, max(input_tokens + output_tokens) as big from st group by event_id),
+m(model, ir, orr, ctx, ratio) as (values {MODELS}), x as (select event_id, model, round_even(i * ratio, 0) * ir / 1e6 + round_even(o * ratio, 0) * orr / 1e6 as usd, round_even(big * ratio, 0) <= ctx as fits from t, m),
+b as (select event_id, min(struct_pack(usd := usd, model := model)) filter (fits) as b, max(usd) filter (model = '{cost.CURRENT}') as cur from x group by event_id)
+select event_id, b.model as model, b.usd as total_usd, case when b.model = '{cost.CURRENT}' or cur = 0 or b.usd = 0 then '' when cur / b.usd >= 10 then printf('%.0f× cheaper', cur / b.usd)
+  when cur / b.usd >= 1 then printf('%.1f× cheaper', cur / b.usd) else printf('%.1f× dearer', b.usd / cur) end as relative from b where b is not null"""
+)
+def cost_cheapest(spark, sf_dir):
+    return cost.cheapest(cost.priced(cost.totals(forecasts(spark, sf_dir), "event_id"), "event_id"), "event_id")
+
+
 @query(
     f"""with m(model, ir, orr, ctx, ratio) as (values {MODELS}), u as (select event_id, ['gpt-5', 'deepseek-v3', 'claude-opus-5', 'other'][event_id % 4 + 1] as model, event_id % 5000 * 100000 as i, event_id % 700 * 100000 as o, event_id % 90 * 100000 as r, event_id % 40 * 100000 as w from events)
 select event_id, model, round(((i + r * 0.1::double + w * 1.25::double) * ratio * ir + o * ratio * orr) / 1e6, 6) as usd from u left join m using (model)"""
@@ -534,6 +545,21 @@ def analysis_detail(spark, sf_dir):
     return d.select("analysis_id", F.size("predictions").cast("bigint").alias("n_predictions"), F.coalesce(F.col("predictions")[0]["position"], F.lit(-1)).alias("first_position"))
 
 
+@query(
+    """select l_orderkey as analysis_id, case when count(*) % 3 = 0 then 'failed' else 'done' end as status, string_agg(distinct 'agent ' || l_linenumber, ',' order by 'agent ' || l_linenumber) as agents,
+  case when count(*) % 3 = 0 then 'lines dropped' end as note from lineitem group by 1"""
+)
+def analysis_status(spark, sf_dir):
+    """An analysis for each order: running, an agent for each line, and its end."""
+    lines = table(spark, sf_dir, "lineitem")
+    at = "timestamp '2024-01-01' + make_dt_interval(0, 0, 0, {})"
+    agents = lines.selectExpr("l_orderkey analysis_id", at.format("l_linenumber") + " at", "'running' status", "concat('agent ', l_linenumber) agent", "cast(null as string) note")
+    ends = lines.groupBy("l_orderkey").count().selectExpr(
+        "l_orderkey analysis_id", at.format("1000") + " at", "case when count % 3 = 0 then 'failed' else 'done' end status", "cast(null as string) agent", "case when count % 3 = 0 then 'lines dropped' end note"
+    )
+    return analyses.status_of(agents.unionByName(ends)).select("analysis_id", "status", F.array_join("agents", ",").alias("agents"), "note")
+
+
 @query(
     """select event_id, case when u = 0 then '$0' when u < 0.01 then printf('$%.4f', u) when u < 1 then printf('$%.3f', u) else printf('$%.2f', u) end as usd,
   case when n < 1000 then n::varchar when n < 10000 then printf('%.1fk', n / 1000) else printf('%.0fk', n / 1000) end as tokens from (select event_id, event_id * 0.00037013::double as u, event_id * 100 + 13 as n from events)"""

@@ -65,13 +65,19 @@ def truncated(content: Column, limit: int) -> Column:
 
 def described(sources: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """``sources`` with file_id, the resolved service, whether it was declared, and content within the limit."""
+    named = resolved_service(sources.withColumn("file_id", F.concat(F.lit("f"), F.col("file_idx"))))
+    return named.withColumn("content", truncated(F.coalesce("content", F.lit("")), max_bytes))
+
+
+def resolved_service(sources: DataFrame) -> DataFrame:
+    """``sources`` with the declared service or the stem of the name, whether it was declared, and a known role."""
     declared = F.coalesce(F.col("service"), F.lit("")) != ""
-    return (
-        sources.withColumn("file_id", F.concat(F.lit("f"), F.col("file_idx")))
-        .withColumn("service_declared", declared)
-        .withColumn("service", F.when(declared, F.col("service")).otherwise(file_stem(F.col("name"))))
-        .withColumn("role", F.when(F.col("role").isin(*ROLES), F.col("role")).otherwise("unknown"))
-        .withColumn("content", truncated(F.coalesce("content", F.lit("")), max_bytes))
+    return sources.withColumns(
+        {
+            "service_declared": declared,
+            "service": F.when(declared, F.col("service")).otherwise(file_stem(F.col("name"))),
+            "role": F.when(F.col("role").isin(*ROLES), F.col("role")).otherwise("unknown"),
+        }
     )
 
 

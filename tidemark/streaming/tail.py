@@ -17,11 +17,11 @@ EVENT = "name string, line_no long, line string, extra array<string>"
 STATE = "next_no long, line_no long, line string, extra array<string>"
 
 
-def fold_stream(lines: DataFrame, timeout: str = "30 seconds") -> DataFrame:
+def fold_stream(lines: DataFrame, timeout_ms: int = 30_000) -> DataFrame:
     """EVENT rows from a stream of (name, line): continuation lines join the event before them.
 
     The open event of a file and the number of its last line are its state; the event is emitted by the line that
-    follows it, or after ``timeout`` without new lines. Lines beyond the cap of an event leave one mark.
+    follows it, or after ``timeout_ms`` without new lines. Lines beyond the cap of an event leave one mark.
     """
     import re
 
@@ -48,7 +48,7 @@ def fold_stream(lines: DataFrame, timeout: str = "30 seconds") -> DataFrame:
                 at, open_line, extra = number, line, []
         state.update((number, at, open_line, extra))
         if open_line is not None:
-            state.setTimeoutDuration(timeout)
+            state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(out, columns=["name", "line_no", "line", "extra"])
 
     return lines.groupBy("name").applyInPandasWithState(step, EVENT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
