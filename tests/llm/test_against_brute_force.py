@@ -710,3 +710,35 @@ def test_op5_shards_are_near_equal(spark, sf):
     assert max(load.values()) <= sum(load.values()) / 24 + max(slot.values())
     for shard in load:
         assert sorted(r.slot for r in found if r.shard == shard) == list(range(sum(r.shard == shard for r in found)))
+
+
+def test_op2_labelling_is_least_of_all(monkeypatch):
+    """Small pages, named well, badly or not at all: the text is that of a labelling of least cost among all."""
+    from tidemark.llm import html_extract
+
+    seen = []
+
+    def least(source, sink, edges):
+        assert len(source) <= 14
+
+        def cost(on):
+            kept = sum(sink[i] if x else source[i] for i, x in enumerate(on))
+            return kept + sum(w for a, b, w in edges if on[a] != on[b])
+
+        found = min_cut(source, sink, edges)
+        best = min(cost(on) for on in itertools.product([False, True], repeat=len(source)))
+        assert math.isclose(cost(found), best, abs_tol=1e-9)
+        seen.append(len(source))
+        return found
+
+    monkeypatch.setattr(html_extract, "min_cut", least)
+    rng = random.Random(6)
+    names = ["", " class=story", " class=related-work", " id=comments", " class='ad banner'", " class=main-content"]
+    for _ in range(40):
+        parts = []
+        for _ in range(rng.randrange(2, 7)):
+            text = prose(rng, rng.choice([3, 12, 40])).capitalize() + rng.choice([".", ", and more.", ""])
+            link = f"<a href=x>{prose(rng, 3)}</a> " * rng.randrange(3)
+            parts.append(f"<div{rng.choice(names)}><p>{text} {link}</p></div>")
+        html_extract.main_text("<body>" + "".join(parts) + "</body>")
+    assert len(seen) > 20 and max(seen) > 3
