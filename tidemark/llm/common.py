@@ -39,16 +39,22 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
 
 
+#: While a work table is written: what was shuffled for it goes at once instead of whenever the driver collects garbage,
+#: and Python workers get few texts at a time.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "500"}
+
+
 @contextmanager
-def shuffle_files_freed(spark: SparkSession) -> Iterator[None]:
-    """Within it, a finished write drops its shuffle files at once instead of whenever the driver collects garbage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
+def writing(spark: SparkSession) -> Iterator[None]:
+    """Within it the settings of WRITING hold."""
+    before = {name: spark.conf.get(name, None) for name in WRITING}
+    for name, value in WRITING.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def work_table(df: DataFrame, label: str) -> DataFrame:
@@ -58,7 +64,7 @@ def work_table(df: DataFrame, label: str) -> DataFrame:
     table the same rows. What was shuffled for it is not needed after that.
     """
     path = scratch_path(df.sparkSession, label)
-    with shuffle_files_freed(df.sparkSession):
+    with writing(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -64,11 +64,21 @@ SKETCH = [f"k{i}" for i in range(8)]
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Texts that a Python worker holds at a time.
+TEXTS = 200
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(at, TEXTS)
+
+
 class _Words(dict):
     """Hashes of words, forgotten when there are very many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -125,7 +135,7 @@ def describe(df: DataFrame, key: str, text: str, k: int, percent: int) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
-        for batch in batches:
+        for batch in _parts(batches):
             nodes, twins, sizes, prefixes, sketches = [], [], [], [], []
             with np.errstate(over="ignore"):
                 for t in batch.column(1).to_pylist():
@@ -151,7 +161,7 @@ def whole_sets(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
-        for batch in batches:
+        for batch in _parts(batches):
             with np.errstate(over="ignore"):
                 sets = [shingle_set(t, k, words) for t in batch.column(0).to_pylist()]
                 names = [_name(s) for s in sets]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BLANKS, ascii_lower, scratch_path, shuffle_files_freed, work_table
+from tidemark.llm.common import BLANKS, ascii_lower, scratch_path, work_table, writing
 
 MAX_BROADCAST_BYTES = 32 << 20
 #: A line of more documents than this is not shuffled to its count.
@@ -46,7 +46,7 @@ class LineRuns:
     def _store(self, run: DataFrame, level: int) -> None:
         path = f"{self.path}/level={level}/run={self._made}"
         self._made += 1
-        with shuffle_files_freed(self.spark):
+        with writing(self.spark):
             run.sortWithinPartitions("h1", "h2").write.parquet(path)
         self.levels[level].append(path)
 
