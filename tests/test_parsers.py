@@ -289,7 +289,13 @@ def test_stream_fold_counts_on_and_marks_its_cap(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "1.txt").write_text("ERROR first\n" + "  at frame\n" * (MAX_CONTINUATIONS + 5) + "second\nthird\n")
     lines = spark.readStream.text(str(tmp_path / "in")).selectExpr("'f' name", "value line")
-    query = fold_stream(lines).writeStream.format("memory").queryName("folded").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    query.awaitTermination(60)
+    query = fold_stream(lines).writeStream.format("memory").queryName("folded").option("checkpointLocation", str(tmp_path / "c")).trigger(once=True).start()
+    assert query.awaitTermination(60)
     rows = {r.line: r for r in spark.table("folded").collect()}
     assert len(rows["ERROR first"].extra) == MAX_CONTINUATIONS + 1 and rows["ERROR first"].extra[-1].startswith("…") and rows["second"].line_no == MAX_CONTINUATIONS + 7
+
+
+def test_redaction_of_texts_with_the_mark(spark):
+    texts = ["a@b.org \x01 password=x", "\x01", "x@y.org", "two a@b.org c@d.org"]
+    found = [r.r.text for r in spark.createDataFrame([(t,) for t in texts], "t string").select(redact.redacted(F.col("t"), redact.Policy()).alias("r")).collect()]
+    assert found == ["[REDACTED:email] \x01 password=[REDACTED]", "\x01", "[REDACTED:email]", "two [REDACTED:email] [REDACTED:email]"]

@@ -355,11 +355,16 @@ def logfmt_entry() -> Column:
 
 
 def read_json(e: DataFrame) -> DataFrame:
-    """Adds full (keys and dotted paths to JSON texts) and hit: for each field the first candidate with a value."""
+    """Adds full (keys and dotted paths to JSON texts) and hit: for each field the first candidate with a value.
+
+    Paths are looked up only where a document holds an object.
+    """
     is_json = F.col("kind").isin("json", "envelope")
     variant = F.try_parse_json("doc_text")
     nested = map_of(*[(k, F.to_json(F.try_variant_get(variant, "$." + k, "variant"))) for k in DOTTED])
-    e = e.withColumn("full", F.when(is_json, over(nested, F.col("doc"))))
+    deep = F.exists(F.map_values("doc"), lambda v: F.startswith(v, F.lit("{")))
+    e = e.withColumn("full", F.when(is_json, F.when(deep, over(nested, F.col("doc"))).otherwise(F.col("doc"))))
+    e = e.withColumn("valued", F.map_filter("full", lambda _, v: ~v.isin("null", '""')))
     flavor = F.when(F.col("kind") == "envelope", "otlp").when(F.col("format") == "json", F.col("flavor"))
     e = e.withColumn("dialect", flavor)
 
@@ -377,8 +382,8 @@ def read_json(e: DataFrame) -> DataFrame:
 
 
 def _first(keys: Column) -> Column:
-    found = F.transform(keys, lambda k: F.struct(k.alias("key"), F.element_at("full", k).alias("value")))
-    return F.get(F.filter(found, lambda x: x.value.isNotNull() & ~x.value.isin("null", '""')), F.lit(0))
+    key = F.get(F.array_intersect(keys, F.map_keys("valued")), F.lit(0))
+    return F.struct(key.alias("key"), F.element_at("valued", key).alias("value"))
 
 
 def plain_of(value: str) -> str:
@@ -421,14 +426,16 @@ def json_entry() -> Column:
         .otherwise("info")
     )
     extra = over(_prefixed("resource.", F.col("record.resource")), _prefixed("scope.", F.col("record.scope")))
-    found = over(F.col("list_0"), F.col("list_1"))
+    listed_pairs = over(F.col("list_0"), F.col("list_1"))
     resources = over(_prefixed("resource.", F.col("list_2")), _prefixed("resource.", F.col("list_3")))
     logger = F.when(F.col("service_declared") & (F.col("said_service") != ""), json_string(F.col("said_service")))
     first = map_of(("logger", logger), ("stream", F.col("stream")))
-    attributes = over(first, over(over(over(extra, found), resources), F.col("own")))
+    attributes = over(first, over(over(over(extra, listed_pairs), resources), F.col("own")))
     wanted = "array(" + ", ".join(f"'{k}'" for k in JSON_KEYS.split()) + ")"
     value = "coalesce(nullif(doc[k], 'null'), own[k], list_0[k], list_1[k])"
-    pairs = F.expr(f"map_from_entries(filter(transform({wanted}, k -> struct(k AS key, {plain_of(value)} AS value)), p -> p.value != ''))")
+    there = f"array_intersect({wanted}, concat(map_keys(doc), map_keys(list_0), map_keys(list_1)))"
+    found = f"transform({there}, k -> struct(k AS key, {value} AS value))"
+    pairs = F.expr(f"map_from_entries(filter(transform({found}, p -> struct(p.key AS key, {plain_of('p.value')} AS value)), p -> p.value != ''))")
     when = F.col("hit.timestamp.value")
     return entry(
         stamp=F.coalesce(stamps.of_json(when, F.expr(plain_of("hit.timestamp.value"))), F.col("fallback")),

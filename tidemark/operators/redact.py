@@ -1,8 +1,8 @@
 """Secrets and personal data out of text in one pass of one pattern.
 
 All active rules form one alternation: at each place the first rule that matches wins, and what is put in is not
-scanned again. The matches and the texts between them are extracted side by side, each match is replaced by its rule,
-and the pieces are joined, all with column functions.
+scanned again. The text is cut at its matches, each match is replaced by its rule, and the pieces are joined, all with
+column functions.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import let
+from tidemark.functions.text import SEPARATOR, let
 
 # Names of secrets and the shape of each rule, in order of precedence.
 SECRET_NAMES = [
@@ -129,12 +129,15 @@ def redacted(text: Column, policy: Policy) -> Column:
     def judged(m: Column) -> Column:
         return let(F.struct(m.alias("m"), rule_of(m, policy).alias("rule")), lambda x: F.struct(replacement(x["m"], x["rule"]).alias("put"), x["rule"].alias("rule")))
 
-    def joined(found: Column) -> Column:
-        pieces = F.zip_with(F.split(text, pattern, -1), found, lambda g, m: F.concat(g, F.coalesce(m["put"], F.lit(""))))
-        return F.struct(F.array_join(pieces, "").alias("text"), F.filter(F.transform(found, lambda m: m["rule"]), lambda r: r.isNotNull()).alias("rules"))
+    def joined(pieces: Column) -> Column:
+        return F.struct(F.array_join(F.transform(pieces, lambda x: x["put"]), "").alias("text"), F.filter(F.transform(pieces, lambda x: x["rule"]), lambda r: r.isNotNull()).alias("rules"))
 
-    matches = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), judged)
-    return F.when(F.rlike(text, F.lit(policy.prefilter())), let(matches, joined)).otherwise(F.struct(text.alias("text"), none.alias("rules")))
+    # One scan sets marks around the matches; texts that hold the mark are scanned for matches and gaps apart.
+    between = lambda x: F.struct(x.alias("put"), F.lit(None).cast("string").alias("rule"))
+    marked = F.split(F.regexp_replace(text, F.lit(f"({pattern})"), F.lit(f"{SEPARATOR}$1{SEPARATOR}")), SEPARATOR, -1)
+    apart = F.flatten(F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, m: F.array(g, F.coalesce(m, F.lit("")))))
+    pieces = F.transform(F.when(F.contains(text, F.lit(SEPARATOR)), apart).otherwise(marked), lambda x, i: F.when((i % 2 == 0) | (x == ""), between(x)).otherwise(judged(x)))
+    return F.when(F.rlike(text, F.lit(policy.prefilter())), let(pieces, joined)).otherwise(F.struct(text.alias("text"), none.alias("rules")))
 
 
 def secret_name(key: Column) -> Column:
