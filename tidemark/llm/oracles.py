@@ -129,6 +129,20 @@ held as (select rid, count(*) n_items, string_agg(item, ',' order by item) items
 select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
 from docs left join counts using (rid) left join held using (rid)"""
 
+_OP11 = f"""
+with docs as (select row_number() over () rid, doc_id, {_words('text')} w from documents),
+whole as (select count(*) n_docs, sum(len(w))::bigint total from docs where len(w) > 0),
+held as (select rid, term, count(*) tf from (select rid, unnest(w) term from docs) group by rid, term),
+dfs as (select term, count(*) df from held group by term),
+items as (select row_number() over () iid, item_id, {_words('text')} w from benchmark),
+asked as (select iid, item_id, term, count(*) times from (select iid, item_id, unnest(w) term from items) group by all),
+scored as (
+    select iid, item_id, rid, doc_id, sum(times * floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1)))::bigint
+        * ((1000000000 * tf) // (1000 * tf + 8 * (25 + ((75 * len(w) * n_docs) // total)))))::bigint score
+    from asked join held using (term) join dfs using (term) join docs using (rid), whole group by all),
+ranked as (select *, row_number() over (partition by iid order by score desc, doc_id nulls last) rank from scored where score > 0)
+select item_id, rank::int rank, doc_id, score from ranked where rank <= 10"""
+
 ORACLES: dict[str, str] = {
     "op1_mix_sources": _OP1,
     "op3_line_dedup": _OP3,
@@ -136,4 +150,5 @@ ORACLES: dict[str, str] = {
     "op7_jaccard_join": _OP7,
     "op8_decontaminate": _OP8,
     "op10_quality_rules": _OP10,
+    "op11_ranked_search": _OP11,
 }

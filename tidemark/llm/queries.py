@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, html_extract, jaccard, licenses, line_dedup, mixing, pii, quality, sharding, warc
+from tidemark.llm import decontam, html_extract, jaccard, lexical, licenses, line_dedup, mixing, pii, quality, sharding, warc
 from tidemark.llm.common import table, text_or_empty, work_table
 from tidemark.llm.oracles import ORACLES
 
@@ -88,6 +88,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -98,7 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
     for q in (
         op1_mix_sources, op2_extract_text, op3_line_dedup, op4_license_scan, op5_virtual_slots, op6_warc_index, op7_jaccard_join,
-        op8_decontaminate, op9_pii_anchors, op10_quality_rules, pipeline,
+        op8_decontaminate, op9_pii_anchors, op10_quality_rules, op11_ranked_search, pipeline,
     )
 }
 
