@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from tidemark.llm.quality import LEVELS, RATES
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -143,6 +145,37 @@ scored as (
 ranked as (select *, row_number() over (partition by iid order by score desc, doc_id nulls last) rank from scored where score > 0)
 select item_id, rank::int rank, doc_id, score from ranked where rank <= 10"""
 
+# CRC-32 by half bytes; the table of its 16 remainders comes from the polynomial.
+_NIBBLES = "([" + ", ".join(str(_crc) for _crc in (reduce(lambda c, _: c >> 1 ^ 0xEDB88320 * (c & 1), range(4), n) for n in range(16))) + "]::bigint[])"
+
+
+def _features(table: str, key: str) -> str:
+    return f"""
+{table}_words as (select rid, {key} doc_id, w from (select row_number() over () rid, *, {_words('text')} w from {table})),
+{table}_features as (
+    select rid, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) f from {table}_words),
+{table}_counts as (select rid, f, count(*) n from {table}_features group by all)"""
+
+
+_STEP = f"xor(c >> 4, {_NIBBLES}[(xor(c, h) & 15) + 1])"
+_OP13 = f"""
+with {_features('documents', 'doc_id')}, {_features('benchmark', 'item_id')},
+named as (select f, hex(encode(f)) x from (select f from documents_counts union select f from benchmark_counts)),
+digits as (select f, flatten(list_transform(range(1, length(x), 2), lambda i: [('0x' || x[i + 1])::bigint, ('0x' || x[i])::bigint])) d from named),
+hashed as (select f, xor(list_reduce(d, lambda c, h: {_STEP}, 4294967295::bigint), 4294967295) % 10000 bucket from digits),
+s as (select bucket, sum(n) s from documents_counts join hashed using (f) group by bucket),
+t as (select bucket, sum(n) t from benchmark_counts join hashed using (f) group by bucket),
+totals as (select (select coalesce(sum(s), 0) from s) s_all, (select coalesce(sum(t), 0) from t) t_all),
+gains as (
+    select bucket, floor(1000 * ln(((coalesce(t, 0) + 1) * (s_all + 10000))::double / ((s + 1) * (t_all + 10000))::double))::bigint gain from s left join t using (bucket), totals),
+sums as (select rid, sum(n)::bigint n_features, floor(sum(n * gain) / sum(n)::double)::bigint weight from documents_counts join hashed using (f) join gains using (bucket) group by rid),
+scored as (
+    select rid, doc_id, len(w) n_words, coalesce(n_features, 0) n_features, coalesce(weight, 0) weight,
+        coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5) / 4294967296.0)))::bigint score
+    from documents_words left join sums using (rid)),
+ranked as (select *, case when n_words >= 20 then row_number() over (partition by n_words >= 20 order by score desc, doc_id nulls first) end r from scored)
+select doc_id, n_features, weight, score, case when r <= (select 25 * count(*) // 100 from scored where n_words >= 20) then r end rank from ranked"""
+
 ORACLES: dict[str, str] = {
     "op1_mix_sources": _OP1,
     "op3_line_dedup": _OP3,
@@ -151,4 +184,5 @@ ORACLES: dict[str, str] = {
     "op8_decontaminate": _OP8,
     "op10_quality_rules": _OP10,
     "op11_ranked_search": _OP11,
+    "op13_importance_resample": _OP13,
 }
