@@ -131,13 +131,13 @@ def accumulated(block: Block, doc: np.ndarray, terms: np.ndarray, impact: np.nda
     return keys[starts] >> 16, keys[starts] & 0xFFFF, sums
 
 
-def chunks(doc: np.ndarray, reach: np.ndarray) -> Iterator[slice]:
-    """Postings in order of documents, in slices of whole documents of about ``CHUNK`` impacts and less than 2^16 documents."""
+def chunks(doc: np.ndarray, reach: np.ndarray, most: int) -> Iterator[slice]:
+    """Postings in order of documents, in slices of whole documents of about ``most`` impacts and less than 2^16 documents."""
     firsts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))[: len(doc)]
     before = np.concatenate([[0], np.cumsum(reach)])
     i = 0
     while i < len(firsts):
-        j = max(i + 1, min(int(np.searchsorted(before[firsts], before[firsts[i]] + CHUNK, "right")) - 1, i + 65_535, len(firsts)))
+        j = max(i + 1, min(int(np.searchsorted(before[firsts], before[firsts[i]] + most, "right")) - 1, int(np.searchsorted(doc[firsts], doc[firsts[i]] + (1 << 16)))))
         yield slice(firsts[i], firsts[j] if j < len(firsts) else len(doc))
         i = j
 
@@ -186,7 +186,7 @@ class _Down:
 
 def bests(held: DataFrame, block: Block, weights: np.ndarray, n_docs: int, total: int, k: int) -> DataFrame:
     """(item_row, doc_id, score): of each task's documents the ``k`` best of each item, with scores above 0."""
-    shared = held.sparkSession.sparkContext.broadcast((block, weights))
+    shared, most = held.sparkSession.sparkContext.broadcast((block, weights)), CHUNK
     kind, key_type = held.schema["doc_id"].dataType.simpleString(), to_arrow_type(held.schema["doc_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +200,7 @@ def bests(held: DataFrame, block: Block, weights: np.ndarray, n_docs: int, total
             terms, counts = (c.flatten().to_numpy().astype(np.int64) for c in (lists, batch.column("counts")))
             m = 25 + 75 * batch.column("n").to_numpy() * n_docs // total
             impact = weights[terms] * (1_000_000_000 * counts // (1000 * counts + 8 * m[doc]))
-            for part in chunks(doc, block.start[terms + 1] - block.start[terms]):
+            for part in chunks(doc, block.start[terms + 1] - block.start[terms], most):
                 first = doc[part.start]
                 items, docs, sums = accumulated(block, doc[part] - first, terms[part], impact[part])
                 best.take(items, ids, docs + first, sums)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, html_extract, jaccard, lexical, licenses, line_dedup, mixing, pii, quality, resampling, sharding, warc
+from tidemark.llm import decontam, html_extract, jaccard, lexical, licenses, line_dedup, mixing, neighbours, pii, quality, resampling, sharding, warc
 from tidemark.llm.common import table, text_or_empty, work_table
 from tidemark.llm.oracles import ORACLES
 
@@ -92,6 +92,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
 
 
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, min_words=20, buckets=10_000, seed=7)
 
@@ -106,7 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
     for q in (
         op1_mix_sources, op2_extract_text, op3_line_dedup, op4_license_scan, op5_virtual_slots, op6_warc_index, op7_jaccard_join,
-        op8_decontaminate, op9_pii_anchors, op10_quality_rules, op11_ranked_search, op13_importance_resample, pipeline,
+        op8_decontaminate, op9_pii_anchors, op10_quality_rules, op11_ranked_search, op12_nearest_neighbours, op13_importance_resample, pipeline,
     )
 }
 

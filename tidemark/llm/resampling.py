@@ -60,16 +60,17 @@ def crc32_of(texts: pa.ChunkedArray) -> pa.Array:
     return pa.array([zlib.crc32(t) for t in texts.cast(pa.binary()).to_pylist()], pa.int64())
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """``batch`` in slices of about BATCH_BYTES of the text in its last column."""
+def _slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of about ``most`` bytes of the text in its last column."""
     sizes = np.array([len(t or b"") for t in batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()], np.int64)
-    ends = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // BATCH_BYTES)) + 1
+    ends = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // most)) + 1
     for i, j in zip([0, *ends.tolist()], [*ends.tolist(), batch.num_rows], strict=True):
         yield batch.slice(i, j - i)
 
 
 def bucket_counts(texts: DataFrame, buckets: int) -> DataFrame:
     """(n_words, n_features, buckets, counts) of every row of ``texts`` (body), or (key, body), in that order."""
+    most = BATCH_BYTES
     schema = _COUNTED.format(key="".join(f"key {f.dataType.simpleString()}, " for f in texts.schema if f.name == "key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +79,7 @@ def bucket_counts(texts: DataFrame, buckets: int) -> DataFrame:
         with duckdb.connect(config={"threads": 1, "memory_limit": "256MB"}) as db:
             db.create_function("zlib_crc32", crc32_of, ["VARCHAR"], "BIGINT", type="arrow")
             for batch in batches:
-                for part in _slices(batch):
+                for part in _slices(batch, most):
                     db.register("texts", pa.table([np.arange(part.num_rows), part.column("body")], ["place_in_batch", "body"]))
                     counted = db.sql(_SQL.format(buckets=buckets)).to_arrow_table().combine_chunks()
                     db.unregister("texts")
