@@ -6,9 +6,9 @@ of a term weight times the impact of the term in the document, all in 64-bit int
 1. The items' terms, dealt in blocks of a bounded number of (item, term) pairs, are an index from term to items. Most
    query sets are one block; each block is a pass of its own, so no part of the set is left out.
 2. One scan reads every text once a block and keeps of each document its length and the counts of the block's terms.
-   These postings are written to a work table, dealt by ranges of documents.
+   These postings are written to a work table.
 3. From it come the number of documents, their length and each term's number of documents, over the whole table.
-4. Each task takes ranges of documents. Of a chunk, the (item, document, impact) arrays of all matched terms are
+4. The postings are dealt by ranges of documents, one a task. Of a chunk, the (item, document, impact) arrays of all matched terms are
    concatenated, keys of item and document are packed in 32 bits and radix sorted by 16-bit digits, and the sums of equal
    keys are taken with ``np.add.reduceat``. A heap for each item keeps the best ``k`` so far; a sum that is below the
    worst of a full heap never reaches it.
@@ -219,15 +219,15 @@ def ranked_search(docs: DataFrame, items: DataFrame, *, k: int = 10, doc_id: str
     names, pairs = item_pairs(items, item_id, text)
     found = None
     for i, block in enumerate(blocks_of(pairs)):
-        held = postings(docs, block, doc_id, text)
-        # Ranges of documents; rows that share an identifier are told apart by their terms.
-        held = work_table(held.repartitionByRange("doc_id", F.xxhash64("n", "terms", "counts")), f"search-postings-{i}")
+        held = work_table(postings(docs, block, doc_id, text), f"search-postings-{i}")
         n_docs, total = held.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
         df = np.zeros(len(block.vocabulary), np.int64)
         held_by = held.select(F.explode("terms").alias("term")).groupBy("term").count().toArrow()  # a row a term of the block
         df[held_by["term"].to_numpy()] = held_by["count"].to_numpy()
         weights = np.array([term_weight(n_docs, int(x)) for x in df], np.int64)
-        best = work_table(bests(held, block, weights, n_docs, max(total, 1), k), f"search-bests-{i}")
+        # Ranges of documents; rows that share an identifier are told apart by their terms.
+        ranges = held.repartitionByRange("doc_id", F.xxhash64("n", "terms", "counts"))
+        best = work_table(bests(ranges, block, weights, n_docs, max(total, 1), k), f"search-bests-{i}")
         found = best if found is None else found.unionByName(best)
     if found is None:
         kind = docs.schema[doc_id].dataType.simpleString()
