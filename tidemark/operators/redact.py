@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import SEPARATOR, let
+from tidemark.functions.text import SEPARATOR, json_plain, json_string, let, strip
 
 # Names of secrets and the shape of each rule, in order of precedence.
 SECRET_NAMES = [
@@ -144,24 +144,83 @@ def secret_name(key: Column) -> Column:
     return F.rlike(key, F.lit(SECRET_KEY))
 
 
-def _inside(opening: str, closing: str, depth: int = 3) -> str:
-    """A bracket with what is in it, brackets of its kind down to ``depth``."""
-    other = rf"[^\{opening}\{closing}]"
-    return rf"\{opening}(?:{other}|{_inside(opening, closing, depth - 1)})*\{closing}" if depth else rf"\{opening}{other}*\{closing}"
+#: A token of JSON text with the blanks around it; the last branch takes what is not JSON. Possessive, so its length is no matter.
+TOKEN = r'(?s)[ \t\r\n]*+(?:"[^"\\]*+(?:\\.[^"\\]*+)*+"|[{}\[\]:,]|[^"{}\[\]:, \t\r\n]++|.)[ \t\r\n]*+'
+#: A key that ends in a secret name, in JSON text.
+SECRET_FIELD = rf'(?i)["._-](?:{"|".join(SECRET_NAMES)})"[ \t\r\n]*+:'
 
 
-#: A secret name, as a whole or after a separator, and its value in JSON text.
-NESTED = (
-    rf'(?i)("(?:[^"\\]|\\.)*(?<=["._-])(?:{"|".join(SECRET_NAMES)})"):(?!""|null|\[\]|\{{\}})'
-    rf'(?:"(?:[^"\\]|\\.)*"|{_inside("{", "}")}|{_inside("[", "]")}|[^,}}\]]+)'
-)
+def hidden(tokens: Column) -> Column:
+    """(start, end) of the values under secret names among the ``tokens`` of JSON text, at any depth.
+
+    One pass over the tokens with a count of open brackets; a value that is taken out is not looked into. Nulls and
+    empty strings, lists and objects stay.
+    """
+    at = lambda i: strip(F.get(tokens, i))
+    span = "struct<start:int,end:int>"
+    start = F.struct(
+        F.lit(0).alias("i"), F.lit(0).alias("depth"), F.lit(-1).alias("since"), F.lit(0).alias("outside"), F.array().cast(f"array<{span}>").alias("spans")
+    )
+
+    def step(a: Column, token: Column) -> Column:
+        def judged(t: Column) -> Column:
+            opens, closes = t.isin("{", "["), t.isin("}", "]")
+            named = (at(a.i - 1) == ":") & F.coalesce(F.rlike(at(a.i - 2), F.lit(rf'(?is)^"(?:.*[._-])?(?:{"|".join(SECRET_NAMES)})"$')), F.lit(False))
+            value = (a.since < 0) & named & ~t.isin("null", '""') & ~(opens & at(a.i + 1).isin("}", "]"))
+            done = (a.since >= 0) & closes & (a.depth - 1 == a.outside)
+            here = F.when(done, F.struct(a.since.alias("start"), a.i.alias("end"))).when(value & ~opens, F.struct(a.i.alias("start"), a.i.alias("end")))
+            return F.struct(
+                (a.i + 1).alias("i"),
+                (a.depth + F.when(opens, 1).when(closes, -1).otherwise(0)).alias("depth"),
+                F.when(done, -1).when(value & opens, a.i).otherwise(a.since).alias("since"),
+                F.when(value & opens, a.depth).otherwise(a.outside).alias("outside"),
+                F.when(here.isNotNull(), F.concat(a.spans, F.array(here))).otherwise(a.spans).alias("spans"),
+            )
+
+        return let(strip(token), judged)
+
+    return F.aggregate(tokens, start, step, lambda a: a.spans)
+
+
+def redacted_string(text: Column, policy: Policy) -> Column:
+    """(text, rules) of the JSON text of a string; what it says is scanned, not how it is written."""
+    return let(redacted(json_plain(text), policy), lambda r: F.struct(F.when(F.size(r["rules"]) > 0, json_string(r["text"])).otherwise(text).alias("text"), r["rules"].alias("rules")))
+
+
+def redacted_nested(text: Column, policy: Policy) -> Column:
+    """(text, rules) of the JSON text of an object or list: values under secret names, and strings at any depth."""
+    none = F.array().cast("array<string>")
+    by_name = "secret_kv" in policy.active()
+
+    def walked(tokens: Column) -> Column:
+        last = F.struct(F.size(tokens).alias("start"), F.size(tokens).alias("end"))
+        spans = F.when(F.rlike(text, F.lit(SECRET_FIELD)), hidden(tokens)).otherwise(F.array().cast("array<struct<start:int,end:int>>")) if by_name else F.array().cast("array<struct<start:int,end:int>>")
+        is_value = lambda t, i: t.contains('"') & (F.coalesce(strip(F.get(tokens, i + 1)), F.lit("")) != ":")
+        each = F.transform(tokens, lambda t, i: F.when(is_value(t, i), redacted_string(strip(t), policy)).otherwise(F.struct(t.alias("text"), none.alias("rules"))))
+        scanned = F.when(F.rlike(text, F.lit(policy.prefilter())), each).otherwise(F.transform(tokens, lambda t: F.struct(t.alias("text"), none.alias("rules"))))
+
+        def rejoined(x: Column) -> Column:
+            ends = F.concat(x["spans"], F.array(last))
+            between = F.transform(ends, lambda s, k: let(F.when(k == 0, 0).otherwise(F.get(ends, k - 1)["end"] + 1), lambda b: F.slice(x["scanned"], b + 1, s.start - b)))
+            return let(
+                between,
+                lambda parts: F.struct(
+                    F.array_join(F.transform(parts, lambda p: F.array_join(F.transform(p, lambda y: y.text), "")), '"[REDACTED]"').alias("text"),
+                    F.concat(F.array_repeat(F.lit("secret_kv"), F.size(x["spans"])), F.flatten(F.transform(F.flatten(parts), lambda y: y.rules))).alias("rules"),
+                ),
+            )
+
+        return let(F.struct(spans.alias("spans"), scanned.alias("scanned")), rejoined)
+
+    worth = F.rlike(text, F.lit(policy.prefilter() + (f"|{SECRET_FIELD}" if by_name else "")))
+    return F.when(worth, let(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), walked)).otherwise(F.struct(text.alias("text"), none.alias("rules")))
 
 
 def redact_entries(entries: DataFrame, policy: Policy | None = None) -> DataFrame:
     """``entries`` redacted, with redactions: the rules applied to message and attributes, and touched.
 
-    Identifiers and correlation keys stay. Values of secret names are replaced at any depth of an attribute, objects
-    and lists among them down to three brackets of a kind. What is found in ``raw`` is replaced but not counted, for it
+    Identifiers and correlation keys stay. Values of secret names are replaced at any depth of an attribute, objects and
+    lists among them as a whole, and strings are scanned at any depth; names are not. What is found in ``raw`` is replaced but not counted, for it
     restates the other fields.
     """
     policy = policy or Policy()
@@ -172,14 +231,12 @@ def redact_entries(entries: DataFrame, policy: Policy | None = None) -> DataFram
 
     def value(k: Column, v: Column) -> Column:
         kept = F.struct(v.alias("text"), none.alias("rules"))
-        scanned = F.when(v.startswith('"') | v.startswith("{") | v.startswith("["), redacted(v, policy)).otherwise(kept)
+        nested = v.startswith("{") | v.startswith("[")
+        scanned = F.when(v.startswith('"'), redacted_string(v, policy)).when(nested, redacted_nested(v, policy)).otherwise(kept)
         if not by_name:
             return scanned
-        below = F.struct(F.regexp_replace(v, NESTED, '$1:"[REDACTED]"').alias("text"), F.regexp_count(v, F.lit(NESTED)).alias("n"))
-        both = let(below, lambda b: let(redacted(b["text"], policy), lambda r: F.struct(r["text"].alias("text"), F.concat(F.array_repeat(F.lit("secret_kv"), b["n"]), r["rules"]).alias("rules"))))
-        nested = v.startswith("{") | v.startswith("[")
         secret = F.struct(F.lit('"[REDACTED]"').alias("text"), F.array(F.lit("secret_kv")).alias("rules"))
-        return F.when(secret_name(k), F.when(v.isin("null", '""', "[]", "{}"), kept).otherwise(secret)).when(nested, both).otherwise(scanned)
+        return F.when(secret_name(k), F.when(v.isin("null", '""', "[]", "{}"), kept).otherwise(secret)).otherwise(scanned)
 
     e = entries.withColumns({"r_raw": redacted(F.col("raw"), policy), "r_message": redacted(F.col("message"), policy), "r_attributes": F.transform_values("attributes", value)})
     found = F.concat(F.col("r_message.rules"), F.flatten(F.transform(F.map_values("r_attributes"), lambda x: x.rules)))

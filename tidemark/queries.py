@@ -269,11 +269,13 @@ def parse_docker(spark, sf_dir):
 
 
 @query(
-    """select event_id, '{"outer":{"db_password":"[REDACTED]","list":[1,{"token":"[REDACTED]"}]},"user":' || user_id || '}' as nested, cast(2 as bigint) as n from events"""
+    """select event_id, repeat('{"a":[', event_id % 50) || '{"outer":{"db_password":"[REDACTED]","list":[1,{"token":"[REDACTED]"}],"note":"password=[REDACTED]"},"user":' || user_id || '}' || repeat(']}', event_id % 50) as nested,
+    cast(3 as bigint) as n from events"""
 )
 def redact_nested(spark, sf_dir):
-    """Values of secret names below the top of an attribute, objects among them, and their count."""
-    value = """concat('{"outer":{"db_password":"p', event_id, '","list":[1,{"token":{"a":{"b":', user_id, '}}}]},"user":', user_id, '}')"""
+    """Values of secret names at depths from 1 to 50, objects as deep among them, strings, and their count."""
+    deep = """concat(repeat('{"b":', event_id % 50), '{"x":"s', event_id, '","y":[', user_id, ']}', repeat('}', event_id % 50))"""
+    value = f"""concat(repeat('{{"a":[', event_id % 50), '{{"outer":{{"db_password":"p', event_id, '","list":[1,{{"token":', {deep}, '}}],"note":"password=q', event_id, '"}},"user":', user_id, '}}', repeat(']}}', event_id % 50))"""
     e = table(spark, sf_dir, "events").selectExpr("event_id", "'m' message", "'r' raw", f"map('detail', {value}) attributes")
     r = redact.redact_entries(e)
     return r.select("event_id", F.col("attributes")["detail"].alias("nested"), F.size("redactions").cast("bigint").alias("n"))
