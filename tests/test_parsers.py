@@ -258,12 +258,17 @@ def test_folder_of_files(spark, tmp_path):
     try:
         lines = lines_below(spark, str(tmp_path)).filter("name = 'api.log'").orderBy("line_no").collect()
         assert [r.line_no for r in lines[:4]] == [1, 3, 4, 6] and lines[-1].line_no == 9000 and len(lines) == 6000
-        entries = ingest_folder(spark, str(tmp_path), role="backend").collect()
+        folder = ingest_folder(spark, str(tmp_path), role="backend", shifts=(6, 9, 63))
+        entries, files, totals, coverage = folder.entries.collect(), folder.files.collect(), folder.totals.first(), folder.coverage.first()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
     api, web = ([e for e in entries if e.file_id.endswith(name)] for name in ("api.log", "web.json"))
     assert {e.service for e in api} == {"cart"} and {e.service for e in web} == {"web"}
     assert len(api) == 3000 and {e.level for e in api} == {"error"} and all("Z.java" in e.message for e in api) and api[0].role == "backend"
+    by_name = {f.name: f for f in files}
+    assert set(by_name) == {"api.log", "web.json", "empty.log"} and (by_name["api.log"].entry_count, by_name["web.json"].entry_count, by_name["empty.log"].entry_count) == (3000, 50, 0)
+    assert by_name["api.log"].format == "plain" and by_name["web.json"].format == "json" and by_name["api.log"].bytes == len(plain) and by_name["api.log"].line_count == 9000
+    assert totals.entry_count == coverage.entry_count == 3050 and not totals.skew_suspected
     assert len(web) == 50 and {e.attributes["password"] for e in web} == {'"[REDACTED]"'} and all(e.touched for e in web)
 
 

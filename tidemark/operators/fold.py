@@ -1,15 +1,17 @@
 """Lines to events: which line starts an event, and the lines that continue it.
 
-Windows are per file; a file is bounded by the upload limit, so no window grows with the batch.
+Files of a batch are bounded by the upload limit and are folded by a window each (``fold``). Files of any size are folded
+in blocks of lines (``fold_blocks``): each block finds its own starts, the open event at its end is carried into the next.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import scan
 from tidemark.schema import FORMATS, MAX_CONTINUATIONS, MAX_LINE_CHARS
 from tidemark.sources.files import lines_of
 
@@ -64,17 +66,47 @@ def fold(sources: DataFrame, formats: Iterable[str] = FORMATS) -> DataFrame:
     return fold_lines(lines_of(sources, *CONTEXT), formats)
 
 
-def fold_lines(lines: DataFrame, formats: Iterable[str] = FORMATS) -> DataFrame:
-    """Events of ``lines`` (CONTEXT, line_no, line)."""
+def _clamped(lines: DataFrame) -> DataFrame:
     whole = F.col("format").isin("json", "cri") | (F.length("line") <= MAX_LINE_CHARS)
-    lines = lines.withColumn("line", F.when(whole, F.col("line")).otherwise(F.concat(F.left("line", F.lit(MAX_LINE_CHARS)), F.lit(LINE_MARK))))
-    in_file = Window.partitionBy("file_idx").orderBy("line_no")
-    before = F.lag("line").over(in_file)
-    lines = lines.withColumn("previous", before)
-    lines = lines.withColumn("start", F.col("previous").isNull() | starts_event(set(formats)))
-    lines = lines.withColumn("event", F.sum(F.col("start").cast("int")).over(in_file))
+    return lines.withColumn("line", F.when(whole, F.col("line")).otherwise(F.concat(F.left("line", F.lit(MAX_LINE_CHARS)), F.lit(LINE_MARK))))
+
+
+def _packed(lines: DataFrame) -> DataFrame:
+    """Events of ``lines`` that name their ``event``."""
     events = lines.groupBy(*CONTEXT, "event").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("all"))
     rest = F.transform(F.slice("all", 2, MAX_CONTINUATIONS), lambda x: x.line)
     marked = F.when(F.size("all") > MAX_CONTINUATIONS + 1, F.concat(rest, F.array(F.lit(CAP_MARK)))).otherwise(rest)
     folded = events.select(*CONTEXT, F.col("all")[0]["line_no"].alias("line_no"), F.col("all")[0]["line"].alias("line"), F.when(F.col("format") == "cri", F.transform(F.slice("all", 2, 1 << 30), lambda x: x.line)).otherwise(marked).alias("extra"))
     return folded.withColumn("raw", F.when(F.size("extra") > 0, F.concat("line", F.lit("\n"), F.array_join("extra", "\n"))).otherwise(F.col("line")))
+
+
+def fold_lines(lines: DataFrame, formats: Iterable[str] = FORMATS) -> DataFrame:
+    """Events of ``lines`` (CONTEXT, line_no, line) of files that one task can hold."""
+    in_file = Window.partitionBy("file_idx").orderBy("line_no")
+    lines = _clamped(lines).withColumn("previous", F.lag("line").over(in_file))
+    lines = lines.withColumn("start", F.col("previous").isNull() | starts_event(set(formats)))
+    return _packed(lines.withColumn("event", F.sum(F.col("start").cast("int")).over(in_file)))
+
+
+#: Names of a file in windows and joins; the number alone may be a hash.
+FILE = ["file_id", "file_idx"]
+
+
+def fold_blocks(lines: DataFrame, formats: Iterable[str] = FORMATS, shifts: Sequence[int] = scan.LINES) -> DataFrame:
+    """The same events for files of any size; no task holds more than a block of lines or an event.
+
+    An event is named by its first line; lines before the first start of a file are an event as well. Of the lines that
+    continue an event no more are gathered than it keeps, so an event of very many lines is not gathered in one task.
+    """
+    lines = _clamped(lines)
+    if "cri" in formats:
+        lines = scan.before(lines, FILE, "line_no", {"previous": (F.col("line"), "last")}, shifts=shifts)
+        start = F.col("previous").isNull() | starts_event(set(formats))
+    else:
+        start = starts_event(set(formats))
+    lines = lines.withColumn("own", F.when(start, F.col("line_no")))
+    lines = scan.before(lines, FILE, "line_no", {"open": (F.col("own"), "last")}, shifts=shifts)
+    lines = lines.withColumn("event", F.coalesce("own", "open", F.lit(0)))
+    piece = F.when(F.col("format") == "cri", F.col("line_no"))  # fragments of a line are all kept
+    rank = F.row_number().over(Window.partitionBy(*FILE, "event", piece).orderBy("line_no"))
+    return _packed(lines.withColumn("rank", rank).filter(F.col("rank") <= MAX_CONTINUATIONS + 2))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import zoneinfo
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import scan
 from tidemark.schema import SKEW_SECONDS
 
 
@@ -15,9 +17,11 @@ def known_zone(name: Column) -> Column:
     return F.when(name.isin(sorted(zoneinfo.available_timezones())), name)
 
 
-def resolve(entries: DataFrame) -> DataFrame:
+def resolve(entries: DataFrame, shifts: Sequence[int] = ()) -> DataFrame:
     """(ts, offset_s, timezone, offset_seconds) to timestamp (UTC) and time_source, file by file.
 
+    With ``shifts`` files of any size are gone through in blocks of lines, see ``scan``.
+
     A stamp with an offset counts by it; one without counts in the declared zone, or as UTC ('assumed'). The declared
     shift is added to stamps that were read. Events without a stamp carry the one before them; those at the head of a
     file take its earliest.
@@ -28,13 +32,17 @@ def resolve(entries: DataFrame) -> DataFrame:
     shifted = F.timestamp_add("SECOND", F.coalesce("offset_seconds", F.lit(0)), utc)
     own = F.when(F.col("ts").isNotNull(), shifted)
     source = F.when(F.col("ts").isNull(), F.lit(None)).when(~naive, "offset").when(zone.isNotNull(), "zone").otherwise("assumed")
-    in_order = Window.partitionBy("file_idx").orderBy("line_no", "seq").rowsBetween(Window.unboundedPreceding, 0)
     read = entries.withColumn("own", own).withColumn("own_source", source)
-    filled = F.coalesce(F.last("own", ignorenulls=True).over(in_order), F.min("own").over(Window.partitionBy("file_idx")))
+    if shifts:
+        read = scan.before(read, ["file_id", "file_idx"], "line_no", {"carry": (F.col("own"), "last")}, order=["seq"], shifts=shifts, overall={"earliest": (F.col("own"), "min")})
+        filled = F.coalesce("own", "carry", "earliest")
+    else:
+        in_order = Window.partitionBy("file_idx").orderBy("line_no", "seq").rowsBetween(Window.unboundedPreceding, 0)
+        filled = F.coalesce(F.last("own", ignorenulls=True).over(in_order), F.min("own").over(Window.partitionBy("file_idx")))
     return (
         read.withColumn("timestamp", filled)
         .withColumn("time_source", F.coalesce("own_source", F.when(F.col("timestamp").isNotNull(), "carried").otherwise("none")))
-        .drop("own_source", "ts", "offset_s")
+        .drop("own_source", "ts", "offset_s", "carry", "earliest")
         .withColumnRenamed("own", "read_at")
     )
 
@@ -45,28 +53,44 @@ def file_clocks(resolved: DataFrame) -> DataFrame:
     return resolved.groupBy("file_idx", "file_id").agg(F.min("read_at").alias("first"), F.max("read_at").alias("last"), F.count_if(unresolved).alias("unresolved"))
 
 
+#: What skew_warning says; gap_seconds tells how far.
+APART = "clock_apart"
+
+
+def _apart(dated: DataFrame, threshold: int) -> DataFrame:
+    """gap_seconds, 0 for windows that overlap, and skew_warning from the nearest end ``before`` and start ``after`` of others."""
+    seconds = lambda a, b: (F.unix_micros(b.cast("timestamp")) - F.unix_micros(a.cast("timestamp"))) / 1e6
+    gap = F.least(seconds(F.col("before"), F.col("first")), seconds(F.col("last"), F.col("after")))  # least takes no nulls
+    found = dated.withColumn("gap_seconds", F.when(gap < 0, 0.0).otherwise(gap))
+    return found.withColumn("skew_warning", F.when(F.col("gap_seconds") > threshold, F.lit(APART)))
+
+
 def detect_skew(clocks: DataFrame, threshold: int = SKEW_SECONDS) -> DataFrame:
     """``clocks`` with gap_seconds to the nearest other window, and skew_warning where that is above ``threshold``.
 
-    The nearest windows are those with the latest end before, or the earliest start after, so two ordered passes over
-    the windows stand in for comparing all pairs.
+    The nearest windows are those with the latest end among the ones that start no later, and the earliest start among
+    the others, so ordered passes over the windows stand in for comparing all pairs. One task orders the files; a batch
+    has few. ``skew_of_many`` is for more.
     """
-    dated = clocks.filter("first is not null")
-    everything = Window.partitionBy()
-    by_first = Window.orderBy("first", "last", "file_idx")
-    by_last = Window.orderBy("last", "first", "file_idx")
-    # Of the other files: the largest end among those that start no later, and the smallest start among those that end no earlier.
-    before = F.max("last").over(by_first.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.min("first").over(by_last.rowsBetween(1, Window.unboundedFollowing))
-    seconds = lambda a, b: (F.unix_micros(b.cast("timestamp")) - F.unix_micros(a.cast("timestamp"))) / 1e6
-    gaps = dated.withColumn("before", before).withColumn("after", after).withColumn("others", F.count(F.lit(1)).over(everything) - 1)
-    gap = F.when(F.col("others") > 0, F.least(F.coalesce(seconds(F.col("before"), F.col("first")), F.lit(1e18)), F.coalesce(seconds(F.col("last"), F.col("after")), F.lit(1e18))))
-    warned = gaps.select("file_idx", gap.alias("gap_seconds"))
-    text = F.concat(
-        F.lit("this file and the closest other one are "), F.format_string("%.1f", F.col("gap_seconds") / 60),
-        F.lit(" minutes apart: its clock may be off (then set an offset), or it is about another time"),
-    )
-    return clocks.join(warned, "file_idx", "left").withColumn("skew_warning", F.when(F.col("gap_seconds") > threshold, text))
+    in_order = Window.orderBy("first", "last", "file_idx")
+    before = F.max("last").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    gaps = _apart(clocks.filter("first is not null").withColumn("before", before).withColumn("after", F.lead("first").over(in_order)), threshold)
+    return clocks.join(gaps.select("file_idx", "gap_seconds", "skew_warning"), "file_idx", "left")
+
+
+def skew_of_many(clocks: DataFrame, threshold: int = SKEW_SECONDS, shifts: Sequence[int] = scan.MICROS) -> DataFrame:
+    """The same for any number of files, by running maxima over blocks of time; no task orders all of them.
+
+    ``clocks`` is read several times: have it stored. Files that start within the same second are ordered by one task.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    turned = F.lit(1 << 61)
+    dated = clocks.filter("first is not null").withColumns({"_from": turned + micros("first"), "_back": turned - micros("first"), "_end": -micros("last"), "_file": -F.col("file_idx").cast("decimal(20)"), "_top": F.lit(0)})
+    found = scan.before(dated, ["_top"], "_from", {"before": (F.col("last"), "max")}, order=["last", "file_idx"], shifts=shifts)
+    # The other way round, so that the windows after come before.
+    found = scan.before(found, ["_top"], "_back", {"after": (F.col("first"), "min")}, order=["_end", "_file"], shifts=shifts)
+    gaps = _apart(found, threshold).select(F.col("file_id").alias("_id"), F.col("file_idx").alias("_idx"), "gap_seconds", "skew_warning")
+    return clocks.join(gaps, (F.col("file_id") == F.col("_id")) & (F.col("file_idx") == F.col("_idx")), "left").drop("_id", "_idx")
 
 
 def timeline(entries: DataFrame) -> DataFrame:

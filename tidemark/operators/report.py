@@ -15,6 +15,11 @@ def file_report(described: DataFrame, detected: DataFrame, all_entries: DataFram
         F.octet_length("content").alias("bytes"),
         F.when(F.col("content") == "", 0).otherwise(F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit(""))) + 1).alias("line_count"),
     )
+    return sized_report(sizes, detected, all_entries, kept, clocks)
+
+
+def sized_report(sizes: DataFrame, detected: DataFrame, all_entries: DataFrame, kept: DataFrame, clocks: DataFrame) -> DataFrame:
+    """The report of sources whose ``sizes`` (file_idx, file_id, name, service, role, bytes, line_count) are known."""
     counts = kept.groupBy("file_idx").agg(
         F.count(F.lit(1)).alias("entry_count"), F.count("trace_id").alias("with_trace_id"), F.count_if(F.size("correlation_keys") > 0).alias("with_correlation_key")
     )

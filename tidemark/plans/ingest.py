@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import detect as detection
-from tidemark.operators import fold, normalize, parse, redact, report
+from tidemark.operators import fold, normalize, parse, redact, report, scan
 from tidemark.schema import DETECT_LINES, ENTRY_COLUMNS, MAX_ENTRIES, MAX_FILE_BYTES, PASTE_BYTES, PASTE_ENTRIES
-from tidemark.sources.bulk import described_lines, lines_below
-from tidemark.sources.files import described, pasted
+from tidemark.sources.bulk import described_lines, files_below, lines_below
+from tidemark.sources.files import described, pasted, resolved_service
 
 
-@dataclass(frozen=True)
-class Ingested:
-    """Lazy results of a batch; ``entries`` are redacted and unsorted, ``timeline`` sorts them."""
+class Results:
+    """What follows from ``entries``, which are redacted and unsorted, and from the report of ``files``."""
 
     entries: DataFrame
     files: DataFrame
-    redactions: DataFrame
 
     @property
     def timeline(self) -> DataFrame:
@@ -38,6 +39,45 @@ class Ingested:
         return report.preview(self.entries, n)
 
 
+@dataclass(frozen=True)
+class Ingested(Results):
+    """Lazy results of a batch."""
+
+    entries: DataFrame
+    files: DataFrame
+    redactions: DataFrame
+
+
+@dataclass(frozen=True)
+class Folder(Results):
+    """Lazy results of a folder. ``files`` has a row a file; asked for, the files' clocks are stored to be compared."""
+
+    entries: DataFrame
+    sizes: DataFrame
+    detected: DataFrame
+    clocks: DataFrame
+
+    @cached_property
+    def files(self) -> DataFrame:
+        skewed = normalize.skew_of_many(settled(self.clocks))
+        return report.sized_report(self.sizes, self.detected, self.entries, self.entries, skewed)
+
+    @property
+    def redactions(self) -> DataFrame:
+        return redact.redaction_counts(self.entries)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder of the cluster, a temporary one only where that is unset in local mode."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidemark-"))
+    return df.checkpoint()
+
+
 def ingest(
     sources: DataFrame, *, policy: redact.Policy | None = None, max_entries: int | None = MAX_ENTRIES, max_bytes: int = MAX_FILE_BYTES, year: int | None = None
 ) -> Ingested:
@@ -62,25 +102,34 @@ def ingest(
     return Ingested(clean.select(*ENTRY_COLUMNS, "redactions", "touched"), report.file_report(files, detected, made, kept, clocks), redact.redaction_counts(clean))
 
 
-def ingest_folder(spark: SparkSession, path: str, *, policy: redact.Policy | None = None, year: int | None = None, **declared: str | int | None) -> DataFrame:
-    """Redacted entries of all files below ``path``, however many and large; formats and clocks are found file by file.
+def ingest_folder(
+    spark: SparkSession, path: str, *, policy: redact.Policy | None = None, year: int | None = None, shifts: Sequence[int] = scan.LINES, **declared: str | int | None
+) -> Folder:
+    """All files below ``path``, however many and large; formats and clocks are found file by file.
 
-    Formats are kept in a table and joined, not listed on the driver, which hears only which formats and what year occur.
+    Files are folded and dated in blocks of lines, so a file is no task's own. Formats are kept in a table and joined, not
+    listed on the driver, which hears only which formats and what year occur.
     """
     lines = described_lines(lines_below(spark, path), **declared)
     files = lines.select("file_idx", "format").distinct()
-    detected = detection.detect(files, lines).select(F.col("file_idx").alias("_file"), F.col("format").alias("found"), "flavor")
-    formats = {r.found for r in detected.select("found").distinct().collect()}
+    detected = detection.detect(files, lines)
+    formats = {r.format for r in detected.select("format").distinct().collect()}
     if year is None:
         stamped = F.regexp_extract("line", r"(?U)^\s*([0-9]{4})", 1).try_cast("int").alias("year")
         seen = lines.filter(F.col("line_no") <= DETECT_LINES).select("file_id", "line_no", stamped).filter("year between 2000 and 2100")
         year = seen.agg(F.min_by("year", F.struct("file_id", "line_no"))).first()[0] or spark.range(1).select(F.year(F.current_timestamp())).first()[0]
-    known = lines.join(detected, F.col("file_idx") == F.col("_file")).withColumn("format", F.col("found")).drop("_file", "found")
-    made = parse.parse_events(fold.fold_lines(known.select(*fold.CONTEXT, "line_no", "line"), formats), year, formats)
+    found = detected.select(F.col("file_idx").alias("_file"), F.col("format").alias("found"), "flavor")
+    known = lines.join(found, F.col("file_idx") == F.col("_file")).withColumn("format", F.col("found")).drop("_file", "found")
+    made = parse.parse_events(fold.fold_blocks(known.select(*fold.CONTEXT, "line_no", "line"), formats, shifts), year, formats)
     zones = {c: F.lit(declared.get(c)).cast(t) for c, t in (("timezone", "string"), ("offset_seconds", "int"))}
-    resolved = normalize.resolve(made.withColumns(zones))
+    resolved = normalize.resolve(made.withColumns(zones), shifts)
     nothing = F.lit(None).cast("string")
-    return redact.redact_entries(resolved.withColumns({"template_id": nothing, "flow_id": nothing}), policy).select(*ENTRY_COLUMNS, "redactions", "touched")
+    clean = redact.redact_entries(resolved.withColumns({"template_id": nothing, "flow_id": nothing}), policy)
+    role = F.lit(declared.get("role", "unknown"))
+    counts = lines.groupBy("file_id").agg(F.max("line_no").alias("line_count"))
+    listed = resolved_service(files_below(spark, path).withColumns({"service": F.lit(declared.get("service")).cast("string"), "role": role}))
+    sizes = listed.join(counts, "file_id", "left").select(F.xxhash64("file_id").alias("file_idx"), "file_id", "name", "service", "role", "bytes", F.coalesce("line_count", F.lit(0)).alias("line_count"))
+    return Folder(clean.select(*ENTRY_COLUMNS, "redactions", "touched"), sizes, detected, normalize.file_clocks(resolved))
 
 
 def ingest_text(spark: SparkSession, text: str, **options) -> Ingested:

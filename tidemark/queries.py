@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from tidemark.functions import levels, stamps
 from tidemark.functions.text import file_stem
 from tidemark.operators import detect as detection
+from tidemark.operators import fold as folding
 from tidemark.operators import normalize, redact
 from tidemark.plans import analyses, cost, prompts
-from tidemark.plans.ingest import Ingested, ingest
+from tidemark.plans.ingest import Ingested, ingest, settled
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -350,6 +351,46 @@ def skew_report(spark, sf_dir):
     return normalize.detect_skew(clocks).select("file_idx", (F.col("gap_seconds") > 120).alias("suspected"))
 
 
+#: Blocks of a thousand lines, so that small tables have many.
+SMALL_BLOCKS = (10, 20, 63)
+
+
+@query("select event_id, cast(2 + event_id % 3 as integer) as n_lines, event_id * 5 + 1 as line_no from events")
+def fold_blocks(spark, sf_dir):
+    """Stack traces of one file of all events, folded in blocks of lines."""
+    first = "concat(date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\"), 'Z ERROR event ', event_id, ' failed')"
+    lines = table(spark, sf_dir, "events").selectExpr("event_id", f"{first} first", "explode(sequence(0, cast(1 + event_id % 3 as int))) k")
+    fixed = {"file_id": "f0", "service": "app", "role": "backend", "format": "plain", "flavor": None}
+    lines = lines.withColumns({c: F.lit(v).cast("string") for c, v in fixed.items()}).withColumns({"file_idx": F.lit(0), "service_declared": F.lit(False)})
+    lines = lines.withColumns({"line_no": F.col("event_id") * 5 + F.col("k") + 1, "line": F.when(F.col("k") == 0, F.col("first")).otherwise("    at com.shop.Cart.add(Cart.java:7)")})
+    e = folding.fold_blocks(lines.select(*folding.CONTEXT, "line_no", "line"), {"plain"}, SMALL_BLOCKS)
+    return e.select(F.regexp_extract("line", EVENT_ID, 1).cast("bigint").alias("event_id"), (F.size("extra") + 1).alias("n_lines"), "line_no")
+
+
+@query(
+    """with e as (select event_id, case when event_id % 4000 >= 2500 or event_id % 7 = 1 then ts end as own from events)
+select event_id, epoch_us(coalesce(last_value(own ignore nulls) over (order by event_id rows unbounded preceding), min(own) over ())) as us, case when own is null then 'carried' else 'assumed' end as time_source from e"""
+)
+def carry_blocks(spark, sf_dir):
+    """One file of all events; stamps are carried over many blocks, and its head takes its earliest stamp."""
+    one = timed(spark, sf_dir, "not (event_id % 4000 >= 2500 or event_id % 7 = 1)").withColumns({"file_idx": F.lit(0), "file_id": F.lit("f0")})
+    r = normalize.resolve(one, SMALL_BLOCKS)
+    return r.select("event_id", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("us"), "time_source")
+
+
+@query(
+    """with w as (select user_id as f, min(ts) + interval (user_id % 400) day as a, min(ts) + interval (user_id % 400) day + interval (user_id % 50) minute as b from events group by user_id),
+g as (select x.f, min(greatest(epoch_us(y.a) - epoch_us(x.b), epoch_us(x.a) - epoch_us(y.b))) as gap from w x join w y on x.f <> y.f group by x.f)
+select f as file_idx, cast(greatest(gap, 0) as bigint) as gap_us, gap > 120000000 as suspected from g"""
+)
+def skew_many_files(spark, sf_dir):
+    """A file for each user; every one is compared with the nearest of all others."""
+    clocks = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").alias("m"))
+    clocks = clocks.selectExpr("user_id file_idx", "concat('f', user_id) file_id", "m + make_dt_interval(cast(user_id % 400 as int)) first", "m + make_dt_interval(cast(user_id % 400 as int), 0, cast(user_id % 50 as int)) last")
+    found = normalize.skew_of_many(settled(clocks))
+    return found.select("file_idx", F.round(F.col("gap_seconds") * 1e6).cast("bigint").alias("gap_us"), F.col("skew_warning").isNotNull().alias("suspected"))
+
+
 @query("select event_id, row_number() over (order by ts nulls first, 'f' || (event_id % 8), event_id) as place from events order by place limit 200")
 def timeline_head(spark, sf_dir):
     r = normalize.resolve(timed(spark, sf_dir))
