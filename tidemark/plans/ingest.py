@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cached_property
@@ -15,6 +14,7 @@ from tidemark.operators import fold, normalize, parse, redact, report, scan
 from tidemark.schema import DETECT_LINES, ENTRY_COLUMNS, MAX_ENTRIES, MAX_FILE_BYTES, PASTE_BYTES, PASTE_ENTRIES
 from tidemark.sources.bulk import described_lines, files_below, lines_below
 from tidemark.sources.files import described, pasted, resolved_service
+from tidemark.stored import settled
 
 
 class Results:
@@ -67,17 +67,6 @@ class Folder(Results):
         return redact.redaction_counts(self.entries)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder of the cluster, a temporary one only where that is unset in local mode."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared and context.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidemark-"))
-    return df.checkpoint()
-
-
 def ingest(
     sources: DataFrame, *, policy: redact.Policy | None = None, max_entries: int | None = MAX_ENTRIES, max_bytes: int = MAX_FILE_BYTES, year: int | None = None
 ) -> Ingested:

@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 from tidemark.functions import levels, stamps
 from tidemark.functions.text import file_stem
 from tidemark.operators import detect as detection
+from tidemark.operators import flows as flowing
 from tidemark.operators import fold as folding
 from tidemark.operators import normalize, redact
+from tidemark.operators import templates as templating
 from tidemark.plans import analyses, cost, prompts
-from tidemark.plans.ingest import Ingested, ingest, settled
+from tidemark.plans.ingest import Ingested, ingest
+from tidemark.stored import settled
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -391,6 +394,54 @@ def skew_many_files(spark, sf_dir):
     return found.select("file_idx", F.round(F.col("gap_seconds") * 1e6).cast("bigint").alias("gap_us"), F.col("skew_warning").isNotNull().alias("suspected"))
 
 
+# --- templates and flows ---------------------------------------------------------------------------------------------
+
+LETTERS = "translate(cast(user_id as string), '0123456789', 'abcdefghij')"
+TALK = f"""case event_id % 3 when 0 then 'job ' || {LETTERS} || ' ' || event_type || ' took ' || event_id || 'ms' when 1 then 'login of ' || {LETTERS} || ' from region ' || substr('nesw', cast(1 + event_id % 4 as int), 1)
+  else {LETTERS} || ' closed session s' || event_id end"""
+SPOKEN_BY = "case event_id % 2 when 0 then 'web' else 'db' end"
+
+
+def _templates_sql(depth: int = 3, most: int = 20) -> str:
+    varying = templating.VARYING.replace("'", "''")
+    steps = [f"""p0 as (select {SPOKEN_BY} service, trim(regexp_replace({TALK}, '{varying}', '{templating.ANY}', 'g')) pattern, count(*) n, min(ts) a, max(ts) b from events group by 1, 2),
+t0 as (select *, string_split(pattern, ' ') tk, service || ' ' || len(tk) node, []::varchar[] path from p0)"""]
+    for i in range(depth):
+        steps.append(f"""w{i} as (select node from t{i} where len(tk) > {i} group by node having count(distinct tk[{i + 1}]) > {most}),
+s{i} as (select t{i}.*, case when len(tk) > {i} then case when w{i}.node is null then tk[{i + 1}] else '{templating.ANY}' end end step from t{i} left join w{i} using (node)),
+t{i + 1} as (select * exclude (node, path, step), case when step is null then node else node || ' ' || step end node, case when step is null then path else list_append(path, step) end path from s{i})""")
+    steps.append(f"""places as (select node, unnest(range({depth + 1}, len(tk) + 1)) i, tk from t{depth}),
+wide as (select node, list(i) ws from (select node, i from places group by node, i having count(distinct tk[i]) > {most}) group by node),
+done as (select t.*, array_to_string(list_concat(path, list_transform(range({depth + 1}, len(tk) + 1), lambda i: case when list_contains(coalesce(ws, []), i) then '{templating.ANY}' else tk[i] end)), ' ') template from t{depth} t left join wide using (node))""")
+    return f"with {', '.join(steps)}\nselect service, template, sum(n)::bigint n, epoch_us(min(a)) first_us, epoch_us(max(b)) last_us from done group by service, template"
+
+
+@query(_templates_sql())
+def log_templates(spark, sf_dir):
+    """Templates of messages by service, with counts, first and last time."""
+    e = table(spark, sf_dir, "events").selectExpr(f"{SPOKEN_BY} service", f"{TALK} message", "cast(ts as timestamp) timestamp")
+    us = lambda c: F.unix_micros(c).alias(f"{c}_us")
+    return templating.templates(templating.mine(e)).select("service", "template", F.col("n"), us("first"), us("last"))
+
+
+#: A request of five events; some name their user, and three in ten requests name one tenant.
+TIES = {"request_id": "cast(event_id div 5 as string)", "user_id": "case when event_id % 40 = 0 then cast(user_id as string) end", "tenant": "case when event_id div 5 % 10 < 3 then 'x' end"}
+
+
+@query(
+    """with recursive e as (select event_id, list_sort(list_filter(['request_id=' || event_id // 5, case when event_id % 40 = 0 then 'user_id=' || user_id end, case when event_id // 5 % 10 < 3 then 'tenant=x' end], lambda x: x is not null)) ks from events),
+ties as (select distinct ks[1] u, unnest(ks) v from e), sides as (select u, v from ties union select v, u from ties),
+reached(x, y) as (select u, u from sides union select r.x, s.v from reached r join sides s on r.y = s.u),
+labels as (select x, min(y) label from reached group by x)
+select event_id, substr(sha256(label), 1, 16) flow_id from e join labels on ks[1] = x"""
+)
+def flow_ids(spark, sf_dir):
+    """Events that share requests, users or the tenant, directly or through others."""
+    keys = ", ".join(f"'{k}', coalesce({v}, '')" for k, v in TIES.items())
+    e = table(spark, sf_dir, "events").selectExpr("event_id", f"map({keys}) correlation_keys", "cast(null as string) trace_id", "'f0' file_id", "event_id line_no", "0 seq", "cast(null as string) flow_id")
+    return flowing.with_flow_ids(e, flowing.flow_labels(e)).select("event_id", "flow_id")
+
+
 @query("select event_id, row_number() over (order by ts nulls first, 'f' || (event_id % 8), event_id) as place from events order by place limit 200")
 def timeline_head(spark, sf_dir):
     r = normalize.resolve(timed(spark, sf_dir))
