@@ -15,7 +15,7 @@ from tidemark.functions.text import file_stem
 from tidemark.operators import detect as detection
 from tidemark.operators import flows as flowing
 from tidemark.operators import fold as folding
-from tidemark.operators import normalize, redact
+from tidemark.operators import normalize, redact, rhythm
 from tidemark.operators import templates as templating
 from tidemark.plans import analyses, cost, prompts
 from tidemark.plans.ingest import Ingested, ingest
@@ -442,6 +442,39 @@ def flow_ids(spark, sf_dir):
     return flowing.with_flow_ids(e, flowing.flow_labels(e)).select("event_id", "flow_id")
 
 
+BY_USER = ("service", "user")
+
+
+def occurred(spark: SparkSession, sf_dir: str, user: str = "user_id % 4") -> DataFrame:
+    return rhythm.occurrences(table(spark, sf_dir, "events").selectExpr("event_type service", f"cast({user} as string) user", "ts timestamp"), BY_USER)
+
+
+GAPS_SQL = "with g as (select event_type service, cast(user_id % 4 as varchar) u, epoch_us(ts) us, epoch_us(ts) - lag(epoch_us(ts)) over (partition by event_type, user_id % 4 order by ts) gap from events)"
+
+
+@query(f"""{GAPS_SQL}, r as (select *, row_number() over (partition by service, u order by gap nulls last) i, count(gap) over (partition by service, u) m from g)
+select service, u as "user", count(*) n, min(us) "first", max(us) "last", min(gap) shortest, min(gap) filter (i >= ceil(0.1 * m)) p10, min(gap) filter (i >= ceil(0.5 * m)) p50, min(gap) filter (i >= ceil(0.9 * m)) p90, max(gap) longest from r group by 1, 2""")
+def cadence(spark, sf_dir):
+    """How often each kind of event of a group of users occurs."""
+    return rhythm.cadence(rhythm.gaps(occurred(spark, sf_dir), BY_USER), BY_USER)
+
+
+@query(f"""{GAPS_SQL}, s as (select *, sum(case when gap is null or gap > 3600000000 then 1 else 0 end) over (partition by service, u order by us) run from g)
+select service, u as "user", min(us) "start", max(us) "end", count(*) n from s group by service, u, run having count(*) >= 3""")
+def event_bursts(spark, sf_dir):
+    """Runs of at least three events of a kind and group with no hour between."""
+    return rhythm.bursts(rhythm.gaps(occurred(spark, sf_dir), BY_USER), 3_600_000_000, 3, BY_USER)
+
+
+@query("""with t as (select event_type || '/' || (user_id % 4) k, epoch_us(ts) // 60000000 slot, min(epoch_us(ts)) us from events group by 1, 2),
+c as (select k, count(*) "of" from t group by k),
+p as (select a.k ak, b.k bk, a.us, min(b.us - a.us) // 1000000 * 1000000 lag from t a join t b on a.k <> b.k and b.us > a.us and b.us <= a.us + 1800000000 group by all)
+select string_split(ak, '/')[1] a_service, string_split(ak, '/')[2] a_user, string_split(bk, '/')[1] b_service, string_split(bk, '/')[2] b_user, count(*) n, any_value("of") "of", median(lag) median_lag from p join c on ak = k group by ak, bk""")
+def event_followers(spark, sf_dir):
+    """Which kind and group comes within half an hour after another, how often and how soon."""
+    return rhythm.followers(occurred(spark, sf_dir), 1_800_000_000, 60_000_000, 1_000_000, BY_USER)
+
+
 @query("select event_id, row_number() over (order by ts nulls first, 'f' || (event_id % 8), event_id) as place from events order by place limit 200")
 def timeline_head(spark, sf_dir):
     r = normalize.resolve(timed(spark, sf_dir))
