@@ -222,3 +222,50 @@ def test_tree_holds_every_row_once():
 
 def test_queries_are_registered():
     assert {"op11_ranked_search", "op12_nearest_neighbours", "op13_importance_resample"} <= set(queries.QUERIES)
+
+
+def test_join_links_rows_without_identifier(spark):
+    from tidemark.llm import jaccard
+
+    words = [f"w{i}" for i in range(60)]
+    near_text = " ".join([*words[:59], "other"])
+    rows = [(7, " ".join(words)), (8, near_text), (None, " ".join(words[1:])), (None, " ".join([*words, "more"])), (None, "a text of its own that nothing else is like at all"), (None, None), (None, ""), (3, "x y z"), (None, "x y z"), (None, "alone one"), (None, "alone one")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n int").repartition(3)
+    found = jaccard.jaccard_components(df, shingle=4, percent=85).collect()
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=repr)
+    assert got == sorted([(7, 57, 7), (8, 57, 7), (None, 56, 7), (None, 58, 7), (None, 9, None), (None, 0, None), (None, 0, None), (3, 1, 3), (None, 1, 3), (None, 1, None), (None, 1, None)], key=repr)
+    with pytest.raises(ValueError):
+        jaccard.jaccard_components(df, percent=50)
+
+
+@pytest.mark.parametrize("most_bytes", [64 << 20, 0])
+def test_windows_with_one_prefix_and_shared_passages(spark, monkeypatch, most_bytes):
+    from tidemark.llm import decontam
+
+    monkeypatch.setattr(decontam, "MAX_BROADCAST_BYTES", most_bytes)
+    rng = random.Random(4)
+    items = [(i, "which of the " + " ".join(rng.choices(WORDS[:6], k=9))) for i in range(60)] + [(100, "two words"), (101, "One"), (102, None), (103, "two words")]
+    shared = items[7][1]
+    docs = [(i, " ".join(rng.choices(["which of the", "river", "Lamp", "two words", "stone", shared.upper()], weights=[5, 5, 5, 1, 5, i % 3 == 0], k=40))) for i in range(40)]
+    docs += [(50, None), (51, ""), (None, shared), (None, "one"), (3, shared), (52, "which of the " * 3000 + items[9][1])]
+    found = decontam.with_contamination(spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, w int"), spark.createDataFrame(items, "item_id long, text string"), n=10).collect()
+
+    def expected(text):
+        w, hit, held = cut(text), set(), set()
+        for i, t in items:
+            words = cut(t)
+            n = min(10, len(words))
+            grams = {tuple(words[j : j + n]) for j in range(len(words) - n + 1)} if n else set()
+            at = [j for j in range(len(w) - n + 1) if tuple(w[j : j + n]) in grams] if grams else []
+            hit |= {k for j in at for k in range(j, j + n)}
+            held |= {str(i)} if at else set()
+        return len(w), len(hit), sorted(held)
+
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, list(r.hit_items)) for r in found), key=repr) == sorted(((i, *expected(t)) for i, t in docs), key=repr)
+    if not most_bytes:
+        windows = decontam.item_windows(spark.createDataFrame(items, "item_id long, text string"), 10)
+        words = spark.createDataFrame([(1, cut(docs[0][1]))], "id long, w array<string>")
+        seen: list[str] = []
+        monkeypatch.setattr(decontam, "work_table", lambda df, label: seen.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+        decontam.find_hits(words, windows, ["id"])
+        assert seen and all(" w#" not in line for plan in seen for line in plan.splitlines() if "Exchange" in line) and "BroadcastExchange" not in seen[0].split("Exchange hashpartitioning")[0]

@@ -1,10 +1,14 @@
 """Benchmark decontamination: test n-grams as a broadcast hash set, probed by every window of every text.
 
 Texts and items are cut into words after A-Z are lower-cased. The windows of an item are its runs of ``n`` words, or
-all its words if it has fewer. The distinct windows, under the hash of their first ``PREFIX`` words, are the build side
-of a hash join, broadcast while their measured size stays below ``MAX_BROADCAST_BYTES`` and shuffled beyond it. Every
-position of a text probes it with the hash of the words that start there; where that is found, the whole windows are
-compared word by word, so a hit is verified by equality. Only hits leave the scan, and texts are not shuffled for them.
+all its words if it has fewer. Distinct windows are the build side of a hash join, broadcast while their measured size
+stays below ``MAX_BROADCAST_BYTES``. Every position of a text first asks the set of the hashes of the windows' first
+``PREFIX`` words, in which each hash is once, however many windows begin so; only where that is found the whole window is
+put together and looked up, by equality. Only hits leave the scan.
+
+Beyond that size each position is hashed over the whole windows that start there, one hash a length. Hashes, places and
+identifiers alone are shuffled to the windows, in salted parts, so that a window that very many texts share is no task's
+own; what meets is verified in the texts that hold it, which are joined once.
 
 Cases: null or empty texts have no words and no hits; null or wordless items have no windows; items that repeat count
 as the identifiers they carry (null identifiers are left out of the list of items); rows that repeat an identifier
@@ -21,8 +25,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import word_count, words_of, work_table
 
 MAX_BROADCAST_BYTES = 64 << 20
-#: First words of a window that are hashed to find it.
+#: First words of a window whose hash tells where a window may start.
 PREFIX = 3
+#: Parts into which texts are dealt when windows are shuffled.
+SALT = 16
 
 
 def item_windows(items: DataFrame, n: int, item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -34,34 +40,67 @@ def item_windows(items: DataFrame, n: int, item_id: str = "item_id", text: str =
     return each.groupBy("gram", "length").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def _prefix_hash(size: int, words: list[Column]) -> Column:
+def _hash(size: int, words: list[Column]) -> Column:
     return F.xxhash64(F.lit(size), *words)
 
 
+def _first_words(parts: Column, size: int) -> Column:
+    return _hash(size, [F.get(parts, F.lit(j)) for j in range(size)])
+
+
 def find_hits(docs: DataFrame, windows: DataFrame, key: list[str]) -> DataFrame:
     """(key, start, length, gram) for every window of ``docs`` (key, w) that an item holds; start counts words from 0."""
-    size = F.least("length", F.lit(PREFIX))
-    sizes = sorted(r.size for r in windows.select(size.alias("size")).distinct().collect())  # at most PREFIX values
-    if not sizes:
+    lengths = sorted(r.length for r in windows.select("length").distinct().collect())  # at most n values
+    if not lengths:
         return docs.select(*key, F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit("").alias("gram")).limit(0)
-    parts = F.split("gram", " ")
-    hashed = F.lit(None).cast("long")
-    for p in sizes:
-        hashed = F.when(size == p, _prefix_hash(p, [F.get(parts, F.lit(j)) for j in range(p)])).otherwise(hashed)
-    build = windows.select(hashed.alias("_dc_hash"), "length", "gram")
     weight = windows.agg(F.sum(F.octet_length("gram") + 64)).first()[0]
+    return _scanned(docs, windows, key, lengths) if weight <= MAX_BROADCAST_BYTES else _shuffled(docs, windows, key, lengths)
+
 
-    # One hash a position for each prefix size; near the end of a text it covers fewer words and the comparison fails.
+def _scanned(docs: DataFrame, windows: DataFrame, key: list[str], lengths: list[int]) -> DataFrame:
+    """``find_hits`` with both build sides broadcast."""
+    sizes = sorted({min(n, PREFIX) for n in lengths})
+    parts, hashed = F.split("gram", " "), F.lit(None).cast("long")
+    for p in sizes:
+        hashed = F.when(F.least("length", F.lit(PREFIX)) == p, _first_words(parts, p)).otherwise(hashed)
+    prefixes = windows.groupBy(hashed.alias("_dc_prefix")).agg(F.collect_set("length").alias("_dc_lengths"))
+
+    # One hash a position for each prefix size; near the end of a text it covers fewer words and no window fits.
     def probes(p: int) -> Column:
-        return F.transform("w", lambda word, i: _prefix_hash(p, [word] + [F.get("w", i + j) for j in range(1, p)]))
+        return F.transform("w", lambda word, i: _hash(p, [word] + [F.get("w", i + j) for j in range(1, p)]))
 
     at = docs.select(*key, "w", F.posexplode(F.concat(*[probes(p) for p in sizes])).alias("_dc_pos", "_dc_probe"))
-    found = at.join(F.broadcast(build) if weight <= MAX_BROADCAST_BYTES else build, F.col("_dc_probe") == F.col("_dc_hash"))
+    found = at.join(F.broadcast(prefixes), F.col("_dc_probe") == F.col("_dc_prefix"))
+    # A window is looked up at the probe of its own prefix size only.
+    own = F.floor(F.col("_dc_pos") / F.size("w"))
+    place = F.array_position(F.array(*map(F.lit, sizes)), F.least("_dc_length", F.lit(PREFIX))) - 1
     start = F.pmod("_dc_pos", F.size("w"))
-    here = (start + F.col("length") <= F.size("w")) & (F.array_join(F.slice("w", start + 1, F.col("length")), " ") == F.col("gram"))
-    # A window is found by the probe of its own prefix size only.
-    own = F.floor(F.col("_dc_pos") / F.size("w")) == F.array_position(F.array(*map(F.lit, sizes)), size) - 1
-    return found.filter(own & here).select(*key, start.alias("start"), "length", "gram")
+    each = found.select(*key, "w", start.alias("start"), own.alias("_dc_own"), F.explode("_dc_lengths").alias("_dc_length"))
+    each = each.filter((F.col("_dc_own") == place) & (F.col("start") + F.col("_dc_length") <= F.size("w")))
+    here = each.select(*key, "start", F.array_join(F.slice("w", F.col("start") + 1, F.col("_dc_length")), " ").alias("_dc_gram"), "_dc_length")
+    known = F.broadcast(windows.select("gram", "length"))
+    return here.join(known, (F.col("_dc_gram") == F.col("gram")) & (F.col("_dc_length") == F.col("length"))).select(*key, "start", "length", "gram")
+
+
+def _shuffled(docs: DataFrame, windows: DataFrame, key: list[str], lengths: list[int]) -> DataFrame:
+    """``find_hits`` by hashes of whole windows, without texts in the shuffle to the windows."""
+
+    def whole(n: int) -> Column:
+        hashes = F.transform("w", lambda word, i: F.struct(i.cast("int").alias("start"), F.lit(n).alias("length"), _hash(n, [word] + [F.get("w", i + j) for j in range(1, n)]).alias("h")))
+        return F.slice(hashes, F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(0)))
+
+    at = docs.select(*key, F.explode(F.concat(*[whole(n) for n in lengths])).alias("x")).select(*key, "x.start", "x.length", F.col("x.h").alias("_dc_h"))
+    at = at.withColumn("_dc_part", F.pmod(F.xxhash64(*key), F.lit(SALT)))
+    hashed = F.lit(None).cast("long")
+    for n in lengths:
+        hashed = F.when(F.col("length") == n, _first_words(F.split("gram", " "), n)).otherwise(hashed)
+    build = windows.select(hashed.alias("_dc_hash"), F.col("length").alias("_dc_length"), "gram", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_dc_salt"))
+    same = (F.col("_dc_h") == F.col("_dc_hash")) & (F.col("length") == F.col("_dc_length")) & (F.col("_dc_part") == F.col("_dc_salt"))
+    met = work_table(at.join(build, same).select(*key, "start", "length", "gram"), "bench-met")
+    texts = docs.select(*[F.col(c).alias(f"{c}_of") for c in key], "w").dropDuplicates([f"{c}_of" for c in key])
+    of = [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in key]
+    sure = F.array_join(F.slice("w", F.col("start") + 1, F.col("length")), " ") == F.col("gram")
+    return met.join(texts, of).filter(sure).select(*key, "start", "length", "gram")
 
 
 def covered(spans: Column) -> Column:

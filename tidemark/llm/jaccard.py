@@ -35,8 +35,8 @@ Components come from verified links alone. Only counts reach the driver. Copies
 
 Cases: null or wordless text: empty set, linked with nothing. Texts shorter than a shingle: the whole sequence is one.
 Very long texts: sets and signatures grow with the text, in one row each. Rows that repeat an identifier keep a row
-each, and a component is named by the smallest identifier in it, ignoring nulls; rows without one are linked to equal
-sets only. Empty table: no rows. Only the identifier of the input is returned, so other columns never clash.
+each, and a component is named by the smallest identifier in it, ignoring nulls; rows without one are linked like any
+other, and a component of such rows alone has no name. Empty table: no rows. Only the identifier of the input is returned, so other columns never clash.
 """
 
 from __future__ import annotations
@@ -49,6 +49,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 from tidemark.llm.common import bounded, work_table
 from tidemark.llm.components import connected
@@ -454,10 +455,25 @@ def linked(corpus: Corpus) -> DataFrame:
     return links.roots
 
 
+def named_rows(key: Column, text: Column, kind: DataType) -> Column:
+    """What tells rows of another identifier or text apart; in order of identifiers, those without one last."""
+    unnamed = F.lit("0").cast(kind)
+    return F.struct(key.isNull().alias("no_id"), F.coalesce(key, unnamed).alias("id"), F.xxhash64(text).alias("h"), F.hash(text).alias("g"))
+
+
 def jaccard_components(df: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """(key, n_shingles, component_id) per row: documents whose sets have at least ``percent`` % in common are linked."""
-    if not 50 <= percent <= 99:
-        raise ValueError("percent is from 50 to 99")
+    """(key, n_shingles, component_id) per row: documents whose sets have at least ``percent`` % in common are linked.
+
+    ``percent`` is above 50, where a set of one shingle is linked to equal ones only.
+    """
+    if not 51 <= percent <= 99:
+        raise ValueError("percent is from 51 to 99")
+    kind = df.schema[key].dataType
+    if not isinstance(kind, StructType) and df.filter(F.col(key).isNull()).limit(1).count():
+        rows = df.select(named_rows(F.col(key), F.col(text), kind).alias("_row"), F.col(text).alias("_text"))
+        found = jaccard_components(rows, key="_row", text="_text", shingle=shingle, percent=percent)
+        name = lambda c: F.when(~F.col(f"{c}.no_id"), F.col(f"{c}.id"))
+        return found.select(name("_row").alias(key), "n_shingles", name("component_id").alias("component_id"))
     corpus = Corpus(df, key, text, shingle, percent)
     roots = linked(corpus)
     named = corpus.nodes.join(bounded(roots, 48), "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
