@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.formats import ADDED
 from tidemark.schema import DETECT_LINES
 from tidemark.sources.files import lines_of
 
@@ -16,7 +17,7 @@ CLF = r'^\S+ \S+ \S+ \[[^\]]+\] "(?:GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS|TRACE
 SYSLOG5424 = r"^<\d{1,3}>1 "
 SYSLOG = r"^(?:<\d{1,3}>)?[A-Z][a-z]{2}\s+\d{1,2} \d{2}:\d{2}:\d{2} \S+ [^\s:\[]+(?:\[\d+\])?:"
 LOGFMT_PAIR = r"""(?:^|\s)([A-Za-z_][\w.\-]*)=("[^"]*"|'[^']*'|[^\s"']*)"""
-#: Ties go to the earlier format.
+#: Ties go to the earlier format; formats of a user come last.
 PRECEDENCE = ["json", "cri", "postgres", "clf", "syslog5424", "syslog", "logfmt"]
 FLOOR = 0.30
 
@@ -76,20 +77,22 @@ def detect(sources: DataFrame, lines: DataFrame | None = None) -> DataFrame:
             "is_syslog5424": F.rlike("line", F.lit(SYSLOG5424)),
             "is_syslog": F.rlike("line", F.lit(SYSLOG)),
             "is_logfmt": F.regexp_count("line", F.lit(LOGFMT_PAIR)) >= 3,
+            **{f"is_{f.name}": F.rlike("line", F.lit(f.start or f.line)) for f in ADDED.values()},
         }
     )
+    order = [*PRECEDENCE, *ADDED]
 
     def share(flag: str) -> Column:
         return F.avg(F.col(flag).cast("int"))
 
     tagged = F.when(share("is_postgres") > 0, share("is_postgres") * 0.5 + F.least(share("is_tagged") * 2, F.lit(1.0)) * 0.5).otherwise(0.0)
     scores = marked.groupBy("file_idx").agg(
-        *[(tagged if f == "postgres" else share(f"is_{f}")).alias(f"s_{f}") for f in PRECEDENCE],
-        *[F.min_by(F.when(F.col(f"is_{f}"), F.left("line", F.lit(200))), F.when(F.col(f"is_{f}"), F.col("rank"))).alias(f"e_{f}") for f in PRECEDENCE],
+        *[(tagged if f == "postgres" else share(f"is_{f}")).alias(f"s_{f}") for f in order],
+        *[F.min_by(F.when(F.col(f"is_{f}"), F.left("line", F.lit(200))), F.when(F.col(f"is_{f}"), F.col("rank"))).alias(f"e_{f}") for f in order],
     )
     votes = marked.filter("is_json").groupBy("file_idx", "flavor").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first"))
     votes = votes.groupBy("file_idx").agg(F.min_by("flavor", F.struct(-F.col("n"), "first")).alias("flavor"))
-    ranked = F.array_max(F.array(*[F.struct(F.col(f"s_{f}").alias("score"), F.lit(-i).alias("order"), F.lit(f).alias("format"), F.col(f"e_{f}").alias("evidence")) for i, f in enumerate(PRECEDENCE)]))
+    ranked = F.array_max(F.array(*[F.struct(F.col(f"s_{f}").alias("score"), F.lit(-i).alias("order"), F.lit(f).alias("format"), F.col(f"e_{f}").alias("evidence")) for i, f in enumerate(order)]))
     best = scores.join(votes, "file_idx", "left").select("file_idx", ranked.alias("best"), F.col("flavor").alias("voted"))
     found = sources.select("file_idx", F.nullif("format", F.lit("")).alias("asked"), F.col("format").isNotNull().alias("overridden")).join(best, "file_idx", "left")
     sure = F.col("best.score") >= FLOOR

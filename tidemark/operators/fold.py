@@ -11,6 +11,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.formats import ADDED
 from tidemark.operators import scan
 from tidemark.schema import FORMATS, MAX_CONTINUATIONS, MAX_LINE_CHARS
 from tidemark.sources.files import lines_of
@@ -54,6 +55,8 @@ def starts_event(formats: set[str]) -> Column:
         "syslog5424": lambda: own | F.rlike(line, F.lit(SYSLOG5424_LINE)),
         "syslog": lambda: own | F.rlike(line, F.lit(SYSLOG_LINE)),
     }
+    for name, added in ADDED.items():
+        rules[name] = lambda pattern=added.line: own | F.rlike(line, F.lit(pattern))
     starts = own
     for name, rule in rules.items():
         if name in formats:

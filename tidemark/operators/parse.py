@@ -15,6 +15,7 @@ from tidemark.functions import levels, stamps
 from tidemark.functions.text import empty_map, groups, json_plain, json_string, let, map_of, over, scalar_json, strip
 from tidemark.operators import fold
 from tidemark.operators.detect import as_object, texts_of
+from tidemark.formats import ADDED
 from tidemark.schema import FORMATS
 
 # Key names by field, producer and format; words that are not loggers.
@@ -150,7 +151,7 @@ def classified(events: DataFrame, formats: set[str]) -> DataFrame:
     """Adds kind, g (groups of the line), the text and fallback stamp of plain reading, and the document, one row per record."""
     fmt = F.col("format")
     shape = F.lit(None).cast("array<string>")
-    for name, (pattern, n) in SHAPES.items():
+    for name, (pattern, n) in (SHAPES | {f.name: (f.line, f.groups) for f in ADDED.values()}).items():
         if name in formats:
             shape = F.when(fmt == name, groups(F.col("line"), pattern, n)).otherwise(shape)
     e = events.withColumn("g", shape)
@@ -477,6 +478,7 @@ def parse_events(events: DataFrame, year: int | None, formats: Iterable[str] = F
     for name, make in {"clf": clf_entry, "postgres": postgres_entry, "syslog5424": syslog5424_entry, "syslog": lambda: syslog_entry(y)}.items():
         if name in formats:
             branches[name] = make()
+    branches |= {f.name: f.entry(F.col("g")) for f in ADDED.values() if f.name in formats}
     made = plain_entry()
     for name, branch in branches.items():
         made = F.when(kind == name, branch).otherwise(made)

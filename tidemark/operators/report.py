@@ -44,6 +44,24 @@ def coverage(entries: DataFrame) -> DataFrame:
     )
 
 
+def coverage_cube(entries: DataFrame, lg: int = 12) -> DataFrame:
+    """(service, role, level, grouped, n, with_trace_id, with_correlation_key, traces): coverage by all sets of the three.
+
+    ``grouped`` has a bit for each of them that is summed over, service first. ``traces`` is a mergeable sketch of the
+    distinct trace identifiers, with a standard error of about 0.83 / sqrt(2^lg), 1.3 % by default; null without any.
+    """
+    return entries.cube("service", "role", "level").agg(
+        F.grouping_id().cast("int").alias("grouped"), F.count(F.lit(1)).alias("n"), F.count("trace_id").alias("with_trace_id"),
+        F.count_if(F.size("correlation_keys") > 0).alias("with_correlation_key"), F.hll_sketch_agg("trace_id", lg).alias("traces"),
+    )
+
+
+def merged_cube(cubes: DataFrame) -> DataFrame:
+    """The cube of several batches from the rows of their cubes."""
+    summed = [F.sum(c).alias(c) for c in ("n", "with_trace_id", "with_correlation_key")]
+    return cubes.groupBy("service", "role", "level", "grouped").agg(*summed, F.hll_union_agg("traces").alias("traces"))
+
+
 def batch_totals(report: DataFrame) -> DataFrame:
     return report.agg(F.sum("entry_count").alias("entry_count"), F.sum("dropped").alias("dropped_lines"), F.coalesce(F.bool_or(F.col("skew_warning").isNotNull()), F.lit(False)).alias("skew_suspected"))
 

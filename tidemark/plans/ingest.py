@@ -94,7 +94,7 @@ def ingest(
 def ingest_folder(
     spark: SparkSession, path: str, *, policy: redact.Policy | None = None, year: int | None = None, shifts: Sequence[int] = scan.LINES, **declared: str | int | None
 ) -> Folder:
-    """All files below ``path``, however many and large; formats and clocks are found file by file.
+    """All files below ``path`` that are not empty, however many and large; formats and clocks are found file by file.
 
     Files are folded and dated in blocks of lines, so a file is no task's own. Formats are kept in a table and joined, not
     listed on the driver, which hears only which formats and what year occur.

@@ -10,12 +10,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import formats
 from tidemark.functions import levels, stamps
 from tidemark.functions.text import file_stem
 from tidemark.operators import detect as detection
 from tidemark.operators import flows as flowing
 from tidemark.operators import fold as folding
-from tidemark.operators import normalize, redact, rhythm
+from tidemark.operators import normalize, redact, report, rhythm
+from tidemark.operators import parse as parsing
 from tidemark.operators import templates as templating
 from tidemark.plans import analyses, cost, prompts
 from tidemark.plans.ingest import Ingested, ingest
@@ -176,6 +178,33 @@ def fold_stack_traces(spark, sf_dir):
     return e.select(F.regexp_extract("message", EVENT_ID, 1).cast("bigint").alias("event_id"), (F.regexp_count("message", F.lit("\n")) + 1).cast("int").alias("n_lines"))
 
 
+def added_format() -> formats.Format:
+    """A format that is not the engine's: stamp, level, service and text between bars."""
+    return formats.Format(
+        "bars", r"(?s)^@([^|]+)\|([^|]+)\|([^|]+)\|(.*)$", 4,
+        lambda g: parsing.entry(stamp=stamps.iso(g[0]), level=levels.named(g[1]), message=parsing.with_extra(g[3]), service=g[2]), r"^@\d{4}-[^|]+\|\w+\|",
+    )
+
+
+@query(expected(message="'event ' || event_id || ' done' || chr(10) || 'more'"))
+def parse_added_format(spark, sf_dir):
+    """Lines of a format that is registered for this query, found by detection."""
+    line = f"concat('@', {STAMP}, 'Z|', {LEVEL}, '|svc.', event_type, '|event ', event_id, ' done\n  more')"
+    with formats.registered(added_format()):
+        return compared(ingest_all(sources(spark, sf_dir, "plain", line, declared=False)).entries)
+
+
+@query("""select event_type as service, user_id % 2 as role, event_id % 3 as level, cast(grouping(event_type) * 4 + grouping(user_id % 2) * 2 + grouping(event_id % 3) as integer) as grouped, count(*) as n,
+  count(*) filter (event_id % 5 <> 0) as with_trace_id, count(*) filter (event_id % 7 <> 0) as with_correlation_key,
+  count(distinct case when event_id % 5 <> 0 then user_id end) > 0 as traced from events group by cube(event_type, user_id % 2, event_id % 3)""")
+def coverage_cube(spark, sf_dir):
+    """Coverage by service, role and level and all their sums; whether a sketch has anything."""
+    e = table(spark, sf_dir, "events").selectExpr(
+        "event_type service", "user_id % 2 role", "event_id % 3 level", "case when event_id % 5 <> 0 then cast(user_id as string) end trace_id", "case when event_id % 7 <> 0 then map('k', 'v') else map() end correlation_keys"
+    )
+    return report.coverage_cube(e).withColumn("traced", F.hll_sketch_estimate("traces") > 0).drop("traces")
+
+
 FORMAT_ROWS = "('plain', 'plain'), ('logfmt', 'logfmt'), ('json', 'json'), ('clf', 'clf'), ('syslog', 'syslog'), ('syslog5424', 'syslog5424'), ('postgres', 'postgres'), ('cri', 'cri')"
 
 

@@ -13,7 +13,7 @@ SPLITS = (43, 63)
 
 
 def files_below(spark: SparkSession, path: str) -> DataFrame:
-    """(file_id, name, bytes) of all files below ``path``, empty ones too; nothing of them is read."""
+    """(file_id, name, bytes) of all files below ``path``, without what is in them; files of no bytes are passed over."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return found.select(F.col("_metadata.file_path").alias("file_id"), F.element_at(F.split("_metadata.file_path", "/"), -1).alias("name"), F.col("_metadata.file_size").alias("bytes"))
 

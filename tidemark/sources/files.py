@@ -7,8 +7,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.formats import known
 from tidemark.functions.text import file_stem
-from tidemark.schema import FORMATS, MAX_FILE_BYTES, MAX_FILES, ROLES, SOURCE
+from tidemark.schema import MAX_FILE_BYTES, MAX_FILES, ROLES, SOURCE
 
 DEFAULTS = {"service": None, "role": "unknown", "format": None, "timezone": None, "offset_seconds": 0}
 
@@ -23,7 +24,7 @@ def file_set(spark: SparkSession, files: Iterable[dict]) -> DataFrame:
     if len(rows) > MAX_FILES:
         raise TooManyFiles(f"{len(rows)} files; a batch has at most {MAX_FILES}")
     for r in rows:
-        if r["format"] and r["format"] not in FORMATS:
+        if r["format"] and r["format"] not in known():
             raise ValueError(f"unknown format {r['format']!r}")
         if abs(r["offset_seconds"] or 0) > 86_400 or not 1 <= len(r["name"]) <= 255:
             raise ValueError(f"offset or name of {r['name']!r} out of range")
