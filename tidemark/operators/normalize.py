@@ -47,10 +47,14 @@ def resolve(entries: DataFrame, shifts: Sequence[int] = ()) -> DataFrame:
     )
 
 
+def clock() -> list[Column]:
+    unresolved = F.col("time_source").isin("assumed", "carried")
+    return [F.min("read_at").alias("first"), F.max("read_at").alias("last"), F.count_if(unresolved).alias("unresolved")]
+
+
 def file_clocks(resolved: DataFrame) -> DataFrame:
     """(file_idx, file_id, first, last, unresolved) over stamps that were read."""
-    unresolved = F.col("time_source").isin("assumed", "carried")
-    return resolved.groupBy("file_idx", "file_id").agg(F.min("read_at").alias("first"), F.max("read_at").alias("last"), F.count_if(unresolved).alias("unresolved"))
+    return resolved.groupBy("file_idx", "file_id").agg(*clock())
 
 
 #: What skew_warning says; gap_seconds tells how far.

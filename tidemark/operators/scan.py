@@ -3,7 +3,8 @@
 A plain running window puts a whole group into one task. Here rows are cut into blocks by their place, a block is scanned
 by itself and leaves one row of totals, the totals are scanned in blocks of blocks in the same way, and what they come to
 is joined to the rows of each block. No task holds more than a block, and a join meets at most one row a block, so a
-group that holds most rows is spread like any other.
+group that holds most rows is spread like any other. The totals are stored when the plan is made, so the rows are gone
+through once for them and once for the result, and plans stay small however scans are stacked.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.stored import settled
+
 #: Bits of a place within a block, a block of blocks, and the whole: for numbers of lines.
 LINES = (16, 32, 63)
 #: The same for microseconds: a second, 19 hours, all times.
@@ -51,6 +54,7 @@ def before(
         *[(F.max_by(v, F.when(v.isNotNull(), at)) if how == "last" else _TOTAL[how](v)).alias(f"_total_{n}") for n, (v, how) in wanted.items()],
         *[_TOTAL[how](v).alias(f"_all_{n}") for n, (v, how) in more.items()],
     )
+    totals = settled(totals)
     carried = before(totals, key, block, {f"_before_{n}": (F.col(f"_total_{n}"), how) for n, (_, how) in wanted.items()}, shifts=[s - shifts[0] for s in shifts[1:]])
     if more:
         carried = carried.join(totals.groupBy(*key).agg(*[_TOTAL[how](F.col(f"_all_{n}")).alias(n) for n, (_, how) in more.items()]), list(key))

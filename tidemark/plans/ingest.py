@@ -50,17 +50,18 @@ class Ingested(Results):
 
 @dataclass(frozen=True)
 class Folder(Results):
-    """Lazy results of a folder. ``files`` has a row a file; asked for, the files' clocks are stored to be compared."""
+    """Lazy results of a folder. ``files`` has a row a file and is stored when it is first asked for."""
 
     entries: DataFrame
     sizes: DataFrame
     detected: DataFrame
-    clocks: DataFrame
+    counted: DataFrame
 
     @cached_property
     def files(self) -> DataFrame:
-        skewed = normalize.skew_of_many(settled(self.clocks))
-        return report.sized_report(self.sizes, self.detected, self.entries, self.entries, skewed)
+        counted = settled(self.counted)
+        clocks = normalize.skew_of_many(counted.select("file_idx", "file_id", "first", "last", "unresolved"))
+        return settled(report.joined_report(self.sizes, self.detected, counted.drop("file_id", "first", "last", "unresolved"), clocks))
 
     @property
     def redactions(self) -> DataFrame:
@@ -101,7 +102,7 @@ def ingest_folder(
     """
     lines = described_lines(lines_below(spark, path), **declared)
     files = lines.select("file_idx", "format").distinct()
-    detected = detection.detect(files, lines)
+    detected = settled(detection.detect(files, lines))
     formats = {r.format for r in detected.select("format").distinct().collect()}
     if year is None:
         stamped = F.regexp_extract("line", r"(?U)^\s*([0-9]{4})", 1).try_cast("int").alias("year")
@@ -118,7 +119,8 @@ def ingest_folder(
     counts = lines.groupBy("file_id").agg(F.max("line_no").alias("line_count"))
     listed = resolved_service(files_below(spark, path).withColumns({"service": F.lit(declared.get("service")).cast("string"), "role": role}))
     sizes = listed.join(counts, "file_id", "left").select(F.xxhash64("file_id").alias("file_idx"), "file_id", "name", "service", "role", "bytes", F.coalesce("line_count", F.lit(0)).alias("line_count"))
-    return Folder(clean.select(*ENTRY_COLUMNS, "redactions", "touched"), sizes, detected, normalize.file_clocks(resolved))
+    counted = resolved.groupBy("file_idx", "file_id").agg(*normalize.clock(), *report.counts(), F.count(F.lit(1)).alias("made"))
+    return Folder(clean.select(*ENTRY_COLUMNS, "redactions", "touched"), sizes, detected, counted)
 
 
 def ingest_text(spark: SparkSession, text: str, **options) -> Ingested:
