@@ -17,6 +17,17 @@ def known_zone(name: Column) -> Column:
     return F.when(name.isin(sorted(zoneinfo.available_timezones())), name)
 
 
+def own_stamps(entries: DataFrame) -> DataFrame:
+    """``entries`` with the stamp they were read with, in UTC and shifted (own), and where it comes from (own_source)."""
+    zone = known_zone(F.col("timezone"))
+    naive = F.col("offset_s").isNull()
+    utc = F.when(~naive, F.timestamp_add("SECOND", -F.col("offset_s"), F.col("ts"))).when(zone.isNotNull(), F.convert_timezone(zone, F.lit("UTC"), F.col("ts"))).otherwise(F.col("ts"))
+    shifted = F.timestamp_add("SECOND", F.coalesce("offset_seconds", F.lit(0)), utc)
+    own = F.when(F.col("ts").isNotNull(), shifted)
+    source = F.when(F.col("ts").isNull(), F.lit(None)).when(~naive, "offset").when(zone.isNotNull(), "zone").otherwise("assumed")
+    return entries.withColumn("own", own).withColumn("own_source", source)
+
+
 def resolve(entries: DataFrame, shifts: Sequence[int] = ()) -> DataFrame:
     """(ts, offset_s, timezone, offset_seconds) to timestamp (UTC) and time_source, file by file.
 
@@ -26,13 +37,7 @@ def resolve(entries: DataFrame, shifts: Sequence[int] = ()) -> DataFrame:
     shift is added to stamps that were read. Events without a stamp carry the one before them; those at the head of a
     file take its earliest.
     """
-    zone = known_zone(F.col("timezone"))
-    naive = F.col("offset_s").isNull()
-    utc = F.when(~naive, F.timestamp_add("SECOND", -F.col("offset_s"), F.col("ts"))).when(zone.isNotNull(), F.convert_timezone(zone, F.lit("UTC"), F.col("ts"))).otherwise(F.col("ts"))
-    shifted = F.timestamp_add("SECOND", F.coalesce("offset_seconds", F.lit(0)), utc)
-    own = F.when(F.col("ts").isNotNull(), shifted)
-    source = F.when(F.col("ts").isNull(), F.lit(None)).when(~naive, "offset").when(zone.isNotNull(), "zone").otherwise("assumed")
-    read = entries.withColumn("own", own).withColumn("own_source", source)
+    read = own_stamps(entries)
     if shifts:
         read = scan.before(read, ["file_id", "file_idx"], "line_no", {"carry": (F.col("own"), "last")}, order=["seq"], shifts=shifts, overall={"earliest": (F.col("own"), "min")})
         filled = F.coalesce("own", "carry", "earliest")
