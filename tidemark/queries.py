@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,8 @@ from tidemark.operators import parse as parsing
 from tidemark.operators import templates as templating
 from tidemark.plans import analyses, cost, prompts
 from tidemark.plans.ingest import Ingested, ingest
-from tidemark.stored import settled
+from tidemark.stored import settled, shared_folder
+from tidemark.streaming import files as growing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -178,6 +180,52 @@ def fold_stack_traces(spark, sf_dir):
     return e.select(F.regexp_extract("message", EVENT_ID, 1).cast("bigint").alias("event_id"), (F.regexp_count("message", F.lit("\n")) + 1).cast("int").alias("n_lines"))
 
 
+GROWING = ["plain", "postgres", "cri", "json"]
+
+
+@query(
+    """with told as (select event_id, event_type, event_id % 8 as file, event_id % 4 as kind, event_id // 8 as n, ts from events),
+  own as (select *, case when kind = 3 and n % 5 = 4 then null when kind = 1 then strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || '000' else strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') end as own from told),
+  dated as (select *, last_value(own ignore nulls) over (partition by file order by event_id) as stamp from own)
+select event_id, cast(case kind when 0 then 2 + n % 3 when 1 then 1 + n % 2 when 2 then 2 else 1 end as integer) as n_lines, stamp,
+  case when kind = 2 then 'info' when event_type = 'error' then 'error' when event_type = 'purchase' then 'warn' when event_type = 'click' and kind != 1 then 'debug' else 'info' end as level,
+  case when own is null and stamp is null then 'none' when own is null then 'carried' when kind = 1 then 'assumed' else 'offset' end as time_source from dated"""
+)
+def stream_entries(spark, sf_dir):
+    """Files of four formats that grow three times; each growth is read by a stream that goes on from the checkpoint of the last."""
+    n = "event_id div 8"
+    lines = [
+        f"transform(sequence(0, 1 + {n} % 3), i -> if(i = 0, {LINES['plain']}, '    at com.shop.Cart.add(Cart.java:7)'))",
+        f"if({n} % 2 = 0, array({LINES['postgres']}), array({LINES['postgres']}, concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss.SSS'), ' UTC [', user_id, '] app@shop DETAIL:  more')))",
+        f"split({LINES['cri']}, '\n')",
+        f"""if({n} % 5 = 4, array(concat('{{"level":"', {LEVEL}, '","message":"event ', event_id, ' done"}}')), array({LINES['json']}))""",
+    ]
+    texts = F.expr("case event_id % 4 " + " ".join(f"when {i} then {e}" for i, e in enumerate(lines)) + " end")
+    rows = table(spark, sf_dir, "events").select("event_id", F.posexplode(texts).alias("pos", "line"))
+    kind = F.get(F.array(*[F.lit(f) for f in GROWING]), (F.col("event_id") % 4).cast("int"))
+    context = [F.concat(F.lit("g"), F.col("event_id") % 8).alias("file_id"), (F.col("event_id") % 8).alias("file_idx"), F.lit("shop").alias("service"), F.lit(True).alias("service_declared"), F.lit("backend").alias("role")]
+    rows = rows.select(*context, kind.alias("format"), F.lit(None).cast("string").alias("flavor"), (F.col("event_id") * 8 + F.col("pos")).alias("line_no"), "line")
+    last = rows.groupBy("file_id").agg(F.max("line_no").alias("top"))
+    ends = rows.groupBy(*folding.CONTEXT).agg(F.max("line_no").alias("top")).select(*folding.CONTEXT, (F.col("top") + 1).alias("line_no"), F.lit(None).cast("string").alias("line"))
+    grown = rows.join(last, "file_id").withColumn("growth", F.least((F.col("line_no") * 3 / (F.col("top") + 1)).cast("int"), F.lit(2))).drop("top")
+    grown = settled(grown.unionByName(ends.withColumn("growth", F.lit(2))))
+    folder, store = f"{shared_folder(spark)}/{uuid.uuid4()}", "spark.sql.streaming.stateStore.providerClass"
+    kept, shape = spark.conf.get(store), grown.drop("growth").schema
+    spark.conf.set(store, growing.STORE)
+    try:
+        for i in range(3):
+            grown.filter(F.col("growth") == i).drop("growth").select(shape.names).write.mode("append").parquet(f"{folder}/in")
+            entries = growing.entries_stream(spark.readStream.schema(shape).parquet(f"{folder}/in"), 2024, GROWING, None)
+            going = entries.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/marks").trigger(availableNow=True).start()
+            going.awaitTermination()
+    finally:
+        spark.conf.set(store, kept)
+    e = spark.read.parquet(f"{folder}/out")
+    n_lines = (F.regexp_count("raw", F.lit("\n")) + 1).cast("int").alias("n_lines")
+    stamp = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("stamp")
+    return e.select(F.regexp_extract("message", EVENT_ID, 1).cast("bigint").alias("event_id"), n_lines, stamp, "level", "time_source")
+
+
 def added_format() -> formats.Format:
     """A format that is not the engine's: stamp, level, service and text between bars."""
     return formats.Format(

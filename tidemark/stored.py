@@ -4,21 +4,27 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What one broadcast may weigh.
 MAX_BROADCAST_BYTES = 16 << 20
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder of the cluster, a temporary one only where that is unset in local mode."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the cluster; a temporary one only where that is unset in local mode."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared and context.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidemark-"))
+    return context.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

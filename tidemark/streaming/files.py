@@ -37,7 +37,7 @@ class Folded(StatefulProcessor):
         self.open = handle.getValueState("open", OPEN)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last, at, line, extra, fragment, channel = self.open.get() or (0, 0, None, [], None, None)
+        last, at, line, extra, fragment, channel = self.open.get() or (-1, 0, None, [], None, None)
         new = pd.concat(list(rows), ignore_index=True).sort_values("line_no", kind="stable")
         new = new[new["line_no"] > last].drop_duplicates("line_no")
         if not len(new):
