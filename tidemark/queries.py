@@ -22,6 +22,7 @@ from tidemark.operators import parse as parsing
 from tidemark.operators import templates as templating
 from tidemark.plans import analyses, cost, prompts
 from tidemark.plans.ingest import Ingested, ingest
+from tidemark.sources import tail as tailing
 from tidemark.stored import settled, shared_folder
 from tidemark.streaming import files as growing
 
@@ -226,6 +227,18 @@ def stream_entries(spark, sf_dir):
     return e.select(F.regexp_extract("message", EVENT_ID, 1).cast("bigint").alias("event_id"), n_lines, stamp, "level", "time_source")
 
 
+@query("select event_id, event_id % 8 as file, 'event ' || event_id || ' of ' || user_id as line from events")
+def tail_lines(spark, sf_dir):
+    """Text files of events, read back in ranges of bytes."""
+    tailing.register(spark)
+    folder = f"{shared_folder(spark)}/{uuid.uuid4()}"
+    written = table(spark, sf_dir, "events").selectExpr("cast(event_id % 8 as int) file", "concat('event ', event_id, ' of ', user_id) value")
+    written.repartition("file").write.partitionBy("file").text(folder)
+    read = spark.read.format("tidemark_tail").option("path", folder).option("splitBytes", 1 << 20).load()
+    file = F.regexp_extract("file_id", "file=([0-9]+)/", 1).cast("bigint").alias("file")
+    return read.select(F.regexp_extract("line", r"event (\d+)", 1).cast("bigint").alias("event_id"), file, "line")
+
+
 def added_format() -> formats.Format:
     """A format that is not the engine's: stamp, level, service and text between bars."""
     return formats.Format(
