@@ -14,11 +14,10 @@ from tidemark.streaming import files
 
 @pytest.fixture(autouse=True)
 def store(spark):
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, files.STORE)
-    yield
-    spark.conf.set(name, before)
+    before = {k: spark.conf.get(k, None) for k in files.STORE}
+    with files.state_store(spark):
+        yield
+    assert before == {k: spark.conf.get(k, None) for k in files.STORE}
 
 
 LINE = "file_id string, file_idx long, service string, service_declared boolean, role string, format string, flavor string, line_no long, line string"

@@ -83,21 +83,16 @@ def test_a_batch_has_the_lines_of_the_text_source(spark, tmp_path):
 
 
 def test_a_growing_folder_is_folded_across_restarts(spark, tmp_path):
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, files.STORE)
     logs, out, marks = tmp_path / "logs", str(tmp_path / "out"), str(tmp_path / "marks")
     logs.mkdir()
     texts = {n: "".join(f"2024-03-01T00:00:{i:02}Z ERROR {n} event {i}\n" + "    at x.Y\n" * (i % 3) for i in range(12)) for n in ("a", "b")}
-    try:
+    with files.state_store(spark):
         for part in (0.3, 0.31, 0.8, 1):
             for n, text in texts.items():
                 (logs / f"{n}.log").write_text(text[: int(len(text) * part)])
             events = files.fold_stream(growing_lines(spark, str(logs), "plain", 50), {"plain"}, None)
             query = events.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start()
             assert query.awaitTermination(120)
-    finally:
-        spark.conf.set(name, before)
     got = sorted((r.service, r.raw) for r in spark.read.parquet(out).collect())
     want = [(n, f"2024-03-01T00:00:{i:02}Z ERROR {n} event {i}" + "\n    at x.Y" * (i % 3)) for n in texts for i in range(11)]  # the last is open
     assert got == sorted(want)

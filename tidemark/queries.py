@@ -210,17 +210,13 @@ def stream_entries(spark, sf_dir):
     ends = rows.groupBy(*folding.CONTEXT).agg(F.max("line_no").alias("top")).select(*folding.CONTEXT, (F.col("top") + 1).alias("line_no"), F.lit(None).cast("string").alias("line"))
     grown = rows.join(last, "file_id").withColumn("growth", F.least((F.col("line_no") * 3 / (F.col("top") + 1)).cast("int"), F.lit(2))).drop("top")
     grown = settled(grown.unionByName(ends.withColumn("growth", F.lit(2))))
-    folder, store = f"{shared_folder(spark)}/{uuid.uuid4()}", "spark.sql.streaming.stateStore.providerClass"
-    kept, shape = spark.conf.get(store), grown.drop("growth").schema
-    spark.conf.set(store, growing.STORE)
-    try:
+    folder, shape = f"{shared_folder(spark)}/{uuid.uuid4()}", grown.drop("growth").schema
+    with growing.state_store(spark):
         for i in range(3):
             grown.filter(F.col("growth") == i).drop("growth").select(shape.names).write.mode("append").parquet(f"{folder}/in")
             entries = growing.entries_stream(spark.readStream.schema(shape).parquet(f"{folder}/in"), 2024, GROWING, None)
             going = entries.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/marks").trigger(availableNow=True).start()
             going.awaitTermination()
-    finally:
-        spark.conf.set(store, kept)
     e = spark.read.parquet(f"{folder}/out")
     n_lines = (F.regexp_count("raw", F.lit("\n")) + 1).cast("int").alias("n_lines")
     stamp = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("stamp")

@@ -1,18 +1,21 @@
 """Growing files as a stream, in any of the formats: lines to events to dated entries, each with a small state per file.
 
 What a line is by itself (whether it can start an event, which fragment of a CRI line it is) is worked out by column
-functions before the state; the state of a file holds its open event, the number of its last line and its last stamp. The session names the RocksDB store:
+functions before the state; the state of a file holds its open event, the number of its last line and its last stamp. Streams are started
+within ``state_store(spark)``, which names the store that chained stateful steps need:
 
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", files.STORE)
+    with files.state_store(spark):
+        files.entries_stream(lines, 2024).writeStream ... .start()
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
@@ -21,11 +24,27 @@ from tidemark.operators import fold, normalize, parse
 from tidemark.schema import FORMATS, MAX_CONTINUATIONS
 
 CONTEXT_TYPES = "file_id string, file_idx long, service string, service_declared boolean, role string, format string, flavor string"
-#: The store of states that chained stateful steps need.
-STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Settings of the store of states: what a trigger changed is written, not all of the state.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 OPEN = "last_no long, line_no long, line string, extra array<string>, fragment string, channel string"
 
 
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started within it keep their states as ``STORE`` says; the session's settings come back after it."""
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class Folded(StatefulProcessor):
     """Events of a file; the state is its open event and what is known of its last line."""
 
