@@ -131,7 +131,7 @@ def spans_of(text: str | None, automaton: ahocorasick.Automaton) -> list[tuple[i
     if not text:
         return []
     out: list[tuple[int, int, int]] = []
-    email_end = ip_end = card_end = phone_end = secret_end = 0
+    email_end = ip_end = card_end = phone_end = secret_end = set_end = 0
     for last, (kind, length) in automaton.iter(folded(text)):
         if kind == "digit":
             if last >= ip_end:
@@ -155,11 +155,13 @@ def spans_of(text: str | None, automaton: ahocorasick.Automaton) -> list[tuple[i
                 if 9 <= sum(c in DIGITS for c in m[0]) <= 15:
                     out.append((3, last, phone_end))
         elif kind in _HEADED or kind in ("named", "password", "bearer"):
-            if last - length + 1 >= secret_end:
-                start, end, valid = _secret(text, kind, last - length + 1, last + 1)
-                secret_end = max(secret_end, end)
+            first = last - length + 1
+            if first >= (secret_end if kind in _HEADED else max(secret_end, set_end)):
+                start, end, valid = _secret(text, kind, first, last + 1)
+                set_end = max(set_end, end)
                 if valid:
                     out.append((8, start, end))
+                    secret_end = end
         else:
             out.extend(_cued(text, kind, last + 1))
     return sorted(set(out))
