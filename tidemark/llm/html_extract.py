@@ -1,8 +1,9 @@
 """Main text of web pages by minimum-cut labelling.
 
 A page becomes blocks of text in page order. Neighbouring blocks of one container form a node. A fixed linear
-classifier over tags, class names (evidence of limited weight that fades inwards), link density, length and punctuation gives each node a cost for either label,
-which is its capacity to the source (content) or the sink (boilerplate). Smoothness edges join neighbours in page
+classifier over tags, class names (evidence of limited weight that fades inwards, but for names that mean one thing),
+what the text says (notices, headings of reader comments or of sources), link density, length and punctuation gives each
+node a cost for either label, which is its capacity to the source (content) or the sink (boilerplate). Smoothness edges join neighbours in page
 order and nodes of one container; they are stronger within a container and within an article. The minimum cut gives
 the labelling of least cost; nodes on the source's side are the text.
 
@@ -24,9 +25,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_MARKUP = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>""", re.S
-)
+_MARKUP = re.compile(r"(<!--)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)")
+#: The rest of a tag without angles in its values; it looks no further than the next angle.
+_PLAIN = re.compile(r"""(?:[^<>"']++|"[^"<>]*+"|'[^'<>]*+')*+>""")
+_STEP = re.compile(r"""[^<>"']*+""")
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?(?![\w-])""", re.I)
 _NAME_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
@@ -43,6 +45,7 @@ HIDDEN = frozenset("template svg object video audio canvas select noscript annot
 #: What may stand in a select, and what ends a drawing; an article ends any of them but a template or noscript.
 IN_SELECT = frozenset("option optgroup hr button".split())
 ENDS_SVG = frozenset("article aside blockquote body center dd div dl dt footer h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BOILER_TAGS = frozenset("nav footer aside form menu dialog button head".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table div article section main body td".split())
@@ -52,11 +55,15 @@ BOILER_NAMES = frozenset(
     recommended recommendations subscribe subscription newsletter signup login popup modal overlay widget toolbar pagination pager skip copyright disclaimer
     warning alert""".split()
 )
+#: Of these, names that mean one thing, and words that say so of cookies.
+SURE_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsored disqus comments gdpr newsletter breadcrumb breadcrumbs pagination pager navbar".split())
+COOKIES, COOKIE_WORDS = frozenset({"cookie", "cookies"}), frozenset("consent notice banner popup policy overlay bar warning law".split())
 CONTENT_NAMES = frozenset("article post entry story content main body text".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 
 #: Classifier weights, for content above zero. Fixed by hand on what the features mean.
-HINT_BOILER, HINT_NAME, HINT_MIXED, HINT_ARTICLE, PER_LENGTH, LINKS, SENTENCE, HEADING, BIAS = -40.0, -6.0, -2.0, 4.0, 1.5, -6.0, 1.0, 1.0, -1.2
+HINT_BOILER, HINT_NAME, HINT_MIXED, HINT_ARTICLE, PER_LENGTH, LINKS, SENTENCE, HEADING, BIAS = -40.0, -6.0, -2.0, 4.0, 1.5, -6.0, 1.0, 1.0, -1.0
+HINT_SURE, HINT_NOTICE, HINT_SOURCES = -10.0, -7.0, 6.0
 #: A container passes this part of the weight of names on to those inside it.
 NAME_DECAY = 0.5
 #: Flags of elements: a form or names that an article clears, tags and roles that main clears, not shown.
@@ -67,13 +74,68 @@ ABOUT_PAGE = frozenset("no not has have with without".split())
 SMOOTH_CONTAINER, SMOOTH_ARTICLE, SMOOTH_PAGE = 1.0, 0.7, 0.2
 
 
+#: Short blocks that say what a page always says. Inside an article they are the article's own words.
+_NOTICE = re.compile(
+    r"^(?:©|\(c\)|copyright\b)[^.]{0,20}\b[12][0-9]{3}\b|\ball rights reserved\b|\balle rechte vorbehalten\b|\btous droits réservés\b|\btodos los derechos reservados\b"
+    r"|\b(?:we|this (?:web)?site|this page|our partners|wir|nous|utilizamos|usamos)\b.{0,60}\bcookies?\b",
+    re.I | re.S,
+)
+NOTICE_LENGTH = 300
+#: Headings of what readers wrote: with a number anywhere, alone where the container is not the article itself.
+_COUNTED = re.compile(
+    r"(?:(?:[0-9][0-9.,]*|one|no) (?:comments?|repl(?:y|ies)|responses?|thoughts? on|kommentare?|antwort(?:en)?|commentaires?|réponses?|comentarios?|respuestas?)\b.{0,120}"
+    r"|(?:comments|replies|responses|kommentare|antworten|commentaires|réponses|comentarios|respuestas) ?[(:]? ?[0-9]+\)?|(?:leave|post|add|write) a (?:reply|comment).{0,40})",
+    re.I | re.S,
+)
+_READERS = re.compile(r"(?:reader )?(?:comments|replies|responses|discussion|kommentare|commentaires|comentarios):?", re.I)
+_SOURCES = re.compile(r"(?:sources?|references|bibliography|further reading|footnotes|notes|quellen|literatur|références|bibliographie|fuentes|referencias|bibliografía):?", re.I)
+
+
+class Tags:
+    """Where the tags of a page end. No stretch is read again from tag to tag in search of an end outside of quotes."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.last = page.rfind(">")
+        self.endless: set[int] = set()  # places outside of quotes from where no end is reached
+
+    def next(self, at: int) -> tuple[int, int, str, str, str]:
+        """Start and end of the next piece of markup, "/" for an end tag, its name and what follows; start is -1 after the last."""
+        page = self.page
+        m = _MARKUP.search(page, at, self.last + 1) if at <= self.last else None
+        if not m or m[1]:
+            start = m.start() if m else page.find("<!--", max(at, self.last + 1))
+            end = page.find("-->", start + 4) if start >= 0 else 0
+            return start, end + 3 if end >= 0 else len(page), "", "", ""
+        if not m[3]:
+            return m.start(), m.end(), "", "", ""
+        plain = _PLAIN.match(page, m.end())
+        end = plain.end() if plain else self.end(m.end())
+        return m.start(), end, m[2], m[3].lower(), page[m.end() : end - 1]
+
+    def end(self, at: int) -> int:
+        """The end of the tag whose name ends at ``at``: the first ">" outside of quotes, if there is none the first of all."""
+        page, seen, here = self.page, [], at
+        while (here := _STEP.match(page, here).end()) < len(page) and here not in self.endless:
+            sign = page[here]
+            if sign == ">":
+                return here + 1
+            seen.append(here)
+            if sign != "<" and (here := page.find(sign, here + 1)) < 0:
+                break
+            here += 1
+        self.endless.update(seen)
+        return page.index(">", at) + 1
+
+
 class Node:
     """Neighbouring blocks of one container."""
 
-    __slots__ = ("article", "boiler", "chars", "container", "heading", "linked", "names", "sentences", "texts")
+    __slots__ = ("article", "boiler", "chars", "container", "heading", "linked", "names", "notice", "sentences", "sources", "texts")
 
-    def __init__(self, container: int, boiler: bool, article: bool, heading: bool, names: float) -> None:
+    def __init__(self, container: int, boiler: bool, article: bool, heading: bool, names: float, notice: bool, sources: bool) -> None:
         self.container, self.boiler, self.article, self.heading, self.names = container, boiler, article, heading, names
+        self.notice, self.sources = notice, sources
         self.texts: list[str] = []
         self.chars = self.linked = self.sentences = 0
 
@@ -83,7 +145,7 @@ class Node:
         mean = self.chars / len(self.texts)
         return (
             BIAS + HINT_ARTICLE * self.article + PER_LENGTH * min(2.0, mean / 60) + LINKS * self.linked / max(1, self.chars)
-            + SENTENCE * (self.sentences > 0) + HEADING * self.heading + self.names
+            + SENTENCE * (self.sentences > 0) + HEADING * self.heading + self.names + HINT_NOTICE * self.notice + HINT_SOURCES * self.sources
         )
 
 
@@ -94,8 +156,11 @@ def name_weight(value: str) -> float:
         parts = [p.lower() for p in _NAME_PARTS.findall(word)]
         parts = set(parts[: next((i for i, p in enumerate(parts) if p in ABOUT_PAGE), len(parts))])
         found = parts & BOILER_NAMES
+        if "cookies" in found and not parts & COOKIE_WORDS:  # what the page may be about
+            found -= {"cookies"}
         if found and not (found <= {"header", "alert", "notice"} and parts & CONTENT_NAMES):
-            least = min(least, HINT_MIXED if parts & CONTENT_NAMES else HINT_NAME)
+            sure = found & SURE_NAMES or found & COOKIES and parts & COOKIE_WORDS
+            least = min(least, HINT_MIXED if parts & CONTENT_NAMES else HINT_SURE if sure else HINT_NAME)
     return least
 
 
@@ -122,19 +187,60 @@ def blocks(page: str) -> list[Node]:
     out: list[Node] = []
     # (tag, flag, article, heading, container, weight of names)
     stack: list[tuple[str, int, bool, bool, int, float]] = [("", SHOWN, False, False, 0, 0.0)]
+    open_at: dict[str, list[int]] = {}  # places of each tag in the stack
+    scopes: list[int] = []
+    holders = [0]  # places of what is no heading
     muted = 0  # the depth of the outermost hidden element
     last_ends: dict[str, int] = {}
     made, linked, in_link, at = 0, 0, 0, 0
+    sources = -1  # the place of what holds a heading of sources, until the next heading
     buffer: list[str] = []
 
+    def put(entry: tuple[str, int, bool, bool, int, float]) -> None:
+        open_at.setdefault(entry[0], []).append(len(stack))
+        if entry[0] in SCOPES:
+            scopes.append(len(stack))
+        if entry[0] not in HEADINGS:
+            holders.append(len(stack))
+        stack.append(entry)
+
+    def cut(depth: int) -> None:
+        nonlocal sources
+        while len(stack) > depth:
+            tag = stack.pop()[0]
+            open_at[tag].pop()
+            if tag in SCOPES:
+                scopes.pop()
+            if tag not in HEADINGS:
+                holders.pop()
+        if sources >= len(stack):
+            sources = -1
+
+    def place(tag: str) -> int:
+        """The innermost place of an open element, 0 if there is none."""
+        return open_at[tag][-1] if open_at.get(tag) else 0
+
+    def heading_says(text: str) -> None:
+        """A heading of reader comments makes the rest of what holds it boilerplate; one of sources keeps their links."""
+        nonlocal sources
+        holder = holders[-1]
+        tag, flag, article, *_ = stack[holder]
+        if holder and flag < BOILER and len(text) < 160 and (_COUNTED.fullmatch(text) or tag not in ("article", "main", "body", "html") and _READERS.fullmatch(text)):
+            stack[holder:] = [(t, max(f, BOILER), *rest) for t, f, *rest in stack[holder:]]
+        sources = holder if article and _SOURCES.fullmatch(text) else -1
+
     def flush() -> None:
         nonlocal linked
         if buffer:
             text = " ".join(entities.unescape("".join(buffer)).split())
             if text:
+                if stack[-1][3]:
+                    heading_says(text)
                 _, flag, article, heading, container, names = stack[-1]
-                if not out or (out[-1].container, out[-1].boiler, out[-1].heading, out[-1].names) != (container, flag > SHOWN, heading, names):
-                    out.append(Node(container, flag > SHOWN, article, heading, names))
+                notice = not article and len(text) <= NOTICE_LENGTH and _NOTICE.search(text) is not None
+                kind = (container, flag > SHOWN, article, heading, names, notice, sources >= 0)
+                if not out or (out[-1].container, out[-1].boiler, out[-1].heading, out[-1].names, out[-1].notice, out[-1].sources) != (*kind[:2], *kind[3:]):
+                    out.append(Node(*kind))
                 node = out[-1]
                 node.texts.append(text)
                 node.chars += len(text)
@@ -148,21 +254,19 @@ def blocks(page: str) -> list[Node]:
             last_ends[tag] = max((e.start() for e in re.finditer(rf"</{tag}[\s/>]", page, re.I)), default=-1)
         return last_ends[tag] >= at
 
+    tags = Tags(page)
     while True:
-        m = _MARKUP.search(page, at)
-        piece = page[at : m.start() if m else len(page)]
+        start, end, closing, tag, attributes = tags.next(at)
+        piece = page[at : start if start >= 0 else len(page)]
         if piece and not muted:
             buffer.append(piece)
             if in_link:
                 linked += len(piece.strip())
-        if not m:
+        if start < 0:
             break
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        at = end
         if not tag:
             continue
-        closing = m[1] or m[4]
-        attributes = m[3] or m[6] or ""
         if tag in RAW:
             if not closing and not attributes.endswith("/"):
                 end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
@@ -170,33 +274,31 @@ def blocks(page: str) -> list[Node]:
             continue
         if muted and closing:
             if tag == "math" and stack[muted][0].startswith("annotation"):
-                del stack[muted:]
+                cut(muted)
                 muted = 0
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    if depth < muted:
-                        flush()
-                    del stack[depth:]
-                    muted = muted if depth > muted else 0
-                    break
+            if depth := place(tag):
+                if depth < muted:
+                    flush()
+                cut(depth)
+                muted = muted if depth > muted else 0
             continue
         if muted:
             around = stack[muted][0]
             if tag in ("article", "main") and around not in ("template", "noscript") or around == "svg" and tag in ENDS_SVG and stack[-1][0] != "foreignobject":
-                del stack[muted:]
+                cut(muted)
                 muted = 0
             elif around == "select" and tag not in IN_SELECT and tag not in INLINE and tag not in VOID and tag not in HIDDEN:
-                del stack[muted:]
+                cut(muted)
                 muted = 0
             elif tag in INLINE or tag in VOID or attributes.endswith("/"):
                 continue
             else:
-                stack.append((tag, *stack[-1][1:]))
+                put((tag, *stack[-1][1:]))
                 continue
         if tag in HIDDEN:
             if not closing and not attributes.endswith("/") and ends_after(tag, at):
                 muted = len(stack)
-                stack.append((tag, *stack[-1][1:]))
+                put((tag, *stack[-1][1:]))
             continue
         if tag == "a":
             in_link = 0 if closing else 1
@@ -204,23 +306,18 @@ def blocks(page: str) -> list[Node]:
             continue
         flush()
         if closing:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    del stack[depth:]
-                    in_link = 0
-                    break
+            if depth := place(tag):
+                cut(depth)
+                in_link = 0
             continue
         if tag in VOID:
             continue
         if stack[-1][0] == "p":  # any block ends a paragraph
-            stack.pop()
+            cut(len(stack) - 1)
         if tag in CLOSES:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] in CLOSES[tag]:
-                    del stack[depth:]
-                    break
-                if stack[depth][0] in SCOPES:
-                    break
+            near = [depth for t in CLOSES[tag] if (depth := place(t)) and depth >= (scopes[-1] if scopes else 0)]
+            if near:
+                cut(max(near))
         _, flag, article, heading, container, names = stack[-1]
         own, said = hints(tag, attributes, article)
         if tag in ("article", "main"):
@@ -230,12 +327,12 @@ def blocks(page: str) -> list[Node]:
             names, said = (names, said) if comment else (0.0, 0.0)
             article = article or not comment
         flag = max(flag, own)
-        heading = heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-        if tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "br"):
+        heading = heading or tag in HEADINGS
+        if tag not in HEADINGS and tag not in ("p", "blockquote", "pre", "br"):
             made += 1
             container = made
-            names *= NAME_DECAY
-        stack.append((tag, flag, article, heading, container, max(HINT_NAME, names + said)))
+            names *= NAME_DECAY if names > HINT_SURE else 1.0
+        put((tag, flag, article, heading, container, max(HINT_SURE if min(names, said) <= HINT_SURE else HINT_NAME, names + said)))
         in_link = 0
     flush()
     return out
