@@ -297,6 +297,29 @@ def test_rebalancing_moves_little_and_evens_out():
     assert sum(a != b for a, b in zip(first, grown)) < 4096 / 12
 
 
+def test_slots_of_uneven_sizes_are_swapped_until_shards_are_even():
+    rng = random.Random(2)
+    for n in (1000, 4000):
+        sums = {s: int(rng.paretovariate(1.3) * 500) % 20_000 + 8 for s in rng.sample(range(8192), n)}
+        shards = sharding.rebalanced([s % 24 for s in range(8192)], sums, 24)
+        load = Counter()
+        for s, x in sums.items():
+            load[shards[s]] += x
+        assert max(load.values()) - min(load.values()) <= 0.01 * sum(sums.values()) / 24
+        with_hot = sums | {next(s for s in range(8192) if s not in sums): sum(sums.values())}
+        shards = sharding.rebalanced([s % 24 for s in range(8192)], with_hot, 24)
+        load = Counter()
+        for s, x in with_hot.items():
+            load[shards[s]] += x
+        others = sorted(load.values())[:-1]
+        assert len(others) == 23 and others[-1] - others[0] <= 0.01 * sum(others) / 23
+    hot = dict.fromkeys(range(100), 10) | {5: 5000}
+    shards = sharding.rebalanced([s % 4 for s in range(128)], hot, 4)
+    rest = Counter(shards[s] for s in hot if s != 5)
+    assert [n for shard, n in rest.items() if shard != shards[5]] == [33, 33, 33] and rest[shards[5]] == 0
+    assert sharding.rebalanced([0] * 8, {}, 4) == sharding.rebalanced([0] * 8, {}, 4)
+
+
 def test_op6_round_trip(spark, sf):
     pages = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
     first: dict = {}
@@ -544,6 +567,7 @@ def test_empty_tables(spark, tmp_path, name):
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(f"{d}/embeddings.parquet")
     assert queries.QUERIES[name](spark, d).count() == 0
 
 
