@@ -94,3 +94,24 @@ def test_nothing(spark):
     none = frame(spark, [("s", None, None, 1), ("s", "a", None, 1)])
     gapped = rhythm.gaps(none)
     assert gapped.collect() == rhythm.cadence(gapped).collect() == rhythm.bursts(gapped, 1).collect() == rhythm.followers(none, 10, 1, 1).collect() == []
+
+
+def test_quantiles_are_exact(spark):
+    rows = entries(4, 3000)
+    found = rhythm.cadence(rhythm.gaps(frame(spark, rows)), shifts=(8, 20, 63)).collect()
+    assert len(found) == len(times(rows))
+    for r in found:
+        at = times(rows)[r.service, r.template_id]
+        gaps = sorted(b - a for a, b in zip(at, at[1:], strict=False))
+        assert (r.p10, r.p50, r.p90) == tuple(gaps[-(-len(gaps) * t // 10) - 1] for t in (1, 5, 9))
+
+
+def test_quantiles_of_a_large_key_are_exact(spark):
+    steps = [(i * 7919) % 30_011 + 1 for i in range(30_010)]
+    at, rows = 0, []
+    for s in steps:
+        at += s
+        rows.append(("s", "a", at))
+    gapped = spark.createDataFrame([(*r, None if i == 0 else steps[i]) for i, r in enumerate(rows)], "service string, template_id string, at long, gap long")
+    got, gaps = rhythm.cadence(gapped, shifts=(8, 20, 63)).first(), sorted(steps[1:])
+    assert (got.p10, got.p50, got.p90) == tuple(gaps[-(-len(gaps) * t // 10) - 1] for t in (1, 5, 9))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import scan
+from tidemark.stored import settled
 
 KEY = ("service", "template_id")
 
@@ -30,16 +31,26 @@ def gaps(occurred: DataFrame, key: Sequence[str] = KEY, shifts: Sequence[int] =
     return found.select(*key, "at", (F.col("at") - F.col("_was")).alias("gap"))
 
 
-def cadence(gapped: DataFrame, key: Sequence[str] = KEY, accuracy: int = 10_000) -> DataFrame:
+def cadence(gapped: DataFrame, key: Sequence[str] = KEY, accuracy: int | None = None, shifts: Sequence[int] = scan.MICROS) -> DataFrame:
     """(key, n, first, last, shortest, p10, p50, p90, longest): how often each key occurs, by its ``gapped`` times.
 
-    The quantiles come from a mergeable summary: the rank of what it gives is off by at most n / ``accuracy``.
+    The quantiles are exact: the least gap that at least that share of the gaps does not exceed. Equal gaps are counted
+    first, and the counts before each gap come from a scan over blocks of gaps, so no task sorts the gaps of a key. With
+    an ``accuracy`` they come from a mergeable summary instead: their rank is off by at most n / ``accuracy``.
     """
-    quantile = lambda p: F.percentile_approx("gap", p, accuracy)
-    return gapped.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.max("at").alias("last"), F.min("gap").alias("shortest"),
-        quantile(0.1).alias("p10"), quantile(0.5).alias("p50"), quantile(0.9).alias("p90"), F.max("gap").alias("longest"),
+    tenths = {"p10": 1, "p50": 5, "p90": 9}
+    about = [F.percentile_approx("gap", t / 10, accuracy).alias(p) for p, t in tenths.items()] if accuracy else []
+    told = gapped.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.max("at").alias("last"), F.min("gap").alias("shortest"), F.max("gap").alias("longest"), *about,
     )
+    columns = [*key, "n", "first", "last", "shortest", *tenths, "longest"]
+    if accuracy:
+        return told.select(*columns)
+    counted = settled(gapped.filter("gap is not null").groupBy(*key, "gap").agg(F.count(F.lit(1)).alias("_n")))
+    ranked = scan.before(counted, key, "gap", {"_lower": (F.col("_n"), "sum")}, shifts=shifts)
+    until = F.coalesce("_lower", F.lit(0)) + F.col("_n")
+    quantiles = ranked.join(counted.groupBy(*key).agg(F.sum("_n").alias("_all")), list(key)).groupBy(*key).agg(*[F.min(F.when(until * 10 >= F.col("_all") * t, F.col("gap"))).alias(p) for p, t in tenths.items()])
+    return told.join(quantiles, list(key), "left").select(*columns)
 
 
 def bursts(gapped: DataFrame, quiet: int, least: int = 2, key: Sequence[str] = KEY, shifts: Sequence[int] = scan.MICROS) -> DataFrame:
