@@ -45,6 +45,30 @@ def json_plain(value: Column) -> Column:
     return let(value, plain)
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """A double with so many decimals, 4 at most, as C prints it: its exact value decides, and of two as near the even one.
+
+    Java rounds the shortest text of a double half up instead. The value is the sum of a float and what that leaves, and
+    both times a power of ten are exact; so is the comparison with one half. From 2^52 / 10^digits on Java prints.
+    """
+
+    def rounded(x: Column) -> Column:
+        size = F.abs(x)
+        high = size.cast("float").cast("double")
+        whole = F.floor(size * 10**digits)
+        above, rest = high * 10**digits - whole - 0.5, -(size - high) * 10**digits
+        up = (above > rest) | (above == rest) & (whole % 2 == 1)
+        n = (whole + F.when(up, 1).otherwise(0)).cast("bigint")
+
+        def text(m: Column) -> Column:
+            tail = F.concat(F.lit("."), F.lpad((m % 10**digits).cast("string"), digits, "0")) if digits else F.lit("")
+            return F.concat(F.when(x < 0, "-").otherwise(""), ((m - m % 10**digits) / 10**digits).cast("bigint").cast("string"), tail)
+
+        return F.when(size < 2.0**52 / 10**digits, let(n, text)).when(x.isNotNull(), F.format_string(f"%.{digits}f", x))
+
+    return let(value.cast("double"), rounded)
+
+
 def file_stem(name: Column) -> Column:
     """The last part of a path less log suffixes, each taken off once, in this order; 'unknown' if nothing is left."""
     stem = F.element_at(F.split(name, "/"), -1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import fixed
 from tidemark.plans.prompts import prose_tokens
 
 # Expected output, multipliers and the catalog of models.
@@ -103,15 +104,17 @@ def actual_cost(usage: DataFrame) -> DataFrame:
 
 def usd_text(usd: Column) -> Column:
     """Dollars with more decimals the smaller they are."""
-    return F.when(usd == 0, F.lit("$0")).when(usd < 0.01, F.format_string("$%.4f", usd)).when(usd < 1, F.format_string("$%.3f", usd)).otherwise(F.format_string("$%.2f", usd))
+    shown = lambda digits: F.concat(F.lit("$"), fixed(usd, digits))
+    return F.when(usd == 0, F.lit("$0")).when(usd < 0.01, shown(4)).when(usd < 1, shown(3)).otherwise(shown(2))
 
 
 def tokens_text(n: Column) -> Column:
-    return F.when(n < 1000, n.cast("string")).when(n < 10_000, F.format_string("%.1fk", n / 1000)).otherwise(F.format_string("%.0fk", n / 1000))
+    shown = lambda digits: F.concat(fixed(n / 1000, digits), F.lit("k"))
+    return F.when(n < 1000, n.cast("string")).when(n < 10_000, shown(1)).otherwise(shown(0))
 
 
 def relative_text(total: Column, current: Column, is_current: Column) -> Column:
     """How a price compares with that of the current model."""
     ratio = current / F.nullif(total, F.lit(0.0))
-    words = F.when(ratio >= 10, F.format_string("%.0f× cheaper", ratio)).when(ratio >= 1, F.format_string("%.1f× cheaper", ratio)).otherwise(F.format_string("%.1f× dearer", 1 / ratio))
+    words = F.when(ratio >= 10, F.concat(fixed(ratio, 0), F.lit("× cheaper"))).when(ratio >= 1, F.concat(fixed(ratio, 1), F.lit("× cheaper"))).otherwise(F.concat(fixed(total / current, 1), F.lit("× dearer")))
     return F.when(is_current | (current == 0) | (total == 0), F.lit("")).otherwise(words)
