@@ -22,11 +22,15 @@ PRECEDENCE = ["json", "cri", "postgres", "clf", "syslog5424", "syslog", "logfmt"
 FLOOR = 0.30
 
 
+def tree_of(line: Column) -> Column:
+    """A line that is a JSON object as a variant, else null."""
+    text = F.btrim(line, F.lit(" \t\r\x0b\x0c"))
+    return F.try_parse_json(F.when(text.startswith("{"), text))
+
+
 def as_object(line: Column) -> Column:
     """A line that is a JSON object as a map of values, else null."""
-    text = F.btrim(line, F.lit(" \t\r\x0b\x0c"))
-    doc = F.try_parse_json(F.when(text.startswith("{"), text))
-    return F.when(F.schema_of_variant(doc).startswith("OBJECT"), doc.cast("map<string,variant>"))
+    return tree_of(line).cast("map<string,variant>")
 
 
 def json_flavor(doc: Column) -> Column:
@@ -65,7 +69,7 @@ def sample(lines: DataFrame, limit: int = DETECT_LINES) -> DataFrame:
 
 def detect(sources: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """(file_idx, format, confidence, flavor, evidence, overridden) per source; ``lines`` where sources hold no content."""
-    lines = sample(lines_of(sources, "file_idx") if lines is None else lines)
+    lines = sample(lines_of(sources, "file_idx", first=DETECT_LINES) if lines is None else lines)
     marked = lines.withColumn("doc", texts_of(as_object(F.col("line")))).withColumns(
         {
             "is_json": F.col("doc").isNotNull(),

@@ -84,7 +84,12 @@ def _packed(lines: DataFrame) -> DataFrame:
 
 
 def fold_lines(lines: DataFrame, formats: Iterable[str] = FORMATS) -> DataFrame:
-    """Events of ``lines`` (CONTEXT, line_no, line) of files that one task can hold."""
+    """Events of ``lines`` (CONTEXT, line_no, line) of files that one task can hold.
+
+    Every line of a JSON file is an event, so where all files are JSON nothing is gathered.
+    """
+    if set(formats) == {"json"}:
+        return _clamped(lines).select(*CONTEXT, "line_no", "line", F.array().cast("array<string>").alias("extra"), F.col("line").alias("raw"))
     in_file = Window.partitionBy("file_idx").orderBy("line_no")
     lines = _clamped(lines).withColumn("previous", F.lag("line").over(in_file))
     lines = lines.withColumn("start", F.col("previous").isNull() | starts_event(set(formats)))

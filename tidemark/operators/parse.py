@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import levels, stamps
 from tidemark.functions.text import empty_map, groups, json_plain, json_string, let, map_of, over, scalar_json, strip
 from tidemark.operators import fold
-from tidemark.operators.detect import as_object, texts_of
+from tidemark.operators.detect import texts_of, tree_of
 from tidemark.formats import ADDED
 from tidemark.schema import FORMATS
 
@@ -166,7 +166,8 @@ def classified(events: DataFrame, formats: set[str]) -> DataFrame:
         kind = F.when((fmt == "logfmt") | F.col("g").isNotNull(), fmt).otherwise("plain")
         return e.withColumns({"kind": kind, "text": F.col("line"), "fallback": stamps.none(), "stream": nothing, "seq": F.lit(0)})
     e = e.withColumn("doc_text", F.when(fmt == "json", strip(F.col("line"))).when(F.col("payload").isNotNull(), strip(F.col("payload"))))
-    e = e.withColumn("doc", texts_of(as_object(F.col("doc_text"))))
+    objects = lambda tree: texts_of(F.col(tree).cast("map<string,variant>"))
+    e = e.withColumn("tree", tree_of(F.col("doc_text"))).withColumn("doc", objects("tree"))  # a text is parsed once
     has = lambda k: F.coalesce(F.map_contains_key("doc", k), F.lit(False))
     docker = (fmt == "json") & F.coalesce(F.col("flavor") == "docker", F.lit(False)) & has("log") & has("stream")
     kind = (
@@ -179,9 +180,13 @@ def classified(events: DataFrame, formats: set[str]) -> DataFrame:
     e = e.withColumn("kind", kind)
     one = F.expr(f"array(struct(cast(null AS string) AS doc, {NOTHING} AS resource, {NOTHING} AS scope))").cast(RECORD)
     records = F.when(F.col("kind") == "envelope", F.slice(_records(), 1, F.when(fmt == "cri", 1).otherwise(1 << 30))).otherwise(one)
-    e = e.select("*", F.posexplode(records).alias("seq", "record"))
     inner = F.col("kind") == "envelope"
-    e = e.withColumn("doc_text", F.when(inner, F.col("record.doc")).otherwise(F.col("doc_text"))).withColumn("doc", F.when(inner, texts_of(as_object(F.col("record.doc")))).otherwise(F.col("doc")))
+    e = e.withColumn("records", records)
+    # The text of an envelope is not copied to each of its records; that of a CRI line has one.
+    shed = {c: F.when(~inner | (fmt == "cri"), F.col(c)) for c in ("line", "raw")} | {c: F.when(~inner, F.col(c)) for c in ("doc_text", "tree", "doc")}
+    e = e.withColumns(shed).select("*", F.posexplode_outer("records").alias("seq", "record")).drop("records").filter("seq is not null")  # a plain one would work out all records for a filter first
+    e = e.withColumn("doc_text", F.when(inner, F.col("record.doc")).otherwise(F.col("doc_text")))
+    e = e.withColumn("tree", F.when(inner, tree_of(F.col("record.doc"))).otherwise(F.col("tree"))).withColumn("doc", F.when(inner, objects("tree")).otherwise(F.col("doc")))
     log = F.rtrim(json_plain(F.element_at("doc", "log")), F.lit("\n"))
     e = e.withColumn("text", F.when(F.col("kind") == "docker", log).when(F.col("payload").isNotNull(), F.rtrim("payload", F.lit("\n"))).otherwise(F.col("line")))
     outer = F.element_at("doc", "time")
@@ -361,8 +366,7 @@ def read_json(e: DataFrame) -> DataFrame:
     Paths are looked up only where a document holds an object.
     """
     is_json = F.col("kind").isin("json", "envelope")
-    variant = F.try_parse_json("doc_text")
-    nested = map_of(*[(k, F.to_json(F.try_variant_get(variant, "$." + k, "variant"))) for k in DOTTED])
+    nested = map_of(*[(k, F.to_json(F.try_variant_get(F.col("tree"), "$." + k, "variant"))) for k in DOTTED])
     deep = F.exists(F.map_values("doc"), lambda v: F.startswith(v, F.lit("{")))
     e = e.withColumn("full", F.when(is_json, F.when(deep, over(nested, F.col("doc"))).otherwise(F.col("doc"))))
     e = e.withColumn("valued", F.map_filter("full", lambda _, v: ~v.isin("null", '""')))
@@ -441,7 +445,7 @@ def json_entry() -> Column:
     return entry(
         stamp=F.coalesce(stamps.of_json(when, F.expr(plain_of("hit.timestamp.value"))), F.col("fallback")),
         level=level,
-        message=F.coalesce(filled(F.col("said_message")), F.left(F.to_json(F.try_parse_json("doc_text")), F.lit(2000))),
+        message=F.coalesce(filled(F.col("said_message")), F.left(F.to_json("tree"), F.lit(2000))),
         service=F.coalesce(filled(F.col("said_service")), F.expr(f"nullif({plain_of('record.resource[' + chr(39) + 'service.name' + chr(39) + ']')}, '')")),
         trace_id=identity("hit.trace_id.value"),
         span_id=identity("hit.span_id.value"),

@@ -45,7 +45,7 @@ ANCHORS = {
     "slack_token": "xox[abprs]-",
     "stripe_key": "[sr]k_(?:live|test)_",
     "url_credentials": r"://[^\s/:@]+:",
-    "secret_kv": r"""[DTYNdtyn]["']?\s*[=:]""",  # the last letters of SECRET_NAMES
+    "secret_kv": r"""(?i:[dtyn](?<=word|swd|pwd|cret|key|oken|tion)["']?\s*[=:])""",  # the ends of SECRET_NAMES
     "bearer": r"[Bb](?:earer|asic)\s",
     "email": r"@[A-Za-z0-9.-]",
     "card": r"\d(?:[ -]?\d){12}",

@@ -86,7 +86,13 @@ def resolved_service(sources: DataFrame) -> DataFrame:
 LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
-def lines_of(sources: DataFrame, *keep: str) -> DataFrame:
-    """(keep, line_no, line) of the non-blank lines; numbers count from 1 and count blank lines."""
-    pieces = sources.select(*keep, F.posexplode(F.split("content", LINE_ENDS, -1)).alias("pos", "line"))
+def lines_of(sources: DataFrame, *keep: str, first: int | None = None) -> DataFrame:
+    """(keep, line_no, line) of the non-blank lines; numbers count from 1 and count blank lines.
+
+    ``first``: the first ones of each source only, numbered without blank lines.
+    """
+    pieces = F.split("content", LINE_ENDS, -1)
+    if first is not None:
+        pieces = F.slice(F.filter(pieces, lambda x: F.rlike(x, F.lit(r"(?U)\S"))), 1, first)
+    pieces = sources.select(*keep, F.posexplode_outer(pieces).alias("pos", "line"))  # a plain one would split the text for a filter first
     return pieces.select(*keep, (F.col("pos") + 1).alias("line_no"), "line").filter(F.rlike("line", F.lit(r"(?U)\S")))
