@@ -612,8 +612,8 @@ UNEVEN = f"""concat(case when event_id % 5 = 0 then '' else concat('ts=', {STAMP
   case when event_id % 7 = 0 then '' else concat(' user_id=', user_id) end, case when event_id % 3 = 0 then '' else concat(' trace_id=t', event_id) end, case when event_type = 'error' then concat(' password=p', event_id) else '' end)"""
 
 
-def uneven(spark: SparkSession, sf_dir: str, declared: bool = True) -> Ingested:
-    return ingest_all(sources(spark, sf_dir, "logfmt", UNEVEN, declared))
+def uneven(spark: SparkSession, sf_dir: str, declared: bool = True, whole: bool = False) -> Ingested:
+    return ingest_all(sources(spark, sf_dir, "logfmt", UNEVEN, declared, whole))
 
 
 @query(
@@ -646,7 +646,7 @@ select level, count(*) as n, count(*) as touched, cast(sum(us // 1000000) as big
 @query(LEVEL_COUNTS)
 def level_counts(spark, sf_dir):
     """Lines to detected format, entries, resolved time and redaction; counts per level of all that these make."""
-    e = uneven(spark, sf_dir, declared=False).entries
+    e = uneven(spark, sf_dir, declared=False, whole=True).entries  # stamps are carried through a file, so none is cut
     values = F.aggregate(F.map_values("attributes"), F.lit(0), lambda n, v: n + F.length(v))
     return e.groupBy("level").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("touched").alias("touched"), F.sum(F.floor(F.unix_micros(F.col("timestamp").cast("timestamp")) / 1_000_000)).cast("bigint").alias("seconds"),
