@@ -37,7 +37,7 @@ def transcript(entries: DataFrame, *by: str, max_chars: int = 60_000) -> DataFra
     placed = rendered(entries).withColumns(
         {"until": F.sum(size).over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - 1, "total": F.sum(size).over(Window.partitionBy(*by)) - 1, "place": F.row_number().over(in_order)}
     )
-    head, tail = F.col("until") - F.length("rendered") < half, F.col("until") > F.col("total") - half
+    head, tail = F.col("until") - F.length("rendered") <= half, F.col("until") >= F.col("total") - half
     near = placed.filter(head | tail | (F.col("total") <= max_chars)).withColumns({"head": head, "tail": tail})
     all_of = near.groupBy(*by, "total").agg(F.array_sort(F.collect_list(F.struct("place", "rendered", "head", "tail"))).alias("all"))
 
