@@ -51,6 +51,8 @@ ANCHORS = {
     "card": r"\d(?:[ -]?\d){12}",
     "ip": r"\d\.\d{1,3}\.",
 }
+#: What no match of any rule is without, in a text or in the JSON text of it: a mark, an escape, or thirteen characters.
+WORTH = r"(?s)[-._:=@\\]|^.{13}"
 SECRET_KEY = rf'(?i)^(?:.*[._-])?(?:{"|".join(SECRET_NAMES)})$'
 
 
@@ -137,45 +139,62 @@ def redacted(text: Column, policy: Policy) -> Column:
     marked = F.split(F.regexp_replace(text, F.lit(f"({pattern})"), F.lit(f"{SEPARATOR}$1{SEPARATOR}")), SEPARATOR, -1)
     apart = F.flatten(F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, m: F.array(g, F.coalesce(m, F.lit("")))))
     pieces = F.transform(F.when(F.contains(text, F.lit(SEPARATOR)), apart).otherwise(marked), lambda x, i: F.when((i % 2 == 0) | (x == ""), between(x)).otherwise(judged(x)))
-    return F.when(F.rlike(text, F.lit(policy.prefilter())), let(pieces, joined)).otherwise(F.struct(text.alias("text"), none.alias("rules")))
+    near = F.rlike(text, F.lit(WORTH)) & F.rlike(text, F.lit(policy.prefilter()))
+    return F.when(near, let(pieces, joined)).otherwise(F.struct(text.alias("text"), none.alias("rules")))
 
 
 def secret_name(key: Column) -> Column:
-    return F.rlike(key, F.lit(SECRET_KEY))
+    return F.rlike(key, F.lit("(?i)[dtyn]$")) & F.rlike(key, F.lit(SECRET_KEY))  # names are mostly told apart by their last letter
 
 
-#: A token of JSON text with the blanks around it; the last branch takes what is not JSON. Possessive, so its length is no matter.
-TOKEN = r'(?s)[ \t\r\n]*+(?:"[^"\\]*+(?:\\.[^"\\]*+)*+"|[{}\[\]:,]|[^"{}\[\]:, \t\r\n]++|.)[ \t\r\n]*+'
+#: Blanks of JSON.
+_B = r"[ \t\r\n]*+"
+#: A token of JSON text with the blanks around it: a way down, which is a run of opening brackets, commas and plain keys that
+#: are no secret names; a run of closing brackets; a string; what is left. Possessive, so its length is no matter.
+TOKEN = (
+    rf"""(?s){_B}(?:(?:[{{\[,]{_B}|(?!(?i:"(?:[\w.-]*[._-])?(?:{"|".join(SECRET_NAMES)})"))"[\w.-]*+"{_B}:{_B})++|[}}\]]++|"""
+    rf"""(?:"[^"\\]*+(?:\\.[^"\\]*+)*+"|:|[^"{{}}\[\]:, \t\r\n]++|.)){_B}"""
+)
 #: A key that ends in a secret name, in JSON text.
 SECRET_FIELD = rf'(?i)["._-](?:{"|".join(SECRET_NAMES)})"[ \t\r\n]*+:'
 
 
 def hidden(tokens: Column) -> Column:
-    """(start, end) of the values under secret names among the ``tokens`` of JSON text, at any depth.
+    """(start, end, rest) of the values under secret names among the ``tokens`` of JSON text, at any depth.
 
     One pass over the tokens with a count of open brackets; a value that is taken out is not looked into. Nulls and
-    empty strings, lists and objects stay.
+    empty strings, lists and objects stay. ``rest``: the brackets of the last token that close what is around the value.
     """
     at = lambda i: strip(F.get(tokens, i))
-    span = "struct<start:int,end:int>"
+    span = "struct<start:int,end:int,rest:string>"
     start = F.struct(
         F.lit(0).alias("i"), F.lit(0).alias("depth"), F.lit(-1).alias("since"), F.lit(0).alias("outside"), F.array().cast(f"array<{span}>").alias("spans")
     )
+    closing = lambda t: t.startswith("}") | t.startswith("]")
 
     def step(a: Column, token: Column) -> Column:
         def judged(t: Column) -> Column:
-            opens, closes = t.isin("{", "["), t.isin("}", "]")
-            named = (at(a.i - 1) == ":") & F.coalesce(F.rlike(at(a.i - 2), F.lit(rf'(?is)^"(?:.*[._-])?(?:{"|".join(SECRET_NAMES)})"$')), F.lit(False))
-            value = (a.since < 0) & named & ~t.isin("null", '""') & ~(opens & at(a.i + 1).isin("}", "]"))
-            done = (a.since >= 0) & closes & (a.depth - 1 == a.outside)
-            here = F.when(done, F.struct(a.since.alias("start"), a.i.alias("end"))).when(value & ~opens, F.struct(a.i.alias("start"), a.i.alias("end")))
-            return F.struct(
-                (a.i + 1).alias("i"),
-                (a.depth + F.when(opens, 1).when(closes, -1).otherwise(0)).alias("depth"),
-                F.when(done, -1).when(value & opens, a.i).otherwise(a.since).alias("since"),
-                F.when(value & opens, a.depth).otherwise(a.outside).alias("outside"),
-                F.when(here.isNotNull(), F.concat(a.spans, F.array(here))).otherwise(a.spans).alias("spans"),
-            )
+            string = t.startswith('"') & t.endswith('"')
+            change = F.when(closing(t), -F.length(t)).when(string, 0).otherwise(F.length(t) - F.length(F.translate(t, "{[", "")))
+
+            def moved(n: Column) -> Column:
+                opens = n > 0
+                named = (at(a.i - 1) == ":") & F.coalesce(F.rlike(at(a.i - 2), F.lit(rf'(?is)^"(?:.*[._-])?(?:{"|".join(SECRET_NAMES)})"$')), F.lit(False))
+                empty = t.isin("{", "[") & F.coalesce(closing(at(a.i + 1)), F.lit(False))
+                value = (a.since < 0) & named & ~t.isin("null", '""') & ~empty
+                done = (a.since >= 0) & (n < 0) & (a.depth + n <= a.outside)
+                whole = F.struct(a.i.alias("start"), a.i.alias("end"), F.lit("").alias("rest"))
+                taken = F.struct(a.since.alias("start"), a.i.alias("end"), F.substr(t, a.depth - a.outside + 1).alias("rest"))
+                here = F.when(done, taken).when(value & ~opens, whole)
+                return F.struct(
+                    (a.i + 1).alias("i"),
+                    (a.depth + n).alias("depth"),
+                    F.when(done, -1).when(value & opens, a.i).otherwise(a.since).alias("since"),
+                    F.when(value & opens, a.depth).otherwise(a.outside).alias("outside"),
+                    F.when(here.isNotNull(), F.concat(a.spans, F.array(here))).otherwise(a.spans).alias("spans"),
+                )
+
+            return let(change, moved)
 
         return let(strip(token), judged)
 
@@ -193,19 +212,23 @@ def redacted_nested(text: Column, policy: Policy) -> Column:
     by_name = "secret_kv" in policy.active()
 
     def walked(tokens: Column) -> Column:
-        last = F.struct(F.size(tokens).alias("start"), F.size(tokens).alias("end"))
-        spans = F.when(F.rlike(text, F.lit(SECRET_FIELD)), hidden(tokens)).otherwise(F.array().cast("array<struct<start:int,end:int>>")) if by_name else F.array().cast("array<struct<start:int,end:int>>")
-        is_value = lambda t, i: t.contains('"') & (F.coalesce(strip(F.get(tokens, i + 1)), F.lit("")) != ":")
-        each = F.transform(tokens, lambda t, i: F.when(is_value(t, i), redacted_string(strip(t), policy)).otherwise(F.struct(t.alias("text"), none.alias("rules"))))
-        scanned = F.when(F.rlike(text, F.lit(policy.prefilter())), each).otherwise(F.transform(tokens, lambda t: F.struct(t.alias("text"), none.alias("rules"))))
+        nothing = F.array().cast("array<struct<start:int,end:int,rest:string>>")
+        spans = F.when(F.rlike(text, F.lit(SECRET_FIELD)), hidden(tokens)).otherwise(nothing) if by_name else nothing
+        plain = lambda t: F.struct(t.alias("text"), none.alias("rules"))
+        is_value = lambda t, i: t.startswith('"') & t.endswith('"') & (F.coalesce(strip(F.get(tokens, i + 1)), F.lit("")) != ":")
+        each = F.transform(tokens, lambda t, i: let(strip(t), lambda s: F.when(is_value(s, i), redacted_string(s, policy)).otherwise(plain(t))))
+        scanned = F.when(F.rlike(text, F.lit(policy.prefilter())), each).otherwise(F.transform(tokens, plain))
 
         def rejoined(x: Column) -> Column:
+            last = F.struct(F.size(tokens).alias("start"), F.size(tokens).alias("end"), F.lit("").alias("rest"))
             ends = F.concat(x["spans"], F.array(last))
             between = F.transform(ends, lambda s, k: let(F.when(k == 0, 0).otherwise(F.get(ends, k - 1)["end"] + 1), lambda b: F.slice(x["scanned"], b + 1, s.start - b)))
+            put = F.transform(x["spans"], lambda s: F.concat(F.lit('"[REDACTED]"'), s.rest))
+            told = lambda p: F.array_join(F.transform(p, lambda y: y.text), "")
             return let(
                 between,
                 lambda parts: F.struct(
-                    F.array_join(F.transform(parts, lambda p: F.array_join(F.transform(p, lambda y: y.text), "")), '"[REDACTED]"').alias("text"),
+                    F.array_join(F.transform(parts, lambda p, k: F.concat(told(p), F.coalesce(F.get(put, k), F.lit("")))), "").alias("text"),
                     F.concat(F.array_repeat(F.lit("secret_kv"), F.size(x["spans"])), F.flatten(F.transform(F.flatten(parts), lambda y: y.rules))).alias("rules"),
                 ),
             )
@@ -236,7 +259,7 @@ def redact_entries(entries: DataFrame, policy: Policy | None = None) -> DataFram
         if not by_name:
             return scanned
         secret = F.struct(F.lit('"[REDACTED]"').alias("text"), F.array(F.lit("secret_kv")).alias("rules"))
-        return F.when(secret_name(k), F.when(v.isin("null", '""', "[]", "{}"), kept).otherwise(secret)).otherwise(scanned)
+        return F.when(secret_name(k), F.when(v.isin("null", '""', "[]", "{}"), kept).otherwise(secret)).when(~F.rlike(v, F.lit(WORTH)), kept).otherwise(scanned)
 
     e = entries.withColumns({"r_raw": redacted(F.col("raw"), policy), "r_message": redacted(F.col("message"), policy), "r_attributes": F.transform_values("attributes", value)})
     found = F.concat(F.col("r_message.rules"), F.flatten(F.transform(F.map_values("r_attributes"), lambda x: x.rules)))
