@@ -22,14 +22,14 @@ from tidemark.schema import FORMATS
 
 @dataclass(frozen=True)
 class Format:
-    """``line``: the pattern of a whole line, with ``groups`` groups. ``entry``: the entry of an array of those groups, as
+    """``line``: the pattern of a whole line, with ``groups`` groups. ``entry``: the fields of the entry of an array of those groups, as
     ``operators.parse.entry`` makes it. ``start``: what detection looks for at the start of a line; by default ``line``.
     """
 
     name: str
     line: str
     groups: int
-    entry: Callable[[Column], Column]
+    entry: Callable[[Column], dict[str, Column]]
     start: str | None = None
 
     def __post_init__(self) -> None:

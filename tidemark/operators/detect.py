@@ -69,7 +69,9 @@ def sample(lines: DataFrame, limit: int = DETECT_LINES) -> DataFrame:
 
 def detect(sources: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """(file_idx, format, confidence, flavor, evidence, overridden) per source; ``lines`` where sources hold no content."""
-    lines = sample(lines_of(sources, "file_idx", first=DETECT_LINES) if lines is None else lines)
+    if lines is None:  # a declared format is not looked for
+        lines = lines_of(sources.filter(F.coalesce("format", F.lit("")) == ""), "file_idx", first=DETECT_LINES)
+    lines = sample(lines)
     marked = lines.withColumn("doc", texts_of(as_object(F.col("line")))).withColumns(
         {
             "is_json": F.col("doc").isNotNull(),

@@ -76,7 +76,7 @@ def _clamped(lines: DataFrame) -> DataFrame:
 
 def _packed(lines: DataFrame) -> DataFrame:
     """Events of ``lines`` that name their ``event``."""
-    events = lines.groupBy(*CONTEXT, "event").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("all"))
+    events = lines.groupBy(*CONTEXT, "event").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("all"))
     rest = F.transform(F.slice("all", 2, MAX_CONTINUATIONS), lambda x: x.line)
     marked = F.when(F.size("all") > MAX_CONTINUATIONS + 1, F.concat(rest, F.array(F.lit(CAP_MARK)))).otherwise(rest)
     folded = events.select(*CONTEXT, F.col("all")[0]["line_no"].alias("line_no"), F.col("all")[0]["line"].alias("line"), F.when(F.col("format") == "cri", F.transform(F.slice("all", 2, 1 << 30), lambda x: x.line)).otherwise(marked).alias("extra"))

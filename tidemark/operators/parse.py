@@ -215,17 +215,21 @@ def read_plain(e: DataFrame, year: Column) -> DataFrame:
     return e.withColumn("said", F.when(F.col("logger").isNotNull(), F.coalesce(filled(without), F.col("rest"))).otherwise(F.col("rest")))
 
 
-def entry(**fields: Column) -> Column:
+#: The fields of an entry, each a column of its own, so a plan works out only those that are asked for.
+Entry = dict[str, Column]
+
+
+def entry(**fields: Column) -> Entry:
     empty = {"stamp": stamps.none(), "attributes": empty_map(), "correlation_keys": empty_map()}
     nothing = F.lit(None).cast("string")
-    return F.struct(*[fields.get(f, empty.get(f, nothing)).alias(f) for f in FIELDS])
+    return {f: fields.get(f, empty.get(f, nothing)) for f in FIELDS}
 
 
 def declared_logger(name: Column) -> Column:
     return F.when(F.col("service_declared"), json_string(name))
 
 
-def plain_entry() -> Column:
+def plain_entry() -> Entry:
     level = F.coalesce(levels.of_word(F.col("word")), F.lit("info"))
     stderr = (F.col("cri")[1] == "stderr") & (level == "info")
     return entry(
@@ -237,7 +241,7 @@ def plain_entry() -> Column:
     )
 
 
-def clf_entry() -> Column:
+def clf_entry() -> Entry:
     g = F.col("g")
     request, status, tail = F.split(g[3], " ", -1), g[4].cast("int"), g[8]
     path = F.coalesce(F.get(request, F.lit(1)), F.lit(""))
@@ -258,7 +262,7 @@ def clf_entry() -> Column:
     )
 
 
-def postgres_entry() -> Column:
+def postgres_entry() -> Entry:
     g = F.col("g")
     message = with_extra(F.rtrim(g[6], F.lit(" \t\n\r")))
     who = r"(?U)\b([\w.-]+)@([\w.-]+)\b"
@@ -276,7 +280,7 @@ def postgres_entry() -> Column:
     )
 
 
-def syslog5424_entry() -> Column:
+def syslog5424_entry() -> Entry:
     g = F.col("g")
     rest = g[6]
     opening = F.regexp_extract(rest, rf"(?s)^(?:{SD_ELEMENT})+", 0)
@@ -303,7 +307,7 @@ def syslog5424_entry() -> Column:
     )
 
 
-def syslog_entry(year: Column) -> Column:
+def syslog_entry(year: Column) -> Entry:
     g = F.col("g")
     word = levels.of_word(levels.first_word(F.left(g[5], F.lit(80))))
     return entry(
@@ -340,7 +344,7 @@ def read_logfmt(e: DataFrame, year: Column) -> DataFrame:
     return e.withColumn("ahead", F.when(is_logfmt & F.col("own_stamp").isNull(), stamps.leading(F.col("leftover"), year)))
 
 
-def logfmt_entry() -> Column:
+def logfmt_entry() -> Entry:
     pairs = F.col("pairs")
     value = lambda f: F.element_at(pairs, F.col(f"taken.{f}"))
     used = F.array(*[F.coalesce(F.col(f"taken.{f}"), F.lit("")) for f in LOGFMT])
@@ -369,7 +373,8 @@ def read_json(e: DataFrame) -> DataFrame:
     nested = map_of(*[(k, F.to_json(F.try_variant_get(F.col("tree"), "$." + k, "variant"))) for k in DOTTED])
     deep = F.exists(F.map_values("doc"), lambda v: F.startswith(v, F.lit("{")))
     e = e.withColumn("full", F.when(is_json, F.when(deep, over(nested, F.col("doc"))).otherwise(F.col("doc"))))
-    e = e.withColumn("valued", F.map_filter("full", lambda _, v: ~v.isin("null", '""')))
+    idle = lambda v: v.isin("null", '""')
+    e = e.withColumn("valued", F.when(F.exists(F.map_values("full"), idle), F.map_filter("full", lambda _, v: ~idle(v))).otherwise(F.col("full")))
     flavor = F.when(F.col("kind") == "envelope", "otlp").when(F.col("format") == "json", F.col("flavor"))
     e = e.withColumn("dialect", flavor)
 
@@ -406,9 +411,9 @@ def identity(value: str) -> Column:
 
 def json_pieces(e: DataFrame) -> DataFrame:
     """Adds the texts of the fields that hit, the keys they use up, and the attributes from each place."""
-    hit = lambda f: f"hit.{f}.value"
-    said = {f: F.expr(plain_of(f"({unwrap(hit(f))})")) for f in ("level", "message", "service")}
-    e = e.withColumns({f"said_{f}": F.when(F.col("full").isNotNull(), F.coalesce(c, F.lit(""))) for f, c in said.items()})
+    said = ("level", "message", "service")
+    e = e.withColumns({f"bare_{f}": F.expr(unwrap(f"hit.{f}.value")) for f in said})
+    e = e.withColumns({f"said_{f}": F.when(F.col("full").isNotNull(), F.coalesce(F.expr(plain_of(f"bare_{f}")), F.lit(""))) for f in said})
     number = F.when(F.col("hit.level.value").isNull(), F.col("hit.number.key"))
     used = F.array(*[F.coalesce(F.col(f"hit.{f}.key"), F.lit("")) for f in ("timestamp", "level", "message", "service")], F.coalesce(number, F.lit("")))
     e = e.withColumn("used", F.when(F.col("full").isNotNull(), used))
@@ -417,11 +422,12 @@ def json_pieces(e: DataFrame) -> DataFrame:
     e = e.withColumns(lists)
     e = e.withColumns({k: F.expr(f"CASE WHEN {k} IS NOT NULL THEN {attribute_list(k)} ELSE {NOTHING} END") for k in lists})
     taken_apart = "k IN ('attributes', 'Attributes', 'resource', 'Resource') AND (startswith(v, '[') OR startswith(v, '{'))"
-    own = f"CASE WHEN full IS NOT NULL THEN {unwrapped(f'map_filter(doc, (k, v) -> NOT array_contains(used, k) AND k != {chr(39)}v{chr(39)} AND NOT ({taken_apart}))')} END"
-    return e.withColumn("own", F.expr(own))
+    own = f"CASE WHEN full IS NOT NULL THEN map_filter(doc, (k, v) -> NOT array_contains(used, k) AND k != 'v' AND NOT ({taken_apart})) END"
+    typed = """exists(map_values(own), v -> startswith(v, '{"'))"""
+    return e.withColumn("own", F.expr(own)).withColumn("own", F.expr(f"CASE WHEN {typed} THEN {unwrapped('own')} ELSE own END"))
 
 
-def json_entry() -> Column:
+def json_entry() -> Entry:
     numeric = F.rlike("hit.level.value", F.lit(r"^-?\d"))
     banded = F.coalesce(F.col("dialect") == "otlp", F.lit(False))
     level = (
@@ -435,7 +441,9 @@ def json_entry() -> Column:
     resources = over(_prefixed("resource.", F.col("list_2")), _prefixed("resource.", F.col("list_3")))
     logger = F.when(F.col("service_declared") & (F.col("said_service") != ""), json_string(F.col("said_service")))
     first = map_of(("logger", logger), ("stream", F.col("stream")))
-    attributes = over(first, over(over(over(extra, listed_pairs), resources), F.col("own")))
+    own = F.col("own")
+    more = F.size("record.resource") + F.size("record.scope") + sum(F.size(f"list_{i}") for i in range(4)) > 0
+    attributes = F.when(more, over(first, over(over(over(extra, listed_pairs), resources), own))).when(logger.isNotNull() | F.col("stream").isNotNull(), over(first, own)).otherwise(own)
     wanted = "array(" + ", ".join(f"'{k}'" for k in JSON_KEYS.split()) + ")"
     value = "coalesce(nullif(doc[k], 'null'), own[k], list_0[k], list_1[k])"
     there = f"array_intersect({wanted}, concat(map_keys(doc), map_keys(list_0), map_keys(list_1)))"
@@ -472,7 +480,7 @@ def parse_events(events: DataFrame, year: int | None, formats: Iterable[str] = F
     y, formats = F.lit(year or 0), set(formats)
     kind = F.col("kind")
     e = read_plain(classified(events, formats), y)
-    branches: dict[str, Column] = {}
+    branches: dict[str, Entry] = {}
     if formats & {"json", "cri"}:
         e = json_pieces(read_json(e))
         branches |= dict.fromkeys(("json", "envelope"), json_entry())
@@ -485,13 +493,13 @@ def parse_events(events: DataFrame, year: int | None, formats: Iterable[str] = F
     branches |= {f.name: f.entry(F.col("g")) for f in ADDED.values() if f.name in formats}
     made = plain_entry()
     for name, branch in branches.items():
-        made = F.when(kind == name, branch).otherwise(made)
-    e = e.withColumn("made", made)
-    service = F.when(F.col("service_declared"), F.col("service")).otherwise(F.coalesce(filled(F.col("made.service")), F.col("service")))
+        made = {f: F.when(kind == name, branch[f]).otherwise(made[f]) for f in FIELDS}
+    e = e.withColumns({f"made_{f}": c for f, c in made.items()})
+    service = F.when(F.col("service_declared"), F.col("service")).otherwise(F.coalesce(filled(F.col("made_service")), F.col("service")))
     raw = F.col("raw")
     if "json" in formats:
         raw = F.when((kind == "envelope") & (F.col("format") == "json"), F.left("doc_text", F.lit(4000))).otherwise(raw)
     return e.select(
-        "file_id", "file_idx", "line_no", "seq", service.alias("service"), "role", F.col("made.stamp.ts").alias("ts"), F.col("made.stamp.offset_s").alias("offset_s"),
-        *[F.col(f"made.{f}").alias(f) for f in ("level", "message", "trace_id", "span_id", "parent_span_id", "attributes", "correlation_keys")], raw.alias("raw"),
+        "file_id", "file_idx", "line_no", "seq", service.alias("service"), "role", F.col("made_stamp.ts").alias("ts"), F.col("made_stamp.offset_s").alias("offset_s"),
+        *[F.col(f"made_{f}").alias(f) for f in ("level", "message", "trace_id", "span_id", "parent_span_id", "attributes", "correlation_keys")], raw.alias("raw"),
     )

@@ -39,7 +39,7 @@ def transcript(entries: DataFrame, *by: str, max_chars: int = 60_000) -> DataFra
     )
     head, tail = F.col("until") - F.length("rendered") <= half, F.col("until") >= F.col("total") - half
     near = placed.filter(head | tail | (F.col("total") <= max_chars)).withColumns({"head": head, "tail": tail})
-    all_of = near.groupBy(*by, "total").agg(F.array_sort(F.collect_list(F.struct("place", "rendered", "head", "tail"))).alias("all"))
+    all_of = near.groupBy(*by, "total").agg(F.sort_array(F.collect_list(F.struct("place", "rendered", "head", "tail"))).alias("all"))
 
     def joined(keep: str | None = None) -> Column:
         rows = F.filter("all", lambda x: x[keep]) if keep else F.col("all")

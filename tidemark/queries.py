@@ -77,7 +77,7 @@ def sources(spark: SparkSession, sf_dir: str, fmt: str, line: str | None = None,
     """
     batch = F.lit(0) if whole else F.floor(F.col("event_id") / (FILES * PER_FILE))
     events = table(spark, sf_dir, "events").select((batch * FILES + F.col("event_id") % FILES).cast("int").alias("file_idx"), "event_id", F.expr(line or LINES[fmt]).alias("line"))
-    whole = events.groupBy("file_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda x: x.line), "\n").alias("content"))
+    whole = events.groupBy("file_idx").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "line"))), lambda x: x.line), "\n").alias("content"))
     fixed = {"service": None, "role": "backend", "format": fmt if declared else None, "timezone": None}
     return whole.select("file_idx", F.concat(F.lit("app"), F.col("file_idx") % FILES, F.lit(".log")).alias("name"), "content", *[F.lit(v).cast("string").alias(c) for c, v in fixed.items()], F.lit(0).alias("offset_seconds"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.formats import known
-from tidemark.functions.text import file_stem
+from tidemark.functions.text import file_stem, let
 from tidemark.schema import MAX_FILE_BYTES, MAX_FILES, ROLES, SOURCE
 
 DEFAULTS = {"service": None, "role": "unknown", "format": None, "timezone": None, "offset_seconds": 0}
@@ -91,8 +91,11 @@ def lines_of(sources: DataFrame, *keep: str, first: int | None = None) -> DataFr
 
     ``first``: the first ones of each source only, numbered without blank lines.
     """
+    filled = lambda pieces: F.filter(pieces, lambda x: F.rlike(x, F.lit(r"(?U)\S")))
     pieces = F.split("content", LINE_ENDS, -1)
-    if first is not None:
-        pieces = F.slice(F.filter(pieces, lambda x: F.rlike(x, F.lit(r"(?U)\S"))), 1, first)
+    if first is not None:  # mostly the head of a text has them, so that the rest of it stays whole
+        head = filled(F.slice(F.split("content", LINE_ENDS, 2 * first + 1), 1, 2 * first))
+        whole = filled(pieces)
+        pieces = let(head, lambda h: F.slice(F.when(F.size(h) >= first, h).otherwise(whole), 1, first))
     pieces = sources.select(*keep, F.posexplode_outer(pieces).alias("pos", "line"))  # a plain one would split the text for a filter first
     return pieces.select(*keep, (F.col("pos") + 1).alias("line_no"), "line").filter(F.rlike("line", F.lit(r"(?U)\S")))
