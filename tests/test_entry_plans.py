@@ -19,3 +19,7 @@ def test_a_declared_format_is_not_looked_for(spark):
     files = queries.sources(spark, "/root/testdata/sf0.001", "logfmt")
     assert "split(" not in plan_of(detect.detect(files))
     assert {(r.format, r.confidence, r.overridden) for r in detect.detect(files).collect()} == {("logfmt", 1.0, True)}
+
+
+def test_a_report_parses_once(spark):
+    assert plan_of(queries.uneven(spark, "/root/testdata/sf0.001").files).count("Generate") == 1

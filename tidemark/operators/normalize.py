@@ -81,10 +81,9 @@ def detect_skew(clocks: DataFrame, threshold: int = SKEW_SECONDS) -> DataFrame:
     the others, so ordered passes over the windows stand in for comparing all pairs. One task orders the files; a batch
     has few. ``skew_of_many`` is for more.
     """
-    in_order = Window.orderBy("first", "last", "file_idx")
+    in_order = Window.orderBy(F.col("first").asc_nulls_first(), "last", "file_idx")  # files without a window come first and have no gap
     before = F.max("last").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-    gaps = _apart(clocks.filter("first is not null").withColumn("before", before).withColumn("after", F.lead("first").over(in_order)), threshold)
-    return clocks.join(gaps.select("file_idx", "gap_seconds", "skew_warning"), "file_idx", "left")
+    return _apart(clocks.withColumn("before", before).withColumn("after", F.when(F.col("first").isNotNull(), F.lead("first").over(in_order))), threshold).drop("before", "after")
 
 
 def skew_of_many(clocks: DataFrame, threshold: int = SKEW_SECONDS, shifts: Sequence[int] = scan.MICROS) -> DataFrame:

@@ -8,26 +8,26 @@ from pyspark.sql import functions as F
 from tidemark.operators.normalize import timeline
 
 
-def file_report(described: DataFrame, detected: DataFrame, all_entries: DataFrame, kept: DataFrame, clocks: DataFrame) -> DataFrame:
-    """One row per source, those without entries included. ``all_entries`` precede the budget, ``kept`` follow it."""
+def file_report(described: DataFrame, detected: DataFrame, counted: DataFrame) -> DataFrame:
+    """One row per source, those without entries included; ``counted`` as for ``joined_report``."""
     sizes = described.select(
         "file_idx", "file_id", "name", "service", "role",
         F.octet_length("content").alias("bytes"),
         F.when(F.col("content") == "", 0).otherwise(F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit(""))) + 1).alias("line_count"),
     )
-    made = all_entries.groupBy("file_idx").agg(F.count(F.lit(1)).alias("made"))
-    return joined_report(sizes, detected, kept.groupBy("file_idx").agg(*counts()).join(made, "file_idx", "full"), clocks)
+    return joined_report(sizes, detected, counted.drop("file_id"))
 
 
 def counts() -> list[Column]:
     return [F.count(F.lit(1)).alias("entry_count"), F.count("trace_id").alias("with_trace_id"), F.count_if(F.size("correlation_keys") > 0).alias("with_correlation_key")]
 
 
-def joined_report(sizes: DataFrame, detected: DataFrame, counted: DataFrame, clocks: DataFrame) -> DataFrame:
-    """The report of ``sizes`` (file_idx, file_id, name, service, role, bytes, line_count) and what was ``counted`` in each."""
+def joined_report(sizes: DataFrame, detected: DataFrame, counted: DataFrame) -> DataFrame:
+    """The report of ``sizes`` (file_idx, file_id, name, service, role, bytes, line_count) and what was ``counted`` in each:
+    ``counts``, made before the budget, and clocks with skew_warning."""
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return (
-        sizes.join(detected, "file_idx", "left").join(counted, "file_idx", "left").join(clocks.drop("file_id"), "file_idx", "left")
+        sizes.join(detected, "file_idx", "left").join(counted, "file_idx", "left")
         .select(
             "file_idx", "file_id", "name", "service", "role", "format", F.round("confidence", 3).alias("confidence"), "flavor", "evidence", F.col("overridden").alias("format_overridden"),
             "bytes", "line_count", zero("entry_count").alias("entry_count"), F.col("first").alias("first_at"), F.col("last").alias("last_at"), zero("unresolved").alias("unresolved"),

@@ -61,7 +61,7 @@ class Folder(Results):
     def files(self) -> DataFrame:
         counted = settled(self.counted)
         clocks = normalize.skew_of_many(counted.select("file_idx", "file_id", "first", "last", "unresolved"))
-        return settled(report.joined_report(self.sizes, self.detected, counted.drop("file_id", "first", "last", "unresolved"), clocks))
+        return settled(report.joined_report(self.sizes, self.detected, counted.drop("file_id").join(clocks.select("file_idx", "skew_warning"), "file_idx", "left")))
 
     @property
     def redactions(self) -> DataFrame:
@@ -87,9 +87,13 @@ def ingest(
     kept = made if max_entries is None else normalize.within_budget(made, max_entries)
     zones = files.select("file_idx", "timezone", "offset_seconds")
     resolved = normalize.resolve(kept.join(F.broadcast(zones), "file_idx"))
-    clocks = normalize.detect_skew(normalize.file_clocks(resolved))
+    # One pass over the entries for clocks and counts.
+    counted = resolved.groupBy("file_idx", "file_id").agg(*normalize.clock(), *report.counts(), F.count(F.lit(1)).alias("made"))
+    if max_entries is not None:
+        counted = counted.drop("made").join(made.groupBy("file_idx").agg(F.count(F.lit(1)).alias("made")), "file_idx", "full")
+    counted = normalize.detect_skew(counted)
     clean = redact.redact_entries(resolved.withColumn("template_id", F.lit(None).cast("string")).withColumn("flow_id", F.lit(None).cast("string")), policy)
-    return Ingested(clean.select(*ENTRY_COLUMNS, "redactions", "touched"), report.file_report(files, detected, made, kept, clocks), redact.redaction_counts(clean))
+    return Ingested(clean.select(*ENTRY_COLUMNS, "redactions", "touched"), report.file_report(files, detected, counted), redact.redaction_counts(clean))
 
 
 def ingest_folder(
