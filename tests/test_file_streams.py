@@ -105,3 +105,53 @@ def test_an_open_event_goes_out_after_its_timeout(spark, tmp_path):
         assert [r.raw for r in spark.table("timed_out").collect()] == ["ERROR first"]
     finally:
         query.stop()
+
+
+def appended(spark, tmp_path, chunks, formats, shifts):
+    """Entries of ``chunks``, each read by a new query that goes on from the folder of the one before."""
+    arriving, folder = str(tmp_path / "arriving"), str(tmp_path / "folder")
+    spark.createDataFrame([], LINE).write.parquet(arriving)
+    for chunk in chunks:
+        spark.createDataFrame(chunk, LINE).repartition(2).write.mode("append").parquet(arriving)
+        lines = spark.readStream.schema(LINE).parquet(arriving)
+        query = files.append_entries(lines, folder, 2024, formats, "Europe/Berlin", 60, shifts).trigger(availableNow=True).start()
+        assert query.awaitTermination(300)
+    return files.appended(spark, folder)
+
+
+def test_appended_entries_are_those_of_whole_files(spark, tmp_path):
+    rows = [tuple(r) for r in lines_of(spark, 5).filter("format in ('plain', 'json', 'cri')").collect()]
+    for f, fmt in enumerate(["plain", "json", "cri"]):
+        for i in range(30):
+            dated = dt.datetime(2024, 3, 1, 12, f, i).isoformat() + "Z"
+            line = {"plain": f"{dated} ERROR event {i}" if i % 4 else f"event {i}", "json": f'{{"time":"{dated}","msg":"event {i}"}}' if i % 5 == 2 else f'{{"msg":"event {i}"}}', "cri": f"{dated} stdout {'P' if i % 3 else 'F'} event {i}"}[fmt]
+            rows.append((f"g{f}", 200 + f, "s", True, "backend", fmt, None, 7 * i + 1, line))
+    formats = {r[5] for r in rows}
+    chunks = chunks_of(rows, 5, 2)
+    chunks[1] += chunks[1][:20]  # lines that are there twice in a trigger
+    ended = max(r[7] for r in rows if r[0] == "g0")
+    chunks.append([("g0", 200, "s", True, "backend", "plain", None, ended + i, t) for i, t in ((2, "  after the end"), (3, "  more"), (4, None))])
+    got = appended(spark, tmp_path, chunks, formats, (3, 6, 63))
+    zones = {"timezone": F.lit("Europe/Berlin"), "offset_seconds": F.lit(60)}
+    made = lambda lines: normalize.own_stamps(parse.parse_events(fold.fold_lines(spark.createDataFrame(lines, LINE), formats), 2024, formats).withColumns(zones))
+    columns = ["file_id", "line_no", "seq", "raw", "message", "level", "service", "attributes"]
+    told = lambda df: sorted(str(r.asDict()) for r in df.select(columns).collect())
+    tail = [r for r in chunks[-1] if r[8]]
+    assert told(got) == sorted(told(made(rows)) + told(made(tail)))
+    own, last = {}, {}
+    for r in sorted((r for part in (rows, tail) for r in made(part).select("file_id", "line_no", "seq", "own").collect()), key=lambda r: r[:3]):
+        last[r.file_id] = r.own or last.get(r.file_id)
+        own[r.file_id, r.line_no, r.seq] = last[r.file_id]
+    found = got.select("file_id", "line_no", "seq", "timestamp", "time_source").collect()
+    assert all(r.timestamp == own[r.file_id, r.line_no, r.seq] and (r.time_source == "none") == (r.timestamp is None) for r in found)
+    assert {r.time_source for r in found} == {"none", "carried", "offset"}
+
+
+def test_no_python_worker_sees_a_line(spark, tmp_path, monkeypatch):
+    """A trigger may bring any number of lines of a file: plans of its tables have no Python."""
+    plans, frame = [], type(spark.range(0))
+    write = frame.write.fget
+    monkeypatch.setattr(frame, "write", property(lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df)))
+    rows = [("f", 0, "s", False, "db", "plain", None, i, f"2024-03-01T00:00:0{i}Z ERROR {i}") for i in range(9)]
+    assert appended(spark, tmp_path, [rows], {"plain", "cri"}, (1, 2, 63)).count() == 8
+    assert len(plans) > 5 and not any("Python" in p or "Pandas" in p or "TransformWithState" in p for p in plans)

@@ -112,9 +112,18 @@ def fold_blocks(lines: DataFrame, formats: Iterable[str] = FORMATS, shifts: Sequ
         start = F.col("previous").isNull() | starts_event(set(formats))
     else:
         start = starts_event(set(formats))
-    lines = lines.withColumn("own", F.when(start, F.col("line_no")))
+    return gather_blocks(lines.withColumn("start", start), shifts)
+
+
+def kept(lines: DataFrame, *event: str) -> DataFrame:
+    """Of the lines of each ``event`` no more than it keeps; all fragments of a CRI line."""
+    piece = F.when(F.col("format") == "cri", F.col("line_no"))
+    rank = F.row_number().over(Window.partitionBy(*FILE, *event, piece).orderBy("line_no"))
+    return lines.withColumn("rank", rank).filter(F.col("rank") <= MAX_CONTINUATIONS + 2)
+
+
+def gather_blocks(lines: DataFrame, shifts: Sequence[int] = scan.LINES) -> DataFrame:
+    """Events of ``lines`` that say whether they ``start`` one."""
+    lines = lines.withColumn("own", F.when(F.col("start"), F.col("line_no")))
     lines = scan.before(lines, FILE, "line_no", {"open": (F.col("own"), "last")}, shifts=shifts)
-    lines = lines.withColumn("event", F.coalesce("own", "open", F.lit(0)))
-    piece = F.when(F.col("format") == "cri", F.col("line_no"))  # fragments of a line are all kept
-    rank = F.row_number().over(Window.partitionBy(*FILE, "event", piece).orderBy("line_no"))
-    return _packed(lines.withColumn("rank", rank).filter(F.col("rank") <= MAX_CONTINUATIONS + 2))
+    return _packed(kept(lines.withColumn("event", F.coalesce("own", "open", F.lit(0))), "event"))

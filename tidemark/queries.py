@@ -211,13 +211,11 @@ def stream_entries(spark, sf_dir):
     grown = rows.join(last, "file_id").withColumn("growth", F.least((F.col("line_no") * 3 / (F.col("top") + 1)).cast("int"), F.lit(2))).drop("top")
     grown = settled(grown.unionByName(ends.withColumn("growth", F.lit(2))))
     folder, shape = f"{shared_folder(spark)}/{uuid.uuid4()}", grown.drop("growth").schema
-    with growing.state_store(spark):
-        for i in range(3):
-            grown.filter(F.col("growth") == i).drop("growth").select(shape.names).write.mode("append").parquet(f"{folder}/in")
-            entries = growing.entries_stream(spark.readStream.schema(shape).parquet(f"{folder}/in"), 2024, GROWING, None)
-            going = entries.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/marks").trigger(availableNow=True).start()
-            going.awaitTermination()
-    e = spark.read.parquet(f"{folder}/out")
+    for i in range(3):
+        grown.filter(F.col("growth") == i).drop("growth").select(shape.names).write.mode("append").parquet(f"{folder}/in")
+        lines = spark.readStream.schema(shape).parquet(f"{folder}/in")
+        growing.append_entries(lines, folder, 2024, GROWING).trigger(availableNow=True).start().awaitTermination()
+    e = growing.appended(spark, folder)
     n_lines = (F.regexp_count("raw", F.lit("\n")) + 1).cast("int").alias("n_lines")
     stamp = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("stamp")
     return e.select(F.regexp_extract("message", EVENT_ID, 1).cast("bigint").alias("event_id"), n_lines, stamp, "level", "time_source")

@@ -1,7 +1,11 @@
-"""Growing files as a stream, in any of the formats: lines to events to dated entries, each with a small state per file.
+"""Growing files as a stream, in any of the formats: lines to events to dated entries, with a small state per file.
+
+There are two ways. ``append_entries`` goes through a trigger's lines in blocks (``scan``), however many lines a file has
+in it, and appends entries to a folder. ``entries_stream`` is a plan with stateful steps and timeouts for triggers that the
+source bounds: a trigger's lines of a file meet in one Python worker.
 
 What a line is by itself (whether it can start an event, which fragment of a CRI line it is) is worked out by column
-functions before the state; the state of a file holds its open event, the number of its last line and its last stamp. Streams are started
+functions before the state; the state of a file holds its open event, the number of its last line and its last stamp. Streams of stateful steps are started
 within ``state_store(spark)``, which names the store that chained stateful steps need:
 
     with files.state_store(spark):
@@ -10,17 +14,18 @@ within ``state_store(spark)``, which names the store that chained stateful steps
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
 
-from tidemark.operators import fold, normalize, parse
+from tidemark.operators import fold, normalize, parse, scan
 from tidemark.schema import FORMATS, MAX_CONTINUATIONS
 
 CONTEXT_TYPES = "file_id string, file_idx long, service string, service_declared boolean, role string, format string, flavor string"
@@ -29,6 +34,8 @@ STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
+#: What ``append_entries`` knows of a file after a trigger: its last line's number, its last stamp, the lines of its open event.
+KNOWN = "file_id string, file_idx long, context struct<service: string, service_declared: boolean, role: string, format: string, flavor: string>, last_no long, stamp timestamp_ntz, open array<struct<line_no: long, line: string>>"
 OPEN = "last_no long, line_no long, line string, extra array<string>, fragment string, channel string"
 
 
@@ -99,6 +106,19 @@ class Folded(StatefulProcessor):
         return pd.DataFrame(rows, columns=[*fold.CONTEXT, "line_no", "line", "extra"])
 
 
+def _arriving(lines: DataFrame) -> DataFrame:
+    kept = lines.select(*fold.CONTEXT, F.col("line_no").cast("long").alias("line_no"), "line").filter("line is null or line rlike r'(?U)\\S'")
+    return fold._clamped(kept).withColumn("file_idx", F.col("file_idx").cast("long"))
+
+
+def _marked(lines: DataFrame, formats: Iterable[str]) -> DataFrame:
+    """``lines`` with what each is by itself: fragment and channel of a CRI line, and whether it starts an event (own)."""
+    cri = F.col("format") == "cri"
+    part = lambda i: F.when(cri, F.regexp_extract("line", fold.CRI_LINE, i))
+    own = fold.starts_event(set(formats) - {"cri"})
+    return lines.withColumns({"fragment": part(3), "channel": part(2)}).withColumn("own", F.coalesce(F.when(cri, F.col("fragment") == "").otherwise(own), F.lit(True)))
+
+
 def fold_stream(lines: DataFrame, formats: Iterable[str] = FORMATS, timeout_ms: int | None = 30_000) -> DataFrame:
     """(CONTEXT, line_no, line, extra, raw) per event of a stream of (CONTEXT, line_no, line), as ``fold.fold`` gives them.
 
@@ -109,14 +129,7 @@ def fold_stream(lines: DataFrame, formats: Iterable[str] = FORMATS, timeout_ms:
     lines of one file are one task's, so the source bounds them (``maxFilesPerTrigger``, ``maxBytesPerTrigger``). Blank
     lines are passed over.
     """
-    formats = set(formats)
-    kept = fold._clamped(lines.select(*fold.CONTEXT, "line_no", "line").filter("line is null or line rlike r'(?U)\\S'"))
-    cri = F.col("format") == "cri"
-    part = lambda i: F.when(cri, F.regexp_extract("line", fold.CRI_LINE, i))
-    own = fold.starts_event(formats - {"cri"})
-    marked = kept.withColumns({"fragment": part(3), "channel": part(2)}).withColumn("own", F.coalesce(F.when(cri, F.col("fragment") == "").otherwise(own), F.lit(True)))
-
-    rows = marked.withColumn("file_idx", F.col("file_idx").cast("long")).groupBy(*fold.CONTEXT)
+    rows = _marked(_arriving(lines), formats).groupBy(*fold.CONTEXT)
     shape = f"{CONTEXT_TYPES}, line_no long, line string, extra array<string>"
     events = rows.transformWithStateInPandas(Folded(timeout_ms), shape, "append", "None" if timeout_ms is None else "ProcessingTime")
     return events.withColumn("raw", F.when(F.size("extra") > 0, F.concat("line", F.lit("\n"), F.array_join("extra", "\n"))).otherwise(F.col("line")))
@@ -151,9 +164,12 @@ def date_stream(entries: DataFrame) -> DataFrame:
     read = normalize.own_stamps(entries).withColumn("own", F.col("own").cast("string"))
     shape = StructType([StructField(f.name, f.dataType, True) for f in read.schema.fields] + [StructField("carry", StringType())])
     dated = read.groupBy("file_id", "file_idx").transformWithStateInPandas(Carried(read.columns), shape, "append", "None")
-    at = F.col("carry").cast("timestamp_ntz")
+    return _dated(dated, F.col("carry").cast("timestamp_ntz"), F.col("own").cast("timestamp_ntz"))
+
+
+def _dated(entries: DataFrame, at: Column, own: Column) -> DataFrame:
     source = F.coalesce("own_source", F.when(at.isNotNull(), "carried").otherwise("none"))
-    return dated.withColumn("timestamp", at).withColumn("time_source", source).withColumn("read_at", F.col("own").cast("timestamp_ntz")).drop("own", "own_source", "ts", "offset_s", "carry")
+    return entries.withColumn("timestamp", at).withColumn("time_source", source).withColumn("read_at", own).drop("own", "own_source", "ts", "offset_s", "carry")
 
 
 def entries_stream(lines: DataFrame, year: int, formats: Iterable[str] = FORMATS, timeout_ms: int | None = 30_000, timezone: str | None = None, offset_seconds: int = 0) -> DataFrame:
@@ -161,3 +177,65 @@ def entries_stream(lines: DataFrame, year: int, formats: Iterable[str] = FORMATS
     formats = list(formats)
     made = parse.parse_events(fold_stream(lines, formats, timeout_ms), year, formats)
     return date_stream(made.withColumns({"timezone": F.lit(timezone).cast("string"), "offset_seconds": F.lit(offset_seconds)}))
+
+
+def append_entries(
+    lines: DataFrame, folder: str, year: int, formats: Iterable[str] = FORMATS, timezone: str | None = None, offset_seconds: int = 0, shifts: Sequence[int] = scan.LINES
+) -> DataStreamWriter:
+    """A writer that appends to ``folder`` what ``entries_stream`` without timeouts gives; ``appended`` reads it.
+
+    A trigger's lines are folded, parsed and dated as tables in blocks of lines, so it may bring any number of lines of a
+    file: no task holds more than a block or an event, and nothing leaves the JVM. What is known of the files is a table
+    that each trigger writes anew from the one before. A trigger that is run again overwrites what it had written.
+    """
+    spark, formats = lines.sparkSession, list(formats)
+    zones = {"timezone": F.lit(timezone).cast("string"), "offset_seconds": F.lit(offset_seconds)}
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    def step(arrived: DataFrame, number: int) -> None:
+        if number == 0:
+            stored(spark.range(0).select(F.from_json(F.lit("{}"), KNOWN).alias("file")).select("file.*"), "known/-1")
+        known = spark.read.schema(KNOWN).parquet(f"{folder}/known/{number - 1}")
+        marks = lambda rows: _marked(rows, formats).withColumn("ends", F.col("line").isNull())
+        new = stored(marks(_arriving(arrived)), "work/lines").join(known.select(*fold.FILE, "last_no"), fold.FILE, "left").filter("last_no is null or line_no > last_no").drop("last_no")
+        rows = new.unionByName(marks(known.select(*fold.FILE, "context.*", F.inline("open"))))
+        started = _started(rows, shifts)
+        context = F.struct(*[c for c in fold.CONTEXT if c not in fold.FILE]).alias("context")
+        heads = stored(started.groupBy(*fold.FILE).agg(F.first(context).alias("context"), F.max("line_no").alias("last_no"), F.max(F.when(F.col("start"), F.col("line_no"))).alias("newest")), "work/heads")
+        newest = heads.select(*fold.FILE, "newest")
+        told = started.join(newest, fold.FILE).filter("not ends")
+        events = fold.gather_blocks(told.filter("line_no < newest").select(*fold.CONTEXT, "line_no", "line", "start"), shifts)
+        undated = stored(normalize.own_stamps(parse.parse_events(events, year, formats).withColumns(zones)), "work/undated")
+
+        carried = scan.before(undated, fold.FILE, "line_no", {"carry": (F.col("own"), "last")}, order=["seq"], shifts=shifts)
+        at = F.coalesce("own", "carry", "stamp")
+        stored(_dated(carried.join(known.select(*fold.FILE, "stamp"), fold.FILE, "left"), at, F.col("own")).drop("stamp"), f"entries/trigger={number}")
+
+        still = rows.join(newest, fold.FILE).filter("line_no >= newest and not ends").dropDuplicates([*fold.FILE, "line_no"])
+        opens = fold.kept(still).groupBy(*fold.FILE).agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("open"))
+        stamps = undated.groupBy(*fold.FILE).agg(F.max_by("own", F.when(F.col("own").isNotNull(), F.struct("line_no", "seq"))).alias("stamp"))
+        parts = [known.drop("open").withColumn("age", F.lit(0)), heads.drop("newest"), stamps.withColumn("age", F.lit(1)), opens]
+        union = parts[0]
+        for part in parts[1:]:
+            union = union.unionByName(part, allowMissingColumns=True)
+        latest = F.max_by("stamp", F.when(F.col("stamp").isNotNull(), F.col("age")))
+        first = lambda c: F.first(c, ignorenulls=True).alias(c)
+        stored(union.groupBy(*fold.FILE).agg(first("context"), F.max("last_no").alias("last_no"), latest.alias("stamp"), first("open")), f"known/{number}")
+
+    return lines.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/marks")
+
+
+def _started(rows: DataFrame, shifts: Sequence[int]) -> DataFrame:
+    """``rows`` without lines that are there twice, and whether each starts an event."""
+    told = F.struct("line_no", "fragment", "channel", "ends")
+    rows = scan.before(rows, fold.FILE, "line_no", {"previous": (told, "last")}, shifts=shifts).filter("previous is null or previous.line_no < line_no")
+    apart = (F.col("format") == "cri") & ~(F.col("previous.fragment").eqNullSafe("P") & F.col("previous.channel").eqNullSafe(F.col("channel")))
+    return rows.withColumn("start", F.col("own") | F.col("previous").isNull() | F.coalesce("previous.ends", F.lit(False)) | apart)
+
+
+def appended(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries that ``append_entries`` has written to ``folder``."""
+    return spark.read.parquet(f"{folder}/entries").drop("trigger")
