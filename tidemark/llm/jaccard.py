@@ -386,9 +386,10 @@ class Links:
     def __init__(self, corpus: Corpus) -> None:
         self.corpus = corpus
         spark = corpus.df.sparkSession
-        self.found = spark.createDataFrame([], "u long, v long")
-        self.roots = spark.createDataFrame([], "node long, root long")
-        self.sets = spark.createDataFrame([], "node long, n long, shingles array<long>")
+        none = spark.range(0)  # an empty list would go through Python workers
+        self.found = none.select(F.col("id").alias("u"), F.col("id").alias("v"))
+        self.roots = none.select(F.col("id").alias("node"), F.col("id").alias("root"))
+        self.sets = none.select(F.col("id").alias("node"), F.col("id").alias("n"), F.array("id").alias("shingles"))
 
     def read_sets(self, pairs: DataFrame) -> None:
         """The whole sets of the ends of ``pairs`` (a, b), unless they are there."""
