@@ -60,5 +60,5 @@ def before(
         carried = carried.join(totals.groupBy(*key).agg(*[_TOTAL[how](F.col(f"_all_{n}")).alias(n) for n, (_, how) in more.items()]), list(key))
     carried = carried.select(*key, block, *[f"_before_{n}" for n in wanted], *more)
     within = marked.withColumns({f"_within_{n}": _running(how, v).over(earlier) for n, (v, how) in wanted.items()})
-    joined = within.join(carried, [*key, block])
+    joined = within.join(carried.hint("merge"), [*key, block])  # rows of compressed files look small enough to be broadcast
     return joined.select(*rows.columns, *[_both(how, F.col(f"_before_{n}"), F.col(f"_within_{n}")).alias(n) for n, (_, how) in wanted.items()], *more)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -14,7 +14,7 @@ from tidemark.operators import fold, normalize, parse, redact, report, scan
 from tidemark.schema import DETECT_LINES, ENTRY_COLUMNS, MAX_ENTRIES, MAX_FILE_BYTES, PASTE_BYTES, PASTE_ENTRIES
 from tidemark.sources.bulk import described_lines, files_below, lines_below
 from tidemark.sources.files import described, pasted, resolved_service
-from tidemark.stored import settled
+from tidemark.stored import light, settled, tabled
 
 
 class Results:
@@ -99,30 +99,46 @@ def ingest(
 def ingest_folder(
     spark: SparkSession, path: str, *, policy: redact.Policy | None = None, year: int | None = None, shifts: Sequence[int] = scan.LINES, **declared: str | int | None
 ) -> Folder:
-    """All files below ``path`` that are not empty, however many and large; formats and clocks are found file by file.
+    """All files below ``path`` that are not empty, however many and large; formats and clocks are found file by file."""
+    lines = lines_below(spark, path)
+    role = F.lit(declared.get("role", "unknown"))
+    counts = lines.groupBy("file_id").agg(F.max("line_no").alias("line_count"))
+    listed = resolved_service(files_below(spark, path).withColumns({"service": F.lit(declared.get("service")).cast("string"), "role": role}))
+    sizes = listed.join(counts, "file_id", "left").select(F.xxhash64("file_id").alias("file_idx"), "file_id", "name", "service", "role", "bytes", F.coalesce("line_count", F.lit(0)).alias("line_count"))
+    return _in_blocks(described_lines(lines, **declared), sizes, policy, year, shifts, declared)
+
+
+def ingest_lines(lines: DataFrame, *, policy: redact.Policy | None = None, year: int | None = None, shifts: Sequence[int] = scan.LINES, **declared: str | int | None) -> Folder:
+    """The same of files of any size that come as ``lines`` (file_id, name, line_no, line) without blank ones.
+
+    Bytes of a file are those of its lines, each with a line end.
+    """
+    known = described_lines(lines, **declared)
+    sizes = known.groupBy("file_idx", "file_id", "name", "service", "role").agg(F.sum(F.octet_length("line") + 1).alias("bytes"), F.max("line_no").alias("line_count"))
+    return _in_blocks(known, sizes, policy, year, shifts, declared)
+
 
-    Files are folded and dated in blocks of lines, so a file is no task's own. Formats are kept in a table and joined, not
-    listed on the driver, which hears only which formats and what year occur.
+def _in_blocks(lines: DataFrame, sizes: DataFrame, policy: redact.Policy | None, year: int | None, shifts: Sequence[int], declared: Mapping[str, str | int | None]) -> Folder:
+    """Described ``lines``, folded and dated in blocks of lines, so a file is no task's own.
+
+    Formats are kept in a table and joined, not listed on the driver, which hears only which formats and what year occur.
     """
-    lines = described_lines(lines_below(spark, path), **declared)
     files = lines.select("file_idx", "format").distinct()
-    detected = settled(detection.detect(files, lines))
+    detected = settled(detection.detect(files, lines.filter(F.coalesce("format", F.lit("")) == "")))  # a declared format is not looked for
     formats = {r.format for r in detected.select("format").distinct().collect()}
     if year is None:
         stamped = F.regexp_extract("line", r"(?U)^\s*([0-9]{4})", 1).try_cast("int").alias("year")
         seen = lines.filter(F.col("line_no") <= DETECT_LINES).select("file_id", "line_no", stamped).filter("year between 2000 and 2100")
-        year = seen.agg(F.min_by("year", F.struct("file_id", "line_no"))).first()[0] or spark.range(1).select(F.year(F.current_timestamp())).first()[0]
+        year = seen.agg(F.min_by("year", F.struct("file_id", "line_no"))).first()[0] or lines.sparkSession.range(1).select(F.year(F.current_timestamp())).first()[0]
     found = detected.select(F.col("file_idx").alias("_file"), F.col("format").alias("found"), "flavor")
+    if light(found, "found", "flavor"):  # few files: their lines need not meet for it
+        found = F.broadcast(found)
     known = lines.join(found, F.col("file_idx") == F.col("_file")).withColumn("format", F.col("found")).drop("_file", "found")
-    made = parse.parse_events(fold.fold_blocks(known.select(*fold.CONTEXT, "line_no", "line"), formats, shifts), year, formats)
+    made = tabled(parse.parse_events(fold.fold_blocks(known.select(*fold.CONTEXT, "line_no", "line"), formats, shifts), year, formats))  # dating goes through them twice
     zones = {c: F.lit(declared.get(c)).cast(t) for c, t in (("timezone", "string"), ("offset_seconds", "int"))}
     resolved = normalize.resolve(made.withColumns(zones), shifts)
     nothing = F.lit(None).cast("string")
     clean = redact.redact_entries(resolved.withColumns({"template_id": nothing, "flow_id": nothing}), policy)
-    role = F.lit(declared.get("role", "unknown"))
-    counts = lines.groupBy("file_id").agg(F.max("line_no").alias("line_count"))
-    listed = resolved_service(files_below(spark, path).withColumns({"service": F.lit(declared.get("service")).cast("string"), "role": role}))
-    sizes = listed.join(counts, "file_id", "left").select(F.xxhash64("file_id").alias("file_idx"), "file_id", "name", "service", "role", "bytes", F.coalesce("line_count", F.lit(0)).alias("line_count"))
     counted = resolved.groupBy("file_idx", "file_id").agg(*normalize.clock(), *report.counts(), F.count(F.lit(1)).alias("made"))
     return Folder(clean.select(*ENTRY_COLUMNS, "redactions", "touched"), sizes, detected, counted)
 

@@ -17,13 +17,14 @@ from tidemark.functions.text import file_stem
 from tidemark.operators import detect as detection
 from tidemark.operators import flows as flowing
 from tidemark.operators import fold as folding
-from tidemark.operators import normalize, redact, report, rhythm
+from tidemark.operators import normalize, redact, report, rhythm, scan
 from tidemark.operators import parse as parsing
 from tidemark.operators import templates as templating
 from tidemark.plans import analyses, cost, prompts
-from tidemark.plans.ingest import Ingested, ingest
+from tidemark.plans.ingest import Ingested, ingest, ingest_lines
 from tidemark.sources import tail as tailing
-from tidemark.stored import settled, shared_folder
+from tidemark.sources.files import LINE_ENDS
+from tidemark.stored import settled, shared_folder, tabled
 from tidemark.streaming import files as growing
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,25 +71,31 @@ PER_FILE = 50_000
 NO_CUT = 2**31 - 1
 
 
-def sources(spark: SparkSession, sf_dir: str, fmt: str, line: str | None = None, declared: bool = True, whole: bool = False) -> DataFrame:
-    """Events as files of one format, in order of their identifiers; file i of each batch has the name of file i.
-
-    ``whole``: ``FILES`` files, however long.
-    """
-    batch = F.lit(0) if whole else F.floor(F.col("event_id") / (FILES * PER_FILE))
+def sources(spark: SparkSession, sf_dir: str, fmt: str, line: str | None = None, declared: bool = True) -> DataFrame:
+    """Events as files of one format, in order of their identifiers; file i of each batch has the name of file i."""
+    batch = F.floor(F.col("event_id") / (FILES * PER_FILE))
     events = table(spark, sf_dir, "events").select((batch * FILES + F.col("event_id") % FILES).cast("int").alias("file_idx"), "event_id", F.expr(line or LINES[fmt]).alias("line"))
     whole = events.groupBy("file_idx").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "line"))), lambda x: x.line), "\n").alias("content"))
     fixed = {"service": None, "role": "backend", "format": fmt if declared else None, "timezone": None}
     return whole.select("file_idx", F.concat(F.lit("app"), F.col("file_idx") % FILES, F.lit(".log")).alias("name"), "content", *[F.lit(v).cast("string").alias(c) for c, v in fixed.items()], F.lit(0).alias("offset_seconds"))
 
 
+def long_files(spark: SparkSession, sf_dir: str, line: str) -> DataFrame:
+    """(file_id, name, line_no, line): events as ``FILES`` files, however long, of which no task holds one; they are numbered once."""
+    events = table(spark, sf_dir, "events").select((F.col("event_id") % FILES).alias("file"), "event_id", F.expr(line).alias("line")).filter("line is not null")
+    place = F.lit(1 << 61) + F.col("event_id")  # not below 0
+    rows = scan.before(events.withColumn("place", place), ["file"], "place", {"earlier": (F.regexp_count("line", F.lit(LINE_ENDS)) + 1, "sum")}, order=["line"])
+    pieces = rows.select(F.concat(F.lit("f"), "file").alias("file_id"), F.concat(F.lit("app"), "file", F.lit(".log")).alias("name"), "earlier", F.posexplode_outer(F.split("line", LINE_ENDS, -1)).alias("pos", "line"))
+    return tabled(pieces.select("file_id", "name", (F.coalesce("earlier", F.lit(0)) + F.col("pos") + 1).alias("line_no"), "line").filter(F.rlike("line", F.lit(r"(?U)\S"))))
+
+
 def ingest_all(batch: DataFrame) -> Ingested:
     """``batch`` without any budget."""
     return ingest(batch, max_entries=None, max_bytes=NO_CUT, year=2024)
 
 
-def read(spark: SparkSession, sf_dir: str, fmt: str, whole: bool = False) -> Ingested:
-    return ingest_all(sources(spark, sf_dir, fmt, whole=whole))
+def read(spark: SparkSession, sf_dir: str, fmt: str) -> Ingested:
+    return ingest_all(sources(spark, sf_dir, fmt))
 
 
 EVENT_ID = r"event (\d+)"
@@ -610,8 +617,8 @@ UNEVEN = f"""concat(case when event_id % 5 = 0 then '' else concat('ts=', {STAMP
   case when event_id % 7 = 0 then '' else concat(' user_id=', user_id) end, case when event_id % 3 = 0 then '' else concat(' trace_id=t', event_id) end, case when event_type = 'error' then concat(' password=p', event_id) else '' end)"""
 
 
-def uneven(spark: SparkSession, sf_dir: str, declared: bool = True, whole: bool = False) -> Ingested:
-    return ingest_all(sources(spark, sf_dir, "logfmt", UNEVEN, declared, whole))
+def uneven(spark: SparkSession, sf_dir: str) -> Ingested:
+    return ingest_all(sources(spark, sf_dir, "logfmt", UNEVEN))
 
 
 @query(
@@ -644,7 +651,7 @@ select level, count(*) as n, count(*) as touched, cast(sum(us // 1000000) as big
 @query(LEVEL_COUNTS)
 def level_counts(spark, sf_dir):
     """Lines to detected format, entries, resolved time and redaction; counts per level of all that these make."""
-    e = uneven(spark, sf_dir, declared=False, whole=True).entries  # stamps are carried through a file, so none is cut
+    e = ingest_lines(long_files(spark, sf_dir, UNEVEN), year=2024, role="backend").entries  # stamps are carried through a file, so none is cut
     values = F.aggregate(F.map_values("attributes"), F.lit(0), lambda n, v: n + F.length(v))
     return e.groupBy("level").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("touched").alias("touched"), F.sum(F.floor(F.unix_micros(F.col("timestamp").cast("timestamp")) / 1_000_000)).cast("bigint").alias("seconds"),
@@ -666,7 +673,8 @@ def prompt_render(spark, sf_dir):
 select 'f' || f as file_id, case when length(body) <= 2000 then body else left(body, 1000) || chr(10) || chr(10) || '… [' || format('{{:,}}', length(body) - 2000) || ' characters of the middle omitted] …' || chr(10) || chr(10) || right(body, 1000) end as prompt from t"""
 )
 def prompt_trim(spark, sf_dir):
-    return prompts.transcript(read(spark, sf_dir, "logfmt", whole=True).entries, "file_id", max_chars=2000)
+    e = ingest_lines(long_files(spark, sf_dir, LINES["logfmt"]), year=2024, role="backend", format="logfmt").entries
+    return prompts.transcript(e, "file_id", max_chars=2000)
 
 
 @query("select doc_id, cast(round_even(length(text) / 3.4, 0) as bigint) as log_tokens, cast(round_even(length(text) / 3.9, 0) as bigint) as prose_tokens from documents")

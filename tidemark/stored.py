@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,13 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def tabled(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: smaller than ``settled`` where texts are long, and read by columns."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def light(df: DataFrame, *texts: str) -> bool:
     """Whether a stored ``df``, whose bytes are mostly those of ``texts``, may be broadcast."""
     weight = df.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(64)))).first()[0] or 0
